@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sourcewise.llm import decontaminate
+from sourcewise.llm import decontaminate, quality
 
 QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
