@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sourcewise.llm import decontaminate, quality
+from sourcewise.llm import byte_bpe, decontaminate, quality
 
 QUERIES = {
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_quality_rules": quality.op9_quality_rules,
 }
