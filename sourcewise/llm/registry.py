@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sourcewise.llm import byte_bpe, decontaminate, quality
+from sourcewise.llm import byte_bpe, decontaminate, quality, token_files
 
 QUERIES = {
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_token_files": token_files.op7_token_files,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
