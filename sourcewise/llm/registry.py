@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sourcewise.llm import byte_bpe, decontaminate, quality, token_files
+from sourcewise.llm import byte_bpe, decontaminate, pii, quality, token_files
 
 QUERIES = {
+    "op4_pii": pii.op4_pii,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_files": token_files.op7_token_files,
