@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sourcewise.llm import byte_bpe, decontaminate, pii, quality, token_files
+from sourcewise.llm import byte_bpe, decontaminate, near_dup, pii, quality, token_files
 
 QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_files": token_files.op7_token_files,
+    "op8_near_dup": near_dup.op8_near_dup,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
