@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourcewise.llm import byte_bpe, decontaminate, near_dup, pii, quality, token_files
+from sourcewise.llm import byte_bpe, decontaminate, licenses, near_dup, pii, quality, token_files
 
 QUERIES = {
     "op4_pii": pii.op4_pii,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_token_files": token_files.op7_token_files,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_licenses": licenses.op10_licenses,
 }
 ORACLE_SQL: dict[str, str] = {}
