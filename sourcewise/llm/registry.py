@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sourcewise.llm import byte_bpe, decontaminate, licenses, near_dup, pii, quality, token_files
+from sourcewise.llm import byte_bpe, decontaminate, licenses, near_dup, pii, quality, substring_dedup, token_files
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
