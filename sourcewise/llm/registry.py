@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sourcewise.llm import byte_bpe, decontaminate, html_text, licenses, near_dup, pii, quality, substring_dedup, token_files
+from sourcewise.llm import byte_bpe, chat_format, decontaminate, html_text, licenses, near_dup, pii, quality, substring_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_html_text": html_text.op2_html_text,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
