@@ -1,30 +1,30 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-A task gathers documents into batches of bounded size, splits each text by the
-tokenizer's pattern and keeps every distinct word of the batch once, so one row
-holds a batch: its distinct words and, for each document, the numbers of its
-words.  Spark higher-order functions then fold the ranked merges over the bytes
-of each distinct word: the state is the word's pieces and the ranks of
-neighbouring pieces, and each step joins the leftmost pair of the lowest rank.
-The rank map is a literal, an array of small maps chosen by the key's CRC, as a
-Spark map is searched from its start.  A last pass puts the ids of the words
+A task splits its texts by the tokenizer's pattern and keeps every distinct
+word once.  It hands on rows of bounded size: the words that are new to the
+task, as arrays of byte ids, and for each document the numbers of its words.
+Spark higher-order functions fold the ranked merges over the bytes of each
+distinct word.  The state is one long for each piece: the rank of the pair that
+starts at the piece, the piece's first byte and the piece's id, so the least
+element is the leftmost pair of the lowest rank, and joining it gives the id
+that is the rank.  The rank map is a literal: two arrays in which each pair of
+ids has one possible slot, so a lookup reads at most two elements (a Spark map
+would be searched from its start).  A last pass puts the ids of the words
 together and decodes every document from its ids by joining the pieces.
 
 There is no shuffle, nothing grows with the corpus, and a lost executor repeats
-only its own batches.
+only its own tasks.
 
 Defined results.  A null or empty text has no ids, and the digests are those of
 no bytes.  Rows with null or repeated doc_id each give their row.  A word of n
 bytes takes n steps over its pieces, so one word of many thousand bytes is slow
-but exact.
+but exact.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
-import zlib
 from functools import cache
 
 import numpy as np
@@ -34,11 +34,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcewise.llm.common import documents, let
+from sourcewise.llm.common import documents, let, parts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Words in a batch before the next begins, and maps in the literal.
-BATCH_WORDS, MAPS = 3_000_000, 65_536
+#: Words after which a row ends, distinct words after which a task forgets them, input bytes that one task takes.
+ROW_WORDS, TASK_WORDS, TASK_BYTES = 1_000_000, 1_500_000, 128 << 20
+#: Slots (primes) of the two arrays of the rank map; the rank of a pair that has none.
+SLOTS, NONE = (131_101, 149_993), 1 << 20
 
 
 @cache
@@ -49,78 +51,121 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 @cache
-def _literal(path: str) -> str:
-    """The rank map as JSON: an array of maps from Latin-1 spelt bytes to ranks, placed by CRC."""
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for piece, rank in ranks_of(path).items():
-        key = piece.decode("latin-1")
-        maps[zlib.crc32(key.encode()) % MAPS][key] = rank
-    return json.dumps(maps, ensure_ascii=True)
-
-
-def _rank(maps: Column, piece: Column) -> Column:
-    at = (F.crc32(piece.cast("binary")) % MAPS).cast("int")
-    return F.try_element_at(F.get(maps, at), piece)
-
-
-def _merge(maps: Column, state: Column) -> Column:
-    """The state after joining the leftmost pair of the lowest rank; unchanged if no pair has a rank."""
-    pieces, ranks = state["pieces"], state["ranks"]
-
-    def joined(p: Column) -> Column:
-        n = F.size(pieces)
-        both = F.concat(F.element_at(pieces, p), F.element_at(pieces, p + 1))
-
-        def around(one: Column) -> Column:
-            left = F.when(p > 1, F.array(_rank(maps, F.concat(F.get(pieces, p - 2), one)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p + 1 < n, F.array(_rank(maps, F.concat(one, F.get(pieces, p + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(pieces, F.lit(1), p - 1), F.array(one), F.slice(pieces, p + 2, n)).alias("pieces"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)).alias("ranks"),
-            )
+def pair_ranks(path: str) -> dict[int, int]:
+    """Rank of each pair of ids that joins to a token; a pair is 65536 * left + right."""
+    ranks = ranks_of(path)
+    if max(ranks.values()) >= 65_536:
+        raise ValueError("ids must fit in 16 bits")
+    found = {}
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if left is not None and right is not None:
+                found[65_536 * left + right] = rank
+    return found
+
+
+def _slot(pair: int, which: int) -> int:
+    """Slot of a pair in an array."""
+    return pair % SLOTS[which]
+
+
+@cache
+def rank_arrays(path: str) -> tuple[list[int], list[int]]:
+    """Both arrays of the rank map: every pair stands in its slot of one of them, as 65536 * pair + rank."""
+    arrays = tuple([-1] * n for n in SLOTS)
+    for pair, rank in pair_ranks(path).items():
+        moving, which = 65_536 * pair + rank, 0
+        for _ in range(10_000):
+            at = _slot(moving >> 16, which)
+            moving, arrays[which][at] = arrays[which][at], moving
+            if moving < 0:
+                break
+            which = 1 - which
+        else:
+            raise ValueError("the rank map's slots don't hold these pairs")
+    return arrays
+
+
+def _literal(spark: SparkSession, values: list[int]) -> Column:
+    """An array literal of longs, handed to the JVM in one piece."""
+    jvm, raw = spark._jvm, np.array(values, ">i8").tobytes()
+    longs = spark.sparkContext._gateway.new_array(jvm.long, len(values))
+    jvm.java.nio.ByteBuffer.wrap(raw).asLongBuffer().get(longs)
+    return Column(jvm.org.apache.spark.sql.functions.lit(longs))
+
+
+def fold_merges(words: Column, spark: SparkSession, path: str) -> Column:
+    """Token ids of each word; a word is the array of its bytes' ids."""
+    first, second = (_literal(spark, x) for x in rank_arrays(path))
+
+    def rank(left: Column, right: Column) -> Column:
+        pair = left * 65_536 + right
+        one, two = (F.get(x, (pair % n).cast("int")) for x, n in ((first, SLOTS[0]), (second, SLOTS[1])))
+        return (
+            F.when(F.shiftright(one, 16) == pair, one.bitwiseAND(65_535))
+            .when(F.shiftright(two, 16) == pair, two.bitwiseAND(65_535))
+            .otherwise(F.lit(NONE).cast("bigint"))
+        )
+
+    def packed(pair_rank: Column, rest: Column) -> Column:
+        return F.shiftleft(pair_rank, 40).bitwiseOR(rest)
+
+    piece = lambda x: x.bitwiseAND(65_535)
+    rest = lambda x: x.bitwiseAND((1 << 40) - 1)
+
+    def merged(state: Column, least: Column) -> Column:
+        token = F.shiftright(least, 40)
 
-        return let(both, around)
+        def at(p: Column) -> Column:
+            def value(x: Column, i: Column) -> Column:
+                own = rest(least).bitwiseAND(~65_535).bitwiseOR(token)
+                return (
+                    F.when(i == p, packed(rank(token, piece(F.get(state, p + 2))), own))
+                    .when(i == p - 1, packed(rank(piece(x), token), rest(x)))
+                    .otherwise(x)
+                )
 
-    return let(
-        F.array_min(ranks),
-        lambda least: F.when(least.isNull(), state).otherwise(let(F.array_position(ranks, least).cast("int"), joined)),
-    )
+            return F.transform(F.filter(state, lambda x, i: i != p + 1), value)
 
+        return let((F.array_position(state, least) - 1).cast("int"), at)
 
-def fold_merges(words: Column, maps: Column) -> Column:
-    """Token ids of each word; a word is its bytes spelt in Latin-1."""
+    def step(state: Column, _: Column) -> Column:
+        return let(F.array_min(state), lambda least: F.when(least >= NONE << 40, state).otherwise(merged(state, least)))
 
     def of(word: Column) -> Column:
-        def folded(pieces: Column) -> Column:
-            pairs = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda a, i: _rank(maps, F.concat(a, F.get(pieces, i + 1))))
-            start = F.struct(pieces.alias("pieces"), pairs.alias("ranks"))
-            end = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2))), start, lambda state, _: _merge(maps, state))
-            return F.transform(end["pieces"], lambda piece: _rank(maps, piece))
-
-        return let(
-            _rank(maps, word),
-            lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.split(word, ""), folded)),
-        )
+        begin = F.transform(word, lambda a, i: packed(rank(a, F.get(word, i + 1)), F.shiftleft(i.cast("bigint"), 16).bitwiseOR(a)))
+        end = F.aggregate(F.slice(word, F.lit(2), F.size(word)), begin, step)
+        return F.transform(end, lambda x: piece(x).cast("int"))
 
     return F.transform(words, of)
 
 
-BATCH_SCHEMA = "keys array<bigint>, n_words array<int>, at array<int>, words array<string>"
+BATCH_SCHEMA = "forget boolean, keys array<bigint>, n_words array<int>, at array<int>, words array<array<bigint>>"
 
 
-def _batches(pattern: str):
+def _rows(pattern: str, path: str):
     def gather(batches):
         find = regex.compile(pattern).findall
-        keys, counts, at, number = [], [], [], {}
+        ranks = ranks_of(path)
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        number: dict[str, int] = {}
+        keys, counts, at, new, forget = [], [], [], [], True
 
         def row():
+            raw = [w.encode("utf-8", "surrogatepass") for w in new]
+            flat = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            whole = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), words)
             cols = [
+                pa.array([forget]),
                 pa.array([keys], pa.list_(pa.int64())),
                 pa.array([counts], pa.list_(pa.int32())),
-                pa.array([np.concatenate(at) if at else np.zeros(0, np.int32)], pa.list_(pa.int32())),
-                pa.array([[w.encode().decode("latin-1") for w in number]], pa.list_(pa.string())),
+                pa.array([np.concatenate(at)], pa.list_(pa.int32())),
+                whole,
             ]
-            return pa.RecordBatch.from_arrays(cols, names=["keys", "n_words", "at", "words"])
+            return pa.RecordBatch.from_arrays(cols, names=["forget", "keys", "n_words", "at", "words"])
 
         total = 0
         for batch in batches:
@@ -129,19 +174,46 @@ def _batches(pattern: str):
                 for w in found:
                     if w not in number:
                         number[w] = len(number)
+                        new.append(w)
                 keys.append(key)
                 counts.append(len(found))
                 at.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
                 total += len(found)
-                if total >= BATCH_WORDS:
+                if total >= ROW_WORDS:
                     yield row()
-                    keys, counts, at, number, total = [], [], [], {}, 0
+                    keys, counts, at, new, total, forget = [], [], [], [], 0, False
+                    if len(number) >= TASK_WORDS:
+                        number, forget = {}, True
         if keys:
             yield row()
 
     return gather
 
 
+class _Words:
+    """Ids of the words of a task, in the order in which rows bring them."""
+
+    def __init__(self):
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows(self, batches):
+        """(document keys, word counts, word numbers) of each row, once its words are known."""
+        for batch in batches:
+            for row in range(batch.num_rows):
+                forget, (keys, counts, at, ids) = batch.column(0)[row].as_py(), (batch.column(k)[row].values for k in range(1, 5))
+                if forget:
+                    self.__init__()
+                offsets = ids.offsets.to_numpy().astype(np.int64)
+                flat = ids.values.to_numpy(zero_copy_only=False)
+                self.starts = np.concatenate((self.starts, offsets[:-1] - offsets[0] + len(self.flat)))
+                self.sizes = np.concatenate((self.sizes, np.diff(offsets)))
+                self.flat = np.concatenate((self.flat, flat[offsets[0] : offsets[-1]].astype("<u4")))
+                yield keys, counts.to_numpy().astype(np.int64), at.to_numpy()
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return self.flat[_ragged(self.starts[at], self.sizes[at])]
+
+
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of runs that begin at ``starts`` and have ``sizes``, one after the other."""
     ends = np.cumsum(sizes)
@@ -153,53 +225,46 @@ def _documents(path: str):
         pieces = [b""] * (max(ranks_of(path).values()) + 1)
         for piece, rank in ranks_of(path).items():
             pieces[rank] = piece
-        for batch in batches:
-            for row in range(batch.num_rows):
-                keys, counts, at, ids = (batch.column(k)[row].values for k in range(4))
-                offsets = ids.offsets.to_numpy().astype(np.int64)
-                flat = ids.values.to_numpy().astype("<u4")
-                at, counts = at.to_numpy(), counts.to_numpy().astype(np.int64)
-                starts, sizes = offsets[:-1], np.diff(offsets)
-                word_ends = np.cumsum(counts)
-                n_ids, id_digests, text_digests = [], [], []
-                for a, b in zip(word_ends - counts, word_ends, strict=True):
-                    own = at[a:b]
-                    tokens = flat[_ragged(starts[own], sizes[own])] if len(own) else flat[:0]
-                    n_ids.append(len(tokens))
-                    id_digests.append(hashlib.sha256(tokens.tobytes()).hexdigest())
-                    text_digests.append(hashlib.sha256(b"".join([pieces[t] for t in tokens.tolist()])).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [keys.cast(pa.int64()), pa.array(n_ids, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        words = _Words()
+        for keys, counts, at in words.rows(batches):
+            ends = np.cumsum(counts)
+            n_ids, id_digests, text_digests = [], [], []
+            for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+                ids = words.ids(at[a:b])
+                n_ids.append(len(ids))
+                id_digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                text_digests.append(hashlib.sha256(b"".join([pieces[t] for t in ids.tolist()])).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [keys.cast(pa.int64()), pa.array(n_ids, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return assemble
 
 
-def batch_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One row per batch: document keys, word counts, word numbers, and the ids of each distinct word."""
-    maps = F.from_json(F.lit(_literal(path)), "array<map<string,int>>")
-    rows = docs.select("doc_id", "text").mapInArrow(_batches(pattern), BATCH_SCHEMA)
-    return rows.select("keys", "n_words", "at", let(maps, lambda m: fold_merges(F.col("words"), m)).alias("ids"))
+def word_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Rows of a task's documents as word numbers, with the ids of the words that are new to the task.
+
+    Input splits are put together up to ``TASK_BYTES`` a task, as far as all
+    cores stay busy: the more text a task has, the fewer of its words are new.
+    """
+    spark = docs.sparkSession
+    plain = docs.select("doc_id", "text")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, parts_of(plain, TASK_BYTES))
+    rows = plain.coalesce(tasks).mapInArrow(_rows(pattern, path), BATCH_SCHEMA)
+    return rows.select("forget", "keys", "n_words", "at", fold_merges(F.col("words"), spark, path).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and array ``ids`` of every document."""
 
     def rows(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                keys, counts, at, ids = (batch.column(k)[row].values for k in range(4))
-                offsets = ids.offsets.to_numpy().astype(np.int64)
-                at, counts = at.to_numpy(), counts.to_numpy().astype(np.int64)
-                sizes = np.diff(offsets)[at]
-                flat = ids.values.take(pa.array(_ragged(offsets[:-1][at], sizes)))
-                ends = np.concatenate(([0], np.cumsum(np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)] - np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts) - counts])))
-                yield pa.RecordBatch.from_arrays(
-                    [keys.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.cast(pa.int32()))], names=["doc_id", "ids"]
-                )
+        words = _Words()
+        for keys, counts, at in words.rows(batches):
+            ids = [words.ids(x) for x in np.split(at, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return batch_ids(docs, path, pattern).mapInArrow(rows, "doc_id bigint, ids array<int>")
+    return word_ids(docs, path, pattern).mapInArrow(rows, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -216,7 +281,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Token count and the digests of ids and decoded bytes of every document."""
     path = path or public_tokenizers.path(RANKS)
-    rows = batch_ids(docs, path, pattern or public_tokenizers.PATTERN)
+    rows = word_ids(docs, path, pattern or public_tokenizers.PATTERN)
     return rows.mapInArrow(_documents(path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 

@@ -46,6 +46,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def parts_of(df: DataFrame, part_bytes: int) -> int:
+    """Parts of about ``part_bytes`` in which ``df`` comes, by the size of its files; 1 if no size is known."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 if size >= 1 << 62 else max(1, -(-size // part_bytes))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

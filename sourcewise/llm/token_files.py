@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcewise.llm.common import Workspace, documents
+from sourcewise.llm.common import Workspace, documents, parts_of
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -104,8 +104,7 @@ def unpack(content: memoryview):
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None:
     """Write the id files of ``docs`` below ``folder``, in ascending doc_id order over the files' names."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    files = max(1, min(1_000_000, -(-size // FILE_BYTES)))
+    files = parts_of(docs, FILE_BYTES)
 
     def blocks(batches):
         from tokenizers import Tokenizer

@@ -33,7 +33,8 @@ def test_equals_the_library_on_a_whole_table(spark):
 
 
 def test_odd_texts_and_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "BATCH_WORDS", 50)
+    monkeypatch.setattr(byte_bpe, "ROW_WORDS", 50)
+    monkeypatch.setattr(byte_bpe, "TASK_WORDS", 70)
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(ODD)] + [(3, ODD[3], 1), (None, "x y", 1)], "doc_id long, text string, ids int")
     got = byte_bpe.digests(docs).collect()
     assert len(got) == len(ODD) + 2
