@@ -1,0 +1,17 @@
+"""Named queries over the tables and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from sourcewise.plans import evidence_queries
+from sourcewise.plans.book import ORACLE_SQL, QUERIES
+
+
+def queries() -> dict:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return ORACLE_SQL
+
+
+__all__ = ["evidence_queries", "oracle_sql", "queries"]
