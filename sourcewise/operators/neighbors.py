@@ -63,6 +63,25 @@ def _shared_items(points: DataFrame) -> DataFrame:
     return both.select("src", "dst", (1 - F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("dist"))
 
 
+def similar_pairs(points: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst, dist) of all pairs of (id, v) with Jaccard similarity from ``threshold`` on, exact.
+
+    Two sets this similar share one of their n - ceil(threshold n) + 1 rarest
+    items, so only those prefixes are joined, with sizes that can match; common
+    items never meet.  Candidates are then compared in full.
+    """
+    each = points.select("id", F.size("v").alias("n"), F.explode("v").alias("item"))
+    counts = each.groupBy("item").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("id").orderBy("k", "item")
+    prefix = each.join(counts, "item").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    a, b = prefix.select(F.col("id").alias("src"), F.col("n").alias("n_a"), "item"), prefix.select(F.col("id").alias("dst"), F.col("n").alias("n_b"), "item")
+    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (F.col("src") < F.col("dst"))
+    pairs = a.join(b, "item").where(fits).select("src", "dst").distinct()
+    full = pairs.join(points.select(F.col("id").alias("src"), F.col("v").alias("x")), "src").join(points.select(F.col("id").alias("dst"), F.col("v").alias("y")), "dst")
+    found = full.select("src", "dst", (1 - jaccard(F.col("x"), F.col("y"))).alias("dist")).where(F.col("dist") <= 1 - threshold + 1e-12)
+    return found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
+
+
 def grid_neighbors(cells: DataFrame, k: int) -> DataFrame:
     """Tie-inclusive neighbours on integer cells (id, row, col), by squared distance.
 

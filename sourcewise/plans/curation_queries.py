@@ -136,11 +136,11 @@ def reference_links(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", ref.alias("ref")).select("page_id", X.doi_text(F.col("ref")).alias("reference"), X.reference_kind(F.col("ref")).alias("kind"))
 
 
-@query("""WITH s AS (SELECT user_id AS entry, max(CASE event_id % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS level FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+@query("""WITH s AS (SELECT user_id AS entry, max(CASE event_id % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS level FROM events GROUP BY user_id)
  SELECT CASE level WHEN 3 THEN 'doi' WHEN 2 THEN 'pmid' WHEN 1 THEN 'url' ELSE 'none' END AS kind, count(*) AS n_entries FROM s GROUP BY level""")
 def source_coverage(spark, sf_dir):
     k = F.col("event_id") % 7
-    rows = read(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("entry"), F.when(k == 0, "doi").when(k == 1, "pmid").when(k == 2, "url").otherwise("text").alias("kind"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("entry"), F.when(k == 0, "doi").when(k == 1, "pmid").when(k == 2, "url").otherwise("text").alias("kind"))
     return inspect.coverage(rows)
 
 

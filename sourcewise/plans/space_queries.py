@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from sourcewise.plans.book import query
 from sourcewise.sources.bindings import RECORDS_SQL, read, records
 
 R6 = lambda c: F.round(c, 6).alias(c)
-KNN = """WITH e AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings WHERE vec_id < 250),
+KNN = """WITH e AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings),
 pairs AS (SELECT a.id AS src, b.id AS dst, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2])))) AS dist FROM e a JOIN e b ON a.id <> b.id),
 kth AS (SELECT src, max(dist) AS kth FROM (SELECT src, dist FROM pairs QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 5) GROUP BY src),
 near AS (SELECT src, dst, dist, dist < kth * (1 - 1e-9) - 1e-12 AS inside FROM pairs JOIN kth USING (src) WHERE dist <= kth * (1 + 1e-9) + 1e-12),
@@ -20,15 +22,14 @@ flat AS (SELECT id, CAST(v[1] AS DOUBLE) AS x, CAST(v[2] AS DOUBLE) AS y FROM e)
 fpairs AS (SELECT a.id AS src, b.id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM flat a JOIN flat b ON a.id <> b.id),
 fkth AS (SELECT src, max(dist) AS kth FROM (SELECT src, dist FROM fpairs QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 5) GROUP BY src),
 fnear AS (SELECT src, dst FROM fpairs JOIN fkth USING (src) WHERE dist <= kth * (1 + 1e-9) + 1e-12)"""
-CELLS = "cells AS (SELECT vec_id AS id, (vec_id * 7) // 16 % 16 AS row, (vec_id * 7) % 16 AS col, label FROM embeddings WHERE vec_id < 200)"
-ITEMS = """WITH w AS (SELECT doc_id AS id, list_distinct(string_split(lower(text), ' ')) AS v FROM documents WHERE lang = 'en' AND n_chars < 1500 AND doc_id < 400),
+CELLS = "cells AS (SELECT vec_id AS id, vec_id // 25 AS row, vec_id % 25 AS col, label FROM embeddings)"
+ITEMS = """WITH w AS (SELECT doc_id AS id, list_distinct(string_split(lower(text), ' ')) AS v, lang || source AS g FROM documents),
 each AS (SELECT id, len(v) AS n, unnest(v) AS item FROM w)"""
 SCORED = "scored AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_discount * 10 AS p, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_linestatus AS status FROM lineitem)"
 
 
 def _points(spark, sf_dir):
-    # The first 250 vectors: the query's stated table of points, as in its SQL.
-    return read(spark, sf_dir, "embeddings").where("vec_id < 250").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
 def _flat(spark, sf_dir):
@@ -36,13 +37,13 @@ def _flat(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    v = F.col("vec_id") * 7
-    return read(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), (F.floor(v / 16) % 16).alias("row"), (v % 16).alias("col"), "label")
+    v = F.col("vec_id")
+    return read(spark, sf_dir, "embeddings").select(v.alias("id"), F.floor(v / 25).alias("row"), (v % 25).alias("col"), "label")
 
 
 def _items(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("lang = 'en' and n_chars < 1500 and doc_id < 400")
-    return d.select(F.col("doc_id").alias("id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("v"))
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("v"), F.concat("lang", "source").alias("g"))
 
 
 def _scored(spark, sf_dir):
@@ -157,29 +158,31 @@ def neighbor_objective(spark, sf_dir):
 
 @query()
 def grid_assignment(spark, sf_dir):
-    points = layout.normalize(_xy(spark, sf_dir).where("id < 150"))
-    return layout.assign(points, layout.side_of(150))
+    points = layout.normalize(_xy(spark, sf_dir))
+    return layout.assign(points, layout.side_of(points.count()))
 
 
 @query()
 def inserted_cells(spark, sf_dir):
     c = _cells(spark, sf_dir)
-    wishes = c.where("label % 2 = 1").select((F.col("id") + 1000).alias("id"), F.col("id").alias("ref_id"), (F.col("id") / 200).alias("similarity")).where("id < 1040")
-    return layout.place(c.select("id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")), wishes, 16)
+    wishes = c.where("label % 2 = 1").select((-F.col("id") - 1).alias("id"), F.col("id").alias("ref_id"), (F.col("id") % 97 / 97).alias("similarity"))
+    n = c.count()
+    side = max(25, -(-n // 25), math.ceil(math.sqrt(2 * n)))
+    return layout.place(c.select("id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")), wishes, side)
 
 
 @query(ITEMS + """, both_ AS (SELECT a.id AS src, b.id AS dst, count(*) / (a.n + b.n - count(*)) AS s FROM each a JOIN each b ON a.item = b.item AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n)
- SELECT src, dst, round(1 - s, 6) AS dist FROM both_ WHERE s >= 0.3""")
+ SELECT src, dst, round(1 - s, 6) AS dist FROM both_ WHERE s >= 0.8""")
 def similarity_edges(spark, sf_dir):
-    return neighbors._shared_items(_items(spark, sf_dir)).where(F.col("dist") <= 0.7).select("src", "dst", R6("dist"))
+    return neighbors.similar_pairs(_items(spark, sf_dir), 0.8).select("src", "dst", R6("dist"))
 
 
 @query()
 def similarity_groups(spark, sf_dir):
-    return groups.butina(_items(spark, sf_dir), 0.3)
+    return groups.butina(_items(spark, sf_dir), 0.8)
 
 
-TOP = """WITH q AS (SELECT item_id AS query_id, list_distinct(string_split(lower(text), ' ')) AS v FROM benchmark), r AS (SELECT doc_id AS ref_id, list_distinct(string_split(lower(text), ' ')) AS v FROM documents WHERE lang = 'en'),
+TOP = """WITH q AS (SELECT item_id AS query_id, list_distinct(string_split(lower(text), ' ')) AS v FROM benchmark), r AS (SELECT doc_id AS ref_id, list_distinct(string_split(lower(text), ' ')) AS v FROM documents),
  qe AS (SELECT query_id, len(v) AS n, unnest(v) AS item FROM q), re AS (SELECT ref_id, len(v) AS n, unnest(v) AS item FROM r),
  s AS (SELECT query_id, ref_id, count(*) / (qe.n + re.n - count(*)) AS similarity FROM qe JOIN re USING (item) GROUP BY query_id, ref_id, qe.n, re.n),
  cut AS (SELECT query_id, min(similarity) AS cut FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ref_id) <= 5) GROUP BY query_id),
@@ -188,7 +191,7 @@ TOP = """WITH q AS (SELECT item_id AS query_id, list_distinct(string_split(lower
 
 def _top(spark, sf_dir):
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("items"))
-    r = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("ref_id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("items"))
+    r = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("items"))
     return neighbors.top_matches(q, r)
 
 
@@ -228,11 +231,11 @@ def nearest_group(spark, sf_dir):
     return insert.nearest_group(s, 0.05)
 
 
-@query(ITEMS + """, m AS (SELECT id, v, id % 12 AS g FROM w), d AS (SELECT a.g, a.id AS src, sum(CASE WHEN a.id = b.id THEN 0 ELSE 1 - len(list_intersect(a.v, b.v)) / (len(a.v) + len(b.v) - len(list_intersect(a.v, b.v))) END) AS t FROM m a JOIN m b ON a.g = b.g GROUP BY a.g, a.id)
+@query(ITEMS + """, m AS (SELECT id, v, g FROM w), d AS (SELECT a.g, a.id AS src, sum(CASE WHEN a.id = b.id THEN 0 ELSE 1 - len(list_intersect(a.v, b.v)) / (len(a.v) + len(b.v) - len(list_intersect(a.v, b.v))) END) AS t FROM m a JOIN m b ON a.g = b.g GROUP BY a.g, a.id)
  SELECT g AS "group", src AS medoid FROM d QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(t, 9), src) = 1""")
 def group_medoids(spark, sf_dir):
     w = _items(spark, sf_dir)
-    return groups.medoids(w, w.select("id", (F.col("id") % 12).alias("group")))
+    return groups.medoids(w.drop("g"), w.select("id", F.col("g").alias("group")))
 
 
 @query("""WITH m AS (SELECT l_orderkey % 40 AS g, l_orderkey AS id, unnest(['mode' || l_linenumber, 'flag' || l_returnflag, 'status' || l_linestatus || l_returnflag]) AS core FROM lineitem),
@@ -341,7 +344,7 @@ def spearman(spark, sf_dir):
     return c.agg(F.round(F.corr("a", "b"), 6).alias("rho"))
 
 
-@query("SELECT l_partkey AS entry, l_shipdate, l_orderkey, l_linenumber, round(avg(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING), 6) AS running FROM lineitem WHERE l_partkey % 10 = 0")
+@query("SELECT l_partkey AS entry, l_shipdate, l_orderkey, l_linenumber, round(avg(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING), 6) AS running FROM lineitem")
 def running_means(spark, sf_dir):
     w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_partkey").alias("entry"), "l_shipdate", "l_orderkey", "l_linenumber", F.round(F.avg("l_quantity").over(w), 6).alias("running"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entry"), "l_shipdate", "l_orderkey", "l_linenumber", F.round(F.avg("l_quantity").over(w), 6).alias("running"))
