@@ -13,11 +13,11 @@ component, so heavy counts and long documents need few points.
 
 Bands of the signature are exchanged as 64-bit keys.  Documents with the same
 words are one node, so copies never meet in a bucket.  In each bucket every node is
-compared with the bucket's least node; similarities are exact, on the full
+compared with the bucket's head, the node that meets most others; similarities are exact, on the full
 multisets.  Then, in buckets whose nodes are not all in one component, each
 node outside the bucket's main component is compared with the nodes of other
 components that the triangle inequality leaves possible: 1 - similarity is a
-metric, so two nodes whose distances to the least node differ by more than
+metric, so two nodes whose distances to the head differ by more than
 1 - threshold can't be linked.  No bucket is capped and no link between
 candidates is lost, and a bucket of n near copies costs n comparisons.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Pairs whose estimated similarity is lower are not compared; it is over 6 standard errors below the threshold.
 LEAST_ESTIMATE = 0.6
+#: Buckets of up to SMALL nodes are paired by a join, larger ones in tiles; there the estimate is cut at 4.5 standard errors.
+SMALL, TILE, LEAST_TILE_ESTIMATE = 40, 600, 0.67
 CHUNK_WORDS, CACHE_WORDS = 600_000, 400_000
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -178,12 +181,7 @@ def _similar(batches):
         a, b = batch.column(2), batch.column(3)
         out = []
         for i in range(batch.num_rows):
-            x, y = a[i].values.to_numpy().view(np.uint64), b[i].values.to_numpy().view(np.uint64)
-            u, n = np.unique(x, return_counts=True)
-            v, k = np.unique(y, return_counts=True)
-            _, p, q = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-            common = int(np.minimum(n[p], k[q]).sum())
-            out.append(common / (len(x) + len(y) - common))
+            out.append(_overlap(a[i].values.to_numpy(), b[i].values.to_numpy()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
 
@@ -208,6 +206,76 @@ def _verified(work: Workspace, pairs: DataFrame, nodes: DataFrame, stored: DataF
     return work.put(held.select("a", "b", "p", "q").mapInArrow(_similar, "a binary, b binary, similarity double"), name)
 
 
+def _small_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a node outside its bucket's main component and a node of another component."""
+    x = mixed.where("root <> main and not is_head").select("band", F.col("content").alias("a"), F.col("root").alias("root_a"), F.col("away").alias("away_a"))
+    y = mixed.where("not is_head").select("band", F.col("content").alias("b"), F.col("root").alias("root_b"), F.col("away").alias("away_b"))
+    pairs = x.join(y, "band").where((F.col("root_a") != F.col("root_b")) & ~F.coalesce(_too_far(F.col("away_a"), F.col("away_b"), threshold), F.lit(False)))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _too_far(away_a, away_b, threshold: float):
+    """Whether the distances to the head rule a link out; null where one is not known.
+
+    A node whose distance is not known had an estimate below LEAST_ESTIMATE, so
+    its distance is over 1.2 * (1 - threshold), by 5 standard errors.
+    """
+    reach = 1 - threshold
+    near_a, near_b = away_a <= 0.2 * reach, away_b <= 0.2 * reach
+    return (F.abs(away_a - away_b) > reach + 1e-9) | (away_a.isNull() & near_b) | (away_b.isNull() & near_a)
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two multisets given as sorted arrays."""
+    u, n = np.unique(x, return_counts=True)
+    v, k = np.unique(y, return_counts=True)
+    _, p, q = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    common = int(np.minimum(n[p], k[q]).sum())
+    return common / (len(x) + len(y) - common)
+
+
+def _large_links(work: Workspace, mixed: DataFrame, nodes: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the links between different components in large buckets.
+
+    Buckets of one head are taken together, so a group of near copies that
+    meets in many bands is compared once.  It is dealt out in tiles of about
+    ``TILE`` x ``TILE`` nodes, so none is gathered in one task.  A tile rules
+    pairs out by signatures and by distances to the head, then compares the
+    multisets, and writes links only.
+    """
+    each = mixed.select("head", "content", "root", "away").distinct()
+    parts = each.groupBy("head", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("head").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("k"))
+    each = work.put(each.join(main, "head"), "large")
+    keys = nodes.join(each.select("content").distinct(), "content", "left_semi").select("content", "row_key")
+    texts = stored.select("row_key", "text").join(keys, "row_key").select("content", "text")
+    bags = work.put(texts.mapInArrow(_bags, "content binary, bag array<bigint>"), "large-bags")
+    held = each.join(nodes.select("content", "sketch"), "content").join(bags, "content").withColumn("tiles", F.ceil(F.col("k") / TILE).cast("int"))
+    own = F.pmod(F.xxhash64("content"), F.col("tiles")).cast("int")
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    columns = ["head", "tx", "ty", "content", "root", "away", "sketch", "bag"]
+    x = held.where("root <> main").select("*", own.alias("tx"), F.explode(every).alias("ty")).select(columns)
+    y = held.select("*", own.alias("ty"), F.explode(every).alias("tx")).select(*(F.col(c).alias(c) for c in columns))
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            sketch = np.frombuffer(b"".join(b["sketch"]), "<u2").reshape(len(b), -1)
+            root, away, content, bag = b["root"].to_numpy(), b["away"].to_numpy(float), b["content"].to_numpy(), b["bag"].to_numpy()
+            for row in a.itertuples():
+                alike = (sketch == np.frombuffer(row.sketch, "<u2")).mean(axis=1) >= LEAST_TILE_ESTIMATE
+                if alike.any() and row.away is not None:
+                    with np.errstate(invalid="ignore"):
+                        alike &= ~(np.abs(away - row.away) > 1 - threshold + 1e-9)
+                for i in np.flatnonzero(alike).tolist():
+                    if root[i] != row.root and (s := _overlap(row.bag, bag[i])) >= threshold:
+                        out.append((*sorted((row.content, content[i])), s))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"similarity": "float64"})
+
+    keys = ["head", "tx", "ty"]
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(tile, "a binary, b binary, similarity double").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """The stored rows of ``docs`` as (row_key, row) and their classes as
     (row_key, doc_id, class_id, class_size, n_links, first)."""
@@ -220,8 +288,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     nodes = signed.join(heads.select("row_key"), "row_key", "left_semi")
     nodes = work.put(nodes, "nodes")
     placed = nodes.select("content", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = work.put(placed.join(buckets, "band").select("band", "content", "head"), "members")
+    sizes = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = work.put(placed.join(sizes, "band"), "shared")
+    # A bucket's head is the node that meets most others, as the text that copies were edited from does.
+    degree = shared.groupBy("content").agg(F.sum("k").alias("degree"))
+    heads_of = shared.join(degree, "content").groupBy("band").agg(F.max_by("content", F.struct("degree", "content")).alias("head"))
+    members = work.put(shared.join(heads_of, "band"), "members")
 
     star = members.where("content <> head").select(F.col("content").alias("a"), F.col("head").alias("b")).distinct()
     tested = _verified(work, star, nodes, plain, "star")
@@ -232,21 +304,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     far = tested.select(F.col("a").alias("content"), F.col("b").alias("head"), (1 - F.col("similarity")).alias("away"))
     rooted = members.join(roots.select(F.col("node").alias("content"), "root"), "content", "left").join(far, ["content", "head"], "left")
     rooted = rooted.select(
-        "band", "content", F.coalesce("root", "content").alias("root"),
+        "band", "k", "head", "content", F.coalesce("root", "content").alias("root"),
         F.when(F.col("content") == F.col("head"), 0.0).otherwise(F.col("away")).alias("away"), (F.col("content") == F.col("head")).alias("is_head"),
     )
-    sizes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = work.put(rooted.join(main, "band"), "mixed")
-    x = mixed.where("root <> main and not is_head").select("band", F.col("content").alias("a"), F.col("root").alias("root_a"), F.col("away").alias("away_a"))
-    y = mixed.where("not is_head").select("band", F.col("content").alias("b"), F.col("root").alias("root_b"), F.col("away").alias("away_b"))
-    # A node whose distance is not known had an estimate below LEAST_ESTIMATE, so its distance is over 1.2 * (1 - threshold), by 5 standard errors.
-    possible = F.coalesce(F.abs(F.col("away_a") - F.col("away_b")) <= 1 - threshold + 1e-9, F.lit(True))
-    unknown = (F.col("away_a").isNull() & (F.col("away_b") <= 0.2 * (1 - threshold))) | (F.col("away_b").isNull() & (F.col("away_a") <= 0.2 * (1 - threshold)))
-    cross = x.join(y, "band").where((F.col("root_a") != F.col("root_b")) & possible & ~F.coalesce(unknown, F.lit(False)))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(work, work.put(cross, "cross"), nodes, plain, "more")
-    every = links.unionByName(more.where(F.col("similarity") >= threshold)).select("a", "b")
+    small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
+    cross = work.put(_small_pairs(small, threshold).distinct(), "cross")
+    more = _verified(work, cross, nodes, plain, "more").where(F.col("similarity") >= threshold)
+    more = more.unionByName(work.put(_large_links(work, large, nodes, plain, threshold), "large-links"))
+    every = work.put(links.unionByName(more).select("a", "b").distinct(), "links")
     final = components(work, every, "components")
 
     ends = every.select(F.explode(F.array("a", "b")).alias("content")).groupBy("content").agg(F.count(F.lit(1)).alias("n_links"))
