@@ -41,6 +41,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Bytes of input for each file, tokens after which a block ends, words that a worker remembers, keys in an index bucket.
 FILE_BYTES, BLOCK_TOKENS, CACHE_WORDS, BUCKET_KEYS = 16 << 20, 4_000_000, 400_000, 20_000
+#: New words are encoded this many at a time, joined by spaces and told apart by offsets; not so those with characters from
+#: the first combining mark on, which normalisation may move.
+JOINED, FIRST_MARK = 256, "\u0300"
 #: Block header: magic, bytes of an id, documents, ids.
 HEADER = struct.Struct("<4sIQQ")
 MAGIC = b"TIDS"
@@ -68,10 +71,16 @@ def _encoder(path: str):
         if len(known) > CACHE_WORDS:
             known.clear()
         new = [w for w in set().union(*split) if w not in known]
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        plain = [w for w in new if w and max(w) < FIRST_MARK]
+        parts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for part, e in zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            begins = np.cumsum([0] + [len(w) + 1 for w in part])
+            raw, offsets = np.array(e.ids, "<u4").tobytes(), np.array([a for a, _ in e.offsets], np.int64)
+            at = (4 * np.searchsorted(offsets, begins)).tolist()
+            known.update(zip(part, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        odd = [w for w in new if not w or max(w) >= FIRST_MARK]
+        for w, e in zip(odd, tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     return encode
