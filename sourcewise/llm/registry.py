@@ -16,4 +16,6 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_licenses": licenses.op10_licenses,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_decontaminate": decontaminate.OP6_SQL,
+}
