@@ -1,12 +1,13 @@
 """Tie-inclusive nearest neighbours and the fidelity of one space against another.
 
-The left side of a kNN join is repartitioned by blocks; the right side is held
-by each task only if its size is within ``BROADCAST_ROWS``, else it is walked in
-blocks of that size whose k best are merged by a second aggregate.
+What a kNN task holds of the right side is a block of at most ``BROADCAST_ROWS``
+rows; larger tables are walked in such blocks, whose k best are merged.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +42,53 @@ def shell(pairs: DataFrame, k: int, relative: float = 1e-9, absolute: float = 1e
 
 
 def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    """Tie-inclusive kNN self-join of (id, v); v is a vector, or for jaccard an array of distinct items."""
-    a, b = points.select(F.col("id").alias("src"), F.col("v").alias("a")), points.select(F.col("id").alias("dst"), F.col("v").alias("b"))
+    """Tie-inclusive kNN self-join of (id, v); v is a vector, or for jaccard an array of distinct items.
+
+    Vectors are compared as matrices: each task streams its rows against one
+    block of at most ``BROADCAST_ROWS`` rows and hands on the shell only, so
+    pairs never become rows; the shells of several blocks are merged.
+    """
     if metric == "jaccard":
         return shell(_shared_items(points), k)
-    n = points.count()
+    own = points.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    n = own.count()
     blocks = -(-n // BROADCAST_ROWS) if n else 1
     best = None
     for i in range(blocks):
-        part = b if blocks == 1 else b.where(F.pmod(F.xxhash64("dst"), F.lit(blocks)) == i)
-        pairs = a.join(F.broadcast(part), F.col("src") != F.col("dst")).select("src", "dst", F.sqrt(squared_distance(F.col("a"), F.col("b"))).alias("dist"))
-        best = pairs if best is None else shell(best.unionByName(pairs), k).select("src", "dst", "dist")
+        part = (own if blocks == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)).toPandas()
+        near = own.mapInPandas(_near(part["id"].to_numpy(), np.stack(part["v"].to_numpy()) if len(part) else None, k), "src bigint, dst bigint, dist double")
+        best = near if best is None else best.unionByName(near)
     return shell(best, k)
 
 
+def _near(ids: np.ndarray, block: np.ndarray | None, k: int):
+    def run(frames):
+        for frame in frames:
+            out = []
+            if block is not None and len(frame):
+                rows = np.stack(frame["v"].to_numpy())
+                rough = (rows * rows).sum(1)[:, None] + (block * block).sum(1)[None, :] - 2 * rows @ block.T
+                slack = 1e-9 * ((rows * rows).sum(1) + (block * block).sum(1).max() + 1)
+                for i, own in enumerate(frame["id"].tolist()):
+                    d = np.where(ids == own, np.inf, rough[i])
+                    m = min(k, int(np.isfinite(d).sum()))
+                    if not m:
+                        continue
+                    at = np.flatnonzero(d <= np.partition(d, m - 1)[m - 1] + slack[i])
+                    exact = np.sqrt(((block[at] - rows[i]) ** 2).sum(1))
+                    keep = exact <= np.partition(exact, m - 1)[m - 1] * (1 + 1e-9) + 1e-12
+                    out.append((own, ids[at[keep]], exact[keep]))
+            yield pd.DataFrame(
+                {
+                    "src": np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out]),
+                    "dst": np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.int64),
+                    "dist": np.concatenate([x[2] for x in out]) if out else np.zeros(0),
+                }
+            )
+
+    return run
+
+
 def _shared_items(points: DataFrame) -> DataFrame:
     """Jaccard distances of all pairs that share an item, by a join on items (others are at distance 1)."""
     each = points.select("id", F.size("v").alias("n"), F.explode("v").alias("item"))
