@@ -25,6 +25,7 @@ input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
@@ -48,6 +49,9 @@ JOINED, FIRST_MARK = 256, "\u0300"
 HEADER = struct.Struct("<4sIQQ")
 MAGIC = b"TIDS"
 
+#: A stop or comma after a letter at the end of a word: the tokenizer splits before it, so the word may be looked up without it.
+_STOP = re.compile(r"(?<=[A-Za-z])([.,])(?= |$)")
+
 _tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
 
 
@@ -67,7 +71,7 @@ def _encoder(path: str):
     tokenizer, known = _tokenizers[path]
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [_STOP.sub(r" \1", (t or "").replace("\n", " ")).split(" ") for t in texts]
         if len(known) > CACHE_WORDS:
             known.clear()
         new = [w for w in set().union(*split) if w not in known]

@@ -40,7 +40,7 @@ def test_words_between_spaces_encode_alone():
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
     encode = t._encoder(PATH)
-    for text in ["a 's b", "don 't", "x ́y", "ǅ ﬁ ſ K", "a\x0b\x0cb 　 c"]:
+    for text in ["a 's b", "don 't", "x ́y", "ǅ ﬁ ſ K", "a\x0b\x0cb 　 c", "One, two. three., four.' five!. 6. é. a.", "end."]:
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
