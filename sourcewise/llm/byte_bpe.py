@@ -38,7 +38,7 @@ from sourcewise.llm.common import documents, let, parts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words after which a row ends, distinct words after which a task forgets them, input bytes that one task takes.
-ROW_WORDS, TASK_WORDS, TASK_BYTES = 1_000_000, 1_500_000, 128 << 20
+ROW_WORDS, TASK_WORDS, TASK_BYTES = 500_000, 500_000, 128 << 20
 #: Slots (primes) of the two arrays of the rank map; the rank of a pair that has none.
 SLOTS, NONE = (131_101, 149_993), 1 << 20
 
@@ -96,8 +96,15 @@ def _literal(spark: SparkSession, values: list[int]) -> Column:
 
 
 def fold_merges(words: Column, spark: SparkSession, path: str) -> Column:
-    """Token ids of each word; a word is the array of its bytes' ids."""
-    first, second = (_literal(spark, x) for x in rank_arrays(path))
+    """Token ids of each word; a word is the array of its bytes' ids.
+
+    The literal stands in the plan once, as plans are also written as text.
+    """
+    return let(F.array(*(_literal(spark, x) for x in rank_arrays(path))), lambda tables: _fold(words, tables))
+
+
+def _fold(words: Column, tables: Column) -> Column:
+    first, second = tables[0], tables[1]
 
     def rank(left: Column, right: Column) -> Column:
         pair = left * 65_536 + right
