@@ -2,22 +2,30 @@
 
 A gear hash rolls over the UTF-8 bytes of each text: the hash of a position is
 the sum of table values of the last 32 bytes, each shifted by its distance, so
-it depends on those bytes alone.  A chunk ends where the low bits vanish, not
-before ``LEAST`` and not after ``MOST`` bytes, and never inside a character.  An
-insertion moves the cuts near it only.
+it depends on those bytes alone.  A chunk ends at the least hash from
+``LEAST`` to ``LEAST + SPAN`` bytes on, the first of equals, and never inside a
+character.  An insertion moves the cuts near it only, and text that repeats a few
+words is cut at the same phase wherever it stands.
 
 Chunks are deduplicated by a 64-bit digest: one aggregate per digest gives the
 number of occurrences and the first place (least doc_id, then position), and is
 joined back to the occurrences.  Both sides leave their tasks as small rows, and
-a chunk that holds a third of all rows is one partial row per task.  Neighbouring
-repeated chunks form runs; runs of at least ``RUN`` code points are reported, so
-short common phrases and chance digests are left alone.  A passage of over 50
-words holds several whole chunks wherever it stands.
+a chunk that holds a third of all rows is one partial row per task.  Where a
+repeated chunk has a neighbour that isn't repeated, its text is compared with the
+text beside the first occurrence, to the first difference: the characters that
+agree belong to the run.  ``BEFORE`` and ``AFTER`` characters travel with each
+such chunk; where all of them agree, the two whole texts are compared.  The first
+occurrence is extended as far as any copy whose run ends at that chunk agrees.
+
+Neighbouring repeated chunks, so extended, form runs; runs of at least ``RUN``
+code points, and runs over a whole text, are reported, so short common phrases
+and chance digests are left alone.  51 words have over 100 code points.  A copied
+passage is missed only if its two copies share no chunk.
 
 Defined results.  Null and empty texts have no chunks and no runs.  Every row
-counts as a document: an exact copy is one run over the whole text.  Rows with
-null doc_id come last in the order.  Other columns are carried or ignored
-whatever their names.
+counts as a document: an exact copy is one run over the whole text, however short.
+Rows with null doc_id come last in the order.  Other columns are carried or
+ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +39,12 @@ from pyspark.sql import functions as F
 from sourcewise.llm.common import Workspace, documents, let
 
 LEAST, BITS, MOST, RUN = 16, 4, 96, 100
+SPAN, BEFORE, AFTER = 32, 192, 64
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**32, 256, np.uint32)
 _PAD = 32
-CHUNKED = "row_key bigint, doc_id bigint, n_chars bigint, ends array<int>, digests array<bigint>"
+CHUNKED = "row_key bigint, doc_id bigint, n_chars bigint, ends array<int>, digests array<bigint>, text string"
+EDGES = "digest bigint, row_key bigint, i int, first boolean, start int, end int, room_before int, room_after int, before string, after string"
+REACH = "row_key bigint, i int, first_key bigint, first_i int, l int, r int, start int, end int, first_start int, first_end int, room_before int, room_after int, open boolean"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -45,16 +56,25 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut(data: np.ndarray, candidates: np.ndarray) -> list[int]:
-    """Ends of the chunks of one text, in bytes; candidates are sorted positions after which it may be cut."""
+def cut(data: np.ndarray, candidates: np.ndarray, rank: np.ndarray | None = None) -> list[int]:
+    """Ends of the chunks of one text, in bytes; candidates are the sorted positions after which the hash is low."""
     n, at, ends = len(data), 0, []
+    rank = gear(data) if rank is None else rank
     starts_char = (data & 0xC0) != 0x80
-    wanted = candidates.tolist()
+    wanted, ranks = candidates.tolist(), rank[candidates - 1].tolist()
     i = 0
     while n - at > LEAST:
         while i < len(wanted) and wanted[i] < at + LEAST:
             i += 1
-        end = min(wanted[i] if i < len(wanted) else n, at + MOST, n)
+        last, best, k = at + LEAST + SPAN, -1, i
+        while k < len(wanted) and wanted[k] <= last:
+            if best < 0 or ranks[k] < ranks[best]:
+                best = k
+            k += 1
+        if best >= 0:
+            end = wanted[best]
+        else:
+            end = n if last > n else at + LEAST + int(rank[at + LEAST - 1 : last].argmin())
         while end < n and not starts_char[end]:
             end += 1
         ends.append(end)
@@ -71,14 +91,15 @@ def _chunks(batches):
             part = batch.slice(i, 300)
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()]
             sizes = np.array([len(x) for x in raw], np.int64)
-            every = np.frombuffer(b"".join(x + bytes(_PAD) for x in raw), np.uint8)
-            hot = np.flatnonzero((gear(every) & mask) == 0) + 1
-            starts = np.cumsum(sizes + _PAD) - sizes - _PAD
+            every = np.frombuffer(b"".join(bytes(_PAD) + x for x in raw), np.uint8)
+            rank = gear(every)
+            hot = np.flatnonzero((rank & mask) == 0) + 1
+            starts = np.cumsum(sizes + _PAD) - sizes
             first, last = np.searchsorted(hot, starts, "right"), np.searchsorted(hot, starts + sizes, "right")
             chars, all_ends, digests = [], [], []
             for k, x in enumerate(raw):
                 data = every[starts[k] : starts[k] + sizes[k]]
-                ends = cut(data, hot[first[k] : last[k]] - starts[k])
+                ends = cut(data, hot[first[k] : last[k]] - starts[k], rank[starts[k] : starts[k] + sizes[k]])
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 chars.append(int(points[-1]))
                 all_ends.append(points[ends].astype(np.int32))
@@ -90,31 +111,110 @@ def _chunks(batches):
                     part.column(0), part.column(1).cast(pa.int64()), pa.array(chars, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(all_ends), pa.int32())),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
+                    part.column(2).cast(pa.string()),
                 ],
-                names=["row_key", "doc_id", "n_chars", "ends", "digests"],
+                names=["row_key", "doc_id", "n_chars", "ends", "digests", "text"],
             )
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (row_key, doc_id, text): its chunks' ends in code points and digests."""
+    """One row per row of ``docs`` (row_key, doc_id, text): its chunks' ends in code points, digests and its text."""
     return docs.select("row_key", "doc_id", "text").mapInArrow(_chunks, CHUNKED)
 
 
-def _runs(chunks: Column) -> Column:
-    """Neighbouring chunks (i, start, end) joined to spans of at least RUN code points."""
+def _same(a: str, b: str) -> int:
+    """How many characters agree from the start."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle)
+    return low
+
+
+def _table(rows: list[tuple], like: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [x.split() for x in like.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _edges(batches):
+    """Repeated chunks beside text that isn't repeated, and all first occurrences, with the text around them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 300):
+            rows = []
+            for key, ends, digests, text, marks in zip(*(c.to_pylist() for c in batch.slice(at, 300).columns), strict=True):
+                places = [(ends[m["i"] - 1] if m["i"] else 0, ends[m["i"]]) for m in marks]
+                for k, (m, (start, end)) in enumerate(zip(marks, places, strict=True)):
+                    before = start - (places[k - 1][1] if k else 0)
+                    after = (places[k + 1][0] if k + 1 < len(places) else len(text)) - end
+                    if m["first"]:
+                        sides = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
+                    elif before or after:
+                        sides = text[start - min(before, BEFORE) : start], text[end : end + min(after, AFTER)]
+                    else:
+                        continue
+                    rows.append((digests[m["i"]], key, m["i"], m["first"], start, end, before, after, *sides))
+            yield _table(rows, EDGES)
+
+
+def _reach(batches):
+    """How far the text beside a repeated chunk agrees with that beside its first occurrence; open where more could."""
+    for batch in batches:
+        rows = []
+        for *place, before, after, first_before, first_after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            l, r = _same(before[::-1], first_before[::-1]), _same(after, first_after)  # noqa: E741
+            more = l == BEFORE < place[-2] or r == AFTER < place[-1]
+            rows.append((*place[:4], l, r, *place[4:], more))
+        yield _table(rows, REACH)
+
+
+def _far_reach(batches):
+    """The same for whole texts, a pair at a time."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            *place, text, first = (c[at].as_py() for c in batch.columns)
+            start, end, first_start, first_end, before, after = place[4:]
+            l = _same(text[start - before : start][::-1], first[:first_start][::-1])  # noqa: E741
+            yield _table([(*place[:4], l, _same(text[end : end + after], first[first_end:]), *place[4:], False)], REACH)
+
+
+def extended(work: Workspace, table: DataFrame, marks: DataFrame) -> DataFrame:
+    """(at_key, reach): by row, how far its repeated chunks (i) go on to the left (l) and right (r)."""
+    met = table.join(marks, F.col("row_key") == F.col("at_key"))
+    edges = work.put(met.select("row_key", "ends", "digests", "text", "marks").mapInArrow(_edges, EDGES), "edges")
+    firsts = edges.where("first").select("digest", *(F.col(c).alias(f"first_{c}") for c in ("row_key", "i", "start", "end", "before", "after")))
+    place = ["row_key", "i", F.col("first_row_key").alias("first_key"), "first_i", "start", "end", "first_start", "first_end", "room_before", "room_after"]
+    pairs = edges.where("not first").join(firsts, "digest").select(*place, "before", "after", "first_before", "first_after")
+    near = work.put(pairs.mapInArrow(_reach, REACH), "near")
+    work.drop("edges")
+    rest = near.where("open").drop("l", "r", "open")
+    texts = table.select(F.col("row_key").alias("text_key"), "text")
+    both = rest.join(texts, F.col("row_key") == F.col("text_key")).drop("text_key").join(texts.withColumnRenamed("text", "first_text"), F.col("first_key") == F.col("text_key")).drop("text_key")
+    reach = work.put(near.where("not open").unionByName(both.mapInArrow(_far_reach, REACH)), "reach")
+    work.drop("near")
+    first = reach.groupBy("first_key", "first_i").agg(F.max("l").alias("l"), F.max("r").alias("r")).toDF("at_key", "i", "l", "r")
+    every = reach.select(F.col("row_key").alias("at_key"), "i", "l", "r").unionByName(first).where("l > 0 or r > 0")
+    return every.groupBy("at_key").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("l", "r")))).alias("reach"))
+
+
+def _runs(chunks: Column, size: Column) -> Column:
+    """Chunks (start, end) that meet, joined to spans of at least RUN code points or over the whole text."""
     spans = "array<struct<start:int,end:int>>"
 
     def step(acc: Column, c: Column) -> Column:
         now = acc["now"]
-        joined = F.struct(now["start"].alias("start"), c["end"].alias("end"))
+        joined = F.struct(now["start"].alias("start"), F.greatest(now["end"], c["end"]).alias("end"))
         fresh = F.struct(c["start"].alias("start"), c["end"].alias("end"))
-        return F.when(now["end"] == c["start"], F.struct(acc["done"].alias("done"), joined.alias("now"))).otherwise(
+        return F.when(now["end"] >= c["start"], F.struct(acc["done"].alias("done"), joined.alias("now"))).otherwise(
             F.struct(_closed(acc).alias("done"), fresh.alias("now"))
         )
 
     def _closed(acc: Column) -> Column:
         now = acc["now"]
-        return F.when(now["end"] - now["start"] >= RUN, F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
+        return F.when((now["end"] - now["start"] >= RUN) | ((now["start"] == 0) & (now["end"] == size)), F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
 
     zero = F.struct(F.array().cast(spans).alias("done"), F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")).alias("now"))
     return F.aggregate(chunks, zero, step, _closed)
@@ -135,17 +235,30 @@ def repeats(work: Workspace, keyed: DataFrame) -> DataFrame:
     repeated = work.put(repeated.select("digest", F.col("first.row_key").alias("first_key"), F.col("first.i").alias("first_i")), "repeated")
     again = each.select("row_key", "i", "digest").join(repeated, "digest")
     again = again.select("row_key", F.struct("i", ((F.col("first_key") == F.col("row_key")) & (F.col("first_i") == F.col("i"))).alias("first")).alias("x"))
-    marks = again.groupBy(F.col("row_key").alias("at_key")).agg(F.array_sort(F.collect_list("x")).alias("marks"))
+    marks = work.put(again.groupBy(F.col("row_key").alias("at_key")).agg(F.array_sort(F.collect_list("x")).alias("marks")), "marks")
     none = F.array().cast("array<struct<i:int,first:boolean>>")
-    whole = table.join(marks, F.col("row_key") == F.col("at_key"), "left").withColumn("marks", F.coalesce("marks", none))
-
-    def placed(marks: Column) -> Column:
-        return F.transform(marks, lambda x: F.struct(F.when(x["i"] == 0, 0).otherwise(F.get("ends", x["i"] - 1)).alias("start"), F.get("ends", x["i"]).alias("end")))
-
+    marked = marks.join(extended(work, table, marks), "at_key", "left")
+    whole = table.drop("text").join(marked, F.col("row_key") == F.col("at_key"), "left").withColumn("marks", F.coalesce("marks", none))
+
+    def start(m: Column) -> Column:
+        return F.when(m["i"] == 0, 0).otherwise(F.get("ends", m["i"] - 1))
+
+    def placed(m: Column, k: Column) -> Column:
+        more = F.try_element_at("reach", m["i"])
+        least = F.when(k == 0, 0).otherwise(F.get("ends", F.get("marks", k - 1)["i"]))
+        most = F.coalesce(start(F.get("marks", k + 1)), F.col("n_chars").cast("int"))
+        end = F.get("ends", m["i"])
+        return F.struct(
+            F.greatest(start(m) - F.coalesce(more["l"], F.lit(0)), least).alias("start"),
+            F.least(end + F.coalesce(more["r"], F.lit(0)), most).alias("end"), m["first"].alias("first"),
+        )
+
+    size = F.col("n_chars").cast("int")
+    whole = whole.withColumn("placed", F.transform("marks", placed))
     return whole.select(
         "row_key", "doc_id", "n_chars", F.size("digests").cast("bigint").alias("n_chunks"), F.size("marks").cast("bigint").alias("n_shared"),
-        let(placed(F.col("marks")), _runs).alias("shared"),
-        let(placed(F.filter("marks", lambda x: ~x["first"])), _runs).alias("removed"),
+        let(F.col("placed"), lambda c: _runs(c, size)).alias("shared"),
+        let(F.filter("placed", lambda x: ~x["first"]), lambda c: _runs(c, size)).alias("removed"),
     )
 
 

@@ -65,3 +65,38 @@ def test_insertions_move_few_cuts():
         ends = sd.cut(raw, np.flatnonzero(sd.gear(raw) >> np.uint32(28) == 0) + 1)
         pieces.append({raw.tobytes()[a:b] for a, b in zip([0, *ends], ends, strict=False)})
     assert len(pieces[0] - pieces[1]) <= 8
+
+
+def test_short_copies_and_whole_passages_are_found(spark):
+    """Exact copies under RUN are found, a passage is covered to its last character, periodic ones too."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghéß", k=rng.randint(2, 9))) for _ in range(n))
+    passages = [words(51) for _ in range(80)] + [" ".join([words(1)] * 51) for _ in range(40)] + [words(51) + " " + words(1) * 300]
+    rows, holds = [], {}
+    for k, p in enumerate(passages):
+        for c in range(2):
+            key, head = 10 * k + c, words(rng.randint(1, 150))
+            rows.append((key, f"{head} {c}{p}{c} {words(rng.randint(1, 150))}", 0, 0))
+            holds[key] = (len(head) + 2, len(head) + 2 + len(p))
+    rows += [(5000, "a short text", 0, 0), (5001, "a short text", 0, 0), (5002, "another", 0, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = {r.doc_id: r for r in sd.repeats(sd.Workspace(spark, "test"), docs.withColumn("row_key", sd.F.monotonically_increasing_id())).collect()}
+    covered = lambda spans, a, b: sum(max(0, min(s.end, b) - max(s.start, a)) for s in spans) / (b - a)
+    for key, (a, b) in holds.items():
+        if key < 800:
+            assert [tuple(s) for s in found[key].shared] == [(a, b)]
+            assert [tuple(s) for s in found[key].removed] == [(a, b)][: key % 10]
+        else:
+            assert covered(found[key].shared, a, b) > 0.9
+    assert [tuple(s) for k in (5000, 5001, 5002) for s in found[k].shared] == [(0, 12)] * 2
+    assert [tuple(s) for k in (5000, 5001, 5002) for s in found[k].removed] == [(0, 12)]
+
+
+def test_agreement_past_the_carried_text_is_read_from_whole_texts():
+    place = [1, 3, 0, 2, 500, 530, 400, 430, 500, 300]
+    texts = "x" + "a" * 499 + "c" * 30 + "b" * 299 + "y", "z" + "a" * 399 + "c" * 30 + "b" * 299 + "w"
+    near = [*place, "a" * sd.BEFORE, "b" * sd.AFTER, "a" * sd.BEFORE, "b" * sd.AFTER]
+    as_batch = lambda row: sd.pa.RecordBatch.from_arrays([sd.pa.array([x]) for x in row], names=[str(k) for k in range(len(row))])
+    assert next(sd._reach(iter([as_batch(near)]))).column("open").to_pylist() == [True]
+    far = next(sd._far_reach(iter([as_batch([*place, *texts])]))).to_pylist()[0]
+    assert (far["l"], far["r"], far["open"]) == (399, 299, False)
