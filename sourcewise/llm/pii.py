@@ -2,14 +2,19 @@
 
 Base spans come from four regular expressions and their checks.  They are the
 seeds, with long hexadecimal keys as a fifth kind, ``secret``.  Every token
-that holds a digit is a candidate instance; its lexical pattern is the two
-tokens before it (lower case, digits as 0) and its shape (digit runs, mixed
-runs, punctuation, length).  Patterns and instances form a bipartite graph.
+that holds a digit or an @ is a candidate instance.  It has three lexical
+patterns: the two tokens before it (lower case, digits as 0, no + or ( at the end) and its shape (digit
+runs, mixed runs, punctuation) with its length, the same without the length and
+with joined mixed runs as one, and the token before, that shape and the token
+after.  Patterns and instances form a
+bipartite graph.
 Each round a pattern's confidence is the mean confidence of its distinct
 instances, and an instance's is 1 - prod(1 - confidence) over its accepted
 patterns; seeds stay at 1.  Patterns need ``MIN_SUPPORT`` instances' worth of
 evidence and ``MIN_CONFIDENCE``.  Instances that reach ``MIN_CONFIDENCE`` by
-accepted patterns, and don't overlap a base span, are added as spans.
+accepted patterns, and don't overlap a base span, are added as spans.  A token
+that is a whole base span somewhere (a phone's + aside) is added wherever else it
+stands outside base spans, with confidence 1.
 
 Only built-in expressions run.  Candidates leave each document as small rows;
 counts are aggregated before they are shuffled, so a pattern or value that
@@ -38,8 +43,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: A token with a digit: letters, digits and inner punctuation.
-CANDIDATE = r"(?:\G|(?<![A-Za-z0-9]))(?=[A-Za-z]*+[^\s0-9]*+[0-9])[A-Za-z0-9]++(?:[._@%+:/-]++[A-Za-z0-9]++)*+"
+#: A token with a digit or an @: letters, digits and inner punctuation.
+CANDIDATE = r"(?:\G|(?<![A-Za-z0-9]))(?=[^\s0-9@]*+[0-9@])[A-Za-z0-9]++(?:[._@%+:/-]++[A-Za-z0-9]++)*+"
 SECRET = "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,64}$"
 KINDS = ("email", "ip", "card", "phone", "secret")
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, MIN_CHARS = 3, 0.8, 3.0, 6
@@ -122,18 +127,36 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def candidates(text: Column) -> Column:
-    """Tokens with a digit: span, value, pattern (two tokens before and the shape)."""
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,pattern:string>>")
+    """Tokens with a digit or an @: span, value and patterns."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,patterns:array<string>>>")
 
-    def one(s: Column) -> Column:
-        before = F.lower(F.regexp_replace(F.trim(F.substring(s["gap"], -48, 48)), "[0-9]", "0"))
-        context = F.array_join(F.slice(F.concat(F.array(F.lit(""), F.lit("")), F.split(before, r"\s+")), -2, 2), " ")
-        shape = F.regexp_replace(F.regexp_replace(s["value"], "(?<![A-Za-z0-9])[0-9]+(?![A-Za-z0-9])", "9"), "[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*", "x")
-        pattern = F.concat_ws("\x1f", context, shape, F.length(s["value"]).cast("string"))
-        return F.struct(s["start"], s["end"], s["value"], pattern.alias("pattern"))
+    def plain(x: Column) -> Column:
+        return F.lower(F.regexp_replace(F.trim(x), "[0-9]", "0"))
 
-    long = F.filter(_located(text, CANDIDATE), lambda s: F.length(s["value"]) >= MIN_CHARS)
-    return F.when(text.rlike("[0-9]"), F.transform(long, one)).otherwise(none)
+    def of(located: Column) -> Column:
+        tail = F.substring(text, (F.element_at(located, -1)["end"] + 1).cast("int"), F.lit(48))
+
+        def one(s: Column, i: Column) -> Column:
+            words = F.slice(F.concat(F.array(F.lit(""), F.lit("")), F.split(plain(F.regexp_replace(F.substring(s["gap"], -48, 48), r"[\s+(]+$", "")), r"\s+")), -2, 2)
+            after = F.when(i + 1 < F.size(located), F.substring(F.get(located, i + 1)["gap"], 1, 48)).otherwise(tail)
+            after = F.element_at(F.split(plain(after), r"\s+"), 1)
+            shape = F.regexp_replace(F.regexp_replace(s["value"], "(?<![A-Za-z0-9])[0-9]+(?![A-Za-z0-9])", "9"), "[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*", "x")
+
+            def patterns(w: Column) -> Column:
+                context = F.array_join(w, " ")
+                coarse = F.regexp_replace(shape, "x(?:[._-]++x)++", "x")
+                length = F.length(s["value"]).cast("string")
+                return F.array(
+                    F.concat_ws("\x1f", context, shape, length),
+                    F.concat_ws("\x1f", context, coarse),
+                    F.concat_ws("\x1f", F.lit("around"), F.get(w, 1), coarse, after),
+                )
+
+            return F.struct(s["start"], s["end"], s["value"], let(words, patterns).alias("patterns"))
+
+        return F.when(F.size(located) == 0, none).otherwise(F.filter(F.transform(located, one), lambda s: F.length(s["value"]) >= MIN_CHARS))
+
+    return F.when(text.rlike("[0-9@]"), let(_located(text, CANDIDATE), of)).otherwise(none)
 
 
 def scan(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -148,10 +171,13 @@ def scan(docs: DataFrame, carried: list[str]) -> DataFrame:
     def seeded(c: Column) -> Column:
         kind = F.lit(None).cast("string")
         kind = F.when(c["value"].rlike(SECRET), F.lit("secret")).otherwise(kind)
+        sure = F.lit(False)
         for k in ("phone", "card", "ip", "email"):
             over = F.exists(F.col(k), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
             kind = F.when(over, F.lit(k)).otherwise(kind)
-        return c.withField("seed", kind)
+            same = F.exists(F.col(k), lambda s: (c["start"] - s["start"]).between(0, int(k == "phone")) & (s["end"] == c["end"]))
+            sure = F.when(over, same).otherwise(sure)
+        return c.withField("seed", kind).withField("sure", sure)
 
     return found.withColumn("found", F.transform("found", seeded)).withColumn("row_key", F.monotonically_increasing_id())
 
@@ -159,10 +185,11 @@ def scan(docs: DataFrame, carried: list[str]) -> DataFrame:
 def bootstrap(work: Workspace, occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(value, kind, confidence) of the values that accepted patterns discover.
 
-    ``occurrences``: value, pattern, seed.  All joins are on value or pattern,
-    over rows that are already distinct.
+    ``occurrences``: value, patterns, seed, sure (the value is a whole base span).
+    All joins are on value or pattern, over rows that are already distinct.
     """
-    edges = work.put(occurrences.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "edges")
+    each = occurrences.select("value", F.explode("patterns").alias("pattern"), "seed", "sure")
+    edges = work.put(each.groupBy("value", "pattern").agg(F.max("seed").alias("seed"), F.max("sure").alias("sure")), "edges")
     totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     seeds = edges.where("seed is not null").groupBy("value", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("confidence"))
     known = seeds
@@ -180,8 +207,8 @@ def bootstrap(work: Workspace, occurrences: DataFrame, rounds: int = ROUNDS) ->
         known = work.put(seeds.unionByName(fresh.where(F.col("confidence") > 0.5)), f"known{k}")
     accepted = known.join(seeds.select("value").distinct(), "value", "left_anti").where(F.col("confidence") >= MIN_CONFIDENCE * 0.95)
     best = accepted.groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
-    found = best.unionByName(seeds.where("kind = 'secret'").select("value", "kind", "confidence"))
-    return work.put(found, "found")
+    whole = edges.where("seed = 'secret' or sure").groupBy("value").agg(F.max("seed").alias("kind"), F.lit(1.0).alias("confidence"))
+    return work.put(best.unionByName(whole), "found")
 
 
 def detect(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:

@@ -67,3 +67,27 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert [(s.value, s.kind) for s in got[90].added] == [("1234567890123456", "card")]
     assert not got[91].added
     assert [s.kind for s in got[92].added] == ["secret"]
+
+
+def test_values_that_are_base_spans_elsewhere_are_found(spark):
+    """A card or phone known from one place is found where the base expression fails; a piece of one isn't."""
+    card = "4845168114407329"
+    rows = [(1, f"paid with {card}, then 7536784127813050 {card} again"), (2, "call +4915112345678 now"), (3, "or 4915112345678 then"), (4, "call +49 151 876543 now"), (5, "the lot 876543 came")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: [(s.start, s.value, s.kind) for s in r.added] for r in pii.detect(docs).collect()}
+    assert got == {1: [(50, card, "card")], 2: [], 3: [(3, "4915112345678", "phone")], 4: [], 5: []}
+    texts = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert card not in texts[1] and texts[3] == "or [phone] then"
+
+
+def test_coarser_patterns_discover_other_lengths_and_letters(spark):
+    """Seeds of several lengths support one context together; the word after tells contexts apart; tokens may lack digits."""
+    phones = [f"+4{n}" for n in ("1234567", "12345678", "123456789", "2234567", "22345678", "223456789", "3234567", "32345678", "323456789")]
+    rows = [(i, f"please ring number {p} today") for i, p in enumerate(phones)] + [(20, "please ring number 555123 today"), (21, "the ring weighs 555124 today")]
+    rows += [(30 + i, f"write to desk {n}@site.org please") for i, n in enumerate("anna bert carl dora emil fred gina hugo ines".split())]
+    rows += [(50, "write to desk karl@localhost please"), (60 , "go to my 777123 today")]
+    rows += [(70 + i, f"{w} fax {p}0 soon") for i, (w, p) in enumerate(zip("a b c d e f g h i".split(), phones, strict=True))] + [(90, "z fax 888123 soon"), (91, "z fax 888124 later")]
+    got = {r.row.doc_id: [(s.value, s.kind) for s in r.added] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] == [("555123", "phone")] and got[90] == [("888123", "phone")]
+    assert got[50] == [("karl@localhost", "email")]
+    assert not got[21] and not got[60] and not got[91]
