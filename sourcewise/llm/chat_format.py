@@ -21,7 +21,9 @@ Defined results.  A null text is empty.  Text that is no valid JSON stays text
 and is reported in ``error``.  An identifier used by several calls links to the
 first; further calls are marked ``duplicate id``.  A result without a call and a
 call without a result are marked.  A call of a tool without a definition is not
-validated.  Repeated rows give repeated units.  Null conversations form one
+validated.  A schema's keyword that is not supported is an error of the call, so
+its arguments are not valid; ``format`` and notes such as ``title`` are ignored.
+Repeated rows give repeated units.  Null conversations form one
 conversation.  Other columns are ignored.
 """
 
@@ -30,6 +32,8 @@ from __future__ import annotations
 import json
 import math
 import re
+from fractions import Fraction
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,37 +74,122 @@ _TYPES = {
 }
 
 
-def violations(value, schema, at: str = "$") -> list[str]:
-    """Where ``value`` breaks a JSON schema: type, enum, const, required, properties, additionalProperties, items, bounds, lengths, pattern."""
+#: Keywords that say nothing about validity.
+_NOTES = {"$schema", "$id", "$comment", "$defs", "definitions", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "format", "contentEncoding", "contentMediaType", "contentSchema"}
+_KNOWN = {
+    "$ref", "type", "enum", "const", "allOf", "anyOf", "oneOf", "not", "if", "then", "else", "required", "properties", "patternProperties", "additionalProperties", "propertyNames",
+    "minProperties", "maxProperties", "dependentRequired", "dependentSchemas", "dependencies", "items", "prefixItems", "additionalItems", "contains", "minContains", "maxContains",
+    "minItems", "maxItems", "uniqueItems", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern",
+}
+
+
+def _pointed(root, ref):
+    """The subschema that a local reference names; KeyError if it names none."""
+    if not isinstance(ref, str) or ref != "#" and not ref.startswith("#/"):
+        raise KeyError(ref)
+    at = root
+    for step in unquote(ref).split("/")[1:]:
+        step = step.replace("~1", "/").replace("~0", "~")
+        at = at[int(step)] if isinstance(at, list) and step.isdigit() and int(step) < len(at) else at[step] if isinstance(at, dict) else None
+        if at is None:
+            raise KeyError(ref)
+    return at
+
+
+def _multiple(value, of) -> bool:
+    return Fraction(str(value)) % Fraction(str(of)) == 0
+
+
+def violations(value, schema, at: str = "$", root=None, seen: tuple = ()) -> list[str]:
+    """Where ``value`` breaks a JSON schema; keywords that aren't supported are reported too.
+
+    References are local (``#/$defs/x``).  Unknown keywords, references that name
+    nothing and references that lead back to themselves on the same value are errors.
+    """
     if schema is False:
         return [f"{at}: not allowed"]
     if not isinstance(schema, dict):
         return []
+    root = schema if root is None else root
+    out = [f"{at}: keyword {k} not supported" for k in schema if k not in _NOTES and k not in _KNOWN and not k.startswith("x-")]
     if isinstance(value, dict) and set(value) == {"$ref"}:
-        return []  # filled from another call's result
+        return out  # filled from another call's result
+    same = lambda other: violations(value, other, at, root, seen)
+    inner = lambda v, other, place: violations(v, other, place, root)
+    if "$ref" in schema:
+        ref = schema["$ref"]
+        try:
+            target = _pointed(root, ref)
+        except KeyError:
+            out.append(f"{at}: reference {ref} not found")
+        else:
+            out += [f"{at}: reference {ref} in a circle"] if ref in seen else violations(value, target, at, root, (*seen, ref))
     kinds = schema.get("type", [])
     kinds = kinds if isinstance(kinds, list) else [kinds]
-    if kinds and not any(_TYPES.get(k, lambda v: True)(value) for k in kinds):
-        return [f"{at}: not of type {'/'.join(map(str, kinds))}"]
-    out = []
+    out += [f"{at}: type {k} not supported" for k in kinds if k not in _TYPES]
+    if kinds and not any(_TYPES[k](value) for k in kinds if k in _TYPES):
+        return [*out, f"{at}: not of type {'/'.join(map(str, kinds))}"]
     if "enum" in schema and canonical(value) not in [canonical(x) for x in schema["enum"]]:
         out.append(f"{at}: not in enum")
     if "const" in schema and canonical(value) != canonical(schema["const"]):
         out.append(f"{at}: not the constant")
+    # A keyword that isn't supported says nothing about which alternative holds.
+    unsure = lambda found: [x for x in found if x.endswith((" not supported", " not found", " in a circle"))]
+    for s in schema.get("allOf", []):
+        out += same(s)
+    for word in ("anyOf", "oneOf"):
+        if word in schema:
+            each = [same(s) for s in schema[word]]
+            open_ = [x for found in each for x in unsure(found)]
+            held = sum(not found for found in each)
+            if open_:
+                out += open_
+            elif held == 0 or word == "oneOf" and held > 1:
+                out.append(f"{at}: {'fits none of' if held == 0 else 'fits several of'} {word}")
+    if "not" in schema:
+        found = same(schema["not"])
+        out += unsure(found) or [f"{at}: fits not"] * (not found)
+    if "if" in schema:
+        found = same(schema["if"])
+        out += unsure(found) or same(schema.get("else" if found else "then", True))
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, wild = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{at}.{k}: required" for k in schema.get("required", []) if k not in value]
         for k, v in value.items():
-            if k in known:
-                out += violations(v, known[k], f"{at}.{k}")
-            elif "additionalProperties" in schema:
-                out += violations(v, schema["additionalProperties"], f"{at}.{k}")
+            fits = ([known[k]] if k in known else []) + [s for p, s in wild.items() if re.search(p, k)]
+            for s in fits or ([schema["additionalProperties"]] if "additionalProperties" in schema else []):
+                out += inner(v, s, f"{at}.{k}")
+            if "propertyNames" in schema:
+                out += inner(k, schema["propertyNames"], f"{at}.{k}")
+        out += [f"{at}: too few properties"] * (len(value) < schema.get("minProperties", 0)) + [f"{at}: too many properties"] * (len(value) > schema.get("maxProperties", math.inf))
+        for word in ("dependentRequired", "dependentSchemas", "dependencies"):
+            for k, wants in schema.get(word, {}).items():
+                if k in value:
+                    out += [f"{at}.{x}: required with {k}" for x in wants if x not in value] if isinstance(wants, list) else same(wants)
     if isinstance(value, list):
+        first, rest = schema.get("prefixItems", []), schema.get("items", True)
+        if isinstance(rest, list):  # before draft 2020-12
+            first, rest = rest, schema.get("additionalItems", True)
         for i, v in enumerate(value):
-            out += violations(v, schema.get("items", True), f"{at}[{i}]")
+            out += inner(v, first[i] if i < len(first) else rest, f"{at}[{i}]")
         out += [f"{at}: too few items"] * (len(value) < schema.get("minItems", 0)) + [f"{at}: too many items"] * (len(value) > schema.get("maxItems", math.inf))
+        if schema.get("uniqueItems") and len({canonical(v) for v in value}) < len(value):
+            out.append(f"{at}: items not unique")
+        if "contains" in schema:
+            each = [inner(v, schema["contains"], at) for v in value]
+            held = sum(not found for found in each)
+            if open_ := [x for found in each for x in unsure(found)]:
+                out += open_
+            else:
+                out += [f"{at}: contains too few"] * (held < schema.get("minContains", 1)) + [f"{at}: contains too many"] * (held > schema.get("maxContains", math.inf))
     if _TYPES["number"](value):
         out += [f"{at}: below minimum"] * (value < schema.get("minimum", -math.inf)) + [f"{at}: above maximum"] * (value > schema.get("maximum", math.inf))
+        low, high = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
+        # Draft 4 has true here, which makes the other bound exclusive.
+        low, high = schema.get("minimum") if low is True else low, schema.get("maximum") if high is True else high
+        out += [f"{at}: at or below exclusive minimum"] * (_TYPES["number"](low) and value <= low) + [f"{at}: at or above exclusive maximum"] * (_TYPES["number"](high) and value >= high)
+        if "multipleOf" in schema and not _multiple(value, schema["multipleOf"]):
+            out.append(f"{at}: no multiple")
     if isinstance(value, str):
         out += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: too long"] * (len(value) > schema.get("maxLength", math.inf))
         if "pattern" in schema and not re.search(schema["pattern"], value):
@@ -177,7 +266,7 @@ def _check(batches):
         for body, schema in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             try:
                 out.append("; ".join(violations(json.loads(body), json.loads(schema))))
-            except (ValueError, TypeError, re.error, RecursionError) as error:
+            except (ValueError, TypeError, AttributeError, KeyError, ArithmeticError, re.error, RecursionError) as error:
                 out.append(f"schema: {type(error).__name__}")
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["unit", "broken"])
 

@@ -64,3 +64,24 @@ def test_long_chain(spark):
     rows = c.linked(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).where("kind <> 'message'").collect()
     order = sorted(rows, key=lambda r: (r.at_turn, r.at_place, r.depth))
     assert [r.call_id for r in order if r.kind == "call"] == [f"c{i}" for i in reversed(range(7))]
+
+
+def test_every_schema_keyword_counts():
+    from sourcewise.llm.chat_format import violations
+
+    node = {"$defs": {"n": {"type": "object", "properties": {"v": {"type": "integer"}, "next": {"$ref": "#/$defs/n"}}, "required": ["v"]}}, "$ref": "#/$defs/n"}
+    cases = [  # schema, a value that fits, a value that breaks it
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, 6, 4), ({"oneOf": [{"minimum": 2}, {"maximum": 5}]}, 1, 3), ({"allOf": [{"minimum": 2}, {"maximum": 5}]}, 3, 6),
+        ({"not": {"type": "string"}}, 1, "a"), (node, {"v": 1, "next": {"v": 2}}, {"v": 1, "next": {"v": "x"}}), ({"$ref": "#/$defs/a~1b", "$defs": {"a/b": {"const": 1}}}, 1, 2),
+        ({"exclusiveMinimum": 3}, 4, 3), ({"exclusiveMaximum": 3}, 2.5, 3), ({"minimum": 3, "exclusiveMinimum": True}, 4, 3), ({"multipleOf": 0.01}, 19.99, 19.995),
+        ({"uniqueItems": True}, [1, "1", True], [1, 2, 1.0]), ({"minProperties": 2}, {"a": 1, "b": 1}, {"a": 1}), ({"maxProperties": 1}, {"a": 1}, {"a": 1, "b": 1}),
+        ({"dependentRequired": {"a": ["b"]}}, {"b": 1}, {"a": 1}), ({"dependentSchemas": {"a": {"required": ["c"]}}}, {"a": 1, "c": 2}, {"a": 1}), ({"dependencies": {"a": ["b"]}}, {}, {"a": 1}),
+        ({"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}, {"xa": 1}, {"xa": "s"}), ({"patternProperties": {"^x": {}}, "additionalProperties": False}, {"xa": 1}, {"ya": 1}),
+        ({"propertyNames": {"maxLength": 2}}, {"ab": 1}, {"abc": 1}), ({"prefixItems": [{"type": "string"}], "items": False}, ["a"], ["a", 1]), ({"items": [{"type": "string"}], "additionalItems": False}, ["a"], ["a", 1]),
+        ({"contains": {"const": 1}}, [2, 1], [2]), ({"contains": {"const": 1}, "minContains": 0, "maxContains": 1}, [], [1, 1]), ({"if": {"minimum": 5}, "then": {"multipleOf": 5}, "else": {"const": 1}}, 10, 7),
+    ]
+    for schema, good, bad in cases:
+        assert violations(good, schema) == [] and violations(bad, schema), schema
+    for schema in ({"unevaluatedProperties": False}, {"not": {"new": 1}}, {"anyOf": [{"new": 1}, {}]}, {"$ref": "#/$defs/none"}, {"$ref": "http://x/y"}, {"$ref": "#"}, {"type": "odd"}, {"properties": {"a": {"new": 1}}}):
+        assert violations({"a": 1}, schema), schema
+    assert violations(1, {"title": "t", "x-order": 1, "format": "int32"}) == []
