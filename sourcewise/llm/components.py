@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcewise.llm.common import Workspace
+from sourcewise.llm.common import Workspace, join_uneven
 
 ROUNDS = 60
+#: Links of a node from which it may count as hot.
+HOT_LINKS = 200
 
 
 def components(work: Workspace, links: DataFrame, name: str = "components") -> DataFrame:
@@ -17,21 +19,20 @@ def components(work: Workspace, links: DataFrame, name: str = "components") -> D
     (large star), then its smaller ones (small star).  A round's state is a
     stored table of at most one row per link, so lineage stays short and nothing
     is gathered; a node with very many neighbours is first reduced to its least
-    neighbour by a partial aggregate, then joined.
+    neighbour by a partial aggregate, which is then brought to its links without
+    a shuffle of them.
     """
     edges = work.put(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
     last = None
     for k in range(1, ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = work.put(large.where("u <> v").distinct(), f"{name}-large{k}")
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges_next = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges_next = work.put(edges_next.where("u <> v").distinct(), f"{name}-{k}")
-        work.drop(f"{name}-large{k}")
-        work.drop(f"{name}-{k - 1}")
-        edges = edges_next
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        least = work.put(least.where("n > 0"), f"{name}-least{k}")
+        large = join_uneven(both.where("v > u"), least, "u", "n", HOT_LINKS).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = work.put(large.where("u <> v").distinct(), f"{name}-large{k}", f"{name}-least{k}")
+        small = work.put(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-small{k}")
+        edges_next = join_uneven(large, small, "u", "n", HOT_LINKS).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        edges = work.put(edges_next.where("u <> v").distinct(), f"{name}-{k}", f"{name}-large{k}", f"{name}-small{k}", f"{name}-{k - 1}")
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
             break
@@ -39,4 +40,4 @@ def components(work: Workspace, links: DataFrame, name: str = "components") -> D
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return work.put(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), name)
+    return work.put(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), name, f"{name}-{k}")

@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op9_quality_rules": quality.OP9_SQL,
 }

@@ -49,3 +49,15 @@ def test_keeps_good_and_drops_junk(spark):
     table = {(q, k): n for q, k, n in got.where("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
     assert table.get((1, False), 0) <= 0.01 * table[1, True]
     assert table.get((0, True), 0) <= 0.1 * table[0, False]
+
+
+def test_cutoffs_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, seven = (sorted(tuple(r) for r in quality.cutoffs(quality.sketches(quality.measures(docs.repartition(n), []))).collect()) for n in (1, 7))
+    assert one == seven and len(one) > 1
+
+
+def test_stored_and_repeated_measures_agree(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    once = {r.doc_id for r in quality.judged(docs, ["doc_id"], stored=True).where("kept").select("row.doc_id").collect()}
+    assert once == {r.doc_id for r in quality.keep(docs).collect()}
