@@ -73,7 +73,7 @@ class Stage:
 
     def __enter__(self):
         files = self.docs.inputFiles() if Stage._before else []
-        kept = [w for w in Stage._before if any(w.path.partition(":")[2].lstrip("/") in f or w.path in f for f in files)]
+        kept = [w for w in Stage._before if any(w.path.rsplit("/", 1)[1] in f for f in files)]
         for work in Stage._before:
             if work not in kept:
                 work.drop()

@@ -1,15 +1,18 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 ``build_index`` walks the documents once.  A task gathers documents into
-shards of bounded size and inverts each: for every benchmark term the shard
-holds the sorted coordinates (document, word position) at which it occurs.  A
-shard is one row of a stored table, so the index is spread over the cluster,
-is never shuffled, and no term's list grows past what one shard holds.
-
-``search`` reads the index back.  For each benchmark window it takes the term
-lists from the one that is rarest in the whole corpus, shifts each by the
-term's offset in the window, and intersects them.  With slop, a term may stand
-a few words from its place, which gives the proximity matches.
+shards of bounded size and inverts each: for every word of the shard, the
+sorted positions at which it occurs.  A shard is one row of a stored table, so
+the index is spread over the cluster, is never shuffled, and no word's list
+grows past what one shard holds.  It knows nothing of any benchmark: one index
+serves all of them, block by block.
+
+``search`` reads the index back.  The words of a benchmark's windows get their
+numbers of occurrences in the whole corpus.  In a shard, only windows whose
+rarest word occurs there are looked at: the lists are taken from that word on,
+shifted by the word's offset in the window, and intersected.  An exact match has
+every word in its place.  A proximity match has, for some place of the window,
+every word within ``slop`` words of its own place, in the same document.
 
 Words: A-Z are lower-cased, and a word is a run of characters other than
 U+0000-002F, U+003A-0060 and U+007B-007F.  In UTF-8 these are the bytes 0-9,
@@ -18,32 +21,33 @@ a-z and 80-FF, so a byte table and a split find them.
 Defined results.  A null or empty text has no words: n_words 0, nothing hit.
 A benchmark item without words has no window.  Items with null ids are
 searched, and their id is written as ``null``.  Repeated documents each get
-their row; repeated items count once per distinct item_id.
+their row; repeated items count once per distinct item_id.  Empty tables give no
+rows, or rows without hits.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcewise.llm.common import Workspace, documents
+from sourcewise.llm.common import Workspace, documents, text_or_empty
 
-WINDOW = 13
+WINDOW, SLOP, SHARE = 13, 2, 20
 #: Characters of text in a shard, and documents in it, before the next begins.
 SHARD_CHARS, SHARD_DOCS = 12_000_000, 20_000
-#: Benchmark words that one pass may ship to the workers (about 100 bytes each); more are searched in blocks.
+#: Benchmark words of one search (about 100 bytes each on the driver and in each worker); more are searched block by block.
 BLOCK_WORDS = 2_000_000
+#: Contaminated documents up to which their keys (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 _TABLE = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20
     for c in range(256)
 )
-INDEX_SCHEMA = (
-    "keys array<bigint>, n_words array<int>, terms array<int>, sizes array<int>, coords array<bigint>"
-)
+#: ``terms``: the shard's words, joined by spaces; ``sizes``: how often each occurs; ``steps``: differences of the
+#: positions (word numbers in the shard), word by word.
+INDEX_SCHEMA = "keys array<bigint>, n_words array<int>, terms binary, sizes array<int>, steps array<int>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,7 +56,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Queries:
-    """The benchmark's windows over numbered terms: what a search ships to the workers."""
+    """The windows of a block of benchmark items over numbered terms: what a search ships to the workers."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.term: dict[bytes, int] = {}
@@ -64,134 +68,148 @@ class Queries:
         self.windows = list(found)
         self.items = [sorted(found[w]) for w in self.windows]
 
-
-def _shards(term: dict[bytes, int]):
-    def invert(batches):
-        keys, counts, ids, chars = [], [], [], 0
-
-        def shard():
-            sizes = np.array([len(x) for x in ids], np.int64)
-            every = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            doc = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
-            pos = np.arange(len(every), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = every >= 0
-            every, coord = every[keep], (doc[keep] << 32) | pos[keep]
-            order = np.argsort(every, kind="stable")
-            terms, n = np.unique(every, return_counts=True)
-            row = {"keys": [keys], "n_words": [counts], "terms": [terms.astype(np.int32)], "sizes": [n.astype(np.int32)], "coords": [coord[order]]}
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row["keys"], pa.list_(pa.int64())),
-                    pa.array(row["n_words"], pa.list_(pa.int32())),
-                    pa.array(row["terms"], pa.list_(pa.int32())),
-                    pa.array(row["sizes"], pa.list_(pa.int32())),
-                    pa.array(row["coords"], pa.list_(pa.int64())),
-                ],
-                names=list(row),
-            )
-
-        get = term.get
+    def by_rarest(self, frequency: np.ndarray) -> dict[int, list[tuple]]:
+        """Windows by their rarest term, as (terms, offsets, length, items), rarest first; windows of terms that never occur are left out."""
+        out: dict[int, list[tuple]] = {}
+        n = frequency.tolist()
+        for w, own in zip(self.windows, self.items, strict=True):
+            order = sorted(range(len(w)), key=lambda i: (n[w[i]], w[i], i))
+            if n[w[order[0]]]:
+                out.setdefault(w[order[0]], []).append(([w[i] for i in order], order, len(w), own))
+        return out
+
+
+def _invert(batches):
+    keys, words, counts, chars = [], [], [], 0
+
+    def shard():
+        number: dict[bytes, int] = {}
+        every = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        order = np.argsort(every, kind="stable").astype(np.int32)
+        sizes = np.bincount(every, minlength=len(number)).astype(np.int32)
+        steps = np.diff(order, prepend=np.int32(0))
+        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+        return pa.RecordBatch.from_arrays(
+            [one(keys, pa.int64()), one(counts, pa.int32()), pa.array([b" ".join(number)], pa.binary()), one(sizes, pa.int32()), one(steps, pa.int32())],
+            names=["keys", "n_words", "terms", "sizes", "steps"],
+        )
+
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = words_of(text)
+            keys.append(key)
+            counts.append(len(own))
+            words += own
+            chars += len(text or "")
+            if chars >= SHARD_CHARS or len(keys) >= SHARD_DOCS:
+                yield shard()
+                keys, words, counts, chars = [], [], [], 0
+    if keys:
+        yield shard()
+
+
+def build_index(work: Workspace, docs: DataFrame, key: str = "doc_id", name: str = "index") -> DataFrame:
+    """The stored index of ``docs``: one row per shard, with its documents' keys and word counts and all its positional lists."""
+    rows = docs.select(key, "text").mapInArrow(_invert, INDEX_SCHEMA)
+    return work.put(rows.withColumn("shard", F.monotonically_increasing_id()), name)
+
+
+def term_frequency(index: DataFrame, term: dict[bytes, int]) -> np.ndarray:
+    """Occurrences of each benchmark term in the corpus; at most one row a term reaches the driver."""
+
+    def counts(batches):
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                keys.append(key)
-                counts.append(len(words))
-                ids.append(np.fromiter((get(w, -1) for w in words), np.int32, len(words)))
-                chars += len(text or "")
-                if chars >= SHARD_CHARS or len(keys) >= SHARD_DOCS:
-                    yield shard()
-                    keys, counts, ids, chars = [], [], [], 0
-        if keys:
-            yield shard()
-
-    return invert
-
-
-def build_index(docs: DataFrame, queries: Queries) -> DataFrame:
-    """One row per shard: its document keys, word counts and positional term lists."""
-    return docs.select("doc_id", "text").mapInArrow(_shards(queries.term), INDEX_SCHEMA)
-
-
-def term_frequency(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Occurrences of each benchmark term in the corpus; at most ``n_terms`` rows reach the driver."""
-    rows = (
-        index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("x"))
-        .groupBy(F.col("x.terms").alias("t"))
-        .agg(F.sum("x.sizes").alias("n"))
-        .collect()
-    )
-    out = np.zeros(n_terms, np.int64)
+            for row in range(batch.num_rows):
+                ids = [term.get(t, -1) for t in batch.column(0)[row].as_py().split()]
+                at = np.array(ids, np.int64)
+                known = np.flatnonzero(at >= 0)
+                sizes = batch.column(1)[row].values.to_numpy()[known]
+                yield pa.RecordBatch.from_arrays([pa.array(at[known]), pa.array(sizes, pa.int64())], names=["t", "n"])
+
+    rows = index.select("terms", "sizes").mapInArrow(counts, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(term), np.int64)
     for t, n in rows:
         out[t] = n
     return out
 
 
-def _near(coords: np.ndarray, at: np.ndarray, slop: int) -> np.ndarray:
-    """For each wanted coordinate, whether the sorted list has one within ``slop``."""
-    i = np.searchsorted(coords, at - slop)
-    return (i < len(coords)) & (coords[np.minimum(i, len(coords) - 1)] <= at + slop)
+def _near(positions: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each range from ``low`` to ``high``, whether the sorted list has a position in it."""
+    i = np.searchsorted(positions, low)
+    return (i < len(positions)) & (positions[np.minimum(i, len(positions) - 1)] <= high)
 
 
-def phrase_starts(lists: list[np.ndarray], offsets: list[int], slop: int) -> np.ndarray:
-    """Coordinates at which a phrase starts; lists and offsets come rarest first.
+def phrase_starts(lists: list[np.ndarray], offsets: list[int], begins: np.ndarray, ends: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of exact matches, and (starts, documents) of proximity matches, exact ones among them.
 
-    With slop, a start is where the rarest term would put it, and every other
-    term stands within ``slop`` words of its place.
+    Lists and offsets come rarest first; ``begins`` and ``ends`` are the
+    documents' bounds.  The rarest word of a proximity match stands within
+    ``slop`` of its place, so other words are within twice that of where it
+    puts them, which leaves few places to look at closely.
     """
-    starts = lists[0] - offsets[0]
-    for coords, offset in zip(lists[1:], offsets[1:], strict=True):
+    length = len(offsets)
+    doc = np.searchsorted(begins, lists[0], "right") - 1
+    starts = lists[0].astype(np.int64) - offsets[0]
+    for positions, offset in zip(lists[1:], offsets[1:], strict=True):
+        if not len(starts):
+            break
+        at = starts + offset
+        keep = _near(positions, np.maximum(at - 2 * slop, begins[doc]), np.minimum(at + 2 * slop, ends[doc] - 1))
+        starts, doc = starts[keep], doc[keep]
+    exact = starts[(starts >= begins[doc]) & (starts + length <= ends[doc])]
+    for positions, offset in zip(lists, offsets, strict=True):
+        exact = exact[_near(positions, exact + offset, exact + offset)] if len(exact) else exact
+    places = np.unique(np.stack([np.repeat(doc, 2 * slop + 1), (starts[:, None] + np.arange(-slop, slop + 1)).ravel()], 1), axis=0) if len(starts) else np.zeros((0, 2), np.int64)
+    doc, starts = places[:, 0], places[:, 1]
+    for positions, offset in zip(lists, offsets, strict=True):
         if not len(starts):
             break
-        starts = starts[_near(coords, starts + offset, slop)]
-    return starts
+        at = starts + offset
+        keep = _near(positions, np.maximum(at - slop, begins[doc]), np.minimum(at + slop, ends[doc] - 1))
+        starts, doc = starts[keep], doc[keep]
+    return exact, starts, doc
 
 
-SEARCH_SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<string>, n_near bigint"
+HITS_SCHEMA = "shard bigint, place int, spans array<struct<a:int,b:int>>, items array<string>, near array<string>"
 
 
-def _search(windows, items, frequency, slop):
-    plans = []
-    for w, own in zip(windows, items, strict=True):
-        order = sorted(range(len(w)), key=lambda i: (frequency[w[i]], w[i], i))
-        plans.append(([w[i] for i in order], order, len(w), own))
+def _search(queries: Queries, frequency: np.ndarray, slop: int):
+    plans, term = queries.by_rarest(frequency), queries.term
 
     def look(batches):
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, counts, terms, sizes, coords = (batch.column(k)[row].values for k in range(5))
-                sizes, coords = sizes.to_numpy(), coords.to_numpy()
-                ends = np.cumsum(sizes)
-                lists = {t: coords[e - n : e] for t, n, e in zip(terms.to_pylist(), sizes, ends, strict=True)}
-                spans: dict[int, list[tuple[int, int]]] = {}
-                hits: dict[int, set[str]] = {}
-                near: dict[int, int] = {}
-                for ids, offsets, length, own in plans:
-                    if any(t not in lists for t in ids):
-                        continue
-                    found = [lists[t] for t in ids]
-                    loose = phrase_starts(found, offsets, slop)
-                    if not len(loose):
-                        continue
-                    exact = phrase_starts(found, offsets, 0)
-                    for x in loose.tolist():
-                        near[x >> 32] = near.get(x >> 32, 0) + 1
-                    for x in exact.tolist():
-                        d, p = x >> 32, x & 0xFFFFFFFF
-                        near[d] -= 1
-                        spans.setdefault(d, []).append((p, p + length))
-                        hits.setdefault(d, set()).update(own)
-                n = len(keys)
-                merged = [_union(spans[d]) if d in spans else [] for d in range(n)]
+                counts, sizes, steps = (batch.column(k)[row].values.to_numpy() for k in (1, 3, 4))
+                positions, stops = np.cumsum(steps, dtype=np.int64), np.cumsum(sizes)
+                found = ((term[t], i) for i, t in enumerate(batch.column(2)[row].as_py().split()) if t in term)
+                lists = {t: positions[stops[i] - sizes[i] : stops[i]] for t, i in found}
+                ends = np.cumsum(counts, dtype=np.int64)
+                begins = ends - counts
+                # Documents without words begin where the next one does; the last of equal beginnings holds the position.
+                spans, hits, near = {}, {}, {}
+                for rarest in plans.keys() & lists.keys():
+                    for ids, offsets, length, own in plans[rarest]:
+                        if not all(t in lists for t in ids):
+                            continue
+                        exact, loose, docs = phrase_starts([lists[t] for t in ids], offsets, begins, ends, slop)
+                        for d in np.unique(docs).tolist():
+                            near.setdefault(d, set()).update(own)
+                        for x in exact.tolist():
+                            d = int(np.searchsorted(begins, x, "right")) - 1
+                            p = x - int(begins[d])
+                            spans.setdefault(d, []).append((p, p + length))
+                            hits.setdefault(d, set()).update(own)
+                order = sorted(near)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.cast(pa.int64()),
-                        counts.cast(pa.int64()),
-                        pa.array([[{"a": a, "b": b} for a, b in m] for m in merged], kind),
-                        pa.array([sorted(hits.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                        pa.array([near.get(d, 0) for d in range(n)], pa.int64()),
+                        pa.array([batch.column(0)[row].as_py()] * len(order), pa.int64()),
+                        pa.array(order, pa.int32()),
+                        pa.array([[{"a": a, "b": b} for a, b in _union(spans.get(d, []))] for d in order], kind),
+                        pa.array([sorted(hits.get(d, ())) for d in order], pa.list_(pa.string())),
+                        pa.array([sorted(near[d]) for d in order], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "spans", "items", "n_near"],
+                    names=["shard", "place", "spans", "items", "near"],
                 )
 
     return look
@@ -207,94 +225,111 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def search(index: DataFrame, queries: Queries, slop: int = 2) -> DataFrame:
-    """One row per indexed document: merged word spans of exact matches, items hit, proximity matches."""
-    frequency = term_frequency(index, len(queries.term))
-    look = _search(queries.windows, queries.items, frequency, slop)
-    return index.select("keys", "n_words", "terms", "sizes", "coords").mapInArrow(look, SEARCH_SCHEMA)
+def search(index: DataFrame, queries: Queries, slop: int = SLOP) -> DataFrame:
+    """Documents with a match, by shard and place in it: merged word spans of exact matches, and the items matched exactly and nearly."""
+    look = _search(queries, term_frequency(index, queries.term), slop)
+    return index.select("shard", "n_words", "terms", "sizes", "steps").mapInArrow(look, HITS_SCHEMA)
 
 
-def _blocks(items: list[tuple[object, str | None]], most: int):
+def _blocks(items, most: int):
+    """Items in blocks of about ``most`` words; only one block is held at a time."""
     block, n = [], 0
     for item in items:
         k = len(words_of(item[1]))
         if block and n + k > most:
             yield block
             block, n = [], 0
-        block.append(item)
+        block.append((item[0], item[1]))
         n += k
-    yield block
-
-
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, slop: int = 2, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``search`` of a whole benchmark.
-
-    A benchmark of more than ``block_words`` words is searched in blocks; the
-    documents then get a stored row key, by which the blocks' spans unite.
-    """
-    work = Workspace(spark, "decontaminate")
-    blocks = list(_blocks([(r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()], block_words))
-    if len(blocks) == 1:
-        queries = Queries(blocks[0])
-        return search(work.put(build_index(docs, queries), "index"), queries, slop)
-    stored = work.put(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_key")), "documents")
-    parts = []
-    for k, block in enumerate(blocks):
-        queries = Queries(block)
-        keyed = stored.select(F.col("row_key").alias("doc_id"), "text")
-        parts.append(search(work.put(build_index(keyed, queries), f"index{k}"), queries, slop))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    if block:
+        yield block
+
+
+def matches(work: Workspace, index: DataFrame, benchmark: DataFrame, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per indexed document: key, n_words, merged spans of exact matches, items, and items with a proximity match only."""
+    spark, hits = index.sparkSession, None
+    for k, block in enumerate(_blocks(benchmark.select("item_id", "text").toLocalIterator(), block_words)):
+        found = work.put(search(index, Queries(block), slop), f"hits{k}")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = spark.createDataFrame([], HITS_SCHEMA)
     # Spans of one document from all blocks: sorted, then folded into their union.
+    none = F.array().cast("array<struct<a:int,b:int>>")
     united = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.lit(None).cast("array<struct<a:int,b:int>>"),
-        lambda acc, s: F.when(acc.isNull(), F.array(s)).when(
-            s["a"] <= F.element_at(acc, -1)["b"],
+        none,
+        lambda acc, s: F.when(
+            s["a"] <= F.try_element_at(acc, F.lit(-1))["b"],
             F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))),
+                F.slice(acc, F.lit(1), F.size(acc) - 1),
+                F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], s["b"]).alias("b"))),
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    whole = every.groupBy(F.col("doc_id").alias("row_key")).agg(
-        F.max("n_words").alias("n_words"),
-        F.coalesce(united, F.array().cast("array<struct<a:int,b:int>>")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.sum("n_near").alias("n_near"),
-    )
-    return stored.select("row_key", "doc_id").join(whole, "row_key").drop("row_key")
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    whole = hits.groupBy("shard", "place").agg(united.alias("spans"), every("items").alias("items"), every("near").alias("near"))
+    docs = index.select("shard", F.posexplode(F.arrays_zip("keys", "n_words")).alias("place", "d"))
+    strings = F.array().cast("array<string>")
+    return docs.join(whole, ["shard", "place"], "left").select(
+        F.col("d.keys").alias("key"), F.col("d.n_words").cast("bigint").alias("n_words"),
+        F.coalesce("spans", none).alias("spans"), F.coalesce("items", strings).alias("items"),
+        F.coalesce(F.array_except("near", "items"), strings).alias("near"),
+    )
 
 
 def contamination(found: DataFrame) -> DataFrame:
-    """The contract's columns from ``matches``: hit words, items, their digest, the verdict."""
+    """The contract's columns from ``matches``: hit words, items, their digest, the verdict; n_near: items near to a passage only."""
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["b"] - s["a"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "n_near").select(
-        "doc_id",
+    return found.select("key", "n_words", n_hit.alias("n_hit"), "items", "near").select(
+        F.col("key").alias("doc_id"),
         "n_words",
         "n_hit",
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
-        "n_near",
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"),
+        F.size("near").cast("bigint").alias("n_near"),
     )
 
 
-#: The rows of ``op6_decontaminate`` by plain window matching.
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without contaminated documents, with their own columns.
+
+    The verdict depends on the text alone, so texts are known by 64-bit hashes;
+    a clean one goes by mistake with a chance of 2**-64 for each contaminated one.
+    """
+    work = Workspace(docs.sparkSession, "decontaminate")
+    name = next(c for c in ("text_key" + "_" * n for n in range(len(docs.columns) + 1)) if c.lower() not in {x.lower() for x in docs.columns})
+    key = F.xxhash64(text_or_empty()).alias(name)
+    index = build_index(work, docs.select(key, "text"), name)
+    bad = contamination(matches(work, index, benchmark)).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    bad = work.put(bad, "bad", "index")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
+    return docs.withColumn(name, key).join(bad, name, "left_anti").drop(name)
+
+
+#: The rows of ``op6_decontaminate`` by plain window matching; proximity matches are looked for around each window's rarest word.
 OP6_SQL = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bi AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0),
-bw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, list_slice(w, i, i + least(13, len(w)) - 1) AS win FROM bi),
+bw AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, list_slice(w, i, i + least(13, len(w)) - 1) AS win FROM bi),
 lens AS (SELECT DISTINCT len(win) AS n FROM bw),
 di AS (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN lens WHERE len(w) >= n),
 hits AS (SELECT k, i, n, item FROM (SELECT k, i, n, list_slice(w, i, i + n - 1) AS win FROM di) JOIN bw USING (win)),
 words AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hits) GROUP BY k),
-items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k)
+items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k),
+dp AS (SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+freq AS (SELECT word, count(*) AS n FROM dp GROUP BY word),
+wins AS (SELECT row_number() OVER () AS wid, win FROM (SELECT DISTINCT win FROM bw)),
+rare AS (SELECT wid, arg_min(word, (n, word, o)) AS word, arg_min(o, (n, word, o)) AS o FROM (SELECT wid, unnest(win) AS word, unnest(range(0, len(win))) AS o FROM wins) JOIN freq USING (word) GROUP BY wid),
+places AS (SELECT DISTINCT k, wid, s FROM (SELECT k, wid, unnest(range(p - o - 2, p - o + 3)) AS s FROM dp JOIN rare USING (word))),
+near AS (SELECT k, wid FROM places JOIN wins USING (wid) JOIN d USING (k)
+ WHERE len(list_filter(range(0, len(win)), lambda i: list_contains(list_slice(w, greatest(s + i - 2, 1), greatest(s + i + 2, 0)), win[i + 1]))) = len(win)),
+close AS (SELECT k, count(*) AS n_near FROM (SELECT DISTINCT k, item FROM near JOIN wins USING (wid) JOIN bw USING (win) EXCEPT SELECT k, item FROM hits) GROUP BY k)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
- coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)"""
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k) LEFT JOIN close USING (k)"""
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(matches(spark, documents(spark, sf_dir), benchmark)).drop("n_near")
+    work = Workspace(spark, "decontaminate")
+    index = build_index(work, documents(spark, sf_dir))
+    return contamination(matches(work, index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))

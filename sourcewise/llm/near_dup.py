@@ -3,8 +3,9 @@
 A document is a multiset of five-word shingles (words: runs without ASCII white
 space, ASCII letters lower-cased; a document of one to four words is one
 shingle).  The weight axis is cut into the intervals (0,1], (1,2], (2,4],
-(4,8], ...; each interval of each shingle carries a Poisson process of points
-whose rate is the interval's length, with a place inside the interval and a
+(4,8], ..., the levels of the hierarchy; counts are whole, so none is split further.
+Each interval of each shingle carries a Poisson process of points, independent of
+those of the others, whose rate is the interval's length, with a place inside the interval and a
 signature component for each point.  A document takes the points that lie below
 its shingle's count, and each component keeps the earliest point.  The chance
 that two documents keep the same point is their weighted Jaccard similarity.
@@ -18,8 +19,9 @@ multisets.  Then, in buckets whose nodes are not all in one component, each
 node outside the bucket's main component is compared with the nodes of other
 components that the triangle inequality leaves possible: 1 - similarity is a
 metric, so two nodes whose distances to the head differ by more than
-1 - threshold can't be linked.  No bucket is capped and no link between
-candidates is lost, and a bucket of n near copies costs n comparisons.
+1 - threshold can't be linked.  No bucket is capped, and a bucket of n near copies
+costs n comparisons.  So the links found connect every class, but two members of
+a class need not have been compared; ``n_spanning`` counts the found ones.
 
 Defined results.  Rows without words (null, empty, white space) are classes of
 their own.  class_id is the least doc_id of the class (null if all are null).
@@ -38,17 +40,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcewise.llm.common import Workspace, documents
+from sourcewise.llm.common import Workspace, documents, join_uneven
 from sourcewise.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands and components in each: a pair at the threshold meets with a chance of 1 - (1 - 0.8**6)**32 = 0.99994.
 BANDS, ROWS = 32, 6
-#: Pairs whose estimated similarity is lower are not compared; it is over 6 standard errors below the threshold.
-LEAST_ESTIMATE = 0.6
-#: Buckets of up to SMALL nodes are paired by a join, larger ones in tiles; there the estimate is cut at 4.5 standard errors.
-SMALL, TILE, LEAST_TILE_ESTIMATE = 40, 600, 0.67
+#: Pairs whose estimated similarity is lower are not compared; at 192 components it is 5.5 standard errors below the threshold (chance 2e-8).
+LEAST_ESTIMATE = 0.64
+#: Buckets of up to SMALL nodes are paired by a join, larger ones in tiles of TILE x TILE.
+SMALL, TILE = 40, 600
 CHUNK_WORDS, CACHE_WORDS = 600_000, 400_000
+#: Rows of a band or a text from which it may count as hot.
+HOT_BAND = 1_000
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,17 +197,12 @@ def _estimate(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _verified(work: Workspace, pairs: DataFrame, nodes: DataFrame, stored: DataFrame, name: str) -> DataFrame:
+def _verified(work: Workspace, pairs: DataFrame, sketches: DataFrame, bags: DataFrame, name: str) -> DataFrame:
     """(a, b, similarity) of the pairs that may reach the threshold."""
-    sketches = nodes.select("content", "sketch")
     both = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
     likely = work.put(both.select("a", "b", "x", "y").mapInArrow(_estimate, "a binary, b binary"), f"{name}-likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    keys = nodes.join(wanted, "content").select("content", "row_key")
-    texts = stored.select("row_key", "text").join(keys, "row_key").select("content", "text")
-    bags = work.put(texts.mapInArrow(_bags, "content binary, bag array<bigint>"), f"{name}-bags")
     held = likely.join(bags.toDF("a", "p"), "a").join(bags.toDF("b", "q"), "b")
-    return work.put(held.select("a", "b", "p", "q").mapInArrow(_similar, "a binary, b binary, similarity double"), name)
+    return work.put(held.select("a", "b", "p", "q").mapInArrow(_similar, "a binary, b binary, similarity double"), name, f"{name}-likely")
 
 
 def _small_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
@@ -234,7 +233,7 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def _large_links(work: Workspace, mixed: DataFrame, nodes: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+def _large_links(work: Workspace, mixed: DataFrame, sketches: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the links between different components in large buckets.
 
     Buckets of one head are taken together, so a group of near copies that
@@ -247,10 +246,7 @@ def _large_links(work: Workspace, mixed: DataFrame, nodes: DataFrame, stored: Da
     parts = each.groupBy("head", "root").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("head").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("k"))
     each = work.put(each.join(main, "head"), "large")
-    keys = nodes.join(each.select("content").distinct(), "content", "left_semi").select("content", "row_key")
-    texts = stored.select("row_key", "text").join(keys, "row_key").select("content", "text")
-    bags = work.put(texts.mapInArrow(_bags, "content binary, bag array<bigint>"), "large-bags")
-    held = each.join(nodes.select("content", "sketch"), "content").join(bags, "content").withColumn("tiles", F.ceil(F.col("k") / TILE).cast("int"))
+    held = each.join(sketches, "content").join(bags, "content").withColumn("tiles", F.ceil(F.col("k") / TILE).cast("int"))
     own = F.pmod(F.xxhash64("content"), F.col("tiles")).cast("int")
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     columns = ["head", "tx", "ty", "content", "root", "away", "sketch", "bag"]
@@ -263,7 +259,7 @@ def _large_links(work: Workspace, mixed: DataFrame, nodes: DataFrame, stored: Da
             sketch = np.frombuffer(b"".join(b["sketch"]), "<u2").reshape(len(b), -1)
             root, away, content, bag = b["root"].to_numpy(), b["away"].to_numpy(float), b["content"].to_numpy(), b["bag"].to_numpy()
             for row in a.itertuples():
-                alike = (sketch == np.frombuffer(row.sketch, "<u2")).mean(axis=1) >= LEAST_TILE_ESTIMATE
+                alike = (sketch == np.frombuffer(row.sketch, "<u2")).mean(axis=1) >= LEAST_ESTIMATE
                 if alike.any() and row.away is not None:
                     with np.errstate(invalid="ignore"):
                         alike &= ~(np.abs(away - row.away) > 1 - threshold + 1e-9)
@@ -276,27 +272,36 @@ def _large_links(work: Workspace, mixed: DataFrame, nodes: DataFrame, stored: Da
     return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(tile, "a binary, b binary, similarity double").distinct()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The stored rows of ``docs`` as (row_key, row) and their classes as
-    (row_key, doc_id, class_id, class_size, n_links, first)."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, carried: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stored rows of ``docs`` as (row_key, row), with the carried columns (all by default), and their classes as
+    (row_key, doc_id, class_id, class_size, n_spanning, first).  Every other table is deleted after its last use."""
     work = Workspace(docs.sparkSession, "near-dup")
-    stored = work.put(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")), "stored")
-    plain = stored.select("row_key", F.col("row.text").alias("text"), F.col("row.doc_id").alias("doc_id"))
-    signed = work.put(plain.select("row_key", "text").mapInArrow(_sign, SIGNED), "signed")
+    names = docs.columns if carried is None else carried
+    stored = work.put(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*(docs[f"`{c}`"] for c in names)).alias("row")), "stored")
+    texts = stored.select("row_key", F.col("row.text").alias("text"))
+    signed = work.put(texts.mapInArrow(_sign, SIGNED), "signed")
 
     heads = signed.where("n > 0").groupBy("content").agg(F.min("row_key").alias("row_key"))
-    nodes = signed.join(heads.select("row_key"), "row_key", "left_semi")
-    nodes = work.put(nodes, "nodes")
+    nodes = work.put(signed.join(heads.select("row_key"), "row_key", "left_semi").select("content", "row_key", "bands", "sketch"), "nodes")
+    doc_ids = stored.select("row_key", F.col("row.doc_id").alias("doc_id"))
+    rows = signed.select("row_key", F.when(F.col("n") > 0, F.col("content")).alias("content")).join(doc_ids, "row_key")
+    rows = work.put(rows, "rows", "signed")
     placed = nodes.select("content", F.explode("bands").alias("band"))
     sizes = placed.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared = work.put(placed.join(sizes, "band"), "shared")
+    shared = work.put(join_uneven(placed, sizes, "band", "k", HOT_BAND), "shared")
+    met = nodes.join(shared.select("content").distinct(), "content", "left_semi").select("content", "row_key", "sketch")
+    met = work.put(met, "met", "nodes")
+    sketches = met.select("content", "sketch")
+    bags = texts.join(met.select("row_key", "content"), "row_key").select("content", "text").mapInArrow(_bags, "content binary, bag array<bigint>")
+    bags = work.put(bags, "bags")
     # A bucket's head is the node that meets most others, as the text that copies were edited from does.
     degree = shared.groupBy("content").agg(F.sum("k").alias("degree"))
-    heads_of = shared.join(degree, "content").groupBy("band").agg(F.max_by("content", F.struct("degree", "content")).alias("head"))
-    members = work.put(shared.join(heads_of, "band"), "members")
+    heads_of = shared.join(degree, "content").groupBy("band").agg(F.max_by("content", F.struct("degree", "content")).alias("head"), F.max("k").alias("k"))
+    heads_of = work.put(heads_of, "heads")
+    members = work.put(join_uneven(shared.drop("k"), heads_of, "band", "k", HOT_BAND), "members", "shared", "heads")
 
     star = members.where("content <> head").select(F.col("content").alias("a"), F.col("head").alias("b")).distinct()
-    tested = _verified(work, star, nodes, plain, "star")
+    tested = _verified(work, star, sketches, bags, "star")
     links = tested.where(F.col("similarity") >= threshold)
     roots = components(work, links.select("a", "b"), "star-components")
 
@@ -307,32 +312,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         "band", "k", "head", "content", F.coalesce("root", "content").alias("root"),
         F.when(F.col("content") == F.col("head"), 0.0).otherwise(F.col("away")).alias("away"), (F.col("content") == F.col("head")).alias("is_head"),
     )
+    rooted = work.put(rooted, "rooted", "members", "star-components")
     parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = work.put(rooted.join(main, "band"), "mixed")
+    mixed = work.put(rooted.join(main, "band"), "mixed", "rooted")
     small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
     cross = work.put(_small_pairs(small, threshold).distinct(), "cross")
-    more = _verified(work, cross, nodes, plain, "more").where(F.col("similarity") >= threshold)
-    more = more.unionByName(work.put(_large_links(work, large, nodes, plain, threshold), "large-links"))
-    every = work.put(links.unionByName(more).select("a", "b").distinct(), "links")
+    more = _verified(work, cross, sketches, bags, "more").where(F.col("similarity") >= threshold)
+    more = more.unionByName(work.put(_large_links(work, large, sketches, bags, threshold), "large-links"))
+    every = work.put(links.unionByName(more).select("a", "b").distinct(), "links", "star", "cross", "more", "mixed", "large", "large-links", "bags", "met")
     final = components(work, every, "components")
 
-    ends = every.select(F.explode(F.array("a", "b")).alias("content")).groupBy("content").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = signed.select("row_key", F.when(F.col("n") > 0, F.col("content")).alias("content")).join(plain.select("row_key", "doc_id"), "row_key")
-    rows = work.put(rows, "rows")
+    ends = every.select(F.explode(F.array("a", "b")).alias("content")).groupBy("content").agg(F.count(F.lit(1)).alias("n_spanning"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     contents = rows.where("content is not null").groupBy("content").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("k"))
     contents = contents.join(final.select(F.col("node").alias("content"), "root"), "content", "left").join(ends, "content", "left")
-    contents = work.put(contents.select("content", F.coalesce("root", "content").alias("root"), "least", "k", F.coalesce("n_links", F.lit(0)).alias("n_links")), "contents")
+    contents = contents.select("content", F.coalesce("root", "content").alias("root"), "least", "k", F.coalesce("n_spanning", F.lit(0)).alias("n_spanning"))
+    contents = work.put(contents, "contents", "components", "links")
     groups = contents.groupBy("root").agg(F.min("least").alias("first"), F.sum("k").alias("class_size"))
-    known = contents.join(groups, "root").select("content", "first", "class_size", "n_links")
-    out = rows.join(known, "content", "left").select(
-        "row_key", "doc_id",
-        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce(F.col("first.row_key") == F.col("row_key"), F.lit(True)).alias("first"),
-    )
-    return stored, out
+    known = work.put(contents.join(groups, "root").select("content", "first", "class_size", "n_spanning", "k"), "known", "contents")
+    columns = ["row_key", "doc_id", "class_id", "class_size", "n_spanning", "first"]
+    shared_rows = join_uneven(rows.where("content is not null"), known, "content", "k", HOT_BAND).select(
+        "row_key", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_spanning", (F.col("first.row_key") == F.col("row_key")).alias("first")
+    )
+    alone = rows.where("content is null").select("row_key", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_spanning"), F.lit(True).alias("first"))
+    return stored, work.put(shared_rows.select(columns).unionByName(alone), "classes", "rows", "known")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -342,5 +346,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_links counts links between different texts; ``first`` marks the document that stays."""
-    return classes(documents(spark, sf_dir).select("doc_id", "text"))[1].drop("row_key")
+    """``first`` marks the document that stays; n_spanning counts the links found at a text, which connect its class."""
+    return classes(documents(spark, sf_dir), carried=["doc_id", "text"])[1].drop("row_key")
