@@ -12,43 +12,47 @@ one's docs.  The first four return the columns of ``documents``:
 - ``byte_bpe`` encodes and decodes: doc_id, n_tokens, and the digests of ids and
   of decoded bytes.
 
-Null texts have no words and go with the quality rules.  Extra columns are
-carried by the first four stages whatever their names.
+Null texts have no words and go with the quality rules.  Empty tables give empty
+tables.  Of repeated rows and of ties in doc_id one row stays, as of any copies.
+Texts of any length are taken whole.  Extra columns are carried by the first four
+stages whatever their names.
+
+A stage's result is written before the next stage is called, as ``run`` does, or
+handed to it as its docs.  What a stage stored is deleted once a later stage's
+docs no longer read it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sourcewise.llm import byte_bpe, decontaminate, near_dup, pii, quality
-from sourcewise.llm.common import Workspace, documents
+from sourcewise.llm.common import Stage, Workspace, documents
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep(docs)
+    with Stage(docs):
+        return quality.keep(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_one(docs)
+    with Stage(docs):
+        return near_dup.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "decontaminate-stage")
-    key = "_row_key" + "_" * sum(c.startswith("_row_key") for c in docs.columns)
-    stored = work.put(docs.withColumn(key, F.monotonically_increasing_id()), "stored")
-    keyed = stored.select(F.col(key).alias("doc_id"), "text")
-    found = decontaminate.contamination(decontaminate.matches(spark, keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    bad = found.where("contaminated").select(F.col("doc_id").alias(key))
-    return stored.join(bad, key, "left_anti").select(*(stored[f"`{c}`"] for c in docs.columns))
+    with Stage(docs):
+        return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
+    with Stage(docs):
+        return pii.redact(docs)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(docs)
+    with Stage(docs):
+        return byte_bpe.digests(docs)
 
 
 STAGES = [
@@ -65,6 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, docs = Workspace(spark, "pipeline"), documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = work.put(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = work.put(stage(spark, docs, sf_dir), name, *(n for n, _ in STAGES[:k][-1:]))
     return docs
