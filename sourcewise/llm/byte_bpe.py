@@ -12,19 +12,23 @@ ids has one possible slot, so a lookup reads at most two elements (a Spark map
 would be searched from its start).  A last pass puts the ids of the words
 together and decodes every document from its ids by joining the pieces.
 
+The fold takes n steps over the n bytes of a word, so words of over ``LONG_WORD``
+bytes, such as unbroken runs without a space, are merged in the same order by a heap
+in the task that splits the texts, in about n log n steps.
+
 There is no shuffle, nothing grows with the corpus, and a lost executor repeats
 only its own tasks.
 
 Defined results.  A null or empty text has no ids, and the digests are those of
-no bytes.  Rows with null or repeated doc_id each give their row.  A word of n
-bytes takes n steps over its pieces, so one word of many thousand bytes is slow
-but exact.  Other columns are ignored.
+no bytes.  Rows with null or repeated doc_id each give their row.  An empty table gives no rows.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from functools import cache
 
 import numpy as np
@@ -38,7 +42,9 @@ from sourcewise.llm.common import documents, let, parts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words after which a row ends, distinct words after which a task forgets them, input bytes that one task takes.
-ROW_WORDS, TASK_WORDS, TASK_BYTES = 500_000, 500_000, 128 << 20
+ROW_WORDS, TASK_WORDS, TASK_BYTES = 350_000, 500_000, 128 << 20
+#: Bytes of a word beyond which a heap merges it.
+LONG_WORD = 1_000
 #: Slots (primes) of the two arrays of the rank map; the rank of a pair that has none.
 SLOTS, NONE = (131_101, 149_993), 1 << 20
 
@@ -148,19 +154,45 @@ def _fold(words: Column, tables: Column) -> Column:
     return F.transform(words, of)
 
 
-BATCH_SCHEMA = "forget boolean, keys array<bigint>, n_words array<int>, at array<int>, words array<array<bigint>>"
+def heap_merges(word: list[int], ranks: dict[int, int]) -> list[int]:
+    """Token ids of one word, given as its bytes' ids: of the pairs of lowest rank the leftmost is joined, until none has a rank."""
+    ids, n = list(word), len(word)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    rank = ranks.get
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(65_536 * ids[i] + ids[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i, left, right = heapq.heappop(heap)
+        j = after[i] if ids[i] >= 0 else n
+        if j >= n or ids[i] != left or ids[j] != right:
+            continue  # one of both has been joined to another piece since
+        ids[i], ids[j], after[i] = r, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (x := rank(65_536 * r + ids[after[i]])) is not None:
+                heapq.heappush(heap, (x, i, r, ids[after[i]]))
+        if before[i] >= 0 and (x := rank(65_536 * ids[before[i]] + r)) is not None:
+            heapq.heappush(heap, (x, before[i], ids[before[i]], r))
+    return [x for x in ids if x >= 0]
+
+
+BATCH_SCHEMA = "forget boolean, keys array<bigint>, n_words array<int>, at array<int>, words array<array<bigint>>, long_at array<int>, long_ids array<array<int>>"
 
 
 def _rows(pattern: str, path: str):
     def gather(batches):
         find = regex.compile(pattern).findall
-        ranks = ranks_of(path)
+        ranks, pairs = ranks_of(path), pair_ranks(path)
         byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         number: dict[str, int] = {}
         keys, counts, at, new, forget = [], [], [], [], True
 
         def row():
             raw = [w.encode("utf-8", "surrogatepass") for w in new]
+            long = [i for i, x in enumerate(raw) if len(x) > LONG_WORD]
+            merged = [heap_merges(byte_ids[np.frombuffer(raw[i], np.uint8)].tolist(), pairs) for i in long]
+            for i in long:
+                raw[i] = b""
             flat = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -171,8 +203,10 @@ def _rows(pattern: str, path: str):
                 pa.array([counts], pa.list_(pa.int32())),
                 pa.array([np.concatenate(at)], pa.list_(pa.int32())),
                 whole,
+                pa.array([long], pa.list_(pa.int32())),
+                pa.array([merged], pa.list_(pa.list_(pa.int32()))),
             ]
-            return pa.RecordBatch.from_arrays(cols, names=["forget", "keys", "n_words", "at", "words"])
+            return pa.RecordBatch.from_arrays(cols, names=["forget", "keys", "n_words", "at", "words", "long_at", "long_ids"])
 
         total = 0
         for batch in batches:
@@ -215,6 +249,10 @@ class _Words:
                 self.starts = np.concatenate((self.starts, offsets[:-1] - offsets[0] + len(self.flat)))
                 self.sizes = np.concatenate((self.sizes, np.diff(offsets)))
                 self.flat = np.concatenate((self.flat, flat[offsets[0] : offsets[-1]].astype("<u4")))
+                first = len(self.starts) - len(offsets) + 1
+                for at_word, merged in zip(batch.column(5)[row].as_py(), batch.column(6)[row].values, strict=True):
+                    self.starts[first + at_word], self.sizes[first + at_word] = len(self.flat), len(merged)
+                    self.flat = np.concatenate((self.flat, merged.values.to_numpy().astype("<u4")))
                 yield keys, counts.to_numpy().astype(np.int64), at.to_numpy()
 
     def ids(self, at: np.ndarray) -> np.ndarray:
@@ -259,7 +297,7 @@ def word_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     plain = docs.select("doc_id", "text")
     tasks = max(2 * spark.sparkContext.defaultParallelism, parts_of(plain, TASK_BYTES))
     rows = plain.coalesce(tasks).mapInArrow(_rows(pattern, path), BATCH_SCHEMA)
-    return rows.select("forget", "keys", "n_words", "at", fold_merges(F.col("words"), spark, path).alias("ids"))
+    return rows.select("forget", "keys", "n_words", "at", fold_merges(F.col("words"), spark, path).alias("ids"), "long_at", "long_ids")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

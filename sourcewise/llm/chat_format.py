@@ -1,4 +1,4 @@
-"""Chat formatting: tool calls linked to their results, ordered, validated, written as canonical JSON.
+r"""Chat formatting: tool calls linked to their results, ordered, validated, written as canonical JSON.
 
 A message's text may hold tool calls, ``<tool_call>{...}</tool_call>`` with
 ``id``, ``name`` and ``arguments`` (an object, or its JSON text), results,
@@ -8,16 +8,20 @@ schema).  Calls may also stand as a JSON object with ``tool_calls`` (entries
 with ``id`` and ``function``), and results as a message of role ``tool`` with
 ``tool_call_id``.  Each message and each call or result in it is a unit, one row.
 
-Calls and results meet by a hash join on (conversation, identifier).  Units are
+Calls and results meet by a hash join on (conversation, identifier); calls meet
+their tool's definition by one that spreads tools with very many calls.  Units are
 ordered topologically: a result follows its call, and a call follows the results
 whose identifiers its arguments name as ``{"$ref": id}``.  A unit's order key is
 (turn, place, depth), the greatest of its own and, for each unit before it,
 that unit's with one more depth; so units keep their place unless a dependence
-moves them.  Keys are found in rounds over the rows that depend on something;
-no conversation is gathered, so one with a third of all rows costs no more.
-Units on a cycle keep their own place and are marked.
-
-Defined results.  A null text is empty.  Text that is no valid JSON stays text
+moves them.  Units with equal keys follow in the order of their own turn and place,
+so (at_turn, at_place, depth, turn, place) is a total order but for repeated rows.
+Keys are found in rounds over the units that still wait for another one; a round
+reads and writes those only.  No conversation is gathered, so one with a third of
+all rows costs no more.  Units on a cycle keep their own place and are marked.
+
+Defined results.  A null text is empty.  Half of a surrogate pair, which UTF-8 can't
+hold, is written as its escape (``\ud800``) wherever it stands.  Text that is no valid JSON stays text
 and is reported in ``error``.  An identifier used by several calls links to the
 first; further calls are marked ``duplicate id``.  A result without a call and a
 call without a result are marked.  A call of a tool without a definition is not
@@ -39,9 +43,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcewise.llm.common import Workspace
+from sourcewise.llm.common import Workspace, join_uneven
 
 ROUNDS = 10_000
+#: Calls of a tool from which it may count as hot.
+HOT_CALLS = 1_000
+_HALF = re.compile("[\ud800-\udfff]")
 _BLOCK = re.compile(r"<(tool_call|tool_result|tools)>(.*?)</\1>", re.S)
 UNITS = "conv_id bigint, turn bigint, place int, role string, kind string, call_id string, name string, body string, refs array<string>, error string"
 
@@ -60,7 +67,12 @@ def canonical(value) -> str:
             return int(x) if x == int(x) and abs(x) < 2**53 else x
         return x
 
-    return json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return whole(json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+
+def whole(text: str) -> str:
+    """``text`` with halves of surrogate pairs as escapes."""
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 _TYPES = {
@@ -200,7 +212,7 @@ def violations(value, schema, at: str = "$", root=None, seen: tuple = ()) -> lis
 def _refs(value) -> list[str]:
     if isinstance(value, dict):
         if set(value) == {"$ref"}:
-            return [str(value["$ref"])]
+            return [whole(str(value["$ref"]))]
         return [r for v in value.values() for r in _refs(v)]
     return [r for v in value for r in _refs(v)] if isinstance(value, list) else []
 
@@ -211,7 +223,7 @@ def _call(found: dict) -> dict:
     arguments = json.loads(arguments) if isinstance(arguments, str) else arguments
     if found.get("id") is None or not isinstance(arguments, dict):
         raise ValueError("a call needs an id and an object of arguments")
-    return {"kind": "call", "call_id": str(found["id"]), "name": str(inner.get("name")), "body": canonical(arguments), "refs": sorted(set(_refs(arguments)))}
+    return {"kind": "call", "call_id": whole(str(found["id"])), "name": whole(str(inner.get("name"))), "body": canonical(arguments), "refs": sorted(set(_refs(arguments)))}
 
 
 def units_of(role: str | None, text: str | None) -> list[dict]:
@@ -222,11 +234,11 @@ def units_of(role: str | None, text: str | None) -> list[dict]:
         try:
             found = json.loads(raw)
             if kind == "tools":
-                new = [{"kind": "tool", "name": str(t["name"]), "body": canonical(t.get("parameters", {}))} for t in found]
+                new = [{"kind": "tool", "name": whole(str(t["name"])), "body": canonical(t.get("parameters", {}))} for t in found]
             elif kind == "tool_call":
                 new = [_call(found)]
             else:
-                new = [{"kind": "result", "call_id": str(found["id"]), "body": canonical(found.get("content"))}]
+                new = [{"kind": "result", "call_id": whole(str(found["id"])), "body": canonical(found.get("content"))}]
         except (ValueError, TypeError, KeyError, AttributeError, RecursionError) as error:
             errors.append(f"{kind}: {type(error).__name__}")
             return False
@@ -242,7 +254,7 @@ def units_of(role: str | None, text: str | None) -> list[dict]:
                 out += [_call(c) for c in found["tool_calls"]]
                 rest = str(found.get("content") or "")
             elif role == "tool":
-                out.append({"kind": "result", "call_id": str(found["tool_call_id"]), "body": canonical(found.get("content"))})
+                out.append({"kind": "result", "call_id": whole(str(found["tool_call_id"])), "body": canonical(found.get("content"))})
                 rest = ""
         except (ValueError, TypeError, KeyError, AttributeError, RecursionError) as error:
             errors.append(f"message: {type(error).__name__}")
@@ -265,7 +277,7 @@ def _check(batches):
         out = []
         for body, schema in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             try:
-                out.append("; ".join(violations(json.loads(body), json.loads(schema))))
+                out.append(whole("; ".join(violations(json.loads(body), json.loads(schema)))))
             except (ValueError, TypeError, AttributeError, KeyError, ArithmeticError, re.error, RecursionError) as error:
                 out.append(f"schema: {type(error).__name__}")
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["unit", "broken"])
@@ -285,7 +297,10 @@ def linked(turns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     answer = results.where("call is not null").groupBy("call").agg(F.min("own").alias("own")).select(F.col("call").alias("unit"), F.col("own.unit").alias("answer"))
 
     tools = marked.where("kind = 'tool'").groupBy("conv", "name").agg(F.min_by("body", own).alias("schema"))
-    broken = calls.join(tools, ["conv", "name"]).select("unit", "body", "schema").mapInArrow(_check, "unit bigint, broken string")
+    uses = calls.groupBy("conv", "name").agg(F.count(F.lit(1)).alias("n"))
+    tools = work.put(tools.join(uses, ["conv", "name"]).select(F.struct("conv", "name").alias("tool"), "schema", "n"), "tools")
+    called = join_uneven(calls.select("unit", "body", F.struct("conv", "name").alias("tool")), tools, "tool", "n", HOT_CALLS)
+    broken = work.put(called.select("unit", "body", "schema").mapInArrow(_check, "unit bigint, broken string"), "broken", "tools")
 
     # Edges (before, after); a reference names the call, and means its first result.
     after_call = results.where("call is not null").select(F.col("call").alias("before"), F.col("unit").alias("after"))
@@ -297,29 +312,29 @@ def linked(turns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     key = lambda c: F.struct(c["turn"].alias("turn"), c["place"].alias("place"), F.lit(0).alias("depth"))
     plain = marked.select("unit", key(own).alias("own"))
     ends = edges.select(F.explode(F.array("before", "after")).alias("unit")).distinct()
-    done = ends.join(edges.select(F.col("after").alias("unit")).distinct(), "unit", "left_anti").join(plain, "unit").select("unit", F.col("own").alias("key"))
-    done = work.put(done, "done0")
-    parts = [done]
-    known = done
+    waiting = edges.groupBy(F.col("after").alias("unit")).agg(F.count(F.lit(1)).alias("missing")).join(plain, "unit")
+    waiting = work.put(waiting.select("unit", "missing", F.col("own").alias("key")), "waiting0")
+    fresh = ends.join(waiting.select("unit"), "unit", "left_anti").join(plain, "unit").select("unit", F.col("own").alias("key"))
+    fresh = work.put(fresh, "done0")
+    known, left = fresh, edges
     for k in range(1, rounds):
-        ready = edges.join(known.select(F.col("unit").alias("before"), "key"), "before", "left").groupBy("after").agg(
-            F.count_if(F.col("key").isNull()).alias("missing"),
-            F.max(F.struct(F.col("key.turn"), F.col("key.place"), (F.col("key.depth") + 1).alias("depth"))).alias("pushed"),
-        )
-        ready = ready.where("missing = 0").withColumnRenamed("after", "unit").join(known.select("unit"), "unit", "left_anti")
-        fresh = work.put(ready.join(plain, "unit").select("unit", F.greatest("own", "pushed").alias("key")), f"done{k}")
         if fresh.isEmpty():
             break
-        parts.append(fresh)
-        known = work.put(known.unionByName(fresh), f"known{k}")
-        if k > 1:
-            work.drop(f"known{k - 1}")
+        told = left.join(fresh.select(F.col("unit").alias("before"), "key"), "before").groupBy(F.col("after").alias("unit")).agg(
+            F.count(F.lit(1)).alias("told"), F.max(F.struct(F.col("key.turn"), F.col("key.place"), (F.col("key.depth") + 1).alias("depth"))).alias("pushed")
+        )
+        state = waiting.join(told, "unit", "left").select("unit", (F.col("missing") - F.coalesce("told", F.lit(0))).alias("missing"), F.greatest("key", "pushed").alias("key"))
+        state = work.put(state, f"state{k}", f"waiting{k - 1}")
+        waiting = work.put(state.where("missing > 0"), f"waiting{k}")
+        fresh = work.put(state.where("missing = 0").select("unit", "key"), f"done{k}", f"state{k}")
+        left = work.put(left.join(waiting.select(F.col("unit").alias("after")), "after", "left_semi"), f"left{k}", *([f"left{k - 1}"] if k > 1 else []))
+        known = known.unionByName(fresh)
     else:
         raise ValueError(f"a chain of calls is longer than {rounds}")
 
     links = answer.select("unit", F.col("answer").alias("linked")).unionByName(results.select("unit", F.col("call").alias("linked")))
     repeated = calls.join(first.select(F.col("call").alias("unit")), "unit", "left_anti").select("unit").withColumn("repeated", F.lit("duplicate id"))
-    cyclic = ends.join(known.select("unit"), "unit", "left_anti").withColumn("cyclic", F.lit("cycle"))
+    cyclic = waiting.select("unit").withColumn("cyclic", F.lit("cycle"))
     out = units
     for part in (known, links, broken, unknown, repeated, cyclic):
         out = out.join(part, "unit", "left")
@@ -354,3 +369,42 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every unit with its order key, links, errors, canonical JSON and the JSON's digest."""
     out = linked(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return out.withColumn("json_sha256", F.sha2("json", 256))
+
+
+def tool_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given conversations with tool calls put in, as they hold none: an assistant's turn t calls ``count`` under the
+    id ``c<t>``, naming the call two turns before, and a user's turn holds a result.  In every third conversation that is
+    the result of the turn to come, elsewhere of the turn before; every fifth turn's argument breaks the schema."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = F.coalesce("text", F.lit(""))
+    tools = '<tools>[{"name":"count","parameters":{"type":"object","required":["n"],"properties":{"n":{"type":"integer"},"of":{}}}}]</tools>'
+    n = F.when(F.col("turn") % 5 == 0, F.concat(F.lit('"'), F.length(text).cast("string"), F.lit('"'))).otherwise(F.length(text).cast("string"))
+    of = F.when(F.col("turn") >= 3, F.concat(F.lit(',"of":{"$ref":"c'), (F.col("turn") - 2).cast("string"), F.lit('"}'))).otherwise(F.lit(""))
+    call = F.concat(F.lit('<tool_call>{"id":"c'), F.col("turn").cast("string"), F.lit('","name":"count","arguments":{"n":'), n, of, F.lit("}}</tool_call>"))
+    answered = F.when(F.col("conv_id") % 3 == 0, F.col("turn") + 1).otherwise(F.col("turn") - 1)
+    result = F.concat(F.lit('<tool_result>{"id":"c'), answered.cast("string"), F.lit('","content":'), F.col("turn").cast("string"), F.lit("}</tool_result>"))
+    added = F.when(F.col("turn") == 0, F.lit(tools)).otherwise(F.lit(""))
+    added = F.concat(added, F.when(F.col("role") == "assistant", call).when(F.col("role") == "user", result).otherwise(F.lit("")))
+    return table.select("conv_id", "turn", "role", F.concat(F.regexp_replace(text, "</?tool", ""), added).alias("text"))
+
+
+#: The calls and results of ``tool_call_links``: every chain in the table has two links at most.
+TOOL_CALL_LINKS_SQL = """WITH u AS (SELECT conv_id, turn, 1 + CAST(turn = 0 AS INT) AS place, CASE role WHEN 'assistant' THEN 'call' ELSE 'result' END AS kind,
+  CASE WHEN role = 'assistant' THEN turn WHEN conv_id % 3 = 0 THEN turn + 1 ELSE turn - 1 END AS c FROM conversations WHERE role IN ('assistant', 'user')),
+calls AS (SELECT conv_id, turn, place FROM u WHERE kind = 'call'),
+answers AS (SELECT conv_id, c, min(turn) AS turn FROM u WHERE kind = 'result' GROUP BY ALL)
+SELECT u.conv_id, u.turn, u.kind, 'c' || u.c AS call_id,
+ CASE WHEN u.kind = 'result' AND calls.turn > u.turn THEN calls.turn ELSE u.turn END AS at_turn, CASE WHEN u.kind = 'result' AND calls.turn > u.turn THEN 1 ELSE 0 END AS depth,
+ CASE u.kind WHEN 'call' THEN a.c IS NOT NULL ELSE calls.turn IS NOT NULL END AS is_linked,
+ CASE WHEN u.kind = 'call' AND t.conv_id IS NOT NULL THEN u.turn % 5 <> 0 END AS is_valid,
+ coalesce(CASE WHEN u.kind = 'call' AND u.turn >= 3 THEN r.turn IS NULL END, false) AS is_unknown
+FROM u LEFT JOIN calls ON calls.conv_id = u.conv_id AND calls.turn = u.c LEFT JOIN answers a ON a.conv_id = u.conv_id AND a.c = u.c
+LEFT JOIN (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0) t ON t.conv_id = u.conv_id
+LEFT JOIN calls r ON r.conv_id = u.conv_id AND r.turn = u.turn - 2"""
+
+
+def tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of ``tool_turns`` with their order keys, links and verdicts."""
+    out = linked(tool_turns(spark, sf_dir)).where(F.col("kind").isin("call", "result"))
+    unknown = F.coalesce(F.contains("error", F.lit("reference to no call")), F.lit(False))
+    return out.select("conv_id", "turn", "kind", "call_id", "at_turn", "depth", "is_linked", "is_valid", unknown.alias("is_unknown"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,17 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: list[Workspace] = []
 
 
+@contextmanager
+def freed(spark: SparkSession):
+    """Queries that are written inside delete the files of their shuffles as they end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 class Workspace:
     """Tables that cut lineage, kept below ``spark.checkpoint.dir``.
 
@@ -38,12 +50,9 @@ class Workspace:
 
         The files of its shuffles go once it is written, as nothing else reads them.
         """
-        at, before = f"{self.path}/{name}", self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        at = f"{self.path}/{name}"
+        with freed(self.spark):
             df.write.mode("overwrite").parquet(at)
-        finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         for old in used:
             self.drop(old)
         return self.spark.read.schema(df.schema).parquet(at)

@@ -16,7 +16,9 @@ small pages in many layouts, whose elements carry their label in ``data-y``.
 Parsing follows HTML where it matters for text: comments, scripts, styles and
 other raw elements are skipped to their end tag; a block start closes an open
 paragraph; list items, cells and options close their predecessors; a stray end
-tag is ignored; every page has one html and one body element.  Inline elements belong to their block, ``br`` is white space.
+tag is ignored; every page has one html and one body element.  Elements that are no
+blocks belong to their block, formulas and embedded media's text too; ``br`` is white space.
+A slash at the end of a start tag closes nothing.
 
 Defined results.  A null or empty page, or one without content, gives "".
 Repeated rows are handled row by row.  Other columns are ignored.
@@ -38,8 +40,8 @@ _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[a-z]+")
 # Elements by their role in parsing.
-RAW = frozenset("script style template noscript textarea select title iframe object svg canvas audio video math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label map mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del picture source".split())
+RAW = frozenset("script style template noscript textarea select title".split())
+BLOCK = frozenset("body button caption center colgroup dir hgroup html head legend listing noframes optgroup search summary plaintext xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -50,6 +52,20 @@ GOOD_WORDS = frozenset("article articlebody body content entry main maincontent
 TAGS = {"address": "meta", "article": "article", "main": "article", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "fieldset": "form", "menu": "nav", "p": "p", "h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "ul": "list", "ol": "list", "dl": "list", "li": "item", "dt": "item", "dd": "item", "table": "table", "tr": "table", "td": "cell", "th": "cell", "tbody": "table", "pre": "pre", "blockquote": "pre", "figure": "figure", "figcaption": "figure", "section": "div", "div": "div", "html": "root", "body": "root", "dialog": "form"}
 
 
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+def _is_block(tag: str) -> bool:
+    """Whether an element is a node of the tree; all others, unknown ones too, are part of their block's text, as in a browser."""
+    return tag in BLOCK or tag in TAGS or tag in CLOSES_P or tag in SIBLINGS
+
+
+def _is_hidden(attributes: str, found: dict[str, str]) -> bool:
+    style = found.get("style", "").replace(" ", "").lower()
+    return found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or bool(_HIDDEN.search(_QUOTED.sub('""', attributes)))
+
+
 class Node:
     __slots__ = ("tag", "parent", "features", "label", "parts", "words", "linked", "ends")
 
@@ -62,10 +78,10 @@ class Node:
             named = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
             tokens = set(_TOKEN.findall(named))
             if tokens & BAD_WORDS:
-                self.features.append("bad")
+                self.features += ["bad", "bad " + self.features[0]]
             if tokens & GOOD_WORDS:
                 self.features.append("good")
-            if "hidden" in attributes.lower():
+            if _is_hidden(attributes, found):
                 self.features.append("hidden")
             if "data-y" in found:
                 self.label = int(found["data-y"])
@@ -121,7 +137,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if found[2]:
             if tag == "a":
                 link = max(0, link - 1)
-            elif tag not in INLINE:
+            elif _is_block(tag):
                 close((tag,), stop=frozenset(("td", "th", "table")) if tag in ("p", "div", "section") else frozenset())
             continue
         if tag in RAW:
@@ -133,7 +149,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 end = page.find(">", end)
                 at = size if end < 0 else end + 1
             continue
-        if tag in INLINE:
+        if not _is_block(tag):
             if tag == "br":
                 text(" ")
             elif tag == "a":
@@ -148,7 +164,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         link = 0
         nodes.append(Node(tag, stack[-1], attributes))
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID:
             stack.append(len(nodes) - 1)
     flush()
     for node in nodes:
@@ -237,6 +253,9 @@ def labelled_pages(n: int = N_LABELLED, seed: int = 7) -> list[str]:
     pick = rng.choice
 
     def el(tag: str, y: int, inner: str, name: str = "") -> str:
+        # Names are weak evidence: some elements are named after something else.
+        if rng.random() < 0.05:
+            name = pick(sorted(BAD_WORDS if y else GOOD_WORDS))
         named = f' {pick(("class", "id"))}="{name}"' if name else ""
         return f"<{tag}{named} data-y={y}>{inner}</{tag}>"
 
@@ -247,7 +266,10 @@ def labelled_pages(n: int = N_LABELLED, seed: int = 7) -> list[str]:
         return el(tag, y, "".join(el("li", y, f'<a href="/{word()}">{words(1, 4)}</a>') for _ in range(rng.randint(2, 7))))
 
     def boiler() -> str:
-        kind = rng.randrange(13)
+        kind = rng.randrange(14)
+        if kind == 13:
+            inner = pick((sentences(1, 4), el("p", 0, sentences(1, 4))))
+            return f"<{pick(('div', 'p', 'section'))} {pick(('hidden', 'aria-hidden=true', 'style=display:none'))} data-y=0>{inner}</div>"
         if kind == 0:
             return el("nav", 0, links(0), pick(("", "menu", "navbar")))
         if kind == 1:
@@ -273,6 +295,8 @@ def labelled_pages(n: int = N_LABELLED, seed: int = 7) -> list[str]:
 
     def content() -> str:
         out = [el("h1", 1, words(2, 9))] if rng.random() < 0.8 else []
+        if out and rng.random() < 0.2:
+            out = [el("header", 1, out[0])]
         for _ in range(rng.randint(1, 8)):
             kind = rng.random()
             if kind < 0.6:
@@ -287,6 +311,8 @@ def labelled_pages(n: int = N_LABELLED, seed: int = 7) -> list[str]:
                 out.append(el("table", 1, "".join(el("tr", 1, el("td", 1, words(1, 3)) + el("td", 1, words(1, 3))) for _ in range(3))))
             elif kind < 0.84:
                 out.append(el(pick(("section", "div")), 1, el("p", 1, sentences(1, 4))))
+            elif kind < 0.89:
+                out.append(el("div", 1, sentences(1, 5)))
             else:
                 out.append(boiler())
         return "".join(out)
@@ -294,18 +320,20 @@ def labelled_pages(n: int = N_LABELLED, seed: int = 7) -> list[str]:
     pages = []
     for _ in range(n):
         body = content()
-        shape = rng.randrange(6)
+        shape = rng.randrange(8)
         if shape <= 2:
             body = el(pick(("article", "main", "article")), 1, body, pick(("", "", "post", "content")))
         elif shape == 3:
             body = el("main", 1, el("article", 1, body))
         elif shape == 4:
             body = el("div", 1, body, pick(("content", "main", "article-body", "post entry", "story")))
-        else:
+        elif shape == 5:
             body = el("div", 1, el("div", 1, body, pick(("content", "text"))), pick(("", "main")))
+        elif shape == 6:
+            body = el(pick(("div", "section")), 1, body, pick(("", "main", "content", "text")))
         before = "".join(boiler() for _ in range(rng.randint(0, 4)))
         after = "".join(boiler() for _ in range(rng.randint(0, 4)))
-        whole = before + body + after
+        whole = body if rng.random() < 0.15 else before + body + after
         if rng.random() < 0.3:
             whole = f"<div data-y=0 class={pick(('wrapper', 'page', 'container'))}>{whole}</div>"
         pages.append(f"<html><head><title>{words(1, 5)}</title></head><body>{whole}</body></html>")

@@ -4,7 +4,8 @@ Words are runs of ASCII letters, digits and other non-ASCII characters, lower
 case; shingles are five words.  For each scale s = 1, 2, 4, ... a text is cut
 into windows of three half-scales that start every half-scale (s = 1: single
 shingles), so a run of up to s shingles lies whole in some window.  A template
-belongs to the least scale that holds it, so it makes up a third or more of
+of any length belongs to the least scale that holds it (scales double up to the
+longest template), so it makes up a third or more of
 such a window's shingles.  With one permutation a band and ``BANDS`` bands, the
 window and the template share a band value with a chance of at least
 1 - (2/3)**32 = 0.999997.  Band values are exchanged by an equal join; pairs
@@ -18,6 +19,8 @@ is templates times bands; the outcome is that of signing every window.
 
 Only built-in expressions run.  Shingles are told apart by 64-bit hashes.
 
+A licence with several wordings, as ``MIT`` and ``MIT-full``, is reported for each that is found.
+
 Defined results.  Null, empty and shorter texts match nothing.  Repeated rows
 and null or repeated doc_ids are handled row by row.  Other columns are ignored.
 """
@@ -31,7 +34,11 @@ from sourcewise.llm.common import Workspace, documents, let, text_or_empty
 from sourcewise.llm.license_texts import TEMPLATES
 
 BANDS, LEAST = 32, 0.8
-SCALES = (1, 2, 4, 8, 16, 32, 64, 128)
+
+
+def scales(most: int) -> list[int]:
+    """1, 2, 4, ... up to the first that holds ``most`` shingles."""
+    return [1 << k for k in range(max(0, most - 1).bit_length() + 1)]
 
 
 def shingles(text: Column) -> Column:
@@ -77,25 +84,23 @@ def _minima(h: Column) -> Column:
     return F.array(*(least(b) for b in range(BANDS)))
 
 
-def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """(license, scale, size, h, signature, minima) of each template of five words or more."""
+def templates(spark: SparkSession, texts: dict[str, str]) -> tuple[DataFrame, list[int]]:
+    """(license, scale, size, h, signature, minima) of each template of five words or more, and all scales up to the longest."""
     rows = F.array(*(F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in texts.items()))
-    table = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", F.array_distinct(shingles(F.col("t.text"))).alias("h"))
+    table = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", F.array_distinct(shingles(F.col("t.text"))).alias("h")).where(F.size("h") > 0)
+    steps = scales(table.agg(F.max(F.size("h"))).first()[0] or 1)
     scale = F.lit(None).cast("int")
-    for s in reversed(SCALES):
+    for s in reversed(steps):
         scale = F.when(F.size("h") <= s, s).otherwise(scale)
-    table = table.where(F.size("h") > 0).select("license", scale.alias("scale"), F.size("h").alias("size"), "h", _sign(F.col("h")).alias("signature"), _minima(F.col("h")).alias("minima"))
-    return table
+    return table.select("license", scale.alias("scale"), F.size("h").alias("size"), "h", _sign(F.col("h")).alias("signature"), _minima(F.col("h")).alias("minima")), steps
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """(row_key, doc_id, found): found holds (license, containment, first word, end word), best first of each licence."""
     spark = docs.sparkSession
     work = Workspace(spark, "licenses")
-    known = work.put(templates(spark, TEMPLATES if texts is None else texts), "templates")
-    too_long = [r[0] for r in known.where("scale is null").select("license").collect()]
-    if too_long:
-        raise ValueError(f"templates of more than {SCALES[-1]} shingles: {too_long}")
+    known, steps = templates(spark, TEMPLATES if texts is None else texts)
+    known = work.put(known, "templates")
     probes = [r[0] for r in known.select(F.explode("minima")).distinct().collect()]
 
     base = docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", shingles(text_or_empty()).alias("h"))
@@ -106,7 +111,7 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
 
     def windows(p: Column) -> Column:
         each = []
-        for s in SCALES:
+        for s in steps:
             half = max(1, s // 2)
             last = (p / half).cast("int")
             first = F.greatest(last - (0 if s == 1 else 2), F.lit(0))

@@ -288,4 +288,5 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         _all_written().alias("spans"),
         F.size("added").cast("bigint").alias("n_added"),
+        (sum((F.size(k) for k in KINDS[:4]), F.size("added")) > 0).alias("has_findings"),
     )

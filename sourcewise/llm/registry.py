@@ -8,6 +8,7 @@ QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_html_text": html_text.op2_html_text,
     "op3_chat_format": chat_format.op3_chat_format,
+    "tool_call_links": chat_format.tool_call_links,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -17,6 +18,7 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
 }
 ORACLE_SQL = {
+    "tool_call_links": chat_format.TOOL_CALL_LINKS_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }

@@ -8,19 +8,21 @@ character.  An insertion moves the cuts near it only, and text that repeats a fe
 words is cut at the same phase wherever it stands.
 
 Chunks are deduplicated by a 64-bit digest: one aggregate per digest gives the
-number of occurrences and the first place (least doc_id, then position), and is
-joined back to the occurrences.  Both sides leave their tasks as small rows, and
-a chunk that holds a third of all rows is one partial row per task.  Where a
+number of occurrences, whether they stand in several documents, and the first
+place (least doc_id, then position), and is joined back to the occurrences.  A chunk
+that holds a third of all rows is one partial row per task in the aggregate, and
+is joined by broadcast, not by a shuffle.  Where a
 repeated chunk has a neighbour that isn't repeated, its text is compared with the
 text beside the first occurrence, to the first difference: the characters that
 agree belong to the run.  ``BEFORE`` and ``AFTER`` characters travel with each
 such chunk; where all of them agree, the two whole texts are compared.  The first
 occurrence is extended as far as any copy whose run ends at that chunk agrees.
 
-Neighbouring repeated chunks, so extended, form runs; runs of at least ``RUN``
-code points, and runs over a whole text, are reported, so short common phrases
-and chance digests are left alone.  51 words have over 100 code points.  A copied
-passage is missed only if its two copies share no chunk.
+Neighbouring repeated chunks, so extended, form runs; runs of at least ``RUN_WORDS``
+words (or ``RUN`` code points, for texts without spaces) and runs over a whole text are
+reported, so short common phrases and chance digests are left alone.  ``shared``
+runs repeat in another document; ``removed`` ones repeat anywhere, as lines do in
+one text.  A copied passage is missed only if its two copies share no chunk.
 
 Defined results.  Null and empty texts have no chunks and no runs.  Every row
 counts as a document: an exact copy is one run over the whole text, however short.
@@ -36,15 +38,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcewise.llm.common import Workspace, documents, let
+from sourcewise.llm.common import Workspace, documents, join_uneven, let
 
-LEAST, BITS, MOST, RUN = 16, 4, 96, 100
+LEAST, BITS, RUN_WORDS, RUN = 16, 4, 50, 500
+#: Occurrences of a chunk from which it may count as hot.
+HOT_CHUNKS = 20_000
 SPAN, BEFORE, AFTER = 32, 192, 64
+MOST = LEAST + SPAN
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**32, 256, np.uint32)
 _PAD = 32
-CHUNKED = "row_key bigint, doc_id bigint, n_chars bigint, ends array<int>, digests array<bigint>, text string"
+_BLANK = np.isin(np.arange(256), [0, 9, 10, 11, 12, 13, 32])
+CHUNKED = "row_key bigint, doc_id bigint, n_chars bigint, ends array<int>, words array<int>, digests array<bigint>, text string"
 EDGES = "digest bigint, row_key bigint, i int, first boolean, start int, end int, room_before int, room_after int, before string, after string"
-REACH = "row_key bigint, i int, first_key bigint, first_i int, l int, r int, start int, end int, first_start int, first_end int, room_before int, room_after int, open boolean"
+REACH = "row_key bigint, i int, first_key bigint, first_i int, l int, r int, start int, end int, first_start int, first_end int, room_before int, room_after int, l_words int, r_words int, open boolean"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -96,13 +102,16 @@ def _chunks(batches):
             hot = np.flatnonzero((rank & mask) == 0) + 1
             starts = np.cumsum(sizes + _PAD) - sizes
             first, last = np.searchsorted(hot, starts, "right"), np.searchsorted(hot, starts + sizes, "right")
-            chars, all_ends, digests = [], [], []
+            blank = _BLANK[every]
+            begun = np.concatenate(([0], np.cumsum(~blank[1:] & blank[:-1])))  # words begun up to each byte; texts stand behind zero bytes
+            chars, all_ends, all_words, digests = [], [], [], []
             for k, x in enumerate(raw):
                 data = every[starts[k] : starts[k] + sizes[k]]
                 ends = cut(data, hot[first[k] : last[k]] - starts[k], rank[starts[k] : starts[k] + sizes[k]])
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 chars.append(int(points[-1]))
                 all_ends.append(points[ends].astype(np.int32))
+                all_words.append((begun[starts[k] + np.array(ends, np.int64) - 1] - begun[starts[k] - 1]).astype(np.int32) if ends else np.zeros(0, np.int32))
                 digests.append([xxhash.xxh3_64_intdigest(x[a:b]) for a, b in zip([0, *ends], ends, strict=False)])
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in digests])))
             flat = np.array([v for x in digests for v in x], np.uint64).view(np.int64)
@@ -110,10 +119,11 @@ def _chunks(batches):
                 [
                     part.column(0), part.column(1).cast(pa.int64()), pa.array(chars, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(all_ends), pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(all_words), pa.int32())),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
                     part.column(2).cast(pa.string()),
                 ],
-                names=["row_key", "doc_id", "n_chars", "ends", "digests", "text"],
+                names=["row_key", "doc_id", "n_chars", "ends", "words", "digests", "text"],
             )
 
 
@@ -133,6 +143,11 @@ def _same(a: str, b: str) -> int:
     return low
 
 
+def _begun(text: str) -> int:
+    """Words that begin in a text, but for one at its very start, which may go on from before."""
+    return len(text.split()) - (text[:1].strip() != "")
+
+
 def _table(rows: list[tuple], like: str) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
     fields = [x.split() for x in like.split(", ")]
@@ -167,7 +182,7 @@ def _reach(batches):
         for *place, before, after, first_before, first_after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             l, r = _same(before[::-1], first_before[::-1]), _same(after, first_after)  # noqa: E741
             more = l == BEFORE < place[-2] or r == AFTER < place[-1]
-            rows.append((*place[:4], l, r, *place[4:], more))
+            rows.append((*place[:4], l, r, *place[4:], len(before[len(before) - l :].split()), _begun(after[:r]), more))
         yield _table(rows, REACH)
 
 
@@ -177,8 +192,8 @@ def _far_reach(batches):
         for at in range(batch.num_rows):
             *place, text, first = (c[at].as_py() for c in batch.columns)
             start, end, first_start, first_end, before, after = place[4:]
-            l = _same(text[start - before : start][::-1], first[:first_start][::-1])  # noqa: E741
-            yield _table([(*place[:4], l, _same(text[end : end + after], first[first_end:]), *place[4:], False)], REACH)
+            l, r = _same(text[start - before : start][::-1], first[:first_start][::-1]), _same(text[end : end + after], first[first_end:])  # noqa: E741
+            yield _table([(*place[:4], l, r, *place[4:], len(text[start - l : start].split()), _begun(text[end : end + r]), False)], REACH)
 
 
 def extended(work: Workspace, table: DataFrame, marks: DataFrame) -> DataFrame:
@@ -190,53 +205,52 @@ def extended(work: Workspace, table: DataFrame, marks: DataFrame) -> DataFrame:
     pairs = edges.where("not first").join(firsts, "digest").select(*place, "before", "after", "first_before", "first_after")
     near = work.put(pairs.mapInArrow(_reach, REACH), "near")
     work.drop("edges")
-    rest = near.where("open").drop("l", "r", "open")
+    rest = near.where("open").drop("l", "r", "l_words", "r_words", "open")
     texts = table.select(F.col("row_key").alias("text_key"), "text")
     both = rest.join(texts, F.col("row_key") == F.col("text_key")).drop("text_key").join(texts.withColumnRenamed("text", "first_text"), F.col("first_key") == F.col("text_key")).drop("text_key")
     reach = work.put(near.where("not open").unionByName(both.mapInArrow(_far_reach, REACH)), "reach")
     work.drop("near")
-    first = reach.groupBy("first_key", "first_i").agg(F.max("l").alias("l"), F.max("r").alias("r")).toDF("at_key", "i", "l", "r")
-    every = reach.select(F.col("row_key").alias("at_key"), "i", "l", "r").unionByName(first).where("l > 0 or r > 0")
-    return every.groupBy("at_key").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("l", "r")))).alias("reach"))
+    sides = ["l", "r", "l_words", "r_words"]
+    first = reach.groupBy("first_key", "first_i").agg(*(F.max(c).alias(c) for c in sides)).toDF("at_key", "i", *sides)
+    every = reach.select(F.col("row_key").alias("at_key"), "i", *sides).unionByName(first).where("l > 0 or r > 0")
+    return every.groupBy("at_key").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct(*sides)))).alias("reach"))
 
 
 def _runs(chunks: Column, size: Column) -> Column:
-    """Chunks (start, end) that meet, joined to spans of at least RUN code points or over the whole text."""
-    spans = "array<struct<start:int,end:int>>"
-
-    def step(acc: Column, c: Column) -> Column:
-        now = acc["now"]
-        joined = F.struct(now["start"].alias("start"), F.greatest(now["end"], c["end"]).alias("end"))
-        fresh = F.struct(c["start"].alias("start"), c["end"].alias("end"))
-        return F.when(now["end"] >= c["start"], F.struct(acc["done"].alias("done"), joined.alias("now"))).otherwise(
-            F.struct(_closed(acc).alias("done"), fresh.alias("now"))
-        )
+    """Chunks (start, end, words) that meet, joined to spans that are long enough or over the whole text."""
+    begins = F.filter(F.transform(chunks, lambda c, i: F.when((i == 0) | (c["start"] > F.get(chunks, i - 1)["end"]), i)), lambda i: i.isNotNull())
+
+    def joined(at: Column) -> Column:
+        def one(begin: Column, k: Column) -> Column:
+            own = F.slice(chunks, begin + 1, F.coalesce(F.get(at, k + 1), F.size(chunks)) - begin)
+            return F.struct(
+                F.get(chunks, begin)["start"].alias("start"), F.try_element_at(own, F.lit(-1))["end"].alias("end"),
+                F.aggregate(own, F.lit(0), lambda n, c: n + c["words"]).alias("words"),
+            )
 
-    def _closed(acc: Column) -> Column:
-        now = acc["now"]
-        return F.when((now["end"] - now["start"] >= RUN) | ((now["start"] == 0) & (now["end"] == size)), F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
+        return F.transform(at, one)
 
-    zero = F.struct(F.array().cast(spans).alias("done"), F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")).alias("now"))
-    return F.aggregate(chunks, zero, step, _closed)
+    long = lambda s: (s["words"] >= RUN_WORDS) | (s["end"] - s["start"] >= RUN) | ((s["start"] == 0) & (s["end"] == size))
+    return F.transform(F.filter(let(begins, joined), long), lambda s: F.struct(s["start"], s["end"]))
 
 
 def repeats(work: Workspace, keyed: DataFrame) -> DataFrame:
     """(row_key, doc_id, n_chars, n_chunks, n_shared, shared, removed) of every row.
 
-    ``shared`` are runs of chunks that occur more than once anywhere, and
-    ``removed`` runs of chunks that are not the first occurrence.
+    ``shared`` are runs of chunks that occur in another row too, and ``removed``
+    runs of chunks that are not the first occurrence of all.
     """
     table = work.put(chunked(keyed), "chunked")
     each = table.select("row_key", "doc_id", F.posexplode(F.arrays_zip("digests", "ends")).alias("i", "c")).select(
         "row_key", "doc_id", "i", F.col("c.digests").alias("digest")
     )
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "i")
-    repeated = each.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("first")).where("k > 1")
-    repeated = work.put(repeated.select("digest", F.col("first.row_key").alias("first_key"), F.col("first.i").alias("first_i")), "repeated")
-    again = each.select("row_key", "i", "digest").join(repeated, "digest")
-    again = again.select("row_key", F.struct("i", ((F.col("first_key") == F.col("row_key")) & (F.col("first_i") == F.col("i"))).alias("first")).alias("x"))
-    marks = work.put(again.groupBy(F.col("row_key").alias("at_key")).agg(F.array_sort(F.collect_list("x")).alias("marks")), "marks")
-    none = F.array().cast("array<struct<i:int,first:boolean>>")
+    repeated = each.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("first"), (F.min("row_key") < F.max("row_key")).alias("across")).where("k > 1")
+    repeated = work.put(repeated.select("digest", "k", "across", F.col("first.row_key").alias("first_key"), F.col("first.i").alias("first_i")), "repeated")
+    again = join_uneven(each.select("row_key", "i", "digest"), repeated, "digest", "k", HOT_CHUNKS)
+    again = again.select("row_key", F.struct("i", ((F.col("first_key") == F.col("row_key")) & (F.col("first_i") == F.col("i"))).alias("first"), "across").alias("x"))
+    marks = work.put(again.groupBy(F.col("row_key").alias("at_key")).agg(F.array_sort(F.collect_list("x")).alias("marks")), "marks", "repeated")
+    none = F.array().cast("array<struct<i:int,first:boolean,across:boolean>>")
     marked = marks.join(extended(work, table, marks), "at_key", "left")
     whole = table.drop("text").join(marked, F.col("row_key") == F.col("at_key"), "left").withColumn("marks", F.coalesce("marks", none))
 
@@ -248,16 +262,18 @@ def repeats(work: Workspace, keyed: DataFrame) -> DataFrame:
         least = F.when(k == 0, 0).otherwise(F.get("ends", F.get("marks", k - 1)["i"]))
         most = F.coalesce(start(F.get("marks", k + 1)), F.col("n_chars").cast("int"))
         end = F.get("ends", m["i"])
+        words = F.get("words", m["i"]) - F.when(m["i"] == 0, 0).otherwise(F.get("words", m["i"] - 1))
         return F.struct(
             F.greatest(start(m) - F.coalesce(more["l"], F.lit(0)), least).alias("start"),
-            F.least(end + F.coalesce(more["r"], F.lit(0)), most).alias("end"), m["first"].alias("first"),
+            F.least(end + F.coalesce(more["r"], F.lit(0)), most).alias("end"), m["first"].alias("first"), m["across"].alias("across"),
+            (words + F.coalesce(more["l_words"] + more["r_words"], F.lit(0))).alias("words"),
         )
 
     size = F.col("n_chars").cast("int")
     whole = whole.withColumn("placed", F.transform("marks", placed))
     return whole.select(
         "row_key", "doc_id", "n_chars", F.size("digests").cast("bigint").alias("n_chunks"), F.size("marks").cast("bigint").alias("n_shared"),
-        let(F.col("placed"), lambda c: _runs(c, size)).alias("shared"),
+        let(F.filter("placed", lambda x: x["across"]), lambda c: _runs(c, size)).alias("shared"),
         let(F.filter("placed", lambda x: ~x["first"]), lambda c: _runs(c, size)).alias("removed"),
     )
 

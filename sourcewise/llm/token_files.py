@@ -1,33 +1,34 @@
-"""Token-id files with a minimal perfect hash index.
+"""Token-id files with a minimal perfect hash index, read back by key.
 
 Documents are range-partitioned and sorted by doc_id, encoded, and written as
 raw files: a file holds blocks, a block holds a header, its document keys, their
 end offsets, and the ids of all its documents as unsigned 16-bit integers (32
 bits for larger vocabularies).  Spark's text writer puts the bytes down, so
 tasks commit their files as for any table, on any store that Spark can write,
-and a lost executor leaves no half-written file behind.
+and a lost executor leaves no half-written file behind.  Rows of one key may
+stand in several blocks and files, so no key is too frequent.
 
-Reading goes through the files alone.  The block headers give each block's
-place in the whole id stream.  The index hashes every distinct key to a bucket
-of bounded size, and each bucket stores a minimal perfect hash of its keys: a
-displacement for each small group of keys places every key in a slot of its
-own, with no slot left over.  A slot stores a 32-bit fingerprint of its key and
-the position where the key's rows start, so a lookup reads one displacement
-and one slot.  An absent key is rejected unless its fingerprint collides
-(chance 2**-32).
+The index hashes every distinct key to a bucket of bounded size, and each bucket
+stores a minimal perfect hash of its keys: a displacement for each small group
+of keys places every key in a slot of its own, with no slot left over.  A slot
+stores a 32-bit fingerprint of its key and where the key's rows stand: file, byte
+offset of the block, place in the block, number of rows.  A keyed read takes one
+displacement and one slot, goes to the block's bytes, compares the stored key and
+takes the ids between two end offsets, so an absent key is always told.
+
+The ids are those of the plain library: a special token's string in a text
+becomes its id, as the tokenizer file says.
 
 Defined results.  A null or empty text has the end id alone.  Rows of one
 doc_id stand next to each other, in the order of their text digests; null ids
-come first and are not in the index, as they are no keys.  Other columns of the
-input are ignored.
+come first, have no slot, as they are no keys, and are read by their places.  An
+empty table gives no rows.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcewise.llm.common import Workspace, documents, parts_of
+from sourcewise.llm.common import Workspace, documents, freed, parts_of
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Bytes of input for each file, tokens after which a block ends, words that a worker remembers, keys in an index bucket.
-FILE_BYTES, BLOCK_TOKENS, CACHE_WORDS, BUCKET_KEYS = 16 << 20, 4_000_000, 400_000, 20_000
+FILE_BYTES, BLOCK_TOKENS, CACHE_WORDS, BUCKET_KEYS = 16 << 20, 1_000_000, 400_000, 20_000
 #: New words are encoded this many at a time, joined by spaces and told apart by offsets; not so those with characters from
 #: the first combining mark on, which normalisation may move.
 JOINED, FIRST_MARK = 256, "\u0300"
@@ -49,32 +50,27 @@ JOINED, FIRST_MARK = 256, "\u0300"
 HEADER = struct.Struct("<4sIQQ")
 MAGIC = b"TIDS"
 
-#: A stop or comma after a letter at the end of a word: the tokenizer splits before it, so the word may be looked up without it.
-_STOP = re.compile(r"(?<=[A-Za-z])([.,])(?= |$)")
-
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+_tokenizers: dict[str, tuple[object, dict[str, bytes], list[str]]] = {}
 
 
 def _encoder(path: str):
     """Function from texts to id bytes (unsigned 32 bits), remembering words between the batches of a worker.
 
     The tokenizer drops white space and never joins across a space, so the ids
-    of a text are those of its space-separated words, one after the other.
+    of a text are those of its space-separated words, one after the other; a stop
+    or comma after a letter at the end of a word is split off by the tokenizer
+    too.  Texts that hold the string of a special token are encoded whole.
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[path] = (tokenizer, {})
-    tokenizer, known = _tokenizers[path]
+        _tokenizers[path] = (tokenizer, {}, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
+    tokenizer, known, special = _tokenizers[path]
+    whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [_STOP.sub(r" \1", (t or "").replace("\n", " ")).split(" ") for t in texts]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [w for w in set().union(*split) if w not in known]
+    def learn(new: list[str]) -> None:
         plain = [w for w in new if w and max(w) < FIRST_MARK]
         parts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for part, e in zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
@@ -85,7 +81,19 @@ def _encoder(path: str):
         odd = [w for w in new if not w or max(w) >= FIRST_MARK]
         for w, e in zip(odd, tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        odd = {i for i, t in enumerate(texts) if any(x in t for x in special)}
+        split = [[] if i in odd else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = set().union(*split).difference(known)
+        ended = {w for w in new if len(w) > 1 and w[-1] in ".," and "A" <= w[-2] <= "z" and w[-2].isalpha()}
+        learn(list(((new - ended) | {w[:-1] for w in ended} | ({".", ","} if ended else set())).difference(known)))
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1]]
+        return [whole(texts[i]) if i in odd else b"".join(map(known.__getitem__, words)) for i, words in enumerate(split)]
 
     return encode
 
@@ -99,20 +107,17 @@ def pack(keys: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
     return b"".join([HEADER.pack(MAGIC, width, len(keys), len(raw)), known.tobytes(), null.tobytes(), ends.astype("<i8").tobytes(), raw.tobytes()])
 
 
-def unpack(content: memoryview):
-    """(keys, null flags, end offsets, ids) of each block of a file."""
-    at = 0
-    while at < len(content):
-        magic, width, n, n_ids = HEADER.unpack_from(content, at)
-        if magic != MAGIC:
-            raise ValueError("no block starts here")
-        at += HEADER.size
-        keys = np.frombuffer(content, "<i8", n, at)
-        null = np.frombuffer(content, np.uint8, n, at + 8 * n)
-        ends = np.frombuffer(content, "<i8", n, at + 9 * n)
-        ids = np.frombuffer(content, f"<u{width}", n_ids, at + 17 * n)
-        yield keys, null.astype(bool), ends, ids
-        at += 17 * n + width * n_ids + 1  # the writer ends each row with a line feed
+def unpack(content: memoryview, at: int):
+    """(keys, null flags, end offsets, ids, where the next block begins) of the block at a byte offset of a file."""
+    magic, width, n, n_ids = HEADER.unpack_from(content, at)
+    if magic != MAGIC:
+        raise ValueError("no block starts here")
+    at += HEADER.size
+    keys = np.frombuffer(content, "<i8", n, at)
+    null = np.frombuffer(content, np.uint8, n, at + 8 * n)
+    ends = np.frombuffer(content, "<i8", n, at + 9 * n)
+    ids = np.frombuffer(content, f"<u{width}", n_ids, at + 17 * n)
+    return keys, null.astype(bool), ends, ids, at + 17 * n + width * n_ids + 1  # the writer ends each row with a line feed
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None:
@@ -139,48 +144,57 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None
             yield pa.RecordBatch.from_arrays([pa.array([pack(keys, ids, width)], pa.binary())], names=["block"])
 
     tie = F.xxhash64("text")
-    ordered = docs.select("doc_id", "text", tie.alias("tie")).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    keyed = docs.select("doc_id", "text", tie.alias("tie"), F.monotonically_increasing_id().alias("row_key"))  # the row key lets equal rows part
+    ordered = keyed.repartitionByRange(files, "doc_id", "tie", "row_key").sortWithinPartitions("doc_id", "tie", "row_key")
     rows = ordered.select("doc_id", "text").mapInArrow(blocks, "block binary")
     rows.select(F.col("block").cast("string")).write.mode("overwrite").text(folder)
 
 
-def _read(spark: SparkSession, folder: str, function, schema: str) -> DataFrame:
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, content) of the id files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-
-    def each(batches):
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for number, block in enumerate(unpack(memoryview(content.as_buffer()))):
-                    yield pa.RecordBatch.from_pandas(function(file, number, *block), preserve_index=False)
-
-    return files.select(part.alias("file"), "content").mapInArrow(each, schema)
-
+    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "content")
 
-def bases(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, block, base, n_docs): ids before each block; one small row per block."""
 
-    def head(file, number, keys, null, ends, ids):
-        return pd.DataFrame({"file": [file], "block": [number], "n_docs": [len(keys)], "n_ids": [len(ids)]}).astype({"file": "int32", "block": "int32"})
+RUNS = "doc_id bigint, file int, at bigint, place int, rows int, n_ids bigint"
 
-    rows = _read(spark, folder, head, "file int, block int, n_docs bigint, n_ids bigint")
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"), "n_docs")
 
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbouring rows of one key in a block: the key, where they stand, how many rows and ids."""
 
-def contents(spark: SparkSession, folder: str, blocks: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
-
-    def each(file, number, keys, null, ends, ids):
-        wide = ids.astype("<u4").tobytes()
-        starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        doc = pd.Series(keys, dtype="Int64").mask(null)
-        return pd.DataFrame({"file": np.int32(file), "block": np.int32(number), "doc_id": doc, "inner": starts.astype("int64"), "n_tokens": (ends - starts).astype("int64"), "ids_crc32": np.array(crc, "int64")})
-
-    rows = _read(spark, folder, each, "file int, block int, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint")
-    joined = rows.join(blocks.select("file", "block", "base"), ["file", "block"])
-    return joined.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+    def each(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                content, at = memoryview(content.as_buffer()), 0
+                while at < len(content):
+                    keys, null, ends, _, after = unpack(content, at)
+                    new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (null[1:] != null[:-1]))))
+                    stop = np.append(new[1:], len(keys))
+                    sizes = ends[stop - 1] - np.where(new > 0, ends[new - 1], 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(keys[new], pa.int64(), mask=null[new]), pa.array(np.full(len(new), file, np.int32)), pa.array(np.full(len(new), at, np.int64)),
+                            pa.array(new.astype(np.int32)), pa.array((stop - new).astype(np.int32)), pa.array(sizes.astype(np.int64)),
+                        ],
+                        names=["doc_id", "file", "at", "place", "rows", "n_ids"],
+                    )
+                    at = after
+
+    return _files(spark, folder).mapInArrow(each, RUNS)
+
+
+#: Files whose blocks are summed in one task.
+SPAN = 1024
+
+
+def bases(found: DataFrame) -> DataFrame:
+    """(file, at, base): ids before each block.  Sums run within spans of files, and over the sums of the spans."""
+    blocks = found.groupBy("file", "at").agg(F.sum("n_ids").alias("n")).withColumn("span", F.floor(F.col("file") / SPAN))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = blocks.groupBy("span").agg(F.sum("n").alias("n"))
+    spans = spans.select("span", before(Window.orderBy("span")).alias("first"))
+    own = blocks.withColumn("inner", before(Window.partitionBy("span").orderBy("file", "at")))
+    return own.join(spans, "span").select("file", "at", (F.col("first") + F.col("inner")).alias("base"))
 
 
 # The index
@@ -237,65 +251,110 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
     return shifts
 
 
-INDEX_SCHEMA = "bucket bigint, m int, shifts binary, prints binary, starts binary"
+INDEX_SCHEMA = "bucket bigint, m int, shifts binary, prints binary, first binary, file binary, at binary, place binary, rows binary"
+PLACES = "doc_id bigint, file int, at bigint, place int, rows int"
+_KINDS = {"file": "<i4", "at": "<i8", "place": "<i4", "rows": "<i4"}
+
 
+def _buckets(n_keys: int) -> int:
+    return max(1, n_keys // BUCKET_KEYS)
 
-def build_index(entries: DataFrame, n_docs: int) -> DataFrame:
-    """One row per bucket: its perfect hash, fingerprints and start positions."""
-    buckets = max(1, n_docs // BUCKET_KEYS)
-    first = entries.where("doc_id is not null").groupBy("doc_id").agg(F.min("start").alias("start"))
+
+def build_index(found: DataFrame, n_keys: int) -> DataFrame:
+    """One row per bucket: its perfect hash, the slots' fingerprints, and the places of each slot's key from ``first`` on."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows["doc_id"].to_numpy(np.int64)
+        keys, run_key = np.unique(rows["doc_id"].to_numpy(np.int64), return_inverse=True)
         m = len(keys)
         shifts = perfect_hash(keys)
         slot = _slots(keys, shifts[(_mix(keys, 1) % np.uint64(len(shifts))).astype(np.int64)], m)
-        prints, starts = np.zeros(m, "<u4"), np.zeros(m, "<i8")
+        prints = np.zeros(m, "<u4")
         prints[slot] = (_mix(keys, 4) >> np.uint64(32)).astype("<u4")
-        starts[slot] = rows["start"].to_numpy()
-        return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "m": [m], "shifts": [shifts.astype("<i8").tobytes()], "prints": [prints.tobytes()], "starts": [starts.tobytes()]})
+        of = slot[run_key]
+        order = np.lexsort((rows["place"], rows["at"], rows["file"], of))
+        first = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=m)))).astype("<i4")
+        stored = {c: [rows[c].to_numpy()[order].astype(k).tobytes()] for c, k in _KINDS.items()}
+        return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "m": [m], "shifts": [shifts.astype("<i8").tobytes()], "prints": [prints.tobytes()], "first": [first.tobytes()], **stored})
 
-    return first.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).groupBy("bucket").applyInPandas(build, INDEX_SCHEMA)
+    keyed = found.where("doc_id is not null").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(_buckets(n_keys))))
+    return keyed.select("bucket", "doc_id", *_KINDS).groupBy("bucket").applyInPandas(build, INDEX_SCHEMA)
 
 
-def lookup(index: DataFrame, keys: DataFrame, n_docs: int) -> DataFrame:
-    """(doc_id, at) of every distinct key that the index holds; each key reads one displacement and one slot."""
-    buckets = max(1, n_docs // BUCKET_KEYS)
-    wanted = keys.where("doc_id is not null").select("doc_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+def lookup(index: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
+    """Places of the rows of every distinct key; each key reads one displacement and one slot."""
+    wanted = keys.where("doc_id is not null").select("doc_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(_buckets(n_keys))))
 
     def find(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(rows):
-            return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "at": np.zeros(0, np.int64)})
+            return pd.DataFrame({"doc_id": np.zeros(0, np.int64), **{c: np.zeros(0, k) for c, k in _KINDS.items()}})
         x = own.iloc[0]
-        shifts, prints, starts = np.frombuffer(x["shifts"], "<i8"), np.frombuffer(x["prints"], "<u4"), np.frombuffer(x["starts"], "<i8")
+        shifts, prints, first = np.frombuffer(x["shifts"], "<i8"), np.frombuffer(x["prints"], "<u4"), np.frombuffer(x["first"], "<i4")
         doc = rows["doc_id"].to_numpy(np.int64)
         slot = _slots(doc, shifts[(_mix(doc, 1) % np.uint64(len(shifts))).astype(np.int64)], int(x["m"]))
         known = prints[slot] == (_mix(doc, 4) >> np.uint64(32)).astype("<u4")
-        return pd.DataFrame({"doc_id": doc[known], "at": starts[slot][known]})
+        doc, slot = doc[known], slot[known]
+        n = first[slot + 1] - first[slot]
+        at = np.repeat(first[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return pd.DataFrame({"doc_id": np.repeat(doc, n), **{c: np.frombuffer(x[c], k)[at] for c, k in _KINDS.items()}})
 
-    return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, "doc_id bigint, at bigint")
+    return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, PLACES)
 
 
-def stored(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
-    """Write ``docs``, build the index, and read every document back by key.
+FETCHED = "doc_id bigint, file int, at bigint, inner bigint, ids binary"
 
-    ``start`` is what the index gives for the key, plus the ids of the earlier
-    rows of the same key.
+
+def fetch(spark: SparkSession, folder: str, places: DataFrame) -> DataFrame:
+    """The rows at ``places``: doc_id, file, block, position in the block's ids, and ids (little-endian unsigned 32 bits).
+
+    A file's bytes meet the places wanted in it; each place is gone to directly,
+    and left out if another key is stored there.
     """
+    wanted = places.groupBy("file").agg(F.collect_list(F.struct("doc_id", "at", "place", "rows")).alias("wanted"))
+
+    def take(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                file, content = batch.column(0)[i].as_py(), memoryview(batch.column(1)[i].as_buffer())
+                one = batch.column(2)[i].values
+                columns = [one.field(k).to_pylist() for k in range(4)]
+                blocks, out, size = {}, [], 0
+                for key, at, place, rows in sorted(zip(*columns, strict=True), key=lambda x: x[1:]):
+                    if at not in blocks:
+                        blocks = {at: unpack(content, at)}
+                    keys, null, ends, ids, _ = blocks[at]
+                    for p in range(place, min(place + rows, len(keys))):
+                        if (None if null[p] else int(keys[p])) == key:
+                            begin = int(ends[p - 1]) if p else 0
+                            out.append((key, file, at, begin, ids[begin : int(ends[p])].astype("<u4").tobytes()))
+                            size += len(out[-1][-1])
+                    if size > 4 << 20:
+                        yield _rows(out)
+                        out, size = [], 0
+                yield _rows(out)
+
+    return _files(spark, folder).join(wanted, "file").select("file", "content", "wanted").mapInArrow(take, FETCHED)
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [()] * 5
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "file", "at", "inner", "ids"])
+
+
+def stored(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
+    """Write ``docs``, build the index, and read every document back by its key."""
     spark = docs.sparkSession
     work = Workspace(spark, "token-files")
     folder = folder or f"{work.path}/ids"
-    write(docs, folder, path)
-    blocks = work.put(bases(spark, folder), "blocks")
-    n_docs = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    read = work.put(contents(spark, folder, blocks), "read")
-    index = work.put(build_index(read, n_docs), "index")
-    found = lookup(index, read, n_docs)
-    firsts = read.groupBy("doc_id").agg(F.min("start").alias("first"))
-    places = firsts.join(found, "doc_id", "left").select(F.col("doc_id").alias("key"), "first", F.when(F.col("doc_id").isNull(), F.col("first")).otherwise(F.col("at")).alias("at"))
-    return read.join(places, F.col("doc_id").eqNullSafe(F.col("key"))).select(
-        "doc_id", (F.col("at") + F.col("start") - F.col("first")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    with freed(spark):
+        write(docs, folder, path)
+    found = work.put(runs(spark, folder), "runs")
+    n_keys = found.count()
+    starts = work.put(bases(found), "bases")
+    index = work.put(build_index(found, n_keys), "index")
+    places = lookup(index, docs.select("doc_id"), n_keys).unionByName(found.where("doc_id is null").select("doc_id", *_KINDS))
+    read = fetch(spark, folder, places).select("doc_id", "file", "at", "inner", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return read.join(starts, ["file", "at"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import regex
@@ -52,3 +53,17 @@ def test_pattern_splits_alike():
     find = regex.compile(public_tokenizers.PATTERN).findall
     for text in filter(None, ODD):
         assert "".join(find(text)) == text
+
+
+def test_long_words(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghinotres", k=200_000)), "a" * 30_000 + " b " + "日本語" * 4_000, "".join(rng.choices("xyzé", k=1_001)) + "!", "c" * (byte_bpe.LONG_WORD + 1), "c" * byte_bpe.LONG_WORD]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    for r in byte_bpe.digests(docs).collect():
+        assert tuple(r)[1:] == expected(texts[r.doc_id % len(texts)])
+
+
+def test_heap_equals_fold_and_library_on_a_megabyte():
+    ranks, pairs = byte_bpe.ranks_of(PATH), byte_bpe.pair_ranks(PATH)
+    word = "".join(random.Random(4).choices("aeinotrs", k=1_000_000))
+    assert byte_bpe.heap_merges([ranks[bytes([b])] for b in word.encode()], pairs) == library().encode_ordinary(word)

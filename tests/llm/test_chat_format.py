@@ -85,3 +85,36 @@ def test_every_schema_keyword_counts():
     for schema in ({"unevaluatedProperties": False}, {"not": {"new": 1}}, {"anyOf": [{"new": 1}, {}]}, {"$ref": "#/$defs/none"}, {"$ref": "http://x/y"}, {"$ref": "#"}, {"type": "odd"}, {"properties": {"a": {"new": 1}}}):
         assert violations({"a": 1}, schema), schema
     assert violations(1, {"title": "t", "x-order": 1, "format": "int32"}) == []
+
+
+def test_halves_of_surrogate_pairs_and_long_texts(spark):
+    half = '\\ud800'
+    turns = [(1, 0, "system", SCHEMA.replace("add", "a" + half)), (1, 1, "assistant", f'<tool_call>{{"id":"k{half}","name":"a{half}","arguments":{{"a":"{half}","b":1,"x{half}":2}}}}</tool_call>'),
+             (1, 2, "tool", f'<tool_result>{{"id":"k{half}","content":"\\ud83d\\ude00 {half}"}}</tool_result>'), (1, 3, "user", "long " * 400_000)]
+    rows = {(r.kind, r.turn): r for r in c.linked(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert rows["call", 1].is_linked and rows["result", 2].is_linked and rows["call", 1].is_valid is False
+    assert rows["result", 2].json.startswith('{"content":"😀 \\ud800"') and len(rows["message", 3].json) > 2_000_000
+
+
+def test_order_is_topological_on_random_chains(spark):
+    import random
+
+    rng = random.Random(5)
+    turns, needs = [], {}
+    for conv in range(6):
+        for t in range(30):
+            refs = sorted({rng.randrange(30) for _ in range(rng.randrange(3))} - {t})
+            refs = [r for r in refs if r < t or conv % 2 == 0 and r > t and r % 7 == 0 and t % 7]
+            needs[conv, t] = refs
+            turns.append((conv, t, "assistant", call(f"c{t}", {f"x{r}": {"$ref": f"c{r}"} for r in refs}, "f") + (result(f"c{t}", 1) if t % 3 else "")))
+    rows = c.linked(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    order = {(r.conv_id, r.kind, r.call_id): (r.at_turn, r.at_place, r.depth, r.turn, r.place) for r in rows if r.kind != "message"}
+    assert len(set((k[0], v) for k, v in order.items())) == len(order)
+    free = {(r.conv_id, r.call_id) for r in rows if r.kind == "call" and "cycle" not in (r.error or "")}
+    assert len(free) > 100
+    for (conv, t), refs in needs.items():
+        if (conv, f"c{t}") in free:
+            for r in refs:
+                assert order.get((conv, "result", f"c{r}"), order[conv, "call", f"c{r}"]) < order[conv, "call", f"c{t}"]
+            if t % 3:
+                assert order[conv, "call", f"c{t}"] < order[conv, "result", f"c{t}"]

@@ -62,3 +62,27 @@ def test_odd_pages(spark):
     assert got[7] == [want, want] and got[8] == got[9] == got[12] == got[None] == [want]
     assert got[13] == ["Upper case tags work here."] and got[14] == [" ".join(("long text goes on. " * 30000).split())]
     assert h.extract(frame.limit(0)).count() == 0
+
+
+def test_other_layouts():
+    """Layouts that the training pages don't have: tables, nested containers, names that mislead."""
+    long = "The committee met on Monday and agreed on a plan for the coming year. Members asked for more detail."
+    nav = '<a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a>'
+    pages = [
+        f'<table><tr><td class="nav">{nav}</td></tr><tr><td><h2>Plan agreed</h2><p>{long}</p><p>{long}</p></td></tr></table>',
+        f'<div id="wrap"><div id="top"><ul><li>{nav}</li></ul></div><div id="story"><h1>Plan agreed</h1><p>{long}</p><p>{long}</p></div><div id="footer">&copy; 2020</div></div>',
+        f'<section class="layout"><section class="main"><h1>Plan agreed</h1><p id="search">{long}</p><p>{long}</p></section></section>',
+        f'<main><h1>Plan agreed</h1><div/><p class="overflow-hidden">{long}</p><p>{long}</p></main><div aria-hidden="true">Gone.</div>',
+        f'<div class="post"><header><h1>Plan agreed</h1></header><p>{long}</p><p>{long}</p><div class="share">{nav}</div></div>',
+    ]
+    found = wanted = both = 0
+    for page in pages:
+        own = h.main_blocks(page, h.default_model())
+        want = ["Plan agreed", long, long]
+        found, wanted, both = found + len(own), wanted + 3, both + sum(min(own.count(x), want.count(x)) for x in set(want))
+    assert both >= 0.9 * wanted and both >= 0.9 * found
+
+
+def test_formulas_media_and_names():
+    page = '<article><p>so x <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds<audio>no sound</audio>.</p><p hidden>Not shown at all here.</p><x-box>A custom element stays inline, as it is in a browser.</x-box></article>'
+    assert h.main_blocks(page, h.default_model()) == ["so x a=2 holdsno sound.", "A custom element stays inline, as it is in a browser."]

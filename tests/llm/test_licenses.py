@@ -17,7 +17,7 @@ def brute(text):
     found, own = set(), grams(text)
     for name, t in TEMPLATES.items():
         want = set(grams(t))
-        scale = next(s for s in licenses.SCALES if len(want) <= s)
+        scale = licenses.scales(len(want))[-1]
         for i in range(max(1, len(own) - scale + 1)):
             if len(want & set(own[i : i + scale])) >= licenses.LEAST * len(want):
                 found.add(name)
@@ -54,3 +54,27 @@ def test_embedded_edited_and_odd_texts(spark):
         if r.doc_id == 4:
             assert not names
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_spans_and_containment(spark):
+    text = "one two three four five " * 3 + TEMPLATES["Zlib-full"] + " six seven eight nine ten" * 3
+    words = len(WORD.findall(TEMPLATES["Zlib-full"].lower()))
+    half = TEMPLATES["Zlib-full"].split()
+    half[60] = "changed"
+    docs = spark.createDataFrame([(1, text), (2, " ".join(half)), (3, " ".join(half[: len(half) // 2]))], "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.found if x.license == "Zlib-full"] for r in licenses.scan(docs).collect()}
+    assert [(x.share, x.first, x.end) for x in got[1]] == [(1.0, 15, 15 + words)]
+    want, own = set(grams(TEMPLATES["Zlib-full"])), set(grams(" ".join(half)))
+    assert [(x.share, x.first, x.end) for x in got[2]] == [(len(want & own) / len(want), 0, words)]
+    assert got[3] == []
+
+
+def test_templates_of_any_length(spark):
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(3000))
+    edited = long.split()
+    edited[::100] = ["x"] * 30
+    docs = spark.createDataFrame([(1, "before " + long + " after"), (2, " ".join(edited)), (3, long[: len(long) // 2]), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: [(x.license, round(x.share, 3)) for x in r.found] for r in licenses.scan(docs, {"long": long, "short": "released under the very short license"}).collect()}
+    assert got[1] == [("long", 1.0)] and got[3] == got[4] == []
+    assert [x for x, _ in got[2]] == ["long"] and got[2][0][1] < 1

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -100,3 +101,38 @@ def test_agreement_past_the_carried_text_is_read_from_whole_texts():
     assert next(sd._reach(iter([as_batch(near)]))).column("open").to_pylist() == [True]
     far = next(sd._far_reach(iter([as_batch([*place, *texts])]))).to_pylist()[0]
     assert (far["l"], far["r"], far["open"]) == (399, 299, False)
+
+
+def test_whole_query_equals_brute_force(spark):
+    """Documents that share 51 words, character by character, are those with a repeat; spans hold what is shared."""
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    seen = {}
+    for n in (40, 51):
+        for key, text in texts.items():
+            ends = [m.span() for m in re.finditer(r"\S+", text)]
+            for (a, _), (_, b) in zip(ends, ends[n - 1 :], strict=False):
+                seen.setdefault((n, text[a:b]), set()).add(key)
+    by_text = {}
+    for key, text in texts.items():
+        by_text.setdefault(text, set()).add(key)
+    must = {k for (n, _), keys in seen.items() if n == 51 and len(keys) > 1 for k in keys} | {k for t, keys in by_text.items() if t and len(keys) > 1 for k in keys}
+    may = must | {k for (n, _), keys in seen.items() if n == 40 and len(keys) > 1 for k in keys}
+    got = {r.doc_id: r for r in sd.op1_substring_dedup(spark, data).collect()}
+    flagged = {k for k, r in got.items() if r.has_repeat}
+    assert len(got) == len(texts) and must <= flagged <= may and 0 < len(must) < len(texts)
+    for (n, window), keys in seen.items():
+        if n == 51 and len(keys) > 1:
+            for k in keys:
+                at = texts[k].find(window)
+                spans = [tuple(map(int, s.split(":"))) for s in got[k].shared_spans.split(",")]
+                assert any(a <= at and at + len(window) <= b for a, b in spans)
+
+
+def test_lines_repeated_in_one_text_are_removed_but_not_shared(spark):
+    line = " ".join(f"word{i}" for i in range(60)) + "\n"
+    other = " ".join(f"other{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, other + "\n" + line * 3, 0, 0), (2, "x" * 2_000_000 + other[:20], 0, 0)], SCHEMA)
+    found = {r.doc_id: r for r in sd.repeats(sd.Workspace(spark, "test"), docs.withColumn("row_key", sd.F.monotonically_increasing_id())).collect()}
+    assert found[1].shared == [] and sum(s.end - s.start for s in found[1].removed) >= 2 * len(line) - 4
+    assert found[2].shared == []

@@ -11,7 +11,6 @@ PATH = public_tokenizers.path(t.TOKENIZER)
 
 def expected(rows):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     start, out = 0, []
     for key, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [t.END_ID]
@@ -27,7 +26,7 @@ def test_whole_table(spark):
 
 
 def test_edges(spark, monkeypatch):
-    odd = [None, "", "  ", "É́ é İSTANBUL ΣΑΣ", "a b c\x85d\x1ce\tf\r\ng", "<|endoftext|> it's", "日本語 한국어 😀", "x" * 5000]
+    odd = [None, "", "  ", "É́ é İSTANBUL ΣΑΣ", "a b c\x85d\x1ce\tf\r\ng", "see <|endoftext|> here, it's", "a<|startoftext|>b<|endoftext|>. c", "日本語 한국어 😀", "x" * 5000]
     rows = [(10 * i - 20, x) for i, x in enumerate(odd)]
     docs = spark.createDataFrame([(k, x, 7) for k, x in rows], "doc_id long, text string, start int")
     assert sorted(map(tuple, t.stored(docs, PATH).collect())) == expected(rows)
@@ -38,7 +37,6 @@ def test_edges(spark, monkeypatch):
 
 def test_words_between_spaces_encode_alone():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     encode = t._encoder(PATH)
     for text in ["a 's b", "don 't", "x ́y", "ǅ ﬁ ſ K", "a\x0b\x0cb 　 c", "One, two. three., four.' five!. 6. é. a.", "end."]:
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
@@ -53,7 +51,30 @@ def test_perfect_hash_is_minimal_and_rejects_strangers():
 
 
 def test_absent_keys_are_not_found(spark):
-    entries = spark.range(500).selectExpr("id * 3 as doc_id", "id as start")
-    index = t.build_index(entries, 500)
+    found = spark.range(500).selectExpr("id * 3 as doc_id", "cast(id % 7 as int) as file", "id as at", "cast(id % 5 as int) as place", "1 as rows")
+    index = t.build_index(found, 500)
     asked = spark.range(1500).selectExpr("id as doc_id")
-    assert {tuple(r) for r in t.lookup(index, asked, 500).collect()} == {(3 * i, i) for i in range(500)}
+    assert {tuple(r) for r in t.lookup(index, asked, 500).collect()} == {(3 * i, i % 7, i, i % 5, 1) for i in range(500)}
+
+
+def test_rows_come_through_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(t, "FILE_BYTES", 2_000)
+    monkeypatch.setattr(t, "BLOCK_TOKENS", 300)
+    rows = [(i // 3, f"text {i} of many words " * (i % 9)) for i in range(300)] + [(7, "again and again")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, folder = spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/ids"
+    t.write(docs, folder, PATH)
+    found = t.runs(spark, folder)
+    assert found.where("doc_id = 7").count() > 1 and found.select("file").distinct().count() > 1
+    n, tokenizer = found.count(), Tokenizer.from_file(PATH)
+    index = t.build_index(found, n).toPandas()
+    wanted = spark.createDataFrame([(7,), (40,), (9_999,)], "doc_id long")
+    read = t.fetch(spark, folder, t.lookup(spark.createDataFrame(index, t.INDEX_SCHEMA), wanted, n)).collect()
+    got = sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in read)
+    assert got == sorted((k, tokenizer.encode(x, add_special_tokens=False).ids + [t.END_ID]) for k, x in rows if k in (7, 40))
+    # Without the right slots nothing is read.
+    wrong = index.assign(at=[np.roll(np.frombuffer(x, "<i8"), 1).tobytes() for x in index["at"]], place=[np.roll(np.frombuffer(x, "<i4"), 1).tobytes() for x in index["place"]], file=[np.roll(np.frombuffer(x, "<i4"), 1).tobytes() for x in index["file"]])
+    places = t.lookup(spark.createDataFrame(wrong, t.INDEX_SCHEMA), wanted.where("doc_id = 40"), n)
+    assert [r for r in t.fetch(spark, folder, places).collect() if r.doc_id == 40] == []
+    assert t.lookup(spark.createDataFrame(index, t.INDEX_SCHEMA).where("false"), wanted, n).count() == 0
