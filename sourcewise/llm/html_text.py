@@ -35,7 +35,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-N_LABELLED, EPOCHS = 240, 40
+N_LABELLED, EPOCHS = 400, 30
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|[!?/][^>]*+>)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[a-z]+")
@@ -245,16 +245,17 @@ def train(pages: list[str], epochs: int = EPOCHS) -> Model:
     return model
 
 
-def labelled_pages(n: int = N_LABELLED, seed: int = 7) -> list[str]:
-    """Small pages in many layouts; ``data-y`` is 1 on the elements of the article and 0 elsewhere."""
+def labelled_pages(n: int = N_LABELLED, seed: int = 7, misnamed: float = 0.05) -> list[str]:
+    """Small pages in many layouts; ``data-y`` is 1 on the elements of the article and 0 elsewhere.
+
+    Names are weak evidence: a share ``misnamed`` of all elements has one of the other kind."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("aeioulnrstdm", k=rng.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     pick = rng.choice
 
     def el(tag: str, y: int, inner: str, name: str = "") -> str:
-        # Names are weak evidence: some elements are named after something else.
-        if rng.random() < 0.05:
+        if rng.random() < misnamed:
             name = pick(sorted(BAD_WORDS if y else GOOD_WORDS))
         named = f' {pick(("class", "id"))}="{name}"' if name else ""
         return f"<{tag}{named} data-y={y}>{inner}</{tag}>"

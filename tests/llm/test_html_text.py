@@ -18,14 +18,15 @@ def test_whole_table_gives_the_articles(spark):
 
 
 def test_held_out_pages():
-    wrong = total = 0
-    for page in h.labelled_pages(60, seed=1234):
-        nodes, _ = h.parse(page)
-        odds, _ = h.default_model().marginals(nodes)
-        for node, p in zip(nodes, odds, strict=True):
-            total += node.words > 0
-            wrong += node.words > 0 and (p > 0.5) != (node.label or 0)
-    assert wrong <= 0.02 * total
+    for misnamed, most in ((0.0, 0.02), (0.05, 0.04)):
+        wrong = total = 0
+        for page in h.labelled_pages(60, seed=1234, misnamed=misnamed):
+            nodes, _ = h.parse(page)
+            odds, _ = h.default_model().marginals(nodes)
+            for node, p in zip(nodes, odds, strict=True):
+                total += node.words > 0
+                wrong += node.words > 0 and (p > 0.5) != (node.label or 0)
+        assert wrong <= most * total
 
 
 def test_messages_give_exact_marginals():
