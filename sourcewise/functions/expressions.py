@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Divisor exponents of concentration units (case-sensitive, both micro signs).
 UNIT_EXPONENT = {"M": 0, "mM": 3, "uM": 6, "µM": 6, "μM": 6, "nM": 9, "pM": 12}
@@ -52,6 +56,7 @@ def p_value(value: Column, unit: Column) -> Column:
 
 def p_value_reason(value: Column, unit: Column) -> Column:
     """First reason for which ``p_value`` has no number: value, sign, unit."""
+    # The names of the reasons.
     return (
         F.when(value.isNull(), "invalid_activity_value")
         .when(value <= 0, "nonpositive_activity_value")
@@ -102,17 +107,66 @@ def normal_cdf(z: Column) -> Column:
     return (1 + erf(z / 1.4142135623730951)) / 2
 
 
-def class_probabilities(center: Column, scale: Column, lower: float, upper: float) -> tuple[Column, Column, Column]:
-    """(inactive, medium, active) under a normal law; a point mass where the scale is 0."""
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz steps)."""
+    tiny = 1e-300
+    floor = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c = np.ones_like(x)
+    d = 1 / floor(1 - (a + b) * x / (a + 1))
+    out = d.copy()
+    for m in range(1, 400):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / floor(1 + step * d)
+            c = floor(1 + step / c)
+            out = out * d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
+            break
+    return out
+
+
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def incomplete_beta(a, b, x) -> np.ndarray:
+    """Regularised incomplete beta function I_x(a, b)."""
+    a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
+    inner = np.clip(x, 1e-300, 1 - 1e-16)
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inner) + b * np.log1p(-inner)) if x.size else np.zeros(x.shape)
+    low = inner < (a + 1) / (a + b + 2)
+    value = np.where(low, front * _beta_fraction(a, b, inner) / a, 1 - front * _beta_fraction(b, a, 1 - inner) / b)
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
+
+
+def student_cdf(t, df) -> np.ndarray:
+    """Distribution function of Student's t for any positive degrees of freedom."""
+    t, df = np.asarray(t, float), np.asarray(df, float)
+    tail = incomplete_beta(df / 2, 0.5, df / (df + t * t)) / 2
+    return np.where(t < 0, tail, 1 - tail)
+
+
+def _student_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(student_cdf(t.fillna(0.0), df.fillna(1.0))).where(t.notna() & df.notna())
+
+
+def t_cdf(t: Column, df: Column) -> Column:
+    """Student's t distribution function of a column, in Arrow batches; Spark has no incomplete beta function."""
+    return F.pandas_udf(_student_cdf, DoubleType())(t, df)
+
+
+def class_probabilities(center: Column, scale: Column, lower: float, upper: float, df: Column | None = None) -> tuple[Column, Column, Column]:
+    """(inactive, medium, active) under a normal law, or Student's t with ``df``; a point mass where the scale is 0."""
+    low, high = class_tails(center, scale, lower, upper, df)
+    return low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - low - high)), high
+
+
+def class_tails(center: Column, scale: Column, lower: float, upper: float, df: Column | None = None) -> tuple[Column, Column]:
+    """Probabilities of the inactive and the active class; what they leave is the medium one's."""
     safe = F.when(scale == 0, 1.0).otherwise(scale)
-    low = normal_cdf((lower - center) / safe)
-    high = normal_cdf((center - upper) / safe)
-    mid = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - low - high))
+    cdf = normal_cdf if df is None else lambda z: t_cdf(z, df)
     point = lambda cond: F.when(cond, 1.0).otherwise(0.0)
     return (
-        F.when(scale == 0, point(center <= lower)).otherwise(low),
-        F.when(scale == 0, point((center > lower) & (center < upper))).otherwise(mid),
-        F.when(scale == 0, point(center >= upper)).otherwise(high),
+        F.when(scale == 0, point(center <= lower)).otherwise(cdf((lower - center) / safe)),
+        F.when(scale == 0, point(center >= upper)).otherwise(cdf((center - upper) / safe)),
     )
 
 

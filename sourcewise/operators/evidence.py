@@ -10,9 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcewise.functions.expressions import class_of, class_probabilities, clean_double, rounded_key
+from sourcewise.functions.expressions import class_of, class_tails, clean_double, rounded_key
 
-FALLBACK_SD = 0.64
+# The SD where too few entries have several units, and the least variance of one entry.
+FALLBACK_SD, VARIANCE_FLOOR = 0.64, 1e-4
+
+
+def ranked(frame: DataFrame, value: str, *keys: str) -> DataFrame:
+    """``frame`` with ``middle``: the value where it is one of the one or two middle ones of its group, else null.
+
+    The mean of ``middle`` is the exact median.  Groups are sorted, spilling as
+    any sort does, and no group's values are gathered in an aggregate.
+    """
+    w = Window.partitionBy(*keys)
+    n, r = F.count(value).over(w), F.row_number().over(w.orderBy(F.asc_nulls_last(value)))
+    return frame.withColumn("middle", F.when((2 * r >= n) & (2 * r <= n + 2), F.col(value)))
 
 
 def units(records: DataFrame, merge_identical: bool = True, decimals: int = 2) -> DataFrame:
@@ -24,18 +36,20 @@ def units(records: DataFrame, merge_identical: bool = True, decimals: int = 2) -
     ``unknown_document``.
     """
     frame = records.select("entry", F.coalesce(F.col("document").cast("string"), F.lit("unknown_document")).alias("document"), clean_double(F.col("value")).alias("value"))
-    plain = (
-        frame.where(F.col("value").isNotNull() & F.col("entry").isNotNull())
-        .groupBy("entry", "document")
-        .agg(F.median("value").alias("document_value"), F.count(F.lit(1)).alias("n_records"))
-    )
-    if not merge_identical:
-        return plain.withColumn("documents", F.array("document"))
+    known = frame.where(F.col("value").isNotNull() & F.col("entry").isNotNull())
+    plain = ranked(known, "value", "entry", "document").groupBy("entry", "document").agg(F.avg("middle").alias("document_value"), F.count(F.lit(1)).alias("n_records"))
+    return merged(plain, decimals) if merge_identical else plain.withColumn("documents", F.array("document"))
+
+
+def merged(plain: DataFrame, decimals: int = 2) -> DataFrame:
+    """Units of an entry that agree after rounding as one; from units that are not merged."""
+    keyed = plain.withColumn("rounded", rounded_key(F.col("document_value"), decimals))
     return (
-        plain.groupBy("entry", rounded_key(F.col("document_value"), decimals).alias("rounded"))
+        ranked(keyed, "document_value", "entry", "rounded")
+        .groupBy("entry", "rounded")
         .agg(
             F.min("document").alias("document"),
-            F.median("document_value").alias("document_value"),
+            F.avg("middle").alias("document_value"),
             F.sum("n_records").alias("n_records"),
             F.array_sort(F.collect_list("document")).alias("documents"),
         )
@@ -45,22 +59,31 @@ def units(records: DataFrame, merge_identical: bool = True, decimals: int = 2) -
 
 def moments(doc: DataFrame) -> DataFrame:
     """n_units, mean, median and sample variance (0 for one unit) of each entry."""
-    return doc.groupBy("entry").agg(
+    return ranked(doc, "document_value", "entry").groupBy("entry").agg(
         F.count(F.lit(1)).alias("n_units"),
         F.avg("document_value").alias("mean"),
-        F.median("document_value").alias("median"),
+        F.avg("middle").alias("median"),
         F.coalesce(F.var_samp("document_value"), F.lit(0.0)).alias("variance"),
     )
 
 
-def pooled_sd(doc: DataFrame, min_entries: int = 5, fallback_sd: float | None = FALLBACK_SD) -> DataFrame:
-    """One row: tau, method, n_entries, n_units, degrees_of_freedom of the pooled between-unit SD."""
-    multi = moments(doc).where("n_units >= 2")
+def _spread(doc: DataFrame) -> DataFrame:
+    """n_units and sample variance of entries with two units or more."""
+    return doc.groupBy("entry").agg(F.count(F.lit(1)).alias("n_units"), F.var_samp("document_value").alias("variance")).where("n_units >= 2")
+
+
+def pooled_sd(doc: DataFrame, min_entries: int = 5, fallback_sd: float | None = FALLBACK_SD, cap: int | None = None) -> DataFrame:
+    """One row: tau, method, n_entries, n_units, degrees_of_freedom of the pooled between-unit SD.
+
+    With ``cap``, no entry weighs more than that many degrees of freedom.
+    """
+    multi = _spread(doc)
+    df = F.col("n_units") - 1 if cap is None else F.least(F.col("n_units") - 1, F.lit(cap))
     total = multi.agg(
         F.count(F.lit(1)).alias("n_entries"),
         F.coalesce(F.sum("n_units"), F.lit(0)).alias("n_units"),
-        F.coalesce(F.sum(F.col("n_units") - 1), F.lit(0)).alias("degrees_of_freedom"),
-        F.sum(F.col("variance") * (F.col("n_units") - 1)).alias("sum_of_squares"),
+        F.coalesce(F.sum(df), F.lit(0)).alias("degrees_of_freedom"),
+        F.sum(F.col("variance") * df).alias("sum_of_squares"),
     )
     enough = F.col("n_entries") >= min_entries
     spare = F.lit(fallback_sd).cast("double") if fallback_sd is not None else F.raise_error(F.lit("too few entries with two or more units")).cast("double")
@@ -75,7 +98,7 @@ def pooled_sd(doc: DataFrame, min_entries: int = 5, fallback_sd: float | None =
 
 def dominant_entry(doc: DataFrame) -> DataFrame:
     """The entry with the greatest share of degrees of freedom or of squares; the first in key order on ties."""
-    multi = moments(doc).where("n_units >= 2").select("entry", (F.col("n_units") - 1).alias("df"), (F.col("variance") * (F.col("n_units") - 1)).alias("ss"))
+    multi = _spread(doc).select("entry", (F.col("n_units") - 1).alias("df"), (F.col("variance") * (F.col("n_units") - 1)).alias("ss"))
     total = multi.agg(F.sum("df").alias("all_df"), F.sum("ss").alias("all_ss"))
     shares = multi.join(F.broadcast(total)).select(
         "entry", (F.col("df") / F.col("all_df")).alias("df_share"), F.coalesce(F.try_divide("ss", "all_ss"), F.lit(0.0)).alias("ss_share")
@@ -87,22 +110,25 @@ def pair_offsets(records: DataFrame, min_shared: int = 3, offset_threshold: floa
     """Differences of documents over the entries that they share, B minus A with A before B.
 
     The self-join is on the entry, so its size is the sum over entries of pairs
-    of that entry's documents; values are gathered per pair only to compare
-    signs with the median.
+    of that entry's documents.  Differences of a pair are sorted for their exact
+    median; an entry or a pair with very many rows spills, and AQE splits its join.
     """
     if min_shared < 1 or offset_threshold < 0 or not 0 <= sign_agreement <= 1:
         raise ValueError("min_shared from 1, offset_threshold from 0, sign_agreement from 0 to 1")
-    doc = units(records, merge_identical=False)
+    return _offsets(units(records, merge_identical=False), min_shared, offset_threshold, sign_agreement)
+
+
+def _offsets(doc: DataFrame, min_shared: int, offset_threshold: float, sign_agreement: float) -> DataFrame:
     a = doc.select("entry", F.col("document").alias("document_a"), F.col("document_value").alias("a"))
     b = doc.select("entry", F.col("document").alias("document_b"), F.col("document_value").alias("b"))
-    pairs = a.join(b, "entry").where("document_a < document_b").groupBy("document_a", "document_b")
-    each = pairs.agg(
+    pairs = a.join(b, "entry").where("document_a < document_b").select("document_a", "document_b", (F.col("b") - F.col("a")).alias("d"))
+    each = ranked(pairs, "d", "document_a", "document_b").groupBy("document_a", "document_b").agg(
         F.count(F.lit(1)).alias("shared_entries"),
-        F.median(F.col("b") - F.col("a")).alias("median_offset"),
-        F.avg(F.col("b") - F.col("a")).alias("mean_offset"),
-        F.coalesce(F.stddev_samp(F.col("b") - F.col("a")), F.lit(0.0)).alias("std_offset"),
-        F.count_if(F.col("b") > F.col("a")).alias("up"),
-        F.count_if(F.col("b") < F.col("a")).alias("down"),
+        F.avg("middle").alias("median_offset"),
+        F.avg("d").alias("mean_offset"),
+        F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("std_offset"),
+        F.count_if(F.col("d") > 0).alias("up"),
+        F.count_if(F.col("d") < 0).alias("down"),
     )
     agree = F.when(F.col("median_offset") > 0, F.col("up")).when(F.col("median_offset") < 0, F.col("down")).otherwise(0) / F.col("shared_entries")
     sizes = doc.groupBy("document").agg(F.count(F.lit(1)).alias("n"))
@@ -134,12 +160,23 @@ def pair_totals(records: DataFrame, min_shared: int = 3) -> DataFrame:
     )
 
 
-def posteriors(doc: DataFrame, fit: DataFrame) -> DataFrame:
-    """Moments of each entry with the scale of its mean and of a new unit under the Gaussian model."""
-    return moments(doc).join(F.broadcast(fit.select("tau"))).select(
-        "entry", "n_units", "mean", "median", "variance", "tau",
-        (F.col("tau") / F.sqrt("n_units")).alias("posterior_scale"),
-        (F.col("tau") * F.sqrt(1 + 1 / F.col("n_units"))).alias("predictive_scale"),
+def posteriors(doc: DataFrame, fit: DataFrame, prior_df: float | None = None) -> DataFrame:
+    """Moments of each entry with the scale of its mean and of a new unit; ``fit`` is one row with tau.
+
+    Without ``prior_df`` the Gaussian model; with it the moderated t model, in
+    which an entry's own variance weighs its degrees of freedom against the prior's.
+    """
+    m = moments(doc).join(F.broadcast(fit.select("tau")))
+    if prior_df is None:
+        variance, df = F.col("tau") * F.col("tau"), F.lit(None).cast("double")
+    else:
+        own = F.when(F.col("n_units") > 1, F.greatest("variance", F.lit(VARIANCE_FLOOR))).otherwise(0.0)
+        df = F.lit(float(prior_df)) + F.col("n_units") - 1
+        variance = (prior_df * F.col("tau") * F.col("tau") + (F.col("n_units") - 1) * own) / df
+    return m.select(
+        "entry", "n_units", "mean", "median", "variance", "tau", df.alias("posterior_df"),
+        F.sqrt(variance / F.col("n_units")).alias("posterior_scale"),
+        F.sqrt(variance * (1 + 1 / F.col("n_units"))).alias("predictive_scale"),
     )
 
 
@@ -154,9 +191,34 @@ def held_out(doc: DataFrame) -> DataFrame:
     return table.select("entry", "document", F.col("document_value").alias("observed"), "center", own.alias("own"), (F.col("n") - 1).alias("remaining"))
 
 
+def largest_units(doc: DataFrame) -> DataFrame:
+    """Per entry: documents of the unit with most records (the lower value on ties) and its share of the records."""
+    top = F.max_by("documents", F.struct("n_records", -F.col("document_value")))
+    return doc.groupBy("entry").agg(top.alias("top"), (F.max("n_records") / F.sum("n_records")).alias("top_unit_record_fraction")).select("entry", F.array_join("top", ";").alias("top_unit_documents"), "top_unit_record_fraction")
+
+
+def discordance(doc: DataFrame, flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entry, discordant_document_pairs, discordant_documents) of entries with both documents of a flagged pair,
+    and (entry, touched) of entries with either."""
+    each = doc.select("entry", F.explode("documents").alias("document")).distinct()
+    either = flagged.select(F.explode(F.array("document_a", "document_b")).alias("document")).distinct()
+    touched = each.join(either, "document").select("entry").distinct().withColumn("touched", F.lit(True))
+    both = each.withColumnRenamed("document", "document_a").join(flagged, "document_a").join(each.withColumnRenamed("document", "document_b"), ["entry", "document_b"])
+    named = both.groupBy("entry").agg(
+        F.count(F.lit(1)).alias("discordant_document_pairs"),
+        F.array_join(F.array_sort(F.array_union(F.collect_set("document_a"), F.collect_set("document_b"))), ";").alias("discordant_documents"),
+    )
+    return named, touched
+
+
+# The evidence models.
+MODELS = ("gaussian", "exclude-flagged", "moderated_t")
+
+
 def support(
-    records: DataFrame, lower: float, upper: float, level: float = 0.8, offset_display: str = "off",
+    records: DataFrame, lower: float, upper: float, level: float = 0.8, offset_display: str = "none",
     min_shared: int = 3, offset_threshold: float = 1.0, sign_agreement: float = 0.8,
+    model: str = "gaussian", fit: dict | None = None, assumed_sigma: float | None = None, merge_identical: bool = True,
 ) -> DataFrame:
     """How well independent documents support each entry's class.
 
@@ -164,32 +226,87 @@ def support(
     is ``class_confidence``, its predictive one ``class_reproducibility``.  An
     entry is supported from ``level`` on; with ``offset_display="uncertain"``
     entries that touch a systematic pair are uncertain whatever their support.
+
+    ``gaussian`` pools one variance; ``exclude-flagged`` leaves out units with a
+    document of a systematic pair, and entries without any other keep the fit of all;
+    ``moderated_t`` weighs each entry's own variance against a prior, fitted by
+    ``models.fit_predictive_variance`` or given as ``fit`` (tau, prior_df).
+    ``assumed_sigma`` replaces the fit, and adds its two columns.
     """
-    doc = units(records)
-    post = posteriors(doc, pooled_sd(doc))
-    shown = records.where(F.col("value").isNotNull()).groupBy("entry").agg(F.median("value").alias("median_value"), F.countDistinct("document").alias("n_documents"), F.count(F.lit(1)).alias("n_records"))
-    largest = doc.groupBy("entry").agg(F.max_by(F.struct("document", "n_records"), F.struct("n_records", -F.col("document_value"))).alias("top"))
-    flagged = pair_offsets(records, min_shared, offset_threshold, sign_agreement).where("systematic_offset").select("document_a", "document_b")
-    each = doc.select("entry", F.explode("documents").alias("document")).distinct()
-    touched = each.join(flagged.select(F.explode(F.array("document_a", "document_b")).alias("document")).distinct(), "document").select("entry").distinct().withColumn("touched", F.lit(True))
-    both = (
-        each.join(flagged, each.document == flagged.document_a).select("entry", "document_b")
-        .join(each.withColumnRenamed("document", "document_b"), ["entry", "document_b"])
-        .groupBy("entry").agg(F.count(F.lit(1)).alias("discordant_document_pairs"))
-    )
-    wide = post.join(shown, "entry").join(largest, "entry").join(touched, "entry", "left").join(both, "entry", "left")
-    near, new = (class_probabilities(F.col("mean"), F.col(s), lower, upper) for s in ("posterior_scale", "predictive_scale"))
-    shown_class = class_of(F.col("median_value"), lower, upper)
-    of = lambda p: F.when(F.col("activity_class") == "inactive", p[0]).when(F.col("activity_class") == "medium", p[1]).otherwise(p[2])
-    out = wide.withColumn("activity_class", shown_class).withColumn("class_confidence", of(near)).withColumn("class_reproducibility", of(new))
+    if not 0.5 < level < 1:
+        raise ValueError("level must lie between 0.5 and 1")
+    if model not in MODELS or offset_display not in ("none", "uncertain"):
+        raise ValueError("model is one of gaussian, exclude-flagged, moderated_t; offset_display none or uncertain")
+    if min_shared < 2 or offset_threshold <= 0 or not 0.5 < sign_agreement <= 1:
+        raise ValueError("min_shared from 2, offset_threshold above 0, sign_agreement above 0.5 and up to 1")
+    if assumed_sigma is not None and (fit is not None or not 0 < assumed_sigma < float("inf")):
+        raise ValueError("assumed_sigma is finite, positive and stands without fit")
+    plain = units(records, merge_identical=False)
+    doc = merged(plain.drop("documents")) if merge_identical else plain
+    flagged = _offsets(plain, min_shared, offset_threshold, sign_agreement).where("systematic_offset").select("document_a", "document_b")
+    one = lambda tau: records.sparkSession.range(1).select(F.lit(float(tau)).alias("tau"))
+    prior_df = None
+    if assumed_sigma is not None:
+        first = one(assumed_sigma)
+    elif model == "moderated_t" or fit is not None:
+        if fit is None:
+            from sourcewise.operators.models import fit_predictive_variance
+
+            fit = fit_predictive_variance(doc)
+        first, prior_df = one(fit["tau"]), fit.get("prior_df")
+    else:
+        first = pooled_sd(doc)
+    if model == "exclude-flagged":
+        bad = flagged.select(F.explode(F.array("document_a", "document_b")).alias("d")).distinct()
+        hit = doc.select("entry", "document", F.explode("documents").alias("d")).join(bad, "d", "left_semi").select("entry", "document").distinct()
+        clean = doc.join(hit, ["entry", "document"], "left_anti")
+        lost = doc.join(clean.select("entry").distinct(), "entry", "left_anti")
+        second = first if assumed_sigma is not None else pooled_sd(clean)
+        post = posteriors(clean, second).join(largest_units(clean), "entry").unionByName(posteriors(lost, first, prior_df).join(largest_units(lost), "entry"))
+    else:
+        post = posteriors(doc, first, prior_df).join(largest_units(doc), "entry")
+    known = records.select("entry", "document", clean_double(F.col("value")).alias("value")).where("entry is not null")
+    # Documents are counted over all records, as rows without a value name theirs too.
+    shown = ranked(known, "value", "entry").groupBy("entry").agg(F.avg("middle").alias("median_value"), F.countDistinct("document").alias("n_documents"), F.count("value").alias("n_records"))
+    both, touched = discordance(doc, flagged)
+    wide = post.join(shown, "entry").join(touched, "entry", "left").join(both, "entry", "left")
+    names = ("inactive", "medium", "active")
+    tails = {}
+    for kind, scale in (("consensus", "posterior_scale"), ("new_document", "predictive_scale")):
+        tails[f"p_{kind}_inactive"], tails[f"p_{kind}_active"] = class_tails(F.col("mean"), F.col(scale), lower, upper, F.col("posterior_df") if prior_df is not None else None)
+    out = wide.withColumns({"activity_class": class_of(F.col("median_value"), lower, upper), **tails})
+    rest = lambda kind: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col(f"p_{kind}_inactive") - F.col(f"p_{kind}_active")))
+    out = out.withColumns({f"p_{kind}_medium": rest(kind) for kind in ("consensus", "new_document")})
+    of = lambda kind: F.when(F.col("activity_class") == "inactive", F.col(f"p_{kind}_inactive")).when(F.col("activity_class") == "medium", F.col(f"p_{kind}_medium")).otherwise(F.col(f"p_{kind}_active"))
+    out = out.withColumns({"class_confidence": of("consensus"), "class_reproducibility": of("new_document")})
     hit = F.coalesce("touched", F.lit(False)) if offset_display == "uncertain" else F.lit(False)
     enough = F.col("class_confidence") >= level
+    balanced = class_of(F.col("mean"), lower, upper)
     return out.select(
-        "entry", "n_records", "n_documents", "n_units", "median_value", F.col("mean").alias("document_balanced_mean"), "tau",
-        "activity_class", class_of(F.col("mean"), lower, upper).alias("document_balanced_class"),
-        "class_confidence", "class_reproducibility",
-        F.col("top.document").alias("top_unit_document"), (F.col("top.n_records") / F.col("n_records")).alias("top_unit_share"),
-        F.coalesce("touched", F.lit(False)).alias("offset_pair_touched"), F.coalesce("discordant_document_pairs", F.lit(0)).alias("discordant_document_pairs"),
+        "entry", "n_records", "median_value", "activity_class", "n_documents", F.col("n_units").alias("n_evidence_units"), "top_unit_documents", "top_unit_record_fraction",
+        F.col("mean").alias("document_balanced_value"), balanced.alias("document_balanced_class"),
+        (balanced != F.col("activity_class")).cast("int").alias("class_changed_by_document_balance"), F.col("posterior_scale").alias("consensus_scale"),
+        *(f"p_{kind}_{name}" for name in names for kind in ("consensus", "new_document")), "class_confidence", "class_reproducibility",
+        F.coalesce("discordant_document_pairs", F.lit(0)).alias("discordant_document_pairs"), F.coalesce("discordant_documents", F.lit("")).alias("discordant_documents"),
+        F.coalesce("touched", F.lit(False)).alias("offset_pair_touched"),
         F.when(enough & ~hit, "supported").otherwise("uncertain").alias("class_status"),
         F.when(hit, "offset_pair").when(enough, "supported").otherwise("low_support").alias("status_reason"),
+        *([F.lit(float(assumed_sigma)).alias("sigma_doc"), F.lit(None).cast("int").alias("sigma_doc_degrees_of_freedom")] if assumed_sigma is not None else []),
+    )
+
+
+def support_fit(records: DataFrame, min_shared: int = 3, offset_threshold: float = 1.0, sign_agreement: float = 0.8) -> DataFrame:
+    """One row that describes the Gaussian fit: sigma, degrees of freedom, pair counts, and the warning that applies."""
+    doc = units(records)
+    fit, top = pooled_sd(doc), dominant_entry(doc)
+    pairs = pair_offsets(records, min_shared, offset_threshold, sign_agreement).agg(
+        F.count_if("systematic_offset").alias("discordant_document_pair_count"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("systematic_offset"), F.array("document_a", "document_b")))))).alias("flagged_document_count"),
+    )
+    out = fit.join(pair_totals(records, min_shared)).join(pairs).join(top, F.lit(True), "left")
+    share = F.greatest(F.coalesce("df_share", F.lit(0.0)), F.coalesce("ss_share", F.lit(0.0)))
+    warning = F.when(F.col("method") == "literature_fallback", "too few entries with several units").when(share > 0.3, F.concat(F.lit("one entry dominates: "), F.col("entry").cast("string")))
+    return out.select(
+        F.col("tau").alias("sigma_doc"), F.when(F.col("method") != "literature_fallback", F.col("degrees_of_freedom")).alias("sigma_doc_degrees_of_freedom"), F.col("n_entries").alias("multi_unit_entry_count"),
+        "document_pair_possible_count", "observed_document_pair_count", "document_pair_count", "discordant_document_pair_count", "flagged_document_count", "method", warning.alias("warning"),
     )

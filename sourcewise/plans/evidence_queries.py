@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sourcewise.functions.expressions import class_of
 from sourcewise.operators import evidence as E
+from sourcewise.operators import models
 from sourcewise.plans.book import query
 from sourcewise.sources.bindings import LOWER, RECORDS_SQL, UPPER, read, records
 
@@ -91,46 +92,123 @@ def held_out_units(spark, sf_dir):
     return E.held_out(E.units(records(spark, sf_dir))).select("entry", "document", R6("observed"), R6("center"), R6("own"), F.col("remaining").cast("bigint").alias("remaining"))
 
 
-def _support_sql(display: str) -> str:
+def t_sql(z: str, df: str) -> str:
+    """Student's t distribution function for whole degrees of freedom from 2 on, by its finite series."""
+    angle = f"atan(({z}) / sqrt({df}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, {df} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / 1.7724538509055159 * pow(cos({angle}), 2 * k)))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * list_sum(list_transform(range(0, ({df} - 1) // 2), lambda k: 1.7724538509055159 * exp(lgamma(k + 1) - lgamma(k + 1.5)) / 2 * pow(cos({angle}), 2 * k + 1))))"
+    return f"((1 + CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END) / 2)"
+
+
+MODERATED = {"tau": 0.2, "prior_df": 4.0}
+SUPPORT_COLUMNS = [
+    "entry", "n_records", "median_value", "activity_class", "n_documents", "n_evidence_units", "top_unit_documents", "top_unit_record_fraction", "document_balanced_value", "document_balanced_class",
+    "class_changed_by_document_balance", "consensus_scale", "p_consensus_inactive", "p_new_document_inactive", "p_consensus_medium", "p_new_document_medium", "p_consensus_active", "p_new_document_active",
+    "class_confidence", "class_reproducibility", "discordant_document_pairs", "discordant_documents", "offset_pair_touched", "class_status", "status_reason",
+]
+_ROUNDED = {"median_value", "top_unit_record_fraction", "document_balanced_value", "consensus_scale", "class_confidence", "class_reproducibility"} | {c for c in SUPPORT_COLUMNS if c.startswith("p_")}
+
+
+def _support_sql(display: str = "none", model: str = "gaussian", sigma: float | None = None) -> str:
     cls = lambda x: f"CASE WHEN {x} <= {LOWER} THEN 'inactive' WHEN {x} >= {UPPER} THEN 'active' ELSE 'medium' END"
-    chance = lambda s: f"""CASE activity_class WHEN 'inactive' THEN {phi_sql(f'({LOWER} - mean) / {s}')} WHEN 'active' THEN {phi_sql(f'(mean - {UPPER}) / {s}')}
-      ELSE greatest(0.0, least(1.0, 1 - {phi_sql(f'({LOWER} - mean) / {s}')} - {phi_sql(f'(mean - {UPPER}) / {s}')})) END"""
+    cdf = (lambda z: t_sql(z, "df")) if model == "moderated_t" else phi_sql
+    chance = lambda s: (cdf(f"({LOWER} - mean) / {s}"), cdf(f"(mean - {UPPER}) / {s}"))
     hit = "touched" if display == "uncertain" else "false"
-    return PAIRS + MERGED[len(UNITS):] + f""",
-fit AS (SELECT CASE WHEN count(*) >= 5 THEN sqrt(sum(variance * (m - 1)) / sum(m - 1)) ELSE 0.64 END AS tau FROM moments WHERE m >= 2),
-shown AS (SELECT entry, median(value) AS median_value, count(DISTINCT document) AS n_documents, count(*) AS n_records FROM records GROUP BY entry),
-largest AS (SELECT entry, document AS top_document, n AS top_n FROM merged QUALIFY row_number() OVER (PARTITION BY entry ORDER BY n DESC, v) = 1),
+    fit = "CASE WHEN count(*) >= 5 THEN sqrt(sum(variance * (m - 1)) / sum(m - 1)) ELSE 0.64 END" if sigma is None else f"max({sigma}::DOUBLE)"
+    stats = "SELECT entry, count(*) AS m, avg(v) AS mean, coalesce(var_samp(v), 0) AS variance, arg_min(documents, (-n, v)) AS top, max(n) / sum(n) AS share FROM {} GROUP BY entry"
+    tau, d0 = MODERATED["tau"], int(MODERATED["prior_df"])
+    if model == "moderated_t":
+        s2 = f"(({d0} * {tau * tau} + (m - 1) * CASE WHEN m > 1 THEN greatest(variance, 1e-4) ELSE 0 END) / ({d0} + m - 1))"
+        post = f"post AS (SELECT *, sqrt({s2} / m) AS near, sqrt({s2} * (1 + 1 / m)) AS wide_, {d0} + m - 1 AS df FROM (SELECT * FROM a))"
+    elif model == "exclude-flagged":
+        post = f"""bad AS (SELECT document_a AS d FROM flagged UNION SELECT document_b FROM flagged),
+ clean AS (SELECT * FROM merged WHERE NOT EXISTS (SELECT 1 FROM bad WHERE list_contains(documents, d))), c AS ({stats.format('clean')}), fc AS (SELECT {fit} AS tau FROM c WHERE m >= 2),
+ post AS (SELECT *, tau / sqrt(m) AS near, tau * sqrt(1 + 1 / m) AS wide_, 0 AS df FROM c CROSS JOIN fc UNION ALL SELECT *, tau / sqrt(m), tau * sqrt(1 + 1 / m), 0 FROM a CROSS JOIN fa WHERE entry NOT IN (SELECT entry FROM c))"""
+    else:
+        post = "post AS (SELECT *, tau / sqrt(m) AS near, tau * sqrt(1 + 1 / m) AS wide_, 0 AS df FROM a CROSS JOIN fa)"
+    of = lambda k: f"CASE activity_class WHEN 'inactive' THEN {k}_inactive WHEN 'medium' THEN {k}_medium ELSE {k}_active END"
+    shown = ", ".join(f"round({c}, 6) AS {c}" if c in _ROUNDED else c for c in SUPPORT_COLUMNS)
+    (low, high), (low2, high2) = chance("near"), chance("wide_")
+    return PAIRS + MERGED[len(UNITS):].split(",\nmoments")[0] + f""",
 flagged AS (SELECT document_a, document_b FROM offsets WHERE shared_entries >= 3 AND abs(med) >= 0.3 AND agreement >= 0.8),
+a AS ({stats.format('merged')}), fa AS (SELECT {fit} AS tau FROM a WHERE m >= 2), {post},
+shown AS (SELECT entry, median(value) AS median_value, count(DISTINCT document) AS n_documents, count(*) AS n_records FROM records GROUP BY entry),
 each AS (SELECT DISTINCT entry, unnest(documents) AS document FROM merged),
 hits AS (SELECT DISTINCT entry FROM each WHERE document IN (SELECT document_a FROM flagged UNION SELECT document_b FROM flagged)),
-both_ AS (SELECT x.entry, count(*) AS k FROM each x JOIN flagged ON x.document = document_a JOIN each y ON y.entry = x.entry AND y.document = document_b GROUP BY x.entry),
-wide AS (SELECT mo.entry, n_records, n_documents, m AS n_units, median_value, mean, tau, {cls('median_value')} AS activity_class, {cls('mean')} AS balanced,
-         tau / sqrt(m) AS near, tau * sqrt(1 + 1 / m) AS wide_, top_document, top_n / n_records AS top_share, h.entry IS NOT NULL AS touched, coalesce(k, 0) AS k
-         FROM moments mo CROSS JOIN fit JOIN shown USING (entry) JOIN largest USING (entry) LEFT JOIN hits h USING (entry) LEFT JOIN both_ USING (entry)),
-scored AS (SELECT *, {chance('near')} AS confidence, {chance('wide_')} AS reproducibility FROM wide)
-SELECT entry, n_records, n_documents, n_units, round(median_value, 6) AS median_value, round(mean, 6) AS document_balanced_mean, activity_class, balanced AS document_balanced_class,
- round(confidence, 6) AS class_confidence, round(reproducibility, 6) AS class_reproducibility, top_document AS top_unit_document, round(top_share, 6) AS top_unit_share,
- touched AS offset_pair_touched, k AS discordant_document_pairs,
- CASE WHEN confidence >= 0.8 AND NOT {hit} THEN 'supported' ELSE 'uncertain' END AS class_status,
- CASE WHEN {hit} THEN 'offset_pair' WHEN confidence >= 0.8 THEN 'supported' ELSE 'low_support' END AS status_reason FROM scored"""
-
-
-def _support(spark, sf_dir, display):
-    out = E.support(records(spark, sf_dir), LOWER, UPPER, offset_display=display, offset_threshold=0.3)
-    return out.select(
-        "entry", "n_records", "n_documents", "n_units", R6("median_value"), R6("document_balanced_mean"), "activity_class", "document_balanced_class",
-        R6("class_confidence"), R6("class_reproducibility"), "top_unit_document", R6("top_unit_share"), "offset_pair_touched", "discordant_document_pairs", "class_status", "status_reason",
-    )
-
-
-@query(_support_sql("off"))
+both_ AS (SELECT x.entry, count(*) AS k, array_to_string(list_sort(list_distinct(flatten(list([document_a, document_b])))), ';') AS docs FROM each x JOIN flagged ON x.document = document_a JOIN each y ON y.entry = x.entry AND y.document = document_b GROUP BY x.entry),
+wide AS (SELECT post.*, n_records, n_documents, median_value, {cls('median_value')} AS activity_class, h.entry IS NOT NULL AS touched, coalesce(k, 0) AS k, coalesce(docs, '') AS docs
+         FROM post JOIN shown USING (entry) LEFT JOIN hits h USING (entry) LEFT JOIN both_ USING (entry)),
+chances AS (SELECT *, {low} AS p_consensus_inactive, {high} AS p_consensus_active, {low2} AS p_new_document_inactive, {high2} AS p_new_document_active FROM wide),
+middle AS (SELECT *, greatest(0.0, least(1.0, 1 - p_consensus_inactive - p_consensus_active)) AS p_consensus_medium, greatest(0.0, least(1.0, 1 - p_new_document_inactive - p_new_document_active)) AS p_new_document_medium FROM chances),
+scored AS (SELECT *, {of('p_consensus')} AS class_confidence, {of('p_new_document')} AS class_reproducibility FROM middle),
+every AS (SELECT *, m AS n_evidence_units, array_to_string(top, ';') AS top_unit_documents, share AS top_unit_record_fraction, mean AS document_balanced_value, {cls('mean')} AS document_balanced_class,
+ CAST({cls('mean')} <> activity_class AS INT) AS class_changed_by_document_balance, near AS consensus_scale, k AS discordant_document_pairs, docs AS discordant_documents, touched AS offset_pair_touched,
+ CASE WHEN class_confidence >= 0.8 AND NOT {hit} THEN 'supported' ELSE 'uncertain' END AS class_status,
+ CASE WHEN {hit} THEN 'offset_pair' WHEN class_confidence >= 0.8 THEN 'supported' ELSE 'low_support' END AS status_reason FROM scored)
+SELECT {shown}{f", {sigma}::DOUBLE AS sigma_doc, NULL::INT AS sigma_doc_degrees_of_freedom" if sigma is not None else ""} FROM every"""
+
+
+def _support(spark, sf_dir, **how):
+    out = E.support(records(spark, sf_dir), LOWER, UPPER, offset_threshold=0.3, **how)
+    return out.select(*(R6(c) if c in _ROUNDED else F.col(c) for c in out.columns))
+
+
+@query(_support_sql())
 def class_support(spark, sf_dir):
-    return _support(spark, sf_dir, "off")
+    return _support(spark, sf_dir)
 
 
 @query(_support_sql("uncertain"))
 def class_support_uncertain(spark, sf_dir):
-    return _support(spark, sf_dir, "uncertain")
+    return _support(spark, sf_dir, offset_display="uncertain")
+
+
+@query(_support_sql(model="exclude-flagged"))
+def class_support_without_flagged(spark, sf_dir):
+    return _support(spark, sf_dir, model="exclude-flagged")
+
+
+@query(_support_sql(model="moderated_t"))
+def class_support_moderated(spark, sf_dir):
+    return _support(spark, sf_dir, model="moderated_t", fit=MODERATED)
+
+
+@query(_support_sql(sigma=0.25))
+def class_support_assumed_sigma(spark, sf_dir):
+    return _support(spark, sf_dir, assumed_sigma=0.25)
+
+
+@query()
+def class_support_fitted_prior(spark, sf_dir):
+    return _support(spark, sf_dir, model="moderated_t")
+
+
+@query(PAIRS + MERGED[len(UNITS):] + """,
+ flagged AS (SELECT document_a, document_b FROM offsets WHERE shared_entries >= 3 AND abs(med) >= 0.3 AND agreement >= 0.8),
+ fit AS (SELECT count(*) AS n, CAST(sum(m - 1) AS BIGINT) AS df, CASE WHEN count(*) >= 5 THEN sqrt(sum(variance * (m - 1)) / sum(m - 1)) ELSE 0.64 END AS tau FROM moments WHERE m >= 2),
+ top AS (SELECT entry, greatest((m - 1) / sum(m - 1) OVER (), variance * (m - 1) / sum(variance * (m - 1)) OVER ()) AS share FROM moments WHERE m >= 2 ORDER BY share DESC, entry LIMIT 1)
+ SELECT round(tau, 6) AS sigma_doc, CASE WHEN n >= 5 THEN df END AS sigma_doc_degrees_of_freedom, n AS multi_unit_entry_count,
+ (SELECT CAST(count(DISTINCT document) * (count(DISTINCT document) - 1) // 2 AS BIGINT) FROM units) AS document_pair_possible_count, (SELECT count(*) FROM pairs) AS observed_document_pair_count,
+ (SELECT count(*) FROM pairs WHERE shared_entries >= 3) AS document_pair_count, (SELECT count(*) FROM flagged) AS discordant_document_pair_count,
+ (SELECT count(*) FROM (SELECT document_a FROM flagged UNION SELECT document_b FROM flagged)) AS flagged_document_count,
+ CASE WHEN n >= 5 THEN 'pooled_between_unit_sd' ELSE 'literature_fallback' END AS method,
+ CASE WHEN n < 5 THEN 'too few entries with several units' WHEN (SELECT share FROM top) > 0.3 THEN 'one entry dominates: ' || (SELECT entry FROM top) END AS warning FROM fit""")
+def class_support_fit(spark, sf_dir):
+    out = E.support_fit(records(spark, sf_dir), offset_threshold=0.3)
+    return out.withColumn("sigma_doc", F.round("sigma_doc", 6)).withColumn("flagged_document_count", F.col("flagged_document_count").cast("bigint"))
+
+
+@query(MERGED + """ SELECT count(*) AS n_entries, CAST(sum(least(m - 1, 5)) AS BIGINT) AS degrees_of_freedom, round(sqrt(sum(variance * least(m - 1, 5)) / sum(least(m - 1, 5))), 6) AS tau FROM moments WHERE m >= 2""")
+def capped_between_unit_sd(spark, sf_dir):
+    return E.pooled_sd(E.units(records(spark, sf_dir)), cap=5).select("n_entries", F.col("degrees_of_freedom").cast("bigint").alias("degrees_of_freedom"), R6("tau"))
+
+
+@query(MERGED + f""", fit AS (SELECT sqrt(sum(variance * (m - 1)) / sum(m - 1)) AS tau FROM moments WHERE m >= 2),
+ prior AS (SELECT greatest(var_samp(mean) - avg(tau * tau / m), 1e-4) AS t2, avg(mean) AS mu FROM moments CROSS JOIN fit)
+ SELECT entry, round((mean * m / (tau * tau) + mu / t2) / (m / (tau * tau) + 1 / t2), 6) AS posterior_mean, round(sqrt(1 / (m / (tau * tau) + 1 / t2)), 6) AS posterior_scale FROM moments CROSS JOIN fit CROSS JOIN prior""")
+def empirical_bayes_means(spark, sf_dir):
+    doc = E.units(records(spark, sf_dir))
+    return models.empirical_bayes(doc, E.pooled_sd(doc)).select("entry", R6("posterior_mean"), R6("posterior_scale"))
 
 
 @query("""WITH u AS (SELECT user_id AS entry, event_type AS document, median(log10(value)) AS v, count(*) AS n FROM events WHERE value > 0 GROUP BY ALL)
