@@ -1,17 +1,20 @@
 """Tie-inclusive nearest neighbours and the fidelity of one space against another.
 
-What a kNN task holds of the right side is a block of at most ``BROADCAST_ROWS``
-rows; larger tables are walked in such blocks, whose k best are merged.
+A kNN task compares two blocks of at most ``BLOCK_ROWS`` rows; tables of any size
+are dealt out in such pairs of blocks, whose k best are merged.  Nothing comes to
+the driver but counts.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
+BLOCK_ROWS = 20_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -44,57 +47,73 @@ def shell(pairs: DataFrame, k: int, relative: float = 1e-9, absolute: float = 1e
 def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """Tie-inclusive kNN self-join of (id, v); v is a vector, or for jaccard an array of distinct items.
 
-    Vectors are compared as matrices: each task streams its rows against one
-    block of at most ``BROADCAST_ROWS`` rows and hands on the shell only, so
-    pairs never become rows; the shells of several blocks are merged.
+    Vectors are compared as matrices: a task takes one block of sources and one of
+    targets and hands on the shell only, so pairs never become rows; the shells of
+    a source's blocks are merged.
     """
     if metric == "jaccard":
-        return shell(_shared_items(points), k)
+        return shell(_set_distances(points, k), k)
+    spark = points.sparkSession
     own = points.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    n = own.count()
-    blocks = -(-n // BROADCAST_ROWS) if n else 1
-    best = None
-    for i in range(blocks):
-        part = (own if blocks == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)).toPandas()
-        near = own.mapInPandas(_near(part["id"].to_numpy(), np.stack(part["v"].to_numpy()) if len(part) else None, k), "src bigint, dst bigint, dist double")
-        best = near if best is None else best.unionByName(near)
-    return shell(best, k)
-
-
-def _near(ids: np.ndarray, block: np.ndarray | None, k: int):
-    def run(frames):
-        for frame in frames:
-            out = []
-            if block is not None and len(frame):
-                rows = np.stack(frame["v"].to_numpy())
-                rough = (rows * rows).sum(1)[:, None] + (block * block).sum(1)[None, :] - 2 * rows @ block.T
-                slack = 1e-9 * ((rows * rows).sum(1) + (block * block).sum(1).max() + 1)
-                for i, own in enumerate(frame["id"].tolist()):
-                    d = np.where(ids == own, np.inf, rough[i])
-                    m = min(k, int(np.isfinite(d).sum()))
-                    if not m:
-                        continue
-                    at = np.flatnonzero(d <= np.partition(d, m - 1)[m - 1] + slack[i])
-                    exact = np.sqrt(((block[at] - rows[i]) ** 2).sum(1))
-                    keep = exact <= np.partition(exact, m - 1)[m - 1] * (1 + 1e-9) + 1e-12
-                    out.append((own, ids[at[keep]], exact[keep]))
-            yield pd.DataFrame(
-                {
-                    "src": np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out]),
-                    "dst": np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.int64),
-                    "dist": np.concatenate([x[2] for x in out]) if out else np.zeros(0),
-                }
-            )
-
-    return run
-
-
-def _shared_items(points: DataFrame) -> DataFrame:
-    """Jaccard distances of all pairs that share an item, by a join on items (others are at distance 1)."""
+    right = max(1, -(-own.count() // BLOCK_ROWS))
+    left = max(right, spark.sparkContext.defaultParallelism)
+    side = lambda n, c: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(c)
+    every = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+    sources = own.select(side(left, "i"), every(right, "j"), "id", "v").groupBy("i", "j")
+    targets = own.select(every(left, "i"), side(right, "j"), "id", "v").groupBy("i", "j")
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _near(a, b, k)
+
+    return shell(sources.cogroup(targets).applyInPandas(near, "src bigint, dst bigint, dist double"), k)
+
+
+def _near(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The shells of the rows of ``a`` among those of ``b``."""
+    out = []
+    if len(a) and len(b):
+        ids, block, sources = b["id"].to_numpy(), np.stack(b["v"].to_numpy()), a["id"].to_numpy()
+        norms = (block * block).sum(1)
+        for at in range(0, len(a), 256):
+            rows = np.stack(a["v"].to_numpy()[at : at + 256])
+            rough = (rows * rows).sum(1)[:, None] + norms[None, :] - 2 * rows @ block.T
+            slack = 1e-9 * ((rows * rows).sum(1) + norms.max() + 1)
+            for i, own in enumerate(sources[at : at + 256].tolist()):
+                d = np.where(ids == own, np.inf, rough[i])
+                m = min(k, int(np.isfinite(d).sum()))
+                if not m:
+                    continue
+                some = np.flatnonzero(d <= np.partition(d, m - 1)[m - 1] + slack[i])
+                exact = np.sqrt(((block[some] - rows[i]) ** 2).sum(1))
+                keep = exact <= np.partition(exact, m - 1)[m - 1] * (1 + 1e-9) + 1e-12
+                out.append((own, ids[some[keep]], exact[keep]))
+    return pd.DataFrame(
+        {
+            "src": np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out]),
+            "dst": np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.int64),
+            "dist": np.concatenate([x[2] for x in out]) if out else np.zeros(0),
+        }
+    )
+
+
+def _set_distances(points: DataFrame, k: int) -> DataFrame:
+    """Jaccard distances of all pairs that share an item, by a join on items; empty sets are at distance 0 from each other.
+
+    Where fewer than k others share one, all others at distance 1 are ties of the
+    kth and belong to the shell, so those sources meet every row: that is the
+    size of the answer.
+    """
     each = points.select("id", F.size("v").alias("n"), F.explode("v").alias("item"))
     a, b = each.select(F.col("id").alias("src"), F.col("n").alias("n_a"), "item"), each.select(F.col("id").alias("dst"), F.col("n").alias("n_b"), "item")
     both = a.join(b, "item").where("src <> dst").groupBy("src", "dst", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    return both.select("src", "dst", (1 - F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("dist"))
+    shared = both.select("src", "dst", (1 - F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("dist"))
+    empty = points.where(F.size("v") == 0).select("id")
+    shared = shared.unionByName(empty.select(F.col("id").alias("src")).join(empty.select(F.col("id").alias("dst")), F.col("src") != F.col("dst")).select("src", "dst", F.lit(0.0).alias("dist")))
+    counts = shared.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    few = points.select(F.col("id").alias("src")).join(counts, "src", "left").where(F.coalesce("n", F.lit(0)) < k).select("src")
+    rest = few.join(points.select(F.col("id").alias("dst")), F.col("src") != F.col("dst"))
+    rest = rest.join(shared, ["src", "dst"], "left_anti").select("src", "dst", F.lit(1.0).alias("dist"))
+    return shared.unionByName(rest)
 
 
 def similar_pairs(points: DataFrame, threshold: float) -> DataFrame:
@@ -117,26 +136,50 @@ def similar_pairs(points: DataFrame, threshold: float) -> DataFrame:
 
 
 def grid_neighbors(cells: DataFrame, k: int) -> DataFrame:
-    """Tie-inclusive neighbours on integer cells (id, row, col), by squared distance.
+    """Tie-inclusive neighbours (src, dst, dist) on integer cells (id, row, col), by squared distance."""
+    return nearest_of(cells, cells, k, own=False)
 
-    Candidates come from square rings that are wide enough to hold k others, by
-    an equal join on coarse blocks.
-    """
-    a = cells.select(F.col("id").alias("src"), F.col("row").alias("ra"), F.col("col").alias("ca"))
-    b = cells.select(F.col("id").alias("dst"), F.col("row").alias("rb"), F.col("col").alias("cb"))
-    pairs = a.join(F.broadcast(b), F.col("src") != F.col("dst")) if cells.count() <= BROADCAST_ROWS else _ringed(a, b, k)
-    d = (F.col("ra") - F.col("rb")) * (F.col("ra") - F.col("rb")) + (F.col("ca") - F.col("cb")) * (F.col("ca") - F.col("cb"))
-    ranked = pairs.select("src", "dst", d.alias("d")).withColumn("rank", F.rank().over(Window.partitionBy("src").orderBy("d")))
-    return ranked.where(F.col("rank") <= k).select("src", "dst", F.sqrt("d").alias("dist"))
 
+def nearest_of(sources: DataFrame, cells: DataFrame, k: int, own: bool = True) -> DataFrame:
+    """The k nearest cells of each source, ties kept; with ``own`` unset, a source's own id is no neighbour.
 
-def _ringed(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """Pairs in the same or adjacent blocks of a side that holds k cells in a quarter disc; dense layouts have k neighbours there."""
-    side = max(2, 2 * int((k / 0.5) ** 0.5 + 1))
+    A source meets the cells of its own and the eight adjacent blocks of a side s,
+    by an equal join.  All cells within s are among them, so a kth distance up to s
+    is certain; the other sources go on with blocks four times as wide, until the
+    blocks span everything.
+    """
+    a = sources.select(F.col("id").alias("src"), F.col("row").cast("bigint").alias("ra"), F.col("col").cast("bigint").alias("ca"))
+    b = cells.select(F.col("id").alias("dst"), F.col("row").cast("bigint").alias("rb"), F.col("col").cast("bigint").alias("cb"))
+    spans = lambda t: t.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("row", "col") for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    x, y = spans(sources), spans(cells)
+    wide = lambda c: max(x[f"hi_{c}"], y[f"hi_{c}"]) - min(x[f"lo_{c}"], y[f"lo_{c}"]) + 1 if x["n"] and y["n"] else 1
+    extent = max(wide("row"), wide("col"))
+    area = (y["hi_row"] - y["lo_row"] + 1) * (y["hi_col"] - y["lo_col"] + 1) if y["n"] else 1
+    side = min(extent, max(2, math.ceil(1.2 * math.sqrt((k + 1) * area / max(1, y["n"]) / math.pi))))
+    done = None
+    while True:
+        d = (F.col("ra") - F.col("rb")) * (F.col("ra") - F.col("rb")) + (F.col("ca") - F.col("cb")) * (F.col("ca") - F.col("cb"))
+        pairs = _block_pairs(a, b, side) if own else _block_pairs(a, b, side).where("src <> dst")
+        ranked = pairs.select("src", "dst", d.alias("d")).withColumn("rank", F.rank().over(Window.partitionBy("src").orderBy("d"))).where(F.col("rank") <= k)
+        w = Window.partitionBy("src")
+        found = ranked.select("src", "dst", "d", (F.count(F.lit(1)).over(w) >= k).alias("full"), F.max("d").over(w).alias("kth"))
+        certain = F.lit(side >= extent) | (F.col("full") & (F.col("kth") <= side * side))
+        now = found.where(certain).select("src", "dst", F.sqrt("d").alias("dist"))
+        done = now if done is None else done.unionByName(now)
+        if side >= extent:
+            return done
+        a = a.join(found.where(certain).select("src").distinct(), "src", "left_anti")
+        if a.isEmpty():
+            return done
+        side = min(extent, 4 * side)
+
+
+def _block_pairs(a: DataFrame, b: DataFrame, side: int) -> DataFrame:
+    """Pairs of sources and cells in the same or adjacent blocks."""
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     left = a.select("*", F.floor(F.col("ra") / side).alias("br"), F.floor(F.col("ca") / side).alias("bc"))
     right = b.select("*", F.explode(offsets).alias("o")).select("dst", "rb", "cb", (F.floor(F.col("rb") / side) + F.col("o.i")).alias("br"), (F.floor(F.col("cb") / side) + F.col("o.j")).alias("bc"))
-    return left.join(right, ["br", "bc"]).where("src <> dst")
+    return left.join(right, ["br", "bc"])
 
 
 def recall(reference: DataFrame, other: DataFrame) -> DataFrame:
@@ -163,16 +206,74 @@ def mean_difference(edges: DataFrame, values: DataFrame) -> DataFrame:
     return named.groupBy("src").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_difference"))
 
 
+#: Rarest items of a query by which its first candidates are found.
+FIRST_ITEMS = 8
+
+
 def top_matches(queries: DataFrame, reference: DataFrame, k: int = 5, tolerance: float = 1e-12) -> DataFrame:
     """Similarity join (query_id, items) x (ref_id, items): the k best with ties of the kth, competition ranks.
 
-    Both sides meet on shared items, so no pair without one is made.
+    Only pairs that share an item count.  The candidates that share one of a
+    query's ``FIRST_ITEMS`` rarest items give a lower bound s of its kth
+    similarity.  A match of similarity s or more shares at least s n of the
+    query's n items, so one of its n - ceil(s n) + 1 rarest: only these are
+    joined, and common items are left out wherever s allows it.
     """
-    q = queries.select("query_id", F.size("items").alias("n_q"), F.explode("items").alias("item"))
-    r = reference.select("ref_id", F.size("items").alias("n_r"), F.explode("items").alias("item"))
-    scored = q.join(r, "item").groupBy("query_id", "ref_id", "n_q", "n_r").agg(F.count(F.lit(1)).alias("c"))
-    scored = scored.select("query_id", "ref_id", (F.col("c") / (F.col("n_q") + F.col("n_r") - F.col("c"))).alias("similarity"))
+    r = reference.select("ref_id", F.explode("items").alias("item"))
+    counts = r.groupBy("item").agg(F.count(F.lit(1)).alias("n_refs"))
+    q = queries.select("query_id", F.size("items").alias("n"), F.explode("items").alias("item")).join(counts, "item")
+    q = q.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("n_refs", "item")))
+
+    def scored(prefix: DataFrame) -> DataFrame:
+        pairs = prefix.select("query_id", "item").join(r, "item").select("query_id", "ref_id").distinct()
+        both = pairs.join(queries.select("query_id", F.col("items").alias("x")), "query_id").join(reference.select("ref_id", F.col("items").alias("y")), "ref_id")
+        common = F.size(F.array_intersect("x", "y"))
+        return both.select("query_id", "ref_id", (common / (F.size("x") + F.size("y") - common)).alias("similarity"))
+
+    first = scored(q.where(F.col("at") <= FIRST_ITEMS)).withColumn("row", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"))))
+    bound = first.where(F.col("row") == k).select("query_id", F.col("similarity").alias("least"))
+    # Items without any reference row are left out of q, so a query's rarest ones are those that remain, with room for the others.
+    known = Window.partitionBy("query_id")
+    held = q.withColumn("held", F.count(F.lit(1)).over(known)).join(bound, "query_id", "left")
+    wanted = F.ceil(F.coalesce("least", F.lit(0.0)) * F.col("n") - 1e-9)
+    scores = scored(held.where(F.col("at") <= F.col("held") - F.greatest(wanted, F.lit(1)) + 1))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"))
-    placed = scored.withColumn("row", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id"))).withColumn("rank", F.rank().over(w))
+    placed = scores.withColumn("row", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id"))).withColumn("rank", F.rank().over(w))
     kth = F.min(F.when(F.col("row") <= k, F.col("similarity"))).over(Window.partitionBy("query_id"))
     return placed.withColumn("cut", kth).where(F.col("similarity") >= F.col("cut") - tolerance).select("query_id", "ref_id", "similarity", "rank")
+
+
+def exact_overlap(reference: DataFrame, other: DataFrame, k: int) -> DataFrame:
+    """Per src: share of exactly k neighbours (ties by the lower id) that both spaces name."""
+    cut = lambda e: e.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("_r") <= k).select("src", "dst")
+    return recall(cut(reference), cut(other)).withColumnRenamed("recall", "overlap")
+
+
+def agreement(reference: DataFrame, other: DataFrame) -> DataFrame:
+    """Per src: recall and precision of the tie-inclusive neighbours of ``other`` against those of ``reference``."""
+    return recall(reference, other).join(recall(other, reference).withColumnRenamed("recall", "precision"), "src")
+
+
+def compared(reference: DataFrame, other: DataFrame, src) -> DataFrame:
+    """Neighbours of one row in either space: shared, representation_only or grid_only."""
+    a, b = (e.where(F.col("src") == src).select("dst", F.lit(True).alias(n)) for e, n in ((reference, "a"), (other, "b")))
+    kind = F.when(F.col("a") & F.col("b"), "shared").when(F.col("a"), "representation_only").otherwise("grid_only")
+    return a.join(b, "dst", "full").select("dst", kind.alias("kind"))
+
+
+def mean_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per src: Jaccard similarity of its neighbour sets in two relations (stability between two layouts)."""
+    both = a.select("src", "dst", F.lit(1).alias("x")).join(b.select("src", "dst", F.lit(1).alias("y")), ["src", "dst"], "full")
+    return both.groupBy("src").agg((F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()) / F.count(F.lit(1))).alias("jaccard"))
+
+
+def adjacent(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of occupied cells that touch, corners included, each once."""
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    ahead = cells.select(F.col("id").alias("a"), "row", "col", F.explode(steps).alias("s")).select("a", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
+    return ahead.join(cells.select(F.col("id").alias("b"), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")), ["row", "col"]).select("a", "b")
+
+
+def window(cells: DataFrame, row: int, col: int, reach: int = 1) -> DataFrame:
+    """The cells around one, ``reach`` rows and columns away at most."""
+    return cells.where((F.abs(F.col("row") - row) <= reach) & (F.abs(F.col("col") - col) <= reach))

@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sourcewise.functions.expressions import rounded_key
-from sourcewise.operators import evidence, groups, insert, layout, neighbors
+from sourcewise.operators import evidence, groups, insert, layout, models, neighbors
 from sourcewise.sources import files
 from sourcewise.streaming import updates
 
@@ -43,15 +43,94 @@ def test_neighbors_keep_ties(spark):
     assert sorted((r.dst, r.weight) for r in edges.where("src = 0").collect()) == [(1, 0.5), (2, 0.5)]
 
 
-def test_blocked_neighbors_equal_broadcast(spark, monkeypatch):
+def test_blocked_neighbors_equal_brute_force(spark, monkeypatch):
     points = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5)]) for i in range(40)], "id long, v array<double>")
     whole = sorted(map(tuple, neighbors.knn(points, 3).select("src", "dst").collect()))
-    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", 7)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 7)
     assert sorted(map(tuple, neighbors.knn(points, 3).select("src", "dst").collect())) == whole
-    cells = spark.createDataFrame([(i, i // 9, i % 9) for i in range(81)], "id long, row long, col long")
-    ringed = sorted(map(tuple, neighbors.grid_neighbors(cells, 8).select("src", "dst").collect()))
-    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", 100)
-    assert sorted(map(tuple, neighbors.grid_neighbors(cells, 8).select("src", "dst").collect())) == ringed
+    assert neighbors.knn(points.limit(0), 3).count() == 0 and neighbors.knn(points.limit(1), 3).count() == 0
+
+
+def nearest(cells, k):
+    out = set()
+    for i, r, c in cells:
+        near = sorted(((r - x) ** 2 + (c - y) ** 2, j) for j, x, y in cells if j != i)
+        out |= {(i, j) for d, j in near if d <= near[min(k, len(near)) - 1][0]} if near else set()
+    return sorted(out)
+
+
+def test_grid_neighbors_of_any_layout_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    layouts = {
+        "dense": [(i, i // 9, i % 9) for i in range(81)],
+        "sparse": [(i, 40 * (i // 10), 40 * (i % 10)) for i in range(100)],
+        "clumps": [(i, int(r), int(c)) for i, (r, c) in enumerate({(int(x), int(y)) for x, y in rng.normal(0, 3, (60, 2))} | {(int(x) + 500, int(y) - 900) for x, y in rng.normal(0, 2, (8, 2))})],
+        "line": [(i, 0, i * i) for i in range(30)], "few": [(1, 0, 0), (2, 5, 5)], "one": [(1, 3, 3)],
+    }
+    for cells in layouts.values():
+        got = neighbors.grid_neighbors(spark.createDataFrame(cells, "id long, row long, col long"), 8)
+        assert sorted(map(tuple, got.select("src", "dst").collect())) == nearest(cells, 8)
+    assert neighbors.grid_neighbors(spark.createDataFrame([], "id long, row long, col long"), 8).count() == 0
+
+
+def test_jaccard_neighbors_keep_all_ties(spark):
+    sets = [["a", "b"], ["a", "c"], ["x"], [], [], ["a", "b", "c"]]
+    points = spark.createDataFrame(list(enumerate(sets)), "id long, v array<string>")
+    got = {}
+    for r in neighbors.knn(points, 2, "jaccard").collect():
+        got.setdefault(r.src, {})[r.dst] = (r.dist, r.weight)
+    for i, x in enumerate(sets):
+        far = {j: 1 - (len(set(x) & set(y)) / len(set(x) | set(y)) if set(x) | set(y) else 1.0) for j, y in enumerate(sets) if j != i}
+        kth = sorted(far.values())[1]
+        want = {j for j, d in far.items() if d <= kth + 1e-12}
+        assert set(got[i]) == want and abs(sum(w for _, w in got[i].values()) - 2) < 1e-12
+
+
+def test_top_matches_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: sorted({f"w{int(x)}" for x in rng.zipf(1.3, n) % 400} | {"the"})
+    refs, queries = [(i, word(30)) for i in range(150)], [(i, word(25)) for i in range(30)] + [(99, ["no", "such"]), (98, [])]
+    got = neighbors.top_matches(spark.createDataFrame(queries, "query_id long, items array<string>"), spark.createDataFrame(refs, "ref_id long, items array<string>")).collect()
+    for q, x in queries:
+        every = sorted(((len(set(x) & set(y)) / len(set(x) | set(y)), r) for r, y in refs if set(x) & set(y)), key=lambda s: -s[0])
+        cut = every[min(5, len(every)) - 1][0] if every else 2
+        want = {r: 1 + sum(t > s + 1e-15 for t, _ in every) for s, r in every if s >= cut - 1e-12}
+        assert {r.ref_id: r["rank"] for r in got if r.query_id == q} == want
+
+
+def test_sparse_assignment_is_close_to_the_exact_one(spark):
+    rng = np.random.default_rng(9)
+    xy = np.concatenate([rng.random((80, 2)), np.full((20, 2), 0.5)])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    cost = {}
+    for method in ("dense", "sparse"):
+        rows = layout.assign(points, 14, method).collect()
+        assert len({(r.row, r.col) for r in rows}) == len(xy)
+        cost[method] = sum((xy[r.id][0] - r.col / 13) ** 2 + (xy[r.id][1] - r.row / 13) ** 2 for r in rows)
+    assert cost["dense"] <= cost["sparse"] + 1e-9 and cost["sparse"] <= 1.001 * cost["dense"]
+    assert layout.choose_solver(100, 14) == "dense" and layout.choose_solver(10**6, 1500) == "sparse"
+    crowded = layout.curve_cells(np.full((30, 2), 0.99), 6)
+    assert len(set(crowded.tolist())) == 30
+
+
+def test_refinement_lowers_the_objective_and_keeps_cells_unique(spark):
+    rng = np.random.default_rng(1)
+    side, n = 9, 40
+    spots = rng.permutation(side * side)[:n]
+    cells = spark.createDataFrame([(i, int(s) // side, int(s) % side) for i, s in enumerate(spots)], "id long, row int, col int")
+    edges = spark.createDataFrame([(i, (i + d) % n) for i in range(n) for d in (1, 2)], "src long, dst long")
+    done = models.refine(cells, edges, side, anchor=0.0, sweeps=6)
+    assert len({(r.row, r.col) for r in done.collect()}) == n
+    value = lambda c: layout.neighbor_objective(edges, c, 2.0).first()[0]
+    assert value(done) < 0.8 * value(cells)
+
+
+def test_placement_recall_by_hand(spark):
+    placed = spark.createDataFrame([(10, 0, 0), (11, 5, 5)], "id long, row int, col int")
+    reference = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 9, 9), (4, 5, 6)], "id long, row int, col int")
+    matches = spark.createDataFrame([(10, 1, 1), (10, 3, 2), (11, 4, 1), (11, 3, 2), (12, 1, 1)], "query_id long, ref_id long, rank int")
+    got = {r.query_id: r.placement_recall for r in models.placement_recall(matches, placed, reference, 2).collect()}
+    assert got == {10: 0.5, 11: 1.0}
 
 
 def test_assignment_is_optimal_and_unique(spark):
