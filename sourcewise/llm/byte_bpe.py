@@ -42,7 +42,7 @@ from sourcewise.llm.common import documents, let, parts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words after which a row ends, distinct words after which a task forgets them, input bytes that one task takes.
-ROW_WORDS, TASK_WORDS, TASK_BYTES = 350_000, 500_000, 128 << 20
+ROW_WORDS, TASK_WORDS, TASK_BYTES = 250_000, 400_000, 128 << 20
 #: Bytes of a word beyond which a heap merges it.
 LONG_WORD = 1_000
 #: Slots (primes) of the two arrays of the rank map; the rank of a pair that has none.

@@ -52,7 +52,7 @@ class Workspace:
         """
         at = f"{self.path}/{name}"
         with freed(self.spark):
-            df.write.mode("overwrite").parquet(at)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         for old in used:
             self.drop(old)
         return self.spark.read.schema(df.schema).parquet(at)

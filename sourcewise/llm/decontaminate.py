@@ -79,12 +79,19 @@ class Queries:
         return out
 
 
+class _Numbers(dict):
+    """Number of each word, in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 def _invert(batches):
-    keys, words, counts, chars = [], [], [], 0
+    number, keys, words, counts, chars = _Numbers(), [], [], [], 0
 
     def shard():
-        number: dict[bytes, int] = {}
-        every = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        every = np.concatenate(words)
         order = np.argsort(every, kind="stable").astype(np.int32)
         sizes = np.bincount(every, minlength=len(number)).astype(np.int32)
         steps = np.diff(order, prepend=np.int32(0))
@@ -99,11 +106,11 @@ def _invert(batches):
             own = words_of(text)
             keys.append(key)
             counts.append(len(own))
-            words += own
+            words.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
             chars += len(text or "")
             if chars >= SHARD_CHARS or len(keys) >= SHARD_DOCS:
                 yield shard()
-                keys, words, counts, chars = [], [], [], 0
+                number, keys, words, counts, chars = _Numbers(), [], [], [], 0
     if keys:
         yield shard()
 

@@ -50,7 +50,7 @@ BANDS, ROWS = 32, 6
 LEAST_ESTIMATE = 0.64
 #: Buckets of up to SMALL nodes are paired by a join, larger ones in tiles of TILE x TILE.
 SMALL, TILE = 40, 600
-CHUNK_WORDS, CACHE_WORDS = 600_000, 400_000
+CHUNK_WORDS, CACHE_WORDS = 200_000, 200_000
 #: Rows of a band or a text from which it may count as hot.
 HOT_BAND = 1_000
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
