@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sourcewise.functions.expressions import class_of, class_probabilities
+from sourcewise.operators import composite as P
+from sourcewise.operators import curate, insert, neighbors
 from sourcewise.operators import evaluation as V
 from sourcewise.operators import evidence as E
-from sourcewise.operators import insert, neighbors
 from sourcewise.operators import reports as R
 from sourcewise.plans.book import query
 from sourcewise.plans.curation_queries import CLASS, FLAGGED, _flagged
 from sourcewise.plans.evidence_queries import MERGED, PAIRS, phi_sql
 from sourcewise.plans.space_queries import CELLS, KNN, SCORED, _cells, _flat, _points, _scored
+from sourcewise.sources import files
 from sourcewise.sources.bindings import LOWER, RECORDS_SQL, UPPER, read, records
 
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -433,3 +435,76 @@ def members_with_summary(spark, sf_dir):
 @query("SELECT count(*) AS n FROM (SELECT * FROM orders WHERE o_totalprice IS NOT NULL LIMIT 500)")
 def fixed_subset(spark, sf_dir):
     return V.fixed_subset(read(spark, sf_dir, "orders"), "o_orderkey", 500).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Entry points
+
+
+def _export(spark, sf_dir):
+    r = records(spark, sf_dir)
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.col("p_brand").alias("brand"))
+    return r.join(parts, "entry").withColumn("structure", F.concat(F.lit("s"), (F.col("entry") % 300).cast("string"))).withColumn("parent", F.when(F.col("quantity") > 25, F.col("structure")))
+
+
+EXPORT = FLAGGED.replace("CASE WHEN upper(trim(status)) IS DISTINCT FROM 'O' THEN 'status_mismatch' END", "NULL") + """,
+ kept AS (SELECT *, 's' || (entry % 300) AS structure FROM flagged WHERE len(reasons) = 0), bad AS (SELECT structure FROM kept GROUP BY structure HAVING count(DISTINCT entry) > 1),
+ good AS (SELECT * FROM kept WHERE structure NOT IN (SELECT structure FROM bad))"""
+
+
+@query(EXPORT + """ SELECT (SELECT count(*) FROM good) AS n_retained, (SELECT count(*) FROM flagged) - (SELECT count(*) FROM good) AS n_excluded, (SELECT count(DISTINCT entry) FROM good) AS n_entries, (SELECT count(*) FROM bad) AS n_conflicts""")
+def curated_export(spark, sf_dir):
+    run = P.curate_export(_export(spark, sf_dir), LOWER, UPPER, conflicts="exclude")
+    n = run.conflicts.agg(F.count(F.lit(1)).alias("n_conflicts"))
+    return run.report.join(n).select("n_retained", "n_excluded", "n_entries", "n_conflicts")
+
+
+@query(f"""WITH {RECORDS_SQL}, k AS (SELECT *, 'w' || (l_linenumber % 2) AS structure FROM records), c AS (SELECT entry, structure, count(*) AS n FROM k GROUP BY ALL)
+ SELECT entry, count(value) AS n_values, round(median(value), 6) AS median_value, arg_min(structure, (-n, structure)) AS structure, count(DISTINCT structure) AS n_record_structures, count(DISTINCT document) AS n_documents, count(DISTINCT status) AS n_assays
+ FROM k JOIN c USING (entry, structure) GROUP BY entry""")
+def rolled_up_entries(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("structure", F.concat(F.lit("w"), (F.col("l_linenumber") % 2).cast("string"))).withColumn("assay", F.col("status"))
+    return P.roll_up(r, LOWER, UPPER).select("entry", "n_values", R6("median_value"), "structure", "n_record_structures", "n_documents", "n_assays")
+
+
+@query(f"""WITH {RECORDS_SQL}, j AS (SELECT *, CASE WHEN raw <= 0 THEN 'nonpositive_activity_value' WHEN unit = 'kg' THEN 'unrecognized_activity_unit' WHEN relation <> '=' THEN 'non_exact_relation' END AS reason FROM records),
+ g AS (SELECT entry, document, -log10(raw) + CASE unit WHEN 'M' THEN 0 WHEN 'mM' THEN 3 WHEN 'uM' THEN 6 WHEN 'nM' THEN 9 ELSE 12 END AS v FROM j WHERE reason IS NULL)
+ SELECT entry, count(*) AS n_values, round(median(v), 6) AS median_value, count(DISTINCT document) AS n_documents FROM g GROUP BY entry""")
+def generic_entries(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("structure", F.col("entry").cast("string"))
+    entries, _, _ = P.generic_records(r, 3.0, 6.0)
+    return entries.select("entry", "n_values", R6("median_value"), "n_documents")
+
+
+@query("SELECT count(*) AS n_points, count(*) AS n_distinct FROM embeddings")
+def built_layout(spark, sf_dir):
+    """Every point has a cell of its own inside the lattice."""
+    cells, _ = P.build_layout(_points(spark, sf_dir).select("id", F.transform("v", lambda x: x.cast("double")).alias("v")), method="sparse")
+    return cells.where("row >= 0 and col >= 0").agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("row", "col").alias("n_distinct"))
+
+
+@query(f"""WITH {RECORDS_SQL} SELECT (SELECT count(*) FROM records WHERE entry = 7) AS n_records, 0::BIGINT AS n_differences, (SELECT count(DISTINCT document) FROM records WHERE entry = 7) AS n_documents""")
+def audited_entry(spark, sf_dir):
+    r = records(spark, sf_dir)
+    entries = curate.annotate(r, LOWER, UPPER).withColumn("ids", F.col("entry").cast("string"))
+    found = P.audit_entry(entries, r, E.pair_offsets(r), LOWER, UPPER, wanted="7")
+    documents = found["units"].select(F.explode("documents").alias("d")).agg(F.countDistinct("d").alias("n_documents"))
+    return found["records"].agg(F.count(F.lit(1)).alias("n_records")).join(found["differences"].agg(F.count(F.lit(1)).alias("n_differences"))).join(documents)
+
+
+@query(PAIRS + """ SELECT document_a, document_b, (SELECT count(*) FROM pairs) AS observed_document_pair_count FROM offsets WHERE shared_entries >= 3""")
+def offsets_with_totals(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return files.with_totals(E.pair_offsets(r), E.pair_totals(r)).select("document_a", "document_b", "observed_document_pair_count")
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","x":' || CASE WHEN n_nationkey % 2 = 0 THEN 'null' ELSE '0.5' END || '}' AS json FROM nation""")
+def json_records(spark, sf_dir):
+    x = F.when(F.col("n_nationkey") % 2 == 0, float("nan")).otherwise(0.5)
+    return files.json_rows(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", x.alias("x")))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (n_regionkey = 2) AS n_inserted FROM nation WHERE n_regionkey IN (1, 2)")
+def reference_and_inserted(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    out = P.all_points(n.where("n_regionkey = 1").select("n_nationkey", "n_name"), n.where("n_regionkey = 2").select("n_nationkey", "n_regionkey"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if("inserted").alias("n_inserted"))

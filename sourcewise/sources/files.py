@@ -9,9 +9,11 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
+import platform
 import zipfile
 from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +21,8 @@ from pyspark.sql.types import StructType
 from sourcewise.functions.expressions import heading
 
 SNIFF_BYTES, DELIMITERS = 65_536, ",;\t|"
+#: Bytes of an uploaded file, beyond which it is refused.
+MOST_UPLOAD = 50 << 20
 # Logical fields and the headings under which exports carry them.
 ALIASES = {
     "entry": ("molecule chembl id", "molecule id", "compound id", "compound", "id"),
@@ -118,8 +122,10 @@ def row_digest(table: DataFrame) -> str:
     return hashlib.sha256(":".join(map(str, sums)).encode()).hexdigest()
 
 
-def manifest(path: str, parameters: dict, inputs: dict[str, str], outputs: dict[str, str]) -> None:
-    Path(path).write_text(json.dumps({"parameters": parameters, "inputs": inputs, "outputs": outputs}, indent=1, sort_keys=True))
+def manifest(path: str, parameters: dict, inputs: dict[str, str], outputs: dict[str, str], timings: dict[str, float] | None = None) -> None:
+    """Parameters, versions, stage timings, and digests of inputs and outputs of a run."""
+    versions = {"python": platform.python_version(), "pyspark": pyspark.__version__}
+    Path(path).write_text(json.dumps({"parameters": parameters, "versions": versions, "timings": timings or {}, "inputs": inputs, "outputs": outputs}, indent=1, sort_keys=True))
 
 
 def verify_manifest(path: str, folder: str) -> list[str]:
@@ -132,3 +138,58 @@ def bundle(paths: list[str], to: str) -> None:
     with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(paths):
             z.write(p, Path(p).name)
+
+
+def read_upload(spark: SparkSession, path: str, text_only: bool = True) -> DataFrame:
+    """A delimited file of at most ``MOST_UPLOAD`` bytes with at least one row."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    if size > MOST_UPLOAD:
+        raise ValueError(f"{size} bytes; at most {MOST_UPLOAD} are taken")
+    table = read_delimited(spark, path, text_only) if size else None
+    if table is None or table.isEmpty():
+        raise ValueError(f"{path} is empty")
+    return table
+
+
+def example(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """A table of the example folder by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise ValueError(f"no example {name}")
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, str]:
+    """Each table below a folder that does not exist yet (``folder``, else ``folder-2``, ...), with its row digest; delimited files have flat columns."""
+    to, found = fresh_folder(folder), {}
+    for name, table in tables.items():
+        out = flat(table) if fmt == "csv" else table
+        writer = out.write.mode("errorifexists").format(fmt)
+        (writer.option("header", True) if fmt == "csv" else writer).save(f"{to}/{name}")
+        found[name] = row_digest(out)
+    (Path(to) / "tables.json").write_text(json.dumps({"format": fmt, "tables": found}, indent=1, sort_keys=True))
+    return found
+
+
+def open_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of ``save_tables``, after their digests have been checked; any change is an error."""
+    note = json.loads((Path(folder) / "tables.json").read_text())
+    if note["format"] != "parquet":
+        raise ValueError("only parquet tables can be opened again")
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in note["tables"]}
+    wrong = [n for n, t in tables.items() if row_digest(t) != note["tables"][n]]
+    if wrong:
+        raise ValueError(f"changed since they were saved: {', '.join(wrong)}")
+    return tables
+
+
+def with_totals(offsets: DataFrame, totals: DataFrame) -> DataFrame:
+    """Offsets with the totals of their one-row table on each row, as a flat file carries them."""
+    return offsets.join(F.broadcast(totals.limit(1)))
+
+
+def json_rows(table: DataFrame) -> DataFrame:
+    """Each row as JSON, with nulls written; numbers that are not finite become null."""
+    clean = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c) if k in ("double", "float") else F.col(c) for c, k in table.dtypes]
+    return table.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("json"))
