@@ -28,6 +28,7 @@ empty table gives no rows.  Other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 import numpy as np
@@ -50,6 +51,9 @@ JOINED, FIRST_MARK = 256, "\u0300"
 HEADER = struct.Struct("<4sIQQ")
 MAGIC = b"TIDS"
 
+#: A stop or comma after a letter at the end of a word: the tokenizer splits before it, so the word may be looked up without it.
+_STOP = re.compile(r"(?<=[A-Za-z])([.,])(?= |$)")
+
 _tokenizers: dict[str, tuple[object, dict[str, bytes], list[str]]] = {}
 
 
@@ -57,9 +61,8 @@ def _encoder(path: str):
     """Function from texts to id bytes (unsigned 32 bits), remembering words between the batches of a worker.
 
     The tokenizer drops white space and never joins across a space, so the ids
-    of a text are those of its space-separated words, one after the other; a stop
-    or comma after a letter at the end of a word is split off by the tokenizer
-    too.  Texts that hold the string of a special token are encoded whole.
+    of a text are those of its space-separated words, one after the other.
+    Texts that hold the string of a special token are encoded whole.
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,29 +73,26 @@ def _encoder(path: str):
     tokenizer, known, special = _tokenizers[path]
     whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(new: list[str]) -> None:
-        plain = [w for w in new if w and max(w) < FIRST_MARK]
+    def encode(texts: list[str]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        odd = {i for i, t in enumerate(texts) if any(x in t for x in special)}
+        split = [[] if i in odd else _STOP.sub(r" \1", t.replace("\n", " ")).split(" ") for i, t in enumerate(texts)]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = set().union(*split).difference(known)
+        plain = [w for w in new if w.isascii() or max(w) < FIRST_MARK]
+        marked = list(new.difference(plain)) if len(plain) < len(new) else []
+        if "" in new:
+            plain.remove("")
+            known[""] = b""
         parts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for part, e in zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             begins = np.cumsum([0] + [len(w) + 1 for w in part])
             raw, offsets = np.array(e.ids, "<u4").tobytes(), np.array([a for a, _ in e.offsets], np.int64)
             at = (4 * np.searchsorted(offsets, begins)).tolist()
             known.update(zip(part, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-        odd = [w for w in new if not w or max(w) >= FIRST_MARK]
-        for w, e in zip(odd, tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+        for w, e in zip(marked, tokenizer.encode_batch(marked, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        odd = {i for i, t in enumerate(texts) if any(x in t for x in special)}
-        split = [[] if i in odd else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = set().union(*split).difference(known)
-        ended = {w for w in new if len(w) > 1 and w[-1] in ".," and "A" <= w[-2] <= "z" and w[-2].isalpha()}
-        learn(list(((new - ended) | {w[:-1] for w in ended} | ({".", ","} if ended else set())).difference(known)))
-        for w in ended:
-            known[w] = known[w[:-1]] + known[w[-1]]
         return [whole(texts[i]) if i in odd else b"".join(map(known.__getitem__, words)) for i, words in enumerate(split)]
 
     return encode
@@ -236,8 +236,9 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
             continue
         first = 0
         while True:
-            tries = np.arange(first, first + 64)
-            at = _slots(np.tile(own, (64, 1)), np.tile(tries[:, None], (1, len(own))), m)
+            n = 8 if first == 0 else 64
+            tries = np.arange(first, first + n)
+            at = _slots(np.tile(own, (n, 1)), np.tile(tries[:, None], (1, len(own))), m)
             fit = ~taken[at].any(axis=1)
             spread = np.sort(at, axis=1)
             fit &= (np.diff(spread, axis=1) != 0).all(axis=1)
@@ -246,7 +247,7 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
                 shifts[g] = tries[k]
                 taken[at[k]] = True
                 break
-            first += 64
+            first += n
     shifts[singles] = -np.flatnonzero(~taken)[: len(singles)] - 1
     return shifts
 
