@@ -279,22 +279,28 @@ def grid_prediction(doc: DataFrame, prior: DataFrame, tau: float, lower: float,
     return each.groupBy("entry").agg(share(F.col("x") <= lower).alias("p_inactive"), share((F.col("x") > lower) & (F.col("x") < upper)).alias("p_medium"), share(F.col("x") >= upper).alias("p_active"))
 
 
-def ridge_offsets(doc: DataFrame, penalty: float, rounds: int = 10) -> DataFrame:
+#: Documents whose offsets (one number each) come to the driver between the rounds of a fit.
+MOST_DOCUMENTS = 1_000_000
+
+
+def ridge_offsets(doc: DataFrame, penalty: float, rounds: int = 15) -> DataFrame:
     """(document, offset) that minimise squared distances from entry means plus ``penalty`` times squared offsets.
 
     Entry means and offsets are fitted in turn; a round is two aggregates over
-    the units and one row per document is carried.
+    the units.  One number a document passes through the driver, so plans stay
+    short; more than ``MOST_DOCUMENTS`` documents are refused.
     """
+    spark = doc.sparkSession
     base = doc.select("entry", "document", "document_value").cache()
+    if base.select("document").distinct().count() > MOST_DOCUMENTS:
+        raise ValueError(f"more than {MOST_DOCUMENTS} documents")
     offsets = base.select("document").distinct().withColumn("offset", F.lit(0.0))
     for _ in range(rounds):
-        before = offsets
-        free = base.join(offsets, "document").withColumn("r", F.col("document_value") - F.col("offset"))
-        means = free.groupBy("entry").agg(F.avg("r").alias("mean"))
+        free = base.join(offsets, "document")
+        means = free.groupBy("entry").agg(F.avg(F.col("document_value") - F.col("offset")).alias("mean"))
         fitted = base.join(means, "entry").groupBy("document").agg((F.sum(F.col("document_value") - F.col("mean")) / (F.count(F.lit(1)) + penalty)).alias("offset"))
-        offsets = fitted.cache()
-        offsets.count()
-        before.unpersist()
+        offsets = spark.createDataFrame(fitted.toPandas())
+    base.unpersist()
     return offsets
 
 

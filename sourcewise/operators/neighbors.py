@@ -96,6 +96,40 @@ def _near(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
     )
 
 
+def ranks_of(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, rank): the place of each edge's dst among all others by distance from src (ties by id).
+
+    Only edges travel: each meets the blocks of points, and a block tells how many are nearer.
+    """
+    own = points.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    right = max(1, -(-own.count() // BLOCK_ROWS))
+    left = max(right, points.sparkSession.sparkContext.defaultParallelism)
+    ends = edges.select("src", "dst").join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst")
+    sources = ends.select(F.pmod(F.xxhash64("src", "dst"), F.lit(left)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("j"), "src", "dst", "a", "b")
+    targets = own.select(F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("i"), F.pmod(F.xxhash64("id"), F.lit(right)).cast("int").alias("j"), "id", "v")
+
+    def nearer(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        count = np.zeros(len(x), np.int64)
+        if len(x) and len(y):
+            ids, block = y["id"].to_numpy(), np.stack(y["v"].to_numpy())
+            for n, row in enumerate(x.itertuples()):
+                far, own_far = np.sqrt(((block - row.a) ** 2).sum(1)), np.sqrt(((row.b - row.a) ** 2).sum())
+                count[n] = int(((ids != row.src) & ((far < own_far) | (far == own_far) & (ids < row.dst))).sum())
+        return pd.DataFrame({"src": x["src"].to_numpy(np.int64), "dst": x["dst"].to_numpy(np.int64), "n": count})
+
+    counted = sources.groupBy("i", "j").cogroup(targets.groupBy("i", "j")).applyInPandas(nearer, "src bigint, dst bigint, n bigint")
+    return counted.groupBy("src", "dst").agg((F.sum("n") + 1).alias("rank"))
+
+
+def trustworthiness(points: DataFrame, shown: DataFrame, k: int) -> DataFrame:
+    """One row: 1 - 2 / (n k (2 n - 3 k - 1)) times the summed excess ranks of the k shown neighbours; k is at most (n - 1) / 2."""
+    n = points.count()
+    k = max(1, min(k, (n - 1) // 2))
+    near = knn(shown, k).withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("_r") <= k)
+    excess = ranks_of(points, near).agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.col("rank") - k)), F.lit(0)).alias("s"))
+    return excess.select((1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * F.col("s")).alias("trustworthiness"))
+
+
 def _set_distances(points: DataFrame, k: int) -> DataFrame:
     """Jaccard distances of all pairs that share an item, by a join on items; empty sets are at distance 0 from each other.
 

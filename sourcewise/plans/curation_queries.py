@@ -144,12 +144,12 @@ def source_coverage(spark, sf_dir):
     return inspect.coverage(rows)
 
 
-@query(FLAGGED + """, one AS (SELECT min(entry) AS entry FROM flagged)
+@query(FLAGGED + """, one AS (SELECT min(entry) AS entry FROM flagged WHERE reasons = ['non_exact_relation'])
  SELECT l_orderkey * 10 + l_linenumber AS source_row, CASE relation WHEN '>' THEN '<' ELSE relation END AS relation, round(value, 6) AS value
  FROM flagged WHERE entry = (SELECT entry FROM one) AND reasons = ['non_exact_relation'] ORDER BY 1 LIMIT 20""")
 def entry_bounds(spark, sf_dir):
     flagged = _flagged(spark, sf_dir).withColumn("source_row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    first = flagged.agg(F.min("entry").alias("one"))
+    first = flagged.where(F.col("reasons") == F.array(F.lit("non_exact_relation"))).agg(F.min("entry").alias("one"))
     chosen = flagged.join(F.broadcast(first), F.col("entry") == F.col("one")).drop("one").withColumn("entry", F.lit(0))
     return inspect.bounds(chosen, 0).select("source_row", "relation", R6("value"))
 

@@ -84,18 +84,7 @@ def neighbor_value_difference(spark, sf_dir):
  franks AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM fpairs), n AS (SELECT count(*) AS n FROM e)
  SELECT round(1 - 2.0 / (max(n) * 5 * (2 * max(n) - 16)) * sum(greatest(0, ranks.r - 5)), 6) AS trustworthiness FROM franks JOIN ranks USING (src, dst) CROSS JOIN n WHERE franks.r <= 5""")
 def trustworthiness(spark, sf_dir):
-    w = Window.partitionBy("src").orderBy("dist", "dst")
-
-    def ranked(points):
-        a, b = points.select(F.col("id").alias("src"), F.col("v").alias("a")), points.select(F.col("id").alias("dst"), F.col("v").alias("b"))
-        d = a.join(F.broadcast(b), F.col("src") != F.col("dst")).select("src", "dst", F.sqrt(neighbors.squared_distance(F.col("a"), F.col("b"))).alias("dist"))
-        return d.withColumn("r", F.row_number().over(w)).drop("dist")
-
-    p = _points(spark, sf_dir)
-    n = p.agg(F.count(F.lit(1)).alias("n"))
-    near = ranked(_flat(spark, sf_dir)).where("r <= 5").select("src", "dst").join(ranked(p), ["src", "dst"])
-    total = near.agg(F.sum(F.greatest(F.lit(0), F.col("r") - 5)).alias("s")).join(F.broadcast(n))
-    return total.select(F.round(1 - 2.0 / (F.col("n") * 5 * (2 * F.col("n") - 16)) * F.col("s"), 6).alias("trustworthiness"))
+    return neighbors.trustworthiness(_points(spark, sf_dir), _flat(spark, sf_dir), 5).select(R6("trustworthiness"))
 
 
 @query(f"WITH {CELLS}, p AS (SELECT a.id AS src, b.id AS dst, (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) AS d FROM cells a JOIN cells b ON a.id <> b.id) SELECT src, dst, round(sqrt(d), 6) AS dist FROM p QUALIFY rank() OVER (PARTITION BY src ORDER BY d) <= 8")
@@ -165,7 +154,7 @@ def grid_assignment(spark, sf_dir):
 @query()
 def inserted_cells(spark, sf_dir):
     c = _cells(spark, sf_dir)
-    wishes = c.where("label % 2 = 1").select((-F.col("id") - 1).alias("id"), F.col("id").alias("ref_id"), (F.col("id") % 97 / 97).alias("similarity"))
+    wishes = c.select((-F.col("id") - 1).alias("id"), F.col("id").alias("ref_id"), (F.col("id") % 97 / 97).alias("similarity"))
     n = c.count()
     side = max(25, -(-n // 25), math.ceil(math.sqrt(2 * n)))
     return layout.place(c.select("id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")), wishes, side)
