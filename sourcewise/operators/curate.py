@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcewise.functions import expressions as X
+from sourcewise.operators.evidence import ranked
 
 
 @dataclass
@@ -47,28 +48,34 @@ def flag(records: DataFrame, unit: str = "nM", relation: str = "=", allowed: dic
 
 
 def annotate(records: DataFrame, lower: float, upper: float, wide: float = 1.0) -> DataFrame:
-    """Per entry: exact median, spread, class flags and repeat status of its values."""
+    """Per entry: exact median, spread, class flags and repeat status of its values; one shuffle, no distinct counts."""
     v = F.col("value")
-    cls = X.class_of(v, lower, upper)
-    return records.groupBy("entry").agg(
+    has = {c: F.max(F.when(X.class_of(v, lower, upper) == c, 1).otherwise(0)) for c in ("inactive", "medium", "active")}
+    out = ranked(records.select("entry", "value"), "value", "entry").groupBy("entry").agg(
         F.count(v).alias("n_values"),
-        F.median(v).alias("median_value"),
+        F.avg("middle").alias("median_value"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
         (F.max(v) - F.min(v)).alias("value_range"),
         F.stddev_samp(v).alias("sd_value"),
-        F.max(F.when(v <= lower, 1).otherwise(0)).alias("has_inactive"),
-        F.max(F.when(v >= upper, 1).otherwise(0)).alias("has_active"),
-        F.countDistinct(cls).alias("n_classes"),
-        F.when(F.countDistinct(cls) > 1, 1).otherwise(0).alias("class_boundary_crossing"),
-        F.when(F.max(v) - F.min(v) > wide, 1).otherwise(0).alias("wide_range"),
-        F.when(F.count(v) == 1, "single").otherwise("repeated").alias("repeat_status"),
-    ).withColumn("activity_class", X.class_of(F.col("median_value"), lower, upper))
+        has["inactive"].alias("has_inactive"),
+        has["active"].alias("has_active"),
+        (has["inactive"] + has["medium"] + has["active"]).cast("bigint").alias("n_classes"),
+    )
+    return out.withColumns(
+        {
+            "class_boundary_crossing": F.when(F.col("n_classes") > 1, 1).otherwise(0),
+            "wide_range": F.when(F.col("value_range") > wide, 1).otherwise(0),
+            "repeat_status": F.when(F.col("n_values") == 1, "single").otherwise("repeated"),
+            "activity_class": X.class_of(F.col("median_value"), lower, upper),
+        }
+    )
 
 
 def conflicts(records: DataFrame, identity: str, key: str) -> DataFrame:
-    """Identities with more than one distinct key, and the keys."""
-    return records.groupBy(identity).agg(F.countDistinct(key).alias("n_keys"), X.joined_distinct(F.col(key)).alias("keys")).where("n_keys > 1")
+    """Identities with more than one distinct key, and the keys; who needs the identities alone pays for two extremes."""
+    found = records.groupBy(identity).agg(F.min(key).alias("_least"), F.max(key).alias("_most"), F.size(F.collect_set(key)).cast("bigint").alias("n_keys"), X.joined_distinct(F.col(key)).alias("keys"))
+    return found.where("_least <> _most").drop("_least", "_most")
 
 
 def variants(records: DataFrame, identity: str, writing: str) -> DataFrame:
