@@ -16,8 +16,10 @@ whose identifiers its arguments name as ``{"$ref": id}``.  A unit's order key is
 that unit's with one more depth; so units keep their place unless a dependence
 moves them.  Units with equal keys follow in the order of their own turn and place,
 so (at_turn, at_place, depth, turn, place) is a total order but for repeated rows.
-Keys are found in rounds over the units that still wait for another one; a round
-reads and writes those only.  No conversation is gathered, so one with a third of
+Chains of units that each wait for one other are shortened by pointer doubling, so
+a chain of n takes about log n rounds; then keys go from unit to unit in rounds
+over those that wait for several, and a round reads and writes only what still
+waits.  No conversation is gathered, so one with a third of
 all rows costs no more.  Units on a cycle keep their own place and are marked.
 
 Defined results.  A null text is empty.  Half of a surrogate pair, which UTF-8 can't
@@ -283,6 +285,26 @@ def _check(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["unit", "broken"])
 
 
+def _jumps(work: Workspace, chain: DataFrame) -> DataFrame:
+    """(unit, end, steps, best) of units that wait for one other (before, after, own): where their chain ends, how far that is,
+    and the greatest key that the chain's own units push to the unit.
+
+    Each round a pointer takes over its target's, so it reaches twice as far.
+    Pointers into a cycle never end and keep a target that is no end.
+    """
+    key = F.struct(F.col("own.turn").alias("turn"), F.col("own.place").alias("place"), F.col("own.depth").cast("bigint").alias("depth"))
+    jumps = work.put(chain.select(F.col("after").alias("unit"), F.col("before").alias("end"), F.lit(1).cast("bigint").alias("steps"), key.alias("best")), "jumps0")
+    for k in range(1, jumps.count().bit_length() + 2):
+        target = jumps.select(F.col("unit").alias("end"), F.col("end").alias("next"), F.col("steps").alias("more"), F.col("best").alias("theirs"))
+        both = jumps.join(target, "end", "left")
+        if both.where("next is not null").isEmpty():
+            break
+        pushed = F.struct(F.col("theirs.turn").alias("turn"), F.col("theirs.place").alias("place"), (F.col("theirs.depth") + F.col("steps")).alias("depth"))
+        best = F.when(F.col("next").isNull(), F.col("best")).otherwise(F.greatest("best", pushed))
+        jumps = work.put(both.select("unit", F.coalesce("next", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), best.alias("best")), f"jumps{k}", f"jumps{k - 1}")
+    return jumps
+
+
 def linked(turns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per unit: its order key (at_turn, at_place, depth), canonical ``json``, linked unit and errors."""
     work = Workspace(turns.sparkSession, "chat")
@@ -309,32 +331,40 @@ def linked(turns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = work.put(after_call.unionByName(referred.where("before is not null").select("before", F.col("unit").alias("after"))).distinct(), "edges")
     unknown = referred.where("before is null").select("unit").distinct().withColumn("unknown", F.lit("reference to no call"))
 
-    key = lambda c: F.struct(c["turn"].alias("turn"), c["place"].alias("place"), F.lit(0).alias("depth"))
+    key = lambda c: F.struct(c["turn"].alias("turn"), c["place"].alias("place"), F.lit(0).cast("bigint").alias("depth"))
     plain = marked.select("unit", key(own).alias("own"))
     ends = edges.select(F.explode(F.array("before", "after")).alias("unit")).distinct()
-    waiting = edges.groupBy(F.col("after").alias("unit")).agg(F.count(F.lit(1)).alias("missing")).join(plain, "unit")
+    later = lambda k, n: F.struct(k["turn"].alias("turn"), k["place"].alias("place"), (k["depth"] + n).alias("depth"))
+    counts = work.put(edges.groupBy(F.col("after").alias("unit")).agg(F.count(F.lit(1)).alias("missing")), "counts")
+    jumps = _jumps(work, edges.join(counts.where("missing = 1").select(F.col("unit").alias("after")), "after").join(plain.withColumnRenamed("unit", "after"), "after"))
+
+    # The chains' ends stand for the chains: what remains are units that wait for none or for several.
+    ways = edges.join(counts.where("missing > 1").select(F.col("unit").alias("after")), "after").join(jumps.withColumnRenamed("unit", "before"), "before", "left")
+    left = work.put(ways.select(F.coalesce("end", "before").alias("before"), "after", (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.when(F.col("best").isNotNull(), later(F.col("best"), 1)).alias("least")), "left0")
+    waiting = left.groupBy(F.col("after").alias("unit")).agg(F.count(F.lit(1)).alias("missing")).join(plain, "unit")
     waiting = work.put(waiting.select("unit", "missing", F.col("own").alias("key")), "waiting0")
-    fresh = ends.join(waiting.select("unit"), "unit", "left_anti").join(plain, "unit").select("unit", F.col("own").alias("key"))
-    fresh = work.put(fresh, "done0")
-    known, left = fresh, edges
+    fresh = work.put(ends.join(counts.select("unit"), "unit", "left_anti").join(plain, "unit").select("unit", F.col("own").alias("key")), "done0")
+    known = fresh
     for k in range(1, rounds):
         if fresh.isEmpty():
             break
         told = left.join(fresh.select(F.col("unit").alias("before"), "key"), "before").groupBy(F.col("after").alias("unit")).agg(
-            F.count(F.lit(1)).alias("told"), F.max(F.struct(F.col("key.turn"), F.col("key.place"), (F.col("key.depth") + 1).alias("depth"))).alias("pushed")
+            F.count(F.lit(1)).alias("told"), F.max(F.greatest(later(F.col("key"), F.col("steps")), "least")).alias("pushed")
         )
         state = waiting.join(told, "unit", "left").select("unit", (F.col("missing") - F.coalesce("told", F.lit(0))).alias("missing"), F.greatest("key", "pushed").alias("key"))
         state = work.put(state, f"state{k}", f"waiting{k - 1}")
         waiting = work.put(state.where("missing > 0"), f"waiting{k}")
         fresh = work.put(state.where("missing = 0").select("unit", "key"), f"done{k}", f"state{k}")
-        left = work.put(left.join(waiting.select(F.col("unit").alias("after")), "after", "left_semi"), f"left{k}", *([f"left{k - 1}"] if k > 1 else []))
+        left = work.put(left.join(waiting.select(F.col("unit").alias("after")), "after", "left_semi"), f"left{k}", f"left{k - 1}")
         known = known.unionByName(fresh)
     else:
-        raise ValueError(f"a chain of calls is longer than {rounds}")
+        raise ValueError(f"more than {rounds} units in a row wait for several others")
+    chained = jumps.join(known.select(F.col("unit").alias("end"), "key"), "end")
+    known = work.put(known.unionByName(chained.select("unit", F.greatest("best", later(F.col("key"), F.col("steps"))).alias("key"))), "known")
 
     links = answer.select("unit", F.col("answer").alias("linked")).unionByName(results.select("unit", F.col("call").alias("linked")))
     repeated = calls.join(first.select(F.col("call").alias("unit")), "unit", "left_anti").select("unit").withColumn("repeated", F.lit("duplicate id"))
-    cyclic = waiting.select("unit").withColumn("cyclic", F.lit("cycle"))
+    cyclic = ends.join(known.select("unit"), "unit", "left_anti").withColumn("cyclic", F.lit("cycle"))
     out = units
     for part in (known, links, broken, unknown, repeated, cyclic):
         out = out.join(part, "unit", "left")
@@ -359,7 +389,7 @@ def linked(turns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
     return out.select(
         "conv_id", "turn", "place", "kind", "role", "call_id", "name",
-        F.coalesce("key.turn", "turn").alias("at_turn"), F.coalesce("key.place", F.col("place").cast("bigint")).alias("at_place"), F.coalesce("key.depth", F.lit(0)).alias("depth"),
+        F.coalesce("key.turn", "turn").alias("at_turn"), F.coalesce("key.place", F.col("place").cast("bigint")).alias("at_place"), F.coalesce("key.depth", F.lit(0)).cast("bigint").alias("depth"),
         F.when(F.col("kind").isin("call", "result"), F.col("linked").isNotNull()).alias("is_linked"),
         (F.col("broken") == "").alias("is_valid"), F.when(error != "", error).alias("error"), text.alias("json"),
     )

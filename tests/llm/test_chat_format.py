@@ -118,3 +118,16 @@ def test_order_is_topological_on_random_chains(spark):
                 assert order.get((conv, "result", f"c{r}"), order[conv, "call", f"c{r}"]) < order[conv, "call", f"c{t}"]
             if t % 3:
                 assert order[conv, "call", f"c{t}"] < order[conv, "result", f"c{t}"]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 300 calls, each naming the one before, written backwards: every key is the first turn's, pushed on."""
+    n = 300
+    turns = [(7, n - t, "assistant", call(f"c{t}", {"x": {"$ref": f"c{t - 1}"}} if t else {}, "f") + result(f"c{t}", t)) for t in range(n)]
+    puts = []
+    plain = c.Workspace.put
+    monkeypatch.setattr(c.Workspace, "put", lambda self, df, name, *used: (puts.append(name), plain(self, df, name, *used))[1])
+    rows = {(r.kind, r.call_id): r for r in c.linked(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(rows["call", f"c{t}"].at_turn, rows["call", f"c{t}"].depth) for t in range(n)] == [(n, max(0, 2 * t - 1)) for t in range(n)]
+    assert all(rows["result", f"c{t}"].at_turn == n for t in range(n))
+    assert sum(x.startswith("jumps") for x in puts) <= 12 and sum(x.startswith("state") for x in puts) <= 2
