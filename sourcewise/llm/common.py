@@ -116,10 +116,11 @@ def join_uneven(many: DataFrame, one: DataFrame, on: str, weight: str, least: in
     by broadcast; there can't be more than 1 / HOT_SHARE of them.  The rows of
     the others meet in a shuffle, where no key has more than that share.
     """
-    limit = max(least, HOT_SHARE * (one.agg(F.sum(weight)).first()[0] or 0))
-    hot = one.where(F.col(weight) > limit)
-    if hot.isEmpty():
+    total, most = one.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    limit = max(least, HOT_SHARE * total)
+    if most <= limit:
         return many.join(one, on)
+    hot = one.where(F.col(weight) > limit)
     rest = many.join(F.broadcast(hot.select(on)), on, "left_anti").join(one.where(F.col(weight) <= limit), on)
     return many.join(F.broadcast(hot), on).unionByName(rest)
 
