@@ -23,8 +23,9 @@ def components(work: Workspace, links: DataFrame, name: str = "components") -> D
     a shuffle of them.
     """
     edges = work.put(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
-    last = None
     for k in range(1, ROUNDS):
+        if _settled(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
         least = work.put(least.where("n > 0"), f"{name}-least{k}")
@@ -33,11 +34,14 @@ def components(work: Workspace, links: DataFrame, name: str = "components") -> D
         small = work.put(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-small{k}")
         edges_next = join_uneven(large, small, "u", "n", HOT_LINKS).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = work.put(edges_next.where("u <> v").distinct(), f"{name}-{k}", f"{name}-large{k}", f"{name}-small{k}", f"{name}-{k - 1}")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == last:
-            break
-        last = state
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return work.put(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), name, f"{name}-{k}")
+    return work.put(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), name, f"{name}-{k - 1}")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether all links go from a node with no other link to a node that links nowhere: one star a component, its centre the least."""
+    out = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    centres = edges.select(F.col("v").alias("u"), F.lit(True).alias("is_centre")).distinct()
+    return out.join(centres, "u", "left").where("n > 1 or is_centre").isEmpty()
