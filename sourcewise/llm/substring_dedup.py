@@ -19,7 +19,7 @@ such chunk; where all of them agree, the two whole texts are compared.  The firs
 occurrence is extended as far as any copy whose run ends at that chunk agrees.
 
 Neighbouring repeated chunks, so extended, form runs; runs of at least ``RUN_WORDS``
-words or ``RUN`` code points (51 words of two letters have 152) and runs over a whole text are
+words or ``RUN`` code points (51 words have more) and runs over a whole text are
 reported, so short common phrases and chance digests are left alone.  ``shared``
 runs repeat in another document; ``removed`` ones repeat anywhere, as lines do in
 one text.  A copied passage is missed only if its two copies share no chunk.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from sourcewise.llm.common import Workspace, documents, join_uneven, let
 
-LEAST, BITS, RUN_WORDS, RUN = 16, 4, 50, 150
+LEAST, BITS, RUN_WORDS, RUN = 16, 4, 50, 100
 #: Occurrences of a chunk from which it may count as hot.
 HOT_CHUNKS = 20_000
 SPAN, BEFORE, AFTER = 32, 192, 64
