@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourcewise.llm import byte_bpe, chat_format, decontaminate, fill_in_middle, html_text, licenses, near_dup, pii, quality, substring_dedup, suffix_dedup, token_files
+from sourcewise.llm import byte_bpe, chat_format, collocations, decontaminate, fill_in_middle, html_text, licenses, near_dup, pii, quality, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_licenses": licenses.op10_licenses,
     "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 ORACLE_SQL = {
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
     "op11_suffix_dedup": suffix_dedup.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
     "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }
