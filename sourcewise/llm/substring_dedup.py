@@ -12,9 +12,9 @@ number of occurrences, whether they stand in several documents, and the first
 place (least doc_id, then position), and is joined back to the occurrences.  A chunk
 that holds a third of all rows is one partial row per task in the aggregate, and
 is joined by broadcast, not by a shuffle.  Where a
-repeated chunk has a neighbour that isn't repeated, its text is compared with the
+repeated chunk has a neighbour that is no copy, its text is compared with the
 text beside the first occurrence, to the first difference: the characters that
-agree belong to the run.  ``BEFORE`` and ``AFTER`` characters travel with each
+agree belong to the run, over first occurrences too.  ``BEFORE`` and ``AFTER`` characters travel with each
 such chunk; where all of them agree, the two whole texts are compared.  The first
 occurrence is extended as far as any copy whose run ends at that chunk agrees.
 
@@ -155,6 +155,25 @@ def _table(rows: list[tuple], like: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _walls(marks: list[dict], places: list[tuple[int, int]], size: int) -> tuple[list[int], list[int]]:
+    """How far each repeated chunk may go on: to the next one on either side that is a copy too.
+
+    A first occurrence is no wall, nor, for a chunk that repeats another row, one
+    that repeats its own text only.
+    """
+    sides = []
+    for order, edge, far in ((range(len(marks)), 0, 1), (range(len(marks) - 1, -1, -1), size, 0)):
+        own = row = edge
+        found = [edge] * len(marks)
+        for k in order:
+            found[k] = row if marks[k]["across"] else own
+            if not marks[k]["first"]:
+                own = places[k][far]
+                row = own if marks[k]["across"] else row
+        sides.append(found)
+    return sides[0], sides[1]
+
+
 def _edges(batches):
     """Repeated chunks beside text that isn't repeated, and all first occurrences, with the text around them."""
     for batch in batches:
@@ -162,9 +181,9 @@ def _edges(batches):
             rows = []
             for key, ends, digests, text, marks in zip(*(c.to_pylist() for c in batch.slice(at, 300).columns), strict=True):
                 places = [(ends[m["i"] - 1] if m["i"] else 0, ends[m["i"]]) for m in marks]
-                for k, (m, (start, end)) in enumerate(zip(marks, places, strict=True)):
-                    before = start - (places[k - 1][1] if k else 0)
-                    after = (places[k + 1][0] if k + 1 < len(places) else len(text)) - end
+                left, right = _walls(marks, places, len(text))
+                for m, (start, end), wall, stop in zip(marks, places, left, right, strict=True):
+                    before, after = start - wall, stop - end
                     if m["first"]:
                         sides = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
                     elif before or after:
@@ -257,24 +276,27 @@ def repeats(work: Workspace, keyed: DataFrame) -> DataFrame:
     def start(m: Column) -> Column:
         return F.when(m["i"] == 0, 0).otherwise(F.get("ends", m["i"] - 1))
 
-    def placed(m: Column, k: Column) -> Column:
-        more = F.try_element_at("reach", m["i"])
-        least = F.when(k == 0, 0).otherwise(F.get("ends", F.get("marks", k - 1)["i"]))
-        most = F.coalesce(start(F.get("marks", k + 1)), F.col("n_chars").cast("int"))
-        end = F.get("ends", m["i"])
-        words = F.get("words", m["i"]) - F.when(m["i"] == 0, 0).otherwise(F.get("words", m["i"] - 1))
-        return F.struct(
-            F.greatest(start(m) - F.coalesce(more["l"], F.lit(0)), least).alias("start"),
-            F.least(end + F.coalesce(more["r"], F.lit(0)), most).alias("end"), m["first"].alias("first"), m["across"].alias("across"),
-            (words + F.coalesce(more["l_words"] + more["r_words"], F.lit(0))).alias("words"),
-        )
+    def placed(of: Column) -> Column:
+        """Chunks with their extensions, each up to its neighbours among ``of``; words of an extension that is cut short don't count."""
+
+        def one(m: Column, k: Column) -> Column:
+            more = F.try_element_at("reach", m["i"])
+            least = F.when(k == 0, 0).otherwise(F.get("ends", F.get(of, k - 1)["i"]))
+            most = F.coalesce(start(F.get(of, k + 1)), F.col("n_chars").cast("int"))
+            begin, end = start(m) - F.coalesce(more["l"], F.lit(0)), F.get("ends", m["i"]) + F.coalesce(more["r"], F.lit(0))
+            words = F.get("words", m["i"]) - F.when(m["i"] == 0, 0).otherwise(F.get("words", m["i"] - 1))
+            words += F.when(begin >= least, F.coalesce(more["l_words"], F.lit(0))).otherwise(0) + F.when(end <= most, F.coalesce(more["r_words"], F.lit(0))).otherwise(0)
+            return F.struct(F.greatest(begin, least).alias("start"), F.least(end, most).alias("end"), words.alias("words"))
+
+        return F.transform(of, one)
+
+    def found(kind) -> Column:
+        return let(F.filter("marks", kind), lambda of: let(placed(of), lambda c: _runs(c, size)))
 
     size = F.col("n_chars").cast("int")
-    whole = whole.withColumn("placed", F.transform("marks", placed))
     return whole.select(
         "row_key", "doc_id", "n_chars", F.size("digests").cast("bigint").alias("n_chunks"), F.size("marks").cast("bigint").alias("n_shared"),
-        let(F.filter("placed", lambda x: x["across"]), lambda c: _runs(c, size)).alias("shared"),
-        let(F.filter("placed", lambda x: ~x["first"]), lambda c: _runs(c, size)).alias("removed"),
+        found(lambda x: x["across"]).alias("shared"), found(lambda x: ~x["first"]).alias("removed"),
     )
 
 
