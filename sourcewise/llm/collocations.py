@@ -6,13 +6,13 @@ what it holds and sends every distinct string once; equal strings of all shards
 meet by a 128-bit hash, and their sum goes back to the shards that hold them.  So
 a word that stands everywhere is one row per shard.
 
-Two rounds prune: words, then pairs of words, that are too rare break the codes,
-as no frequent phrase can hold one.  Over what is left each shard builds the
-automaton of its strings, cut at ``LONGEST`` words: prefixes are sorted by their
-last words read backwards, so that a state (strings that end at the same places)
+A shard's strings are those of its suffix automaton, cut at a depth: prefixes are
+sorted by their last words read backwards, so that a state (strings that end at the same places)
 is a run of the order, its number of end places the length of that run, and its
 suffix link the run of the next shorter string around it.  States are read out as
-substrings with counts, which are added over all shards.
+substrings with counts, which are added over all shards.  It is done in rounds, for
+words, pairs, triples, and four to ``LONGEST`` words: strings that are too rare break
+the codes of the next round, as no longer frequent phrase can hold one.
 
 A candidate that stands in a longer one with the same count is dropped by the
 links of the longer one: to its first and to its last words.  Every longer phrase
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sourcewise.llm.common import Workspace, documents
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARD_WORDS, UNKNOWN = 1 << 20, "und"
+SHARD_WORDS, UNKNOWN = 1 << 21, "und"
 #: Parts into which a language's phrases are dealt before the last ranking.
 RANK_PARTS = 64
 SHARDS = "shard bigint, lang string, words array<string>, counts array<int>, codes binary"
@@ -137,27 +137,13 @@ def _word_counts(batches):
         yield _counts(shard.as_py(), word_hashes(lang.as_py(), words.as_py()), _ints(counts))
 
 
-def pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct pairs as one number, their counts, first places of pairs, which distinct pair each is)."""
-    at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
-    both = codes[at].astype(np.int64) << 32 | codes[at + 1]
-    every, which, count = np.unique(both, return_inverse=True, return_counts=True)
-    return every, count, at, which
-
-
-def _pair_counts(batches):
-    for shard, lang, words, codes in _rows(batches):
-        every, count, _, _ = pairs(_codes(codes))
-        h = word_hashes(lang.as_py(), words.as_py())
-        yield _counts(shard.as_py(), phrase_hashes(h, [every >> 32, every & 0xFFFFFFFF]), count)
-
-
 def states(codes: np.ndarray, shortest: int, longest: int):
-    """(words, end places, shorter) of the strings of the automaton with ``shortest`` to ``longest`` words.
+    """(words, count, shorter, which) of the strings of the automaton with ``shortest`` to ``longest`` words.
 
-    ``words`` are the strings of one length, a row each; ``shorter`` is the number
-    of end places of the string that the suffix link leads to, or of the string's
-    own state where that holds the shorter string too.
+    ``words`` are the strings of one length, a row each, and ``count`` their end
+    places; ``shorter`` is the number of end places of the string that the suffix
+    link leads to, or of the string's own state where that holds the shorter string
+    too; ``which`` is the row of the string that ends at each place, or -1.
     """
     back = np.full((longest, len(codes)), -1, np.int32)
     live = codes >= 0
@@ -176,15 +162,22 @@ def states(codes: np.ndarray, shortest: int, longest: int):
         spread = np.repeat(count, count)
         if d + 1 >= shortest:
             full = back[d, first] >= 0
-            yield back[d::-1, first[full]].T, count[full], (wider if wider is not None else spread)[first[full]]
+            which = np.empty(len(order), np.int64)
+            which[order] = np.repeat(np.where(full, np.cumsum(full) - 1, -1), count)
+            yield back[d::-1, first[full]].T, count[full], (wider if wider is not None else spread)[first[full]], which
         wider = spread
 
 
-def _phrase_counts(batches):
-    for shard, lang, words, codes in _rows(batches):
-        h = word_hashes(lang.as_py(), words.as_py())
-        found = [(phrase_hashes(h, list(rows.T)), count) for rows, count, _ in states(_codes(codes), 3, LONGEST)]
-        yield _counts(shard.as_py(), np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]))
+def _string_counts(shortest: int, longest: int):
+    """Counts of the distinct strings of ``shortest`` to ``longest`` words in each shard."""
+
+    def run(batches):
+        for shard, lang, words, codes in _rows(batches):
+            h = word_hashes(lang.as_py(), words.as_py())
+            found = [(phrase_hashes(h, list(rows.T)), count) for rows, count, _, _ in states(_codes(codes), shortest, longest)]
+            yield _counts(shard.as_py(), np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]))
+
+    return run
 
 
 def _state(shard, lang, words, codes, names) -> pa.RecordBatch:
@@ -218,28 +211,34 @@ def _with_words(batches):
         yield _state(shard, lang, kept, runs(new[_codes(codes)], 2), [(kept[k], int(fs[k])) for k in np.flatnonzero(own).tolist()])
 
 
-def _with_pairs(batches):
-    """Shards with rare pairs broken apart."""
-    for shard, lang, words, codes, js, fs, own in _rows(batches):
-        words, codes, js, fs, own = words.as_py(), _codes(codes), _ints(js), _ints(fs), _ints(own).astype(bool)
-        every, _, at, which = pairs(codes)
-        good = np.zeros(len(every), bool)
-        good[js] = True
-        # a break is put between the words of a rare pair
-        cut = at[~good[which]] + 1 if len(at) else at
-        named = [(f"{words[every[j] >> 32]} {words[every[j] & 0xFFFFFFFF]}", int(f)) for j, f in zip(js[own].tolist(), fs[own].tolist(), strict=True)]
-        yield _state(shard, lang, words, runs(np.insert(codes, cut, -1), 3), named)
+def broken(codes: np.ndarray, rare: np.ndarray, size: int) -> np.ndarray:
+    """Codes in which no string of over ``size`` words holds one of ``size`` words that ends at a place in ``rare``.
 
+    The run before ends one word early; the run after begins with the words that the rare string shares with it.
+    """
+    again = [np.full(len(rare), -1, np.int32), *(codes[rare - back] for back in range(size - 2, 0, -1))]
+    return runs(np.insert(codes, np.repeat(rare, size - 1), np.stack(again, 1).ravel()), size + 1)
 
-def _with_phrases(batches):
-    for shard, lang, words, codes, js, fs, own in _rows(batches):
-        words, at, named = words.as_py(), 0, []
-        js, fs, own = _ints(js), _ints(fs), _ints(own).astype(bool)
-        for rows, _, _ in states(_codes(codes), 3, LONGEST):
-            here = own & (js >= at) & (js < at + len(rows))
-            named += [(" ".join(words[c] for c in rows[j - at]), int(f)) for j, f in zip(js[here].tolist(), fs[here].tolist(), strict=True)]
-            at += len(rows)
-        yield _state(shard, lang, [], np.zeros(0, np.int32), named)
+
+def _with_strings(shortest: int, longest: int):
+    """Shards with rare strings broken apart, and the frequent strings that a shard names."""
+
+    def run(batches):
+        for shard, lang, words, codes, js, fs, own in _rows(batches):
+            words, codes, js, fs, own = words.as_py(), _codes(codes), _ints(js), _ints(fs), _ints(own).astype(bool)
+            named, at = [], 0
+            for rows, _, _, which in states(codes, shortest, longest):
+                here = own & (js >= at) & (js < at + len(rows))
+                named += [(" ".join(words[c] for c in rows[j - at]), int(f)) for j, f in zip(js[here].tolist(), fs[here].tolist(), strict=True)]
+                at += len(rows)
+            if longest == LONGEST:
+                yield _state(shard, lang, [], np.zeros(0, np.int32), named)
+                continue
+            good = np.zeros(at, bool)
+            good[js] = True
+            yield _state(shard, lang, words, broken(codes, np.flatnonzero((which >= 0) & ~np.append(good, True)[which]), longest), named)
+
+    return run
 
 
 def _step(work: Workspace, shards: DataFrame, count, keep, least: int, name: str, *used: str) -> DataFrame:
@@ -259,11 +258,14 @@ def phrase_counts(work: Workspace, docs: DataFrame, least: int = LEAST) -> tuple
     shards = work.put(texts.mapInArrow(_packed, SHARDS), "shards")
     totals = work.put(shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c)).alias("n")), "totals")
     words = _step(work, shards, _word_counts, _with_words, least, "words", "shards")
-    twos = _step(work, words, _pair_counts, _with_pairs, least, "pairs")
-    more = _step(work, twos, _phrase_counts, _with_phrases, least, "phrases")
-    names = [s.select("lang", F.explode("names").alias("x")).select("lang", "x.phrase", "x.f") for s in (words, twos, more)]
-    every = names[0].unionByName(names[1]).unionByName(names[2]).withColumn("size", F.size(F.split("phrase", " ")))
-    return work.put(every.select("lang", "phrase", "size", "f"), "counts", "words", "pairs", "phrases"), totals
+    every, last, used = None, words, ["words"]
+    for shortest, longest in ((2, 2), (3, 3), (4, LONGEST)):
+        named = last.select("lang", F.explode("names").alias("x")).select("lang", "x.phrase", "x.f")
+        every = named if every is None else every.unionByName(named)
+        last = _step(work, last, _string_counts(shortest, longest), _with_strings(shortest, longest), least, f"strings-{longest}")
+        used.append(f"strings-{longest}")
+    every = every.unionByName(last.select("lang", F.explode("names").alias("x")).select("lang", "x.phrase", "x.f"))
+    return work.put(every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), "counts", *used), totals
 
 
 def _joined(first, size):

@@ -73,13 +73,28 @@ def test_states_are_all_strings_with_their_end_places():
             if len(part) == s and (part >= 0).all():
                 want[tuple(part.tolist())] += 1
     got = {}
-    for rows, count, shorter in co.states(codes, 1, 5):
+    for rows, count, shorter, which in co.states(codes, 1, 5):
+        for end in np.flatnonzero(which >= 0).tolist():
+            assert rows[which[end]].tolist() == codes[end - rows.shape[1] + 1 : end + 1].tolist()
         for w, c, up in zip(rows.tolist(), count.tolist(), shorter.tolist(), strict=True):
             got[tuple(w)] = c
             assert len(w) == 1 or up == want[tuple(w[1:])]
     assert got == dict(want)
 
 
+def test_breaks_keep_all_longer_strings_without_a_rare_one():
+    rng = random.Random(8)
+    codes = np.array([rng.choice([0, 0, 1, 2, -1]) for _ in range(300)] + [-1], np.int32)
+    strings = lambda x, s: sorted(tuple(x[i : i + s].tolist()) for i in range(len(x) - s + 1) if (x[i : i + s] >= 0).all())
+    for size in (2, 3, 4):
+        ends = [i for i in range(size - 1, len(codes)) if (codes[i - size + 1 : i + 1] >= 0).all()]
+        rare = sorted(rng.sample(ends, len(ends) // 4))
+        out = co.broken(codes, np.array(rare), size)
+        for longer in range(size + 1, 7):
+            want = sorted(tuple(codes[i : i + longer].tolist()) for i in range(len(codes) - longer + 1) if (codes[i : i + longer] >= 0).all() and not any(i + size - 1 <= e < i + longer for e in rare))
+            assert strings(out, longer) == want
+
+
 def test_exact_beyond_64_bits(spark):
     """Scores of counts whose products pass 64 bits."""
     big = 3_000_000_019
