@@ -1,6 +1,6 @@
 """Repeats of at least ``LEAST`` bytes by an enhanced suffix array in buckets.
 
-Texts are packed into shards of about ``SHARD_BYTES``.  Every window of ``LEAST``
+Texts are packed into shards of ``SHARD_BYTES`` or more.  Every window of ``LEAST``
 bytes is keyed by the least hash of its ``GRAM``-byte pieces, so equal windows have
 equal keys wherever they stand, and neighbouring windows mostly share theirs: a
 text is a row of segments, each the windows in a row that share a key.  A shard
@@ -40,12 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcewise.llm.common import Workspace, documents
+from sourcewise.llm.common import Workspace, documents, parts_of
 
 LEAST, GRAM = 50, 16
-SHARD_BYTES, HOT = 4 << 20, 20_000
+#: A shard has the first many bytes at least and the second at most (or one text); between them, so many shards a table.
+SHARD_BYTES, MOST_SHARD_BYTES, SHARD_COUNT, HOT = 384 << 10, 64 << 20, 50_000, 20_000
 #: Windows of a segment at most, windows that are hashed at once, rows of the suffix array that are sorted at once.
-RUN, BLOCK, SORTED_ROWS = 64, 1 << 20, 60_000
+RUN, BLOCK, SORTED_ROWS = 64, 1 << 17, 20_000
 LAST = (1 << 63) - 1
 SHARDS = "shard bigint, ids array<bigint>, ends array<int>, data binary"
 KEYS = "key bigint, shard bigint, j int, c int"
@@ -109,7 +110,7 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, sizes, key[starts]
 
 
-def _packed(batches):
+def _packed(batches, most: int):
     """Shards in the order of the rows; a shard has one text at least."""
     part, k = TaskContext.get().partitionId(), 0
     ids, texts, size = [], [], 0
@@ -127,7 +128,7 @@ def _packed(batches):
             ids.append(row)
             texts.append((raw or "").encode("utf-8", "surrogatepass"))
             size += len(texts[-1])
-            if size >= SHARD_BYTES or len(ids) >= 1 << 16:
+            if size >= most or len(ids) >= 1 << 16:
                 yield shard()
                 ids, texts, size, k = [], [], 0, k + 1
     if ids:
@@ -383,7 +384,8 @@ def _places(batches):
 
 def marked(work: Workspace, docs: DataFrame) -> DataFrame:
     """The shards of ``docs`` (doc_id, text) with the segments whose keys stand in two places or more."""
-    shards = work.put(docs.select("doc_id", "text").mapInArrow(_packed, SHARDS), "shards")
+    most = max(SHARD_BYTES, min(MOST_SHARD_BYTES, parts_of(docs, SHARD_COUNT)))
+    shards = work.put(docs.select("doc_id", "text").mapInArrow(lambda batches: _packed(batches, most), SHARDS), "shards")
     keys = shards.select("shard", "ends", "data").mapInArrow(_keys, KEYS)
     met = keys.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).where("n > 1")
     back = met.groupBy("shard").agg(F.collect_list(F.struct("j", (F.col("n") > HOT).alias("fine"))).alias("x"))

@@ -44,10 +44,9 @@ def corpus():
 def test_removed_equals_brute_force(spark, monkeypatch, hot, shard):
     """The same rows whatever the size of shards, and with hot keys cut into windows."""
     monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "SHARD_BYTES", shard)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    if shard < 1000:
-        docs = docs.repartition(30)
     got = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in sd.removed(docs).collect()]
     assert sorted(got, key=str) == brute(rows)
     assert any(r[2] for r in got)
