@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourcewise.operators.order import Ordered, average_ranks
+
 
 def probability_scores(frame: DataFrame, *keys: str) -> DataFrame:
     """accuracy, Brier score and log loss (clipped at 1e-6) of (p, y) with y in 0, 1."""
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p")))
     hit = F.when((F.col("p") >= 0.5) == (F.col("y") == 1), 1.0).otherwise(0.0)
+    # summed as decimals, so the mean is the same in any order of rows
+    miss = ((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).cast("decimal(28,18)")
     return frame.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(hit).alias("accuracy"),
-        F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"),
+        (F.sum(miss) / F.count(miss)).cast("double").alias("brier"),
         F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))).alias("log_loss"),
     )
 
@@ -31,11 +35,10 @@ def calibration_error(frame: DataFrame, bins: int = 10) -> DataFrame:
     return part.agg((F.sum(F.abs("gap")) / F.sum("n")).alias("ece"))
 
 
-def average_rank(value: str, *keys: str) -> Column:
-    """Rank with ties sharing their mean, within ``keys``; the sort of a whole table without keys is its scaling bound."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return F.rank().over(w) + (ties - 1) / 2
+def spearman(table: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: rank correlation of two columns, ties sharing their mean rank; rows without either don't count."""
+    both = table.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return average_ranks(average_ranks(both, a, "_a"), b, "_b").agg(F.corr("_a", "_b").alias("rho"))
 
 
 def auc(frame: DataFrame, *keys: str) -> DataFrame:
@@ -58,11 +61,10 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
 
 def holm(table: DataFrame) -> DataFrame:
     """(name, p) with Holm-adjusted p: running maximum of (m - rank + 1) p, at most 1."""
-    w = Window.orderBy("p", "name")
-    m = table.agg(F.count(F.lit(1)).alias("m"))
-    ranked = table.join(F.broadcast(m)).withColumn("r", F.row_number().over(w) - 1)
-    step = F.least(F.lit(1.0), (F.col("m") - F.col("r")) * F.col("p"))
-    return ranked.select("name", "p", F.max(step).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("adjusted"))
+    ranked = Ordered(table, "p", "name").numbered("r")
+    m = table.count()
+    step = F.least(F.lit(1.0), (F.lit(m) - F.col("r")) * F.col("p"))
+    return ranked.running(adjusted=("max", step)).frame.select("name", "p", "adjusted")
 
 
 def dersimonian_laird(effects: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sourcewise.functions.expressions import morton
-from sourcewise.operators import groups, insert, layout, neighbors, stats
+from sourcewise.operators import groups, insert, layout, neighbors, order, stats
 from sourcewise.plans.book import query
 from sourcewise.sources.bindings import RECORDS_SQL, read, records
 
@@ -246,7 +246,7 @@ def group_enrichment(spark, sf_dir):
     return out.select("group", R6("same_group"), R6("expected"), R6("enrichment"))
 
 
-SCORES = "count(*) AS n, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END), 6) AS accuracy, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-(y * ln(greatest(1e-6, least(1 - 1e-6, p))) + (1 - y) * ln(1 - greatest(1e-6, least(1 - 1e-6, p))))), 6) AS log_loss"
+SCORES = "count(*) AS n, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END), 6) AS accuracy, round((sum(((p - y) * (p - y))::DECIMAL(28,18)) / count(*))::DOUBLE, 6) AS brier, round(avg(-(y * ln(greatest(1e-6, least(1 - 1e-6, p))) + (1 - y) * ln(1 - greatest(1e-6, least(1 - 1e-6, p))))), 6) AS log_loss"
 
 
 @query(f"WITH {SCORED} SELECT status, {SCORES} FROM scored GROUP BY status UNION ALL SELECT 'all', {SCORES} FROM scored")
@@ -329,8 +329,21 @@ def leave_one_out_means(spark, sf_dir):
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS a, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2 AS b FROM customer)
  SELECT round(corr(a, b), 6) AS rho FROM r""")
 def spearman(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").select(stats.average_rank("c_acctbal").alias("a"), stats.average_rank("c_nationkey").alias("b"))
-    return c.agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    return stats.spearman(read(spark, sf_dir, "customer").select("c_acctbal", "c_nationkey"), "c_acctbal", "c_nationkey").select(R6("rho"))
+
+
+@query("""SELECT c_custkey, CAST((row_number() OVER (ORDER BY md5('7:' || c_custkey), c_custkey) - 1) % 10 AS INT) AS fold FROM customer""")
+def permutation_folds(spark, sf_dir):
+    return order.permutation_folds(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 10, 7)
+
+
+@query("""WITH d AS (SELECT o_orderdate::DATE::VARCHAR AS day, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1)
+ SELECT day, row_number() OVER (ORDER BY day) AS place, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS orders_so_far, max(top) OVER (ORDER BY day) AS top_so_far FROM d""")
+def running_totals(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date").cast("string").alias("day")
+    d = read(spark, sf_dir, "orders").groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("o_totalprice"), 2).alias("top"))
+    out = order.Ordered(d, "day").running(place=("sum", F.lit(1).cast("bigint")), orders_so_far=("sum", F.col("n")), top_so_far=("max", F.col("top")))
+    return out.frame.select("day", "place", "orders_so_far", "top_so_far")
 
 
 @query("SELECT l_partkey AS entry, l_shipdate, l_orderkey, l_linenumber, round(avg(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING), 6) AS running FROM lineitem")
