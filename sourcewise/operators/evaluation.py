@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sourcewise.functions.expressions import incomplete_beta
 from sourcewise.operators.evidence import moments, pooled_sd
+from sourcewise.operators.order import cut, numbered
 
 
 def fold_of(entry: Column, folds: int = 10, seed: int = 0) -> Column:
@@ -120,17 +121,17 @@ def preservation_curve(pairs: DataFrame) -> DataFrame:
     return a.join(b, ["src", "rank"])
 
 
-def permuted_within(frame: DataFrame, group: str, value: str, key: str, seed: int = 0) -> DataFrame:
-    """``frame`` with ``shuffled``: the group's values dealt anew, by the order of a hash of the key."""
-    plain, mixed = Window.partitionBy(group).orderBy(key), Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
+def permuted_within(frame: DataFrame, group: str, value: str, key: str, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """``frame`` with ``shuffled``: the group's values dealt anew, by the order of a hash of the key (or of ``draw``)."""
+    plain, mixed = Window.partitionBy(group).orderBy(key), Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)) if draw is None else draw, key)
     own = frame.withColumn("_at", F.row_number().over(plain))
     other = frame.select(F.col(group).alias("_g"), F.col(value).alias("shuffled"), F.row_number().over(mixed).alias("_b"))
     return own.join(other, own[group].eqNullSafe(F.col("_g")) & (F.col("_at") == F.col("_b"))).drop("_at", "_g", "_b")
 
 
-def fixed_subset(frame: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
-    """A sample of exactly ``size`` keys, the first by hash: the smaller one is part of the larger one."""
-    return frame.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
+def fixed_subset(frame: DataFrame, key: str, size: int, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """A sample of exactly ``size`` keys, the first by hash (or by ``draw``): the smaller one is part of the larger one."""
+    return frame.orderBy(F.xxhash64(key, F.lit(seed)) if draw is None else draw, key).limit(size)
 
 
 def t_quantile(p: float, df: float) -> float:
@@ -237,37 +238,163 @@ def cluster_bootstrap(frame: DataFrame, key: str, replicates: int = 200, seed: i
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).join(F.broadcast(ends)).select("mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
+#: Entries of a dataset (or datasets) whose draws are made together.
+DRAWN_TOGETHER = 4096
+
+
+def block_trials(trials: np.ndarray, size: int, block: int, seed: tuple[int, ...], width: int = DRAWN_TOGETHER) -> np.ndarray:
+    """Of ``trials`` even draws among ``size`` cells, per replicate those that fall in one block of ``width`` cells.
+
+    A range of blocks is halved again and again; the share of one half is a
+    binomial draw seeded by the range, so every task that asks for a block of it
+    sees the same split, and the blocks add up to the trials.
+    """
+    low, high = 0, -(-size // width)
+    cells = lambda a, b: min(b * width, size) - a * width
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([*seed, low, high]).binomial(trials, cells(low, middle) / cells(low, high))
+        trials, low, high = (left, low, middle) if block < middle else (trials - left, middle, high)
+    return trials
+
+
+def drawn(trials: np.ndarray, size: int, block: int, seed: tuple[int, ...], width: int = DRAWN_TOGETHER) -> np.ndarray:
+    """(replicates, cells): how often each cell of a block comes up in the draws of ``block_trials``."""
+    own = min(width, size - block * width)
+    return np.random.default_rng([*seed, block]).multinomial(block_trials(trials, size, block, seed, width), np.full(own, 1 / own))
+
+
+def two_stage_draws(frame: DataFrame, dataset: str, entry: str, replicates: int, seed: int = 0) -> DataFrame:
+    """(replicate, s, n): sums and counts of ``x`` when datasets are drawn anew, and then the entries of each copy.
+
+    A dataset drawn c times gives c times as many draws among its entries as it
+    has, even and independent.  Datasets and entries are numbered by their order;
+    a task draws for the entries of one block, and gives one row per replicate.
+    """
+    sums = numbered(frame.groupBy(dataset, entry).agg(F.sum("x").alias("s"), F.count("x").alias("n")), dataset, entry, name="_i")
+    sets = numbered(sums.groupBy(dataset).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_size")), dataset, name="_set")
+    n_sets = sets.count()
+    each = sums.join(sets.withColumnRenamed(dataset, "_d"), F.col(dataset).eqNullSafe(F.col("_d"))).select("_set", "_size", (F.col("_i") - F.col("_first")).alias("_k"), "s", "n")
+
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        d, block = (int(x) for x in key)
+        rows, size = rows.sort_values("_k"), int(rows["_size"].iloc[0])
+        copies = drawn(np.full(replicates, n_sets), n_sets, d // DRAWN_TOGETHER, (seed, 1))[:, d % DRAWN_TOGETHER]
+        weights = drawn(copies * size, size, block, (seed, 2, d))
+        return pd.DataFrame({"replicate": np.arange(replicates, dtype=np.int32), "s": weights @ rows["s"].to_numpy(float), "n": weights @ rows["n"].to_numpy(float)})
+
+    blocks = each.withColumn("_block", F.floor(F.col("_k") / DRAWN_TOGETHER)).groupBy("_set", "_block")
+    return blocks.applyInPandas(draw, "replicate int, s double, n double").groupBy("replicate").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def two_stage_bootstrap(frame: DataFrame, dataset: str, entry: str, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """As ``cluster_bootstrap``, with datasets drawn first and entries of each drawn dataset after."""
-    sums = frame.groupBy(dataset, entry).agg(F.sum("x").alias("s"), F.count("x").alias("n"))
-    outer = cluster_weights(sums, dataset, replicates, seed).withColumnRenamed("weight", "outer")
-    keyed = sums.withColumn("_both", F.struct(dataset, entry))
-    inner = cluster_weights(keyed, "_both", replicates, seed + 1)
-    drawn = keyed.join(inner, "_both").join(outer, [dataset, "replicate"]).withColumn("w", F.col("weight") * F.col("outer"))
-    each = drawn.groupBy("replicate").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
+    """As ``cluster_bootstrap``, with datasets drawn first and the entries of each drawn copy after."""
+    each = two_stage_draws(frame, dataset, entry, replicates, seed).select((F.col("s") / F.col("n")).alias("m"))
     ends = each.agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
-    return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).join(F.broadcast(ends)).select("mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    return frame.agg(F.avg("x").alias("mean")).join(F.broadcast(ends)).select("mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+
 
+# Grid, tolerance, rounds and smoothing of the nonparametric prior.
+GRID_LOW, GRID_HIGH, GRID_STEP = 1.0, 13.0, 0.02
+EM_TOLERANCE, EM_ROUNDS, SMOOTHING_SD, SMOOTHING_REACH = 1e-8, 3000, 0.15, 5.0
 
-def npmle(doc: DataFrame, tau: float, grid: int = 60, steps: int = 200) -> DataFrame:
-    """(x, weight): nonparametric maximum-likelihood prior of the entry means on a grid, by EM from a uniform start.
 
-    An entry matters by its mean and number of units; entries are counted by the
-    number and by the mean in steps of a hundredth of the grid's, so EM runs on a
-    table whose size does not grow with them.
+def unit_likelihoods(doc: DataFrame, tau: float, grid: np.ndarray, df: float | None = None) -> DataFrame:
+    """(entry, loglik): log likelihood of an entry's units at each grid point, less its greatest; normal errors, or Student's with ``df``.
+
+    Units come sorted by entry and are added up as they pass, so an entry may have
+    any number of them.
     """
-    m = doc.groupBy("entry").agg(F.count(F.lit(1)).alias("m"), F.avg("document_value").alias("y"))
-    low, high = m.agg(F.min("y"), F.max("y")).first()
-    width = max((high - low) / (100 * (grid - 1)), 1e-12)
-    rows = m.groupBy("m", F.floor((F.col("y") - low) / width).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.avg("y").alias("y")).toPandas()
-    x = np.linspace(low, high, grid)
-    scale = tau / np.sqrt(rows["m"].to_numpy(float))
-    like = np.exp(-0.5 * ((rows["y"].to_numpy(float)[:, None] - x) / scale[:, None]) ** 2) / scale[:, None]
-    weight, k = np.full(grid, 1 / grid), rows["k"].to_numpy(float)
-    for _ in range(steps):
-        part = like * weight
-        weight = (k[:, None] * part / part.sum(1, keepdims=True)).sum(0) / k.sum()
-    return doc.sparkSession.createDataFrame(pd.DataFrame({"x": x, "weight": weight}))
+
+    def density(y: np.ndarray) -> np.ndarray:
+        z = (y[:, None] - grid) / tau
+        return -0.5 * z * z if df is None else -(df + 1) / 2 * np.log1p(z * z / df)
+
+    def run(batches):
+        entry, total = None, None
+        for table in batches:
+            for at in range(0, len(table), 2000):
+                rows = table.iloc[at : at + 2000]
+                names, ll = rows["entry"].to_numpy(), density(rows["y"].to_numpy(float))
+                first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+                sums, heads = np.add.reduceat(ll, first), names[first]
+                if total is not None and heads[0] == entry:
+                    sums[0] += total
+                elif total is not None:
+                    yield pd.DataFrame({"entry": [entry], "loglik": [total - total.max()]})
+                entry, total = heads[-1], sums[-1].copy()
+                if len(heads) > 1:
+                    yield pd.DataFrame({"entry": heads[:-1], "loglik": list(sums[:-1] - sums[:-1].max(1, keepdims=True))})
+        if total is not None:
+            yield pd.DataFrame({"entry": [entry], "loglik": [total - total.max()]})
+
+    kind = dict(doc.dtypes)["entry"]
+    units = doc.where("entry is not null and document_value is not null").select("entry", F.col("document_value").cast("double").alias("y"))
+    return units.repartition("entry").sortWithinPartitions("entry").mapInPandas(run, f"entry {kind}, loglik array<double>")
+
+
+def smoothed(weight: np.ndarray, step: float, sd: float = SMOOTHING_SD) -> np.ndarray:
+    """A prior on an even grid under a normal kernel, cut at ``SMOOTHING_REACH`` SDs; nothing comes from beyond the grid."""
+    reach = int(SMOOTHING_REACH * sd / step + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) * step / sd) ** 2)
+    out = np.convolve(weight, kernel / kernel.sum(), "full")[reach : reach + len(weight)]
+    return out / out.sum()
+
+
+def npmle(
+    doc: DataFrame, tau: float, df: float | None = None, low: float = GRID_LOW, high: float = GRID_HIGH, step: float = GRID_STEP,
+    tolerance: float = EM_TOLERANCE, rounds: int = EM_ROUNDS, smoothing: float | None = SMOOTHING_SD,
+) -> DataFrame:
+    """(x, weight): nonparametric maximum-likelihood prior of the entries on a grid, by EM from an even start, then smoothed.
+
+    The likelihoods are stored once.  A round is one aggregate of the entries'
+    responsibilities, a row per task and grid point; the driver holds the grid's
+    weights and nothing else.  It ends when no weight moves by ``tolerance``.
+    """
+    grid = low + step * np.arange(round((high - low) / step) + 1)
+    table = cut(unit_likelihoods(doc, tau, grid, df))
+    n = table.count()
+    if not n:
+        raise ValueError("no entry has a unit")
+    weight = np.full(len(grid), 1 / len(grid))
+
+    def responsibilities(now: np.ndarray):
+        def run(batches):
+            total = np.zeros(len(grid))
+            for rows in batches:
+                for at in range(0, len(rows), 2000):
+                    part = np.exp(np.stack(rows["loglik"].iloc[at : at + 2000].to_numpy())) * now
+                    total += (part / part.sum(1, keepdims=True)).sum(0)
+            yield pd.DataFrame({"j": np.arange(len(grid), dtype=np.int32), "r": total})
+
+        return run
+
+    for _ in range(rounds):
+        shares = table.select("loglik").mapInPandas(responsibilities(weight), "j int, r double").groupBy("j").agg(F.sum("r").alias("r")).toPandas()
+        new = np.zeros(len(grid))
+        new[shares["j"]] = shares["r"] / n
+        moved, weight = np.abs(new - weight).max(), new
+        if moved < tolerance:
+            break
+    if smoothing:
+        weight = smoothed(weight, step, smoothing)
+    return doc.sparkSession.createDataFrame(pd.DataFrame({"x": grid, "weight": weight}))
+
+
+def law_prediction(doc: DataFrame, prior: DataFrame, tau: float, lower: float, upper: float, df: float | None = None) -> DataFrame:
+    """As ``grid_prediction``, from the likelihoods of all units, with normal or Student's errors."""
+    points = prior.orderBy("x").toPandas()
+    grid, weight = points["x"].to_numpy(float), points["weight"].to_numpy(float)
+    classes = np.stack([grid <= lower, (grid > lower) & (grid < upper), grid >= upper], 1).astype(float)
+
+    def run(batches):
+        for rows in batches:
+            part = np.exp(np.stack(rows["loglik"].to_numpy())) * weight if len(rows) else np.zeros((0, len(grid)))
+            p = part @ classes / part.sum(1, keepdims=True)
+            yield pd.DataFrame({"entry": rows["entry"], "p_inactive": p[:, 0], "p_medium": p[:, 1], "p_active": p[:, 2]})
+
+    kind = dict(doc.dtypes)["entry"]
+    return unit_likelihoods(doc, tau, grid, df).mapInPandas(run, f"entry {kind}, p_inactive double, p_medium double, p_active double")
 
 
 def grid_prediction(doc: DataFrame, prior: DataFrame, tau: float, lower: float, upper: float) -> DataFrame:

@@ -187,17 +187,20 @@ def clustered_mean(spark, sf_dir):
     return out.select(F.round("mean", 2).alias("mean"), ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("covered"))
 
 
-@query("SELECT round(avg(o_totalprice), 2) AS mean, true AS covered FROM orders")
+@query()
 def two_stage_mean(spark, sf_dir):
-    out = V.two_stage_bootstrap(read(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey", F.col("o_totalprice").cast("double").alias("x")), "o_orderpriority", "o_custkey", 60)
-    return out.select(F.round("mean", 2).alias("mean"), ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("covered"))
+    """Mean order price with its interval when priorities, and then their customers, are drawn anew."""
+    return V.two_stage_bootstrap(read(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey", F.col("o_totalprice").cast("double").alias("x")), "o_orderpriority", "o_custkey", 400)
 
 
-@query(f"""WITH {RECORDS_SQL} SELECT l_orderkey % 7 AS target, count(*) AS n, round(sum(value), 4) AS total FROM records GROUP BY 1""")
+@query(f"""WITH {RECORDS_SQL}, r AS (SELECT l_orderkey % 7 AS target, l_orderkey, l_linenumber, value, md5('3:' || l_orderkey || ':' || l_linenumber) AS draw FROM records),
+ a AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY l_orderkey, l_linenumber, value) AS i FROM r), b AS (SELECT target, value, row_number() OVER (PARTITION BY target ORDER BY draw, l_orderkey, l_linenumber, value) AS i FROM r)
+ SELECT a.target, l_orderkey, l_linenumber, round(a.value, 6) AS value, round(b.value, 6) AS shuffled FROM a JOIN b USING (target, i)""")
 def permuted_values(spark, sf_dir):
-    """A permutation keeps each group's number and sum of values."""
-    r = records(spark, sf_dir).select((F.col("l_orderkey") % 7).alias("target"), F.struct("l_orderkey", "l_linenumber").alias("key"), "value")
-    return V.permuted_within(r, "target", "value", "key").groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("shuffled"), 4).alias("total"))
+    """Values dealt anew within each group, by a digest of the key."""
+    r = records(spark, sf_dir).select((F.col("l_orderkey") % 7).alias("target"), "l_orderkey", "l_linenumber", F.struct("l_orderkey", "l_linenumber", "value").alias("key"), "value")
+    draw = F.md5(F.concat_ws(":", F.lit("3"), "l_orderkey", "l_linenumber"))
+    return V.permuted_within(r, "target", "value", "key", draw=draw).select("target", "l_orderkey", "l_linenumber", R6("value"), R6("shuffled"))
 
 
 @query(MERGED + f""", prior AS (SELECT 4.0 + i * 0.05 AS x, 1.0 + i % 3 AS w FROM range(30) t(i)),
@@ -208,9 +211,17 @@ def grid_posteriors(spark, sf_dir):
     return V.grid_prediction(_doc(spark, sf_dir), prior, 0.25, LOWER, UPPER).select("entry", R6("p_inactive"), R6("p_medium"), R6("p_active"))
 
 
-@query("SELECT 60 AS points, 1.0::DOUBLE AS total")
+@query()
 def npmle_prior(spark, sf_dir):
-    return V.npmle(_doc(spark, sf_dir), 0.25).agg(F.count(F.lit(1)).cast("int").alias("points"), F.round(F.sum("weight"), 6).alias("total"))
+    """The prior on a grid of tenths after 30 rounds or when no weight moves by a thousandth."""
+    return V.npmle(_doc(spark, sf_dir), 0.25, step=0.1, tolerance=1e-3, rounds=30)
+
+
+@query()
+def student_posteriors(spark, sf_dir):
+    """Classes of entries under Student's errors and a prior on a grid."""
+    prior = spark.range(30).select((4.0 + F.col("id") * 0.05).alias("x"), (1.0 + F.col("id") % 3).alias("weight"))
+    return V.law_prediction(_doc(spark, sf_dir), prior, 0.25, LOWER, UPPER, 4.0).select("entry", R6("p_inactive"), R6("p_medium"), R6("p_active"))
 
 
 # Neighbour relations
@@ -432,9 +443,9 @@ def members_with_summary(spark, sf_dir):
     return R.joined_summary(part.select(F.col("p_brand").alias("group"), F.col("p_partkey").alias("id")), summary)
 
 
-@query("SELECT count(*) AS n FROM (SELECT * FROM orders WHERE o_totalprice IS NOT NULL LIMIT 500)")
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('5:' || o_orderkey), o_orderkey LIMIT 500")
 def fixed_subset(spark, sf_dir):
-    return V.fixed_subset(read(spark, sf_dir, "orders"), "o_orderkey", 500).agg(F.count(F.lit(1)).alias("n"))
+    return V.fixed_subset(read(spark, sf_dir, "orders"), "o_orderkey", 500, draw=F.md5(F.concat_ws(":", F.lit("5"), "o_orderkey"))).select("o_orderkey", "o_custkey")
 
 
 # Entry points

@@ -72,7 +72,7 @@ def test_ridge_offsets_solve_the_normal_equations(spark):
 def test_npmle_recovers_two_levels(spark):
     rng = np.random.default_rng(5)
     doc = units(spark, [(f"e{i}", f"d{j}", float((4 if i % 4 else 8) + rng.normal(0, 0.3))) for i in range(80) for j in range(3)])
-    prior = V.npmle(doc, 0.3).toPandas()
+    prior = V.npmle(doc, 0.3, step=0.1, tolerance=1e-4, rounds=40).toPandas()
     assert abs(prior["weight"].sum() - 1) < 1e-9
     assert abs(prior[prior["x"] < 6]["weight"].sum() - 0.75) < 0.02
 
