@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcewise.operators.evidence import VARIANCE_FLOOR, moments, pair_offsets, pooled_sd, posteriors, units
-from sourcewise.operators.layout import MOST_POINTS
 from sourcewise.operators.neighbors import nearest_of
 
 
@@ -151,96 +150,6 @@ def project(points: DataFrame, k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="z", outputCol="p").fit(z).transform(z).select("id", vector_to_array("p").alias("xy"))
 
 
-# The defaults of refinement.
-SIGMAS, ANCHOR, RADIUS, JUMP, SWEEPS = (3.0, 2.0, 1.5), 0.003, 3, 1, 40
-
-
-def refine(
-    cells: DataFrame, edges: DataFrame, side: int, sigmas=SIGMAS, anchor: float = ANCHOR, radius: int = RADIUS, jump: int = JUMP,
-    sweeps: int = SWEEPS, seed: int = 0, wishes: DataFrame | None = None,
-) -> DataFrame:
-    """(id, row, col) after moves and swaps that lower, for each sigma in turn, the sum over undirected edges of
-    1 - exp(-d2 / 2 sigma^2), plus ``anchor`` times the squared distances to the wished places.
-
-    ``wishes``: (id, row, col) as numbers, the cells themselves by default.  A point
-    tries the cells within ``radius`` of its own and within ``jump`` of its
-    neighbours' median; the best gain is taken.  A sigma ends after a sweep
-    without a move.  Sequential by definition, so in one task: more than
-    ``layout.MOST_POINTS`` points are refused, and so are shared cells.
-    """
-    if anchor < 0 or radius < 1 or not sigmas or min(sigmas) <= 0:
-        raise ValueError("anchor from 0, radius from 1, sigmas above 0")
-    if cells.count() > MOST_POINTS:
-        raise ValueError(f"more than {MOST_POINTS} points")
-    links = edges.groupBy("src").agg(F.collect_list("dst").alias("near"))
-    wished = (cells if wishes is None else wishes).select(F.col("id").alias("wish_id"), F.col("row").cast("double").alias("wish_row"), F.col("col").cast("double").alias("wish_col"))
-    table = cells.join(links, cells["id"] == links["src"], "left").join(wished, cells["id"] == wished["wish_id"], "left").select("id", "row", "col", "near", "wish_row", "wish_col")
-    disk = lambda r: np.array([(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r])
-    around, about = disk(radius), disk(max(jump, 0))
-
-    def go(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").reset_index(drop=True)
-        at = {k: i for i, k in enumerate(rows["id"])}
-        linked: list[set[int]] = [set() for _ in at]
-        for i, own in enumerate(rows["near"]):
-            for j in own if own is not None else ():
-                if j in at and at[j] != i:
-                    linked[i].add(at[j])
-                    linked[at[j]].add(i)
-        near = [np.array(sorted(x), np.int64) for x in linked]
-        pos, goal = rows[["row", "col"]].to_numpy(np.int64), rows[["wish_row", "wish_col"]].to_numpy(float)
-        grid = {tuple(p): i for i, p in enumerate(pos.tolist())}
-        if len(grid) != len(pos):
-            raise ValueError("two points share a cell")
-        rng = np.random.default_rng(seed)
-
-        def energies(i: int, places: np.ndarray, scale: float, but: int = -1) -> np.ndarray:
-            """Energy of point i at each place, without its link to ``but``."""
-            others = pos[near[i][near[i] != but]] if but >= 0 else pos[near[i]]
-            away = ((places[:, None, :] - others[None]) ** 2).sum(2)
-            return (1 - np.exp(-away / scale)).sum(1) + anchor * ((places - goal[i]) ** 2).sum(1)
-
-        for sigma in sigmas:
-            scale = 2.0 * sigma * sigma
-            for _ in range(sweeps):
-                moves = 0
-                for i in rng.permutation(len(pos)).tolist():
-                    own = pos[i].copy()
-                    tries = [own + around]
-                    if jump >= 0 and len(near[i]):
-                        tries.append(np.rint(np.median(pos[near[i]], axis=0)).astype(np.int64) + about)
-                    tries = np.unique(np.concatenate(tries), axis=0)
-                    tries = tries[((tries >= 0) & (tries < side)).all(1) & (tries != own).any(1)]
-                    if not len(tries):
-                        continue
-                    both = np.concatenate([own[None], tries])
-                    change = energies(i, both, scale)
-                    change = change[1:] - change[0]
-                    holders = [grid.get(p, -1) for p in map(tuple, tries.tolist())]
-                    for t, j in enumerate(holders):
-                        if j >= 0:
-                            pair = np.stack([own, tries[t]])
-                            if j in linked[i]:  # a swapped pair of neighbours keeps its distance, so it counts on neither side
-                                change[t] = -np.subtract(*energies(i, pair, scale, j))
-                            change[t] += np.subtract(*energies(j, pair, scale, i))
-                    t = int(np.argmin(change))
-                    target = (tries[t], holders[t]) if change[t] < -1e-9 else None
-                    if target is not None:
-                        p, j = target
-                        grid[tuple(p.tolist())] = i
-                        if j >= 0:
-                            grid[tuple(own.tolist())], pos[j] = j, own
-                        else:
-                            del grid[tuple(own.tolist())]
-                        pos[i] = p
-                        moves += 1
-                if not moves:
-                    break
-        return pd.DataFrame({"id": rows["id"], "row": pos[:, 0].astype("int32"), "col": pos[:, 1].astype("int32")})
-
-    return table.groupBy(F.lit(1).alias("all")).applyInPandas(lambda k, r: go(r), "id bigint, row int, col int")
-
-
 def placement_recall(matches: DataFrame, placed: DataFrame, reference: DataFrame, k: int = 5) -> DataFrame:
     """Per placed row: share of its k best matches (ties kept) among its k nearest reference cells (ties kept).
 

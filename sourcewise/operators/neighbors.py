@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourcewise.operators.order import cut, numbered
+
 BLOCK_ROWS = 20_000
 
 
@@ -240,37 +242,62 @@ def mean_difference(edges: DataFrame, values: DataFrame) -> DataFrame:
     return named.groupBy("src").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_difference"))
 
 
-#: Rarest items of a query by which its first candidates are found.
-FIRST_ITEMS = 8
+#: Rows of a block of queries and of reference rows that meet in one task.
+QUERY_BLOCK, REFERENCE_BLOCK = 1_000, 5_000
 
 
 def top_matches(queries: DataFrame, reference: DataFrame, k: int = 5, tolerance: float = 1e-12) -> DataFrame:
     """Similarity join (query_id, items) x (ref_id, items): the k best with ties of the kth, competition ranks.
 
-    Only pairs that share an item count.  The candidates that share one of a
-    query's ``FIRST_ITEMS`` rarest items give a lower bound s of its kth
-    similarity.  A match of similarity s or more shares at least s n of the
-    query's n items, so one of its n - ceil(s n) + 1 rarest: only these are
-    joined, and common items are left out wherever s allows it.
+    Only pairs that share an item count.  Items of the queries get numbers; the
+    reference keeps those and its sizes.  Blocks of queries meet blocks of the
+    reference: a task turns its reference rows into postings and counts, query by
+    query, how often each row comes up.  Each block gives its k best with ties; no
+    pair of word lists is compared and no candidate is shuffled.
     """
-    r = reference.select("ref_id", F.explode("items").alias("item"))
-    counts = r.groupBy("item").agg(F.count(F.lit(1)).alias("n_refs"))
-    q = queries.select("query_id", F.size("items").alias("n"), F.explode("items").alias("item")).join(counts, "item")
-    q = q.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("n_refs", "item")))
-
-    def scored(prefix: DataFrame) -> DataFrame:
-        pairs = prefix.select("query_id", "item").join(r, "item").select("query_id", "ref_id").distinct()
-        both = pairs.join(queries.select("query_id", F.col("items").alias("x")), "query_id").join(reference.select("ref_id", F.col("items").alias("y")), "ref_id")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.select("query_id", "ref_id", (common / (F.size("x") + F.size("y") - common)).alias("similarity"))
-
-    first = scored(q.where(F.col("at") <= FIRST_ITEMS)).withColumn("row", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"))))
-    bound = first.where(F.col("row") == k).select("query_id", F.col("similarity").alias("least"))
-    # Items without any reference row are left out of q, so a query's rarest ones are those that remain, with room for the others.
-    known = Window.partitionBy("query_id")
-    held = q.withColumn("held", F.count(F.lit(1)).over(known)).join(bound, "query_id", "left")
-    wanted = F.ceil(F.coalesce("least", F.lit(0.0)) * F.col("n") - 1e-9)
-    scores = scored(held.where(F.col("at") <= F.col("held") - F.greatest(wanted, F.lit(1)) + 1))
+    q = queries.select("query_id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    numbers = cut(numbered(q.select("item").distinct(), "item", name="code"))
+    q = q.join(numbers, "item").groupBy("query_id", "n").agg(F.collect_list("code").alias("codes"))
+    r = reference.select("ref_id", F.size("items").alias("m"), F.explode("items").alias("item")).join(numbers, "item").groupBy("ref_id", "m").agg(F.collect_list("code").alias("codes"))
+    q, r = cut(q), cut(r)
+    q_blocks, r_blocks = -(-max(1, q.count()) // QUERY_BLOCK), -(-max(1, r.count()) // REFERENCE_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = q.select(part("query_id", q_blocks).alias("a"), every(r_blocks).alias("b"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "n", "codes")
+    right = r.select(every(q_blocks).alias("a"), part("ref_id", r_blocks).alias("b"), F.lit(False).alias("asks"), F.col("ref_id").alias("id"), F.col("m").alias("n"), "codes")
+    kinds = dict(queries.dtypes)["query_id"], dict(reference.dtypes)["ref_id"]
+    if kinds[0] != kinds[1]:
+        left, right, kind = left.withColumn("id", F.col("id").cast("string")), right.withColumn("id", F.col("id").cast("string")), "string"
+    else:
+        kind = kinds[0]
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        ask, ref = rows[rows["asks"]], rows[~rows["asks"]]
+        if not len(ask) or not len(ref):
+            return pd.DataFrame({"query_id": [], "ref_id": [], "similarity": []})
+        sizes, ids = ref["n"].to_numpy(np.int64), ref["id"].to_numpy()
+        lengths = np.array([len(c) for c in ref["codes"]])
+        item = np.concatenate(ref["codes"].to_numpy()).astype(np.int64)
+        order = np.argsort(item, kind="stable")
+        post = np.repeat(np.arange(len(ref)), lengths)[order]
+        names, first = np.unique(item[order], return_index=True)
+        ends = np.append(first[1:], len(item))
+        out: list[tuple] = []
+        for name, n, codes in zip(ask["id"], ask["n"].to_numpy(np.int64), ask["codes"], strict=True):
+            at = np.searchsorted(names, codes)
+            at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == codes)]
+            if not len(at):
+                continue
+            common = np.bincount(np.concatenate([post[first[x] : ends[x]] for x in at]), minlength=len(ref))
+            likeness = common / (n + sizes - common)
+            hit = np.flatnonzero(common)
+            kth = np.partition(likeness[hit], -k)[-k] if len(hit) > k else 0.0
+            hit = hit[likeness[hit] >= kth - tolerance]
+            out += zip([name] * len(hit), ids[hit].tolist(), likeness[hit].tolist(), strict=True)
+        return pd.DataFrame(out, columns=["query_id", "ref_id", "similarity"])
+
+    found = left.unionByName(right).groupBy("a", "b").applyInPandas(best, f"query_id {kind}, ref_id {kind}, similarity double")
+    scores = found.select(F.col("query_id").cast(kinds[0]).alias("query_id"), F.col("ref_id").cast(kinds[1]).alias("ref_id"), "similarity")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"))
     placed = scores.withColumn("row", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id"))).withColumn("rank", F.rank().over(w))
     kth = F.min(F.when(F.col("row") <= k, F.col("similarity"))).over(Window.partitionBy("query_id"))

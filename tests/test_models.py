@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from sourcewise.operators import models
+from sourcewise.operators import models, refine
 
 F = models.F
 
@@ -36,7 +36,7 @@ def test_refinement_lowers_the_objective_and_keeps_cells_unique(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(35)], "src long, dst long")
     from sourcewise.operators.layout import neighbor_objective
 
-    better = models.refine(cells, edges, 6).cache()
+    better = refine.refine(cells, edges, 6).cache()
     assert len({(r.row, r.col) for r in better.collect()}) == 36
     assert neighbor_objective(edges, better, 2.0).first().objective < neighbor_objective(edges, cells, 2.0).first().objective
 

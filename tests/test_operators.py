@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sourcewise.functions.expressions import rounded_key
-from sourcewise.operators import evidence, groups, insert, layout, models, neighbors
+from sourcewise.operators import evidence, groups, insert, layout, models, neighbors, refine
 from sourcewise.sources import files
 from sourcewise.streaming import updates
 
@@ -119,7 +119,7 @@ def test_refinement_lowers_the_objective_and_keeps_cells_unique(spark):
     spots = rng.permutation(side * side)[:n]
     cells = spark.createDataFrame([(i, int(s) // side, int(s) % side) for i, s in enumerate(spots)], "id long, row int, col int")
     edges = spark.createDataFrame([(i, (i + d) % n) for i in range(n) for d in (1, 2)], "src long, dst long")
-    done = models.refine(cells, edges, side, anchor=0.0, sweeps=6)
+    done = refine.refine(cells, edges, side, anchor=0.0, rounds=4)
     assert len({(r.row, r.col) for r in done.collect()}) == n
     value = lambda c: layout.neighbor_objective(edges, c, 2.0).first()[0]
     assert value(done) < 0.8 * value(cells)
