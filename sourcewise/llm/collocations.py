@@ -3,7 +3,7 @@
 Texts of one language are packed into shards of about ``SHARD_WORDS`` words, as
 codes of a dictionary of their own, with breaks between pieces.  A shard counts
 what it holds and sends every distinct string once; equal strings of all shards
-meet by a 128-bit hash, and their sum goes back to the shards that hold them.  So
+meet by a 96-bit hash, and their sum goes back to the shards that hold them.  So
 a word that stands everywhere is one row per shard.
 
 A shard's strings are those of its suffix automaton, cut at a depth: prefixes are
@@ -44,7 +44,10 @@ SHARD_WORDS, UNKNOWN = 1 << 21, "und"
 RANK_PARTS = 64
 SHARDS = "shard bigint, lang string, words array<string>, counts array<int>, codes binary"
 STATE = "shard bigint, lang string, words array<string>, codes binary, names array<struct<phrase:string,f:bigint>>"
-COUNTS = "h1 bigint, h2 bigint, shard bigint, j int, c int"
+#: ``h2j`` has 32 more bits of the hash above the string's number in its shard, so rows compress well.
+COUNTS = "h1 bigint, h2j bigint, shard bigint, c int"
+#: A round's strings meet in so many slices of their hashes, one after the other, so a part of them is on disk at a time.
+SLICES = 3
 _TABLE = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\n\x0b\x0c\r\t", string.ascii_lowercase.encode() + b"\n" * 10 + b" ")
 _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -65,7 +68,7 @@ def coded(text: str, codes: _Codes) -> np.ndarray:
     return np.append(found[found != -2], np.int32(-1))
 
 
-def _packed(batches):
+def _packed(batches, most: int):
     part, k = TaskContext.get().partitionId(), 0
     langs: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
     size = 0
@@ -87,7 +90,7 @@ def _packed(batches):
             codes, texts = langs.setdefault(lang.as_py(), (_Codes({b"": -2, b"\n": -1}), []))
             texts.append(coded(text.as_py() or "", codes))
             size += len(texts[-1])
-            if size >= SHARD_WORDS:
+            if size >= most:
                 yield from shards()
                 langs, size = {}, 0
     yield from shards()
@@ -124,17 +127,21 @@ def phrase_hashes(words: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _counts(shard: int, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    h = hashes.view(np.int64)
+def _counts(shard: int, hashes: np.ndarray, counts: np.ndarray, part: int) -> pa.RecordBatch:
+    own = np.flatnonzero(hashes[:, 0] % np.uint64(SLICES) == part)
+    h2j = (hashes[own, 1] & np.uint64(0xFFFFFFFF00000000)) | own.astype(np.uint64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.full(len(h), shard)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(counts.astype(np.int32))],
+        [pa.array(hashes[own, 0].view(np.int64)), pa.array(h2j.view(np.int64)), pa.array(np.full(len(own), shard)), pa.array(counts[own].astype(np.int32))],
         names=[x.split()[0] for x in COUNTS.split(", ")],
     )
 
 
-def _word_counts(batches):
-    for shard, lang, words, counts in _rows(batches):
-        yield _counts(shard.as_py(), word_hashes(lang.as_py(), words.as_py()), _ints(counts))
+def _word_counts(part: int):
+    def run(batches):
+        for shard, lang, words, counts in _rows(batches):
+            yield _counts(shard.as_py(), word_hashes(lang.as_py(), words.as_py()), _ints(counts), part)
+
+    return run
 
 
 def states(codes: np.ndarray, shortest: int, longest: int):
@@ -169,15 +176,18 @@ def states(codes: np.ndarray, shortest: int, longest: int):
 
 
 def _string_counts(shortest: int, longest: int):
-    """Counts of the distinct strings of ``shortest`` to ``longest`` words in each shard."""
+    """Counts of the distinct strings of ``shortest`` to ``longest`` words in each shard, those of one slice."""
 
-    def run(batches):
-        for shard, lang, words, codes in _rows(batches):
-            h = word_hashes(lang.as_py(), words.as_py())
-            found = [(phrase_hashes(h, list(rows.T)), count) for rows, count, _, _ in states(_codes(codes), shortest, longest)]
-            yield _counts(shard.as_py(), np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]))
+    def of(part: int):
+        def run(batches):
+            for shard, lang, words, codes in _rows(batches):
+                h = word_hashes(lang.as_py(), words.as_py())
+                found = [(phrase_hashes(h, list(rows.T)), count) for rows, count, _, _ in states(_codes(codes), shortest, longest)]
+                yield _counts(shard.as_py(), np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]), part)
 
-    return run
+        return run
+
+    return of
 
 
 def _state(shard, lang, words, codes, names) -> pa.RecordBatch:
@@ -245,9 +255,17 @@ def _step(work: Workspace, shards: DataFrame, count, keep, least: int, name: str
     """One round: counts of all shards meet, and those of at least ``least`` go back to the shards that hold them."""
     columns = [c for c in ("shard", "lang", "words", "counts" if "counts" in shards.columns else "codes") if c in shards.columns]
     every = Window.partitionBy("h1", "h2")
-    met = shards.select(*columns).mapInArrow(count, COUNTS).withColumn("f", F.sum("c").over(every)).withColumn("own", F.min("shard").over(every) == F.col("shard")).where(F.col("f") >= least)
-    back = met.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("j", "f", "own"))).alias("x"))
-    back = work.put(back.select("shard", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("j", "f", "own"))), f"{name}-back")
+    slices = []
+    for part in range(SLICES):
+        rows = shards.select(*columns).mapInArrow(count(part), COUNTS).repartition("h1")
+        rows = rows.select("h1", F.shiftright("h2j", 32).alias("h2"), "shard", F.col("h2j").bitwiseAND(0xFFFFFFFF).cast("int").alias("j"), "c")
+        met = rows.withColumn("f", F.sum("c").over(every)).withColumn("own", F.min("shard").over(every) == F.col("shard")).where(F.col("f") >= least)
+        slices.append(work.put(met.groupBy("shard").agg(F.collect_list(F.struct("j", "f", "own")).alias("x")), f"{name}-{part}"))
+    met = slices[0]
+    for other in slices[1:]:
+        met = met.unionByName(other)
+    back = met.groupBy("shard").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    back = work.put(back.select("shard", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("j", "f", "own"))), f"{name}-back", *(f"{name}-{part}" for part in range(SLICES)))
     both = shards.join(back, "shard").select("shard", "lang", "words", "codes", "x_j", "x_f", "x_own")
     return work.put(both.mapInArrow(keep, STATE), name, f"{name}-back", *used)
 
@@ -255,7 +273,8 @@ def _step(work: Workspace, shards: DataFrame, count, keep, least: int, name: str
 def phrase_counts(work: Workspace, docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of up to ``LONGEST`` words that occur ``least`` times or more; (lang, n)."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    shards = work.put(texts.mapInArrow(_packed, SHARDS), "shards")
+    most = SHARD_WORDS
+    shards = work.put(texts.mapInArrow(lambda batches: _packed(batches, most), SHARDS), "shards")
     totals = work.put(shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c)).alias("n")), "totals")
     words = _step(work, shards, _word_counts, _with_words, least, "words", "shards")
     every, last, used = None, words, ["words"]
