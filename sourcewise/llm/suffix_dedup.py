@@ -46,7 +46,9 @@ LEAST, GRAM = 50, 16
 #: A shard has the first many bytes at least and the second at most (or one text); between them, so many shards a table.
 SHARD_BYTES, MOST_SHARD_BYTES, SHARD_COUNT, HOT = 384 << 10, 64 << 20, 50_000, 20_000
 #: Windows of a segment at most, windows that are hashed at once, rows of the suffix array that are sorted at once.
-RUN, BLOCK, SORTED_ROWS = 64, 1 << 17, 20_000
+RUN, BLOCK, SORTED_ROWS = 64, 1 << 17, 10_000
+#: Buckets are worked off in so many slices of their keys, one after the other, so a part of the segments is on disk at a time.
+SLICES = 3
 LAST = (1 << 63) - 1
 SHARDS = "shard bigint, ids array<bigint>, ends array<int>, data binary"
 KEYS = "key bigint, shard bigint, j int, c int"
@@ -201,19 +203,26 @@ def _ranks(ids) -> np.ndarray:
     return np.array([LAST if x is None else x for x in ids.as_py()], np.int64)
 
 
-def _segments(batches):
-    for shard, ids, ends, data, *marks in _rows(batches):
-        found, piece, _, row = distinct(ids, ends, data, *marks)
-        rank = _ranks(ids)[row] if len(row) else np.zeros(0, np.int64)
-        least, most = np.full(len(found), LAST), np.full(len(found), -LAST - 1)
-        np.minimum.at(least, piece, rank)
-        np.maximum.at(most, piece, rank)
-        n = np.bincount(piece, minlength=len(found)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary()), pa.array(np.full(len(found), shard.as_py())),
-             pa.array(np.arange(len(found), dtype=np.int32)), pa.array(n), pa.array(least), pa.array(most)],
-            names=[x.split()[0] for x in SEGMENTS.split(", ")],
-        )
+def _segments(part: int):
+    """The distinct pieces of each shard, those whose keys are of one slice."""
+
+    def run(batches):
+        for shard, ids, ends, data, *marks in _rows(batches):
+            found, piece, _, row = distinct(ids, ends, data, *marks)
+            rank = _ranks(ids)[row] if len(row) else np.zeros(0, np.int64)
+            least, most = np.full(len(found), LAST), np.full(len(found), -LAST - 1)
+            np.minimum.at(least, piece, rank)
+            np.maximum.at(most, piece, rank)
+            n = np.bincount(piece, minlength=len(found)).astype(np.int32)
+            keys = np.array([k for k, _ in found], np.int64)
+            own = np.flatnonzero(keys.view(np.uint64) % np.uint64(SLICES) == part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[own]), pa.array([found[k][1] for k in own.tolist()], pa.binary()), pa.array(np.full(len(own), shard.as_py())),
+                 pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(least[own]), pa.array(most[own])],
+                names=[x.split()[0] for x in SEGMENTS.split(", ")],
+            )
+
+    return run
 
 
 def intervals(lcp: list[int], first: int, last: int):
@@ -385,30 +394,45 @@ def _places(batches):
 def marked(work: Workspace, docs: DataFrame) -> DataFrame:
     """The shards of ``docs`` (doc_id, text) with the segments whose keys stand in two places or more."""
     most = max(SHARD_BYTES, min(MOST_SHARD_BYTES, parts_of(docs, SHARD_COUNT)))
-    shards = work.put(docs.select("doc_id", "text").mapInArrow(lambda batches: _packed(batches, most), SHARDS), "shards")
+    shards = _put(work, docs.select("doc_id", "text").mapInArrow(lambda batches: _packed(batches, most), SHARDS), "shards")
     keys = shards.select("shard", "ends", "data").mapInArrow(_keys, KEYS)
     met = keys.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).where("n > 1")
     back = met.groupBy("shard").agg(F.collect_list(F.struct("j", (F.col("n") > HOT).alias("fine"))).alias("x"))
-    back = work.put(back.select("shard", F.col("x.j").alias("js"), F.col("x.fine").alias("fine")), "back")
-    return work.put(shards.join(back, "shard", "left").select("shard", "ids", "ends", "data", "js", "fine").mapInArrow(_marked, MARKED), "marked", "shards", "back")
+    back = _put(work, back.select("shard", F.col("x.j").alias("js"), F.col("x.fine").alias("fine")), "back")
+    return _put(work, shards.join(back, "shard", "left").select("shard", "ids", "ends", "data", "js", "fine").mapInArrow(_marked, MARKED), "marked", "shards", "back")
+
+
+def pieces(work: Workspace, shards: DataFrame, every: bool, column: str) -> DataFrame:
+    """Repeats within segments, by shard: arrays of distinct piece, start, end, and ``column`` (least id or repeat)."""
+    names, slices = ["j", "start", "end", column], []
+    for part in range(SLICES):
+        each = shards.mapInArrow(_segments(part), SEGMENTS).repartition("key").sortWithinPartitions("key").mapInArrow(_tree(every), PIECES)
+        slices.append(_put(work, each.groupBy("shard").agg(F.collect_list(F.struct(*names)).alias("x")), f"pieces-{part}"))
+    found = slices[0]
+    for other in slices[1:]:
+        found = found.unionByName(other)
+    found = found.groupBy("shard").agg(F.flatten(F.collect_list("x")).alias("x")).select("shard", *(F.col(f"x.{c}").alias(f"x_{c}") for c in names))
+    return _put(work, found, "found", *(f"pieces-{part}" for part in range(SLICES)))
 
 
-def pieces(shards: DataFrame, every: bool) -> DataFrame:
-    """Repeats within segments by shard and distinct piece: (shard, j, start, end, least, piece_id)."""
-    each = shards.mapInArrow(_segments, SEGMENTS)
-    return each.repartition("key").sortWithinPartitions("key").mapInArrow(_tree(every), PIECES)
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def _gathered(found: DataFrame, *columns: str) -> DataFrame:
-    names = ["j", "start", "end", *columns]
-    return found.groupBy("shard").agg(F.collect_list(F.struct(*names)).alias("x")).select("shard", *(F.col(f"x.{c}").alias(f"x_{c}") for c in names))
+def _put(work: Workspace, df: DataFrame, name: str, *used: str) -> DataFrame:
+    """``work.put`` with small Arrow batches, as a row holds a whole shard."""
+    before = work.spark.conf.get(_BATCH)
+    work.spark.conf.set(_BATCH, "8m")
+    try:
+        return work.put(df, name, *used)
+    finally:
+        work.spark.conf.set(_BATCH, before)
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row: the spans of bytes that repeat a row with a smaller id, and the bytes that stay."""
     work = Workspace(docs.sparkSession, "suffix-dedup")
     shards = marked(work, docs)
-    found = work.put(_gathered(pieces(shards, False), "least"), "found")
+    found = pieces(work, shards, False, "least")
     both = shards.join(found, "shard", "left").select(*shards.columns, "x_j", "x_start", "x_end", "x_least")
     return both.mapInArrow(_removed, REMOVED)
 
@@ -420,7 +444,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "suffix-repeats")
     shards = marked(work, docs)
-    found = work.put(_gathered(pieces(shards, True), "piece_id"), "found")
+    found = pieces(work, shards, True, "piece_id")
     both = shards.join(found, "shard").select(*shards.columns, "x_j", "x_start", "x_end", "x_piece_id")
     places = work.put(both.mapInArrow(_places, PLACES), "places")
     where = F.struct("shard", "row", "start")
