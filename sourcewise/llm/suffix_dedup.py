@@ -47,8 +47,8 @@ LEAST, GRAM = 50, 16
 SHARD_BYTES, MOST_SHARD_BYTES, SHARD_COUNT, HOT = 384 << 10, 64 << 20, 50_000, 20_000
 #: Windows of a segment at most, windows that are hashed at once, rows of the suffix array that are sorted at once.
 RUN, BLOCK, SORTED_ROWS = 64, 1 << 17, 10_000
-#: Buckets are worked off in so many slices of their keys, one after the other, so a part of the segments is on disk at a time.
-SLICES = 3
+#: Texts are cut in so many slices of the shards, one after the other, so a part of them is on its way at a time.
+SLICES = 2
 LAST = (1 << 63) - 1
 SHARDS = "shard bigint, ids array<bigint>, ends array<int>, data binary"
 KEYS = "key bigint, shard bigint, j int, c int"
@@ -184,7 +184,8 @@ def distinct(ids, ends, data, starts, sizes, keys, fine):
     Segments of hot keys are cut into their windows.
     """
     raw, hot = _bytes(data), _numbers(fine).astype(bool)
-    starts, sizes, keys = _numbers(starts).astype(np.int64), _numbers(sizes).astype(np.int64), _numbers(keys)
+    starts, sizes = _numbers(starts).astype(np.int64), _numbers(sizes).astype(np.int64)
+    keys = _numbers(keys) if keys.is_valid else np.zeros(len(starts), np.int64)
     cut = np.where(hot, sizes, 1)
     offset = np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
     at, size, key = np.repeat(starts, cut) + offset, np.where(np.repeat(hot, cut), 1, np.repeat(sizes, cut)), np.repeat(keys, cut)
@@ -203,26 +204,20 @@ def _ranks(ids) -> np.ndarray:
     return np.array([LAST if x is None else x for x in ids.as_py()], np.int64)
 
 
-def _segments(part: int):
-    """The distinct pieces of each shard, those whose keys are of one slice."""
-
-    def run(batches):
-        for shard, ids, ends, data, *marks in _rows(batches):
-            found, piece, _, row = distinct(ids, ends, data, *marks)
-            rank = _ranks(ids)[row] if len(row) else np.zeros(0, np.int64)
-            least, most = np.full(len(found), LAST), np.full(len(found), -LAST - 1)
-            np.minimum.at(least, piece, rank)
-            np.maximum.at(most, piece, rank)
-            n = np.bincount(piece, minlength=len(found)).astype(np.int32)
-            keys = np.array([k for k, _ in found], np.int64)
-            own = np.flatnonzero(keys.view(np.uint64) % np.uint64(SLICES) == part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[own]), pa.array([found[k][1] for k in own.tolist()], pa.binary()), pa.array(np.full(len(own), shard.as_py())),
-                 pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(least[own]), pa.array(most[own])],
-                names=[x.split()[0] for x in SEGMENTS.split(", ")],
-            )
-
-    return run
+def _segments(batches):
+    """The distinct pieces of each shard."""
+    for shard, ids, ends, data, *marks in _rows(batches):
+        found, piece, _, row = distinct(ids, ends, data, *marks)
+        rank = _ranks(ids)[row] if len(row) else np.zeros(0, np.int64)
+        least, most = np.full(len(found), LAST), np.full(len(found), -LAST - 1)
+        np.minimum.at(least, piece, rank)
+        np.maximum.at(most, piece, rank)
+        n = np.bincount(piece, minlength=len(found)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary()), pa.array(np.full(len(found), shard.as_py())),
+             pa.array(np.arange(len(found), dtype=np.int32)), pa.array(n), pa.array(least), pa.array(most)],
+            names=[x.split()[0] for x in SEGMENTS.split(", ")],
+        )
 
 
 def intervals(lcp: list[int], first: int, last: int):
@@ -404,15 +399,11 @@ def marked(work: Workspace, docs: DataFrame) -> DataFrame:
 
 def pieces(work: Workspace, shards: DataFrame, every: bool, column: str) -> DataFrame:
     """Repeats within segments, by shard: arrays of distinct piece, start, end, and ``column`` (least id or repeat)."""
-    names, slices = ["j", "start", "end", column], []
-    for part in range(SLICES):
-        each = shards.mapInArrow(_segments(part), SEGMENTS).repartition("key").sortWithinPartitions("key").mapInArrow(_tree(every), PIECES)
-        slices.append(_put(work, each.groupBy("shard").agg(F.collect_list(F.struct(*names)).alias("x")), f"pieces-{part}"))
-    found = slices[0]
-    for other in slices[1:]:
-        found = found.unionByName(other)
-    found = found.groupBy("shard").agg(F.flatten(F.collect_list("x")).alias("x")).select("shard", *(F.col(f"x.{c}").alias(f"x_{c}") for c in names))
-    return _put(work, found, "found", *(f"pieces-{part}" for part in range(SLICES)))
+    names = ["j", "start", "end", column]
+    each = shards.mapInArrow(_segments, SEGMENTS).repartition("key").sortWithinPartitions("key").mapInArrow(_tree(every), PIECES)
+    each = _put(work, each.select("shard", *names), "pieces")
+    found = each.groupBy("shard").agg(F.collect_list(F.struct(*names)).alias("x")).select("shard", *(F.col(f"x.{c}").alias(f"x_{c}") for c in names))
+    return _put(work, found, "found", "pieces")
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -433,8 +424,19 @@ def removed(docs: DataFrame) -> DataFrame:
     work = Workspace(docs.sparkSession, "suffix-dedup")
     shards = marked(work, docs)
     found = pieces(work, shards, False, "least")
-    both = shards.join(found, "shard", "left").select(*shards.columns, "x_j", "x_start", "x_end", "x_least")
-    return both.mapInArrow(_removed, REMOVED)
+    # pieces are told apart by their bytes alone, so the keys may stay behind
+    bare = shards.withColumn("keys", F.lit(None).cast("array<bigint>"))
+    done = []
+    for part in range(SLICES):
+        own = F.pmod(F.xxhash64("shard"), F.lit(SLICES)) == part
+        both = bare.where(own).join(found.where(own), "shard", "left").select(*shards.columns, "x_j", "x_start", "x_end", "x_least")
+        done.append(_put(work, both.mapInArrow(_removed, REMOVED), f"removed-{part}"))
+    work.drop("marked")
+    work.drop("found")
+    out = done[0]
+    for other in done[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 def repeats(docs: DataFrame) -> DataFrame:
