@@ -295,7 +295,14 @@ def tree(keys, data, offsets, n, least, most, every: bool):
     if every:
         name ^= np.fromiter((xxhash.xxh3_64_intdigest(tail[k, :s].tobytes()) for k, s in zip(a.tolist(), length.tolist(), strict=True)), np.uint64, len(a)).view(np.int64)
     out = row[suffix], start, start + np.repeat(length, span) + LEAST, np.repeat(low, span), np.repeat(name, span)
-    wanted = slice(None) if every else most[out[0]] > out[3]
+    if every:
+        return out
+    # beside a piece that is the whole row, only those that begin in a row with a smaller id tell more
+    r, start, end, low, _ = out
+    whole = (start == 0) & (end == np.diff(offsets)[r])
+    best = np.full(len(offsets) - 1, LAST)
+    np.minimum.at(best, r[whole], low[whole])
+    wanted = (most[r] > low) & ((low < best[r]) | whole & (low == best[r]))
     return tuple(x[wanted] for x in out)
 
 
