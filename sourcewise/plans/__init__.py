@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourcewise.plans import curation_queries, evidence_queries, model_queries, report_queries, space_queries
+from sourcewise.plans import audit_queries, curation_queries, evidence_queries, model_queries, report_queries, space_queries
 from sourcewise.plans.book import ORACLE_SQL, QUERIES
 
 
@@ -14,4 +14,4 @@ def oracle_sql() -> dict[str, str]:
     return ORACLE_SQL
 
 
-__all__ = ["curation_queries", "evidence_queries", "model_queries", "oracle_sql", "queries", "report_queries", "space_queries"]
+__all__ = ["audit_queries", "curation_queries", "evidence_queries", "model_queries", "oracle_sql", "queries", "report_queries", "space_queries"]
