@@ -185,8 +185,10 @@ def held_out(doc: DataFrame) -> DataFrame:
     w = Window.partitionBy("entry")
     n, s = F.count(F.lit(1)).over(w), F.sum("document_value").over(w)
     rest = (s - F.col("document_value")) / (n - 1)
-    table = doc.withColumn("n", n).withColumn("center", F.when(n > 1, rest)).withColumn("others", F.collect_list("document_value").over(w)).where("n >= 2")
-    spread = F.aggregate("others", F.lit(0.0), lambda acc, x: acc + (x - F.col("center")) * (x - F.col("center"))) - (F.col("document_value") - F.col("center")) ** 2
+    squares = F.var_pop("document_value").over(w) * n
+    table = doc.withColumns({"n": n, "center": F.when(n > 1, rest), "squares": squares, "middle": s / n}).where("n >= 2")
+    # squares of the others around their own mean: all squares less what this unit adds to them
+    spread = F.col("squares") - (F.col("document_value") - F.col("middle")) ** 2 * F.col("n") / (F.col("n") - 1)
     own = F.when(F.col("n") > 2, F.greatest(spread / (F.col("n") - 2), F.lit(1e-4))).otherwise(0.0)
     return table.select("entry", "document", F.col("document_value").alias("observed"), "center", own.alias("own"), (F.col("n") - 1).alias("remaining"))
 

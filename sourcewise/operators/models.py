@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourcewise.functions.expressions import normal_cdf
 from sourcewise.operators.evidence import VARIANCE_FLOOR, moments, pair_offsets, pooled_sd, posteriors, units
 from sourcewise.operators.neighbors import nearest_of
 
@@ -174,6 +175,59 @@ def signed_rank(table: DataFrame, *keys: str) -> DataFrame:
     return s.select(*keys, "n", "w", ((F.col("w") - mean) / sd).alias("z"))
 
 
+#: Pairs up to which the law of the signed-rank statistic is counted out.
+EXACT_PAIRS = 50
+
+
+def _rank_sums(most: int) -> list[tuple[int, list[float]]]:
+    """(n, chances) for n up to ``most``: the chance that a sum of signed ranks 1..n is w or more, for each w."""
+    ways, out = np.ones(1), []
+    for n in range(1, most + 1):
+        ways = np.pad(ways, (0, n)) / 2 + np.pad(ways, (n, 0)) / 2
+        out.append((n, np.minimum(1.0, np.cumsum(ways[::-1])[::-1]).tolist()))
+    return out
+
+
+def signed_rank_test(table: DataFrame, *keys: str, alternative: str = "greater") -> DataFrame:
+    """(keys, n_values, n, w, p): one-sided Wilcoxon test of ``d`` per key.
+
+    Nulls and values that are not finite are left out and zeros dropped.  Without ties and zeros
+    the law of up to ``EXACT_PAIRS`` pairs is exact, else normal with tie correction.
+    Only zeros, or no value, give p = 1 and a null ``w``.
+    """
+    if alternative not in ("greater", "less"):
+        raise ValueError("alternative is greater or less")
+    x = table.select(*keys, F.col("d").cast("double").alias("d")).where("d is not null and not isnan(d) and abs(d) < double('infinity')")
+    every = table.select(*keys).distinct().join(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"), F.max(F.abs("d")).alias("top")), [*keys], "left")
+    ties = x.where("d <> 0").groupBy(*keys, F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(F.max("t").alias("tied"))
+    found = every.join(signed_rank(x, *keys).join(ties, [*keys]), [*keys], "left")
+    law = table.sparkSession.createDataFrame(_rank_sums(EXACT_PAIRS), "n bigint, chances array<double>")
+    found = found.join(F.broadcast(law), "n", "left")
+    up = F.col("w") if alternative == "greater" else F.col("n") * (F.col("n") + 1) / 2 - F.col("w")
+    exact = F.get("chances", up.cast("int"))
+    z = F.col("z") if alternative == "greater" else -F.col("z")
+    plain = (F.col("tied") == 1) & (F.col("n") == F.col("n_values")) & F.col("chances").isNotNull()
+    none = F.col("n").isNull() | (F.col("top") <= 1e-8)
+    p = F.when(none, 1.0).when(plain, exact).otherwise(normal_cdf(-z))
+    return found.select(*keys, F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("n", F.lit(0)).alias("n"), F.when(~none, F.col("w")).alias("w"), p.alias("p"))
+
+
+def pooled_sd_by_class(doc: DataFrame, overall: DataFrame, lower: float = 6.0, upper: float = 7.0, min_entries: int = 5) -> DataFrame:
+    """(class, sigma, n_entries, method): pooled between-unit SD by the class of the entry's mean (medium from ``lower``, active from ``upper``).
+
+    A class with fewer entries of two units takes the one row ``overall`` (tau); classes without any are kept.
+    """
+    m = doc.groupBy("entry").agg(F.count(F.lit(1)).alias("m"), F.avg("document_value").alias("mean"), F.var_samp("document_value").alias("variance")).where("m > 1")
+    kind = F.when(F.col("mean") < lower, "inactive").when(F.col("mean") < upper, "medium").otherwise("active")
+    sums = m.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("variance") * (F.col("m") - 1)).alias("ss"), F.sum(F.col("m") - 1).alias("df"))
+    classes = overall.select("tau", F.explode(F.array(*(F.lit(c) for c in ("inactive", "medium", "active")))).alias("class"))
+    n = F.coalesce("n", F.lit(0))
+    return classes.join(sums, "class", "left").select(
+        "class", F.when(n >= min_entries, F.sqrt(F.col("ss") / F.col("df"))).otherwise(F.col("tau")).alias("sigma"), n.alias("n_entries"),
+        F.when(n >= min_entries, "class_pooled").otherwise("overall_fallback").alias("method"),
+    )
+
+
 def bootstrap_median(table: DataFrame, key: str, replicates: int = 200, seed: int = 0) -> DataFrame:
     """Percentile interval of the median of ``x`` per key; each key is one group, so keys bound its size."""
 

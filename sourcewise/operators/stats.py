@@ -67,21 +67,33 @@ def holm(table: DataFrame) -> DataFrame:
     return ranked.running(adjusted=("max", step)).frame.select("name", "p", "adjusted")
 
 
-def dersimonian_laird(effects: DataFrame) -> DataFrame:
-    """One row from (y, v): tau2, pooled mean, its variance, I2 and Q."""
-    w = 1 / F.col("v")
+def dersimonian_laird(effects: DataFrame, z: float = 1.96) -> DataFrame:
+    """One row from (y, v): k, tau2, pooled mean, its variance, I2, Q, and the intervals of the mean and of a new effect.
+
+    Variances are 1e-12 at least; with one effect tau2 is 0.
+    """
+    v = F.greatest(F.col("v"), F.lit(1e-12))
+    w = 1 / v
     s = effects.agg(F.count(F.lit(1)).alias("k"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.sum(w * F.col("y")).alias("wy"), F.sum(w * F.col("y") * F.col("y")).alias("wyy"))
     q = F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w")
-    s = s.select("k", q.alias("q"), F.greatest(F.lit(0.0), (q - (F.col("k") - 1)) / (F.col("w") - F.col("w2") / F.col("w"))).alias("tau2"))
-    random = 1 / (F.col("v") + F.col("tau2"))
+    tau2 = F.when(F.col("k") > 1, F.greatest(F.lit(0.0), (q - (F.col("k") - 1)) / (F.col("w") - F.col("w2") / F.col("w")))).otherwise(0.0)
+    s = s.select("k", q.alias("q"), tau2.alias("tau2"))
+    random = 1 / (v + F.col("tau2"))
     both = effects.join(F.broadcast(s)).groupBy("k", "q", "tau2").agg((F.sum(random * F.col("y")) / F.sum(random)).alias("pooled"), (1 / F.sum(random)).alias("variance"))
-    return both.withColumn("i2", F.when(F.col("q") > 0, F.greatest(F.lit(0.0), (F.col("q") - (F.col("k") - 1)) / F.col("q"))).otherwise(0.0))
+    both = both.withColumn("i2", F.when(F.col("q") > 0, F.greatest(F.lit(0.0), (F.col("q") - (F.col("k") - 1)) / F.col("q"))).otherwise(0.0))
+    own, new = z * F.sqrt("variance"), z * F.sqrt(F.col("tau2") + F.col("variance"))
+    return both.withColumns({"ci_low": F.col("pooled") - own, "ci_high": F.col("pooled") + own, "prediction_low": F.col("pooled") - new, "prediction_high": F.col("pooled") + new})
 
 
 def mantel_haenszel(strata: DataFrame) -> DataFrame:
-    """One row from (a, n1, c, n0): the pooled risk difference."""
-    n = F.col("n1") + F.col("n0")
-    return strata.agg((F.sum((F.col("a") * F.col("n0") - F.col("c") * F.col("n1")) / n) / F.sum(F.col("n1") * F.col("n0") / n)).alias("risk_difference"))
+    """One row from (a, n1, c, n0): the pooled risk difference and its standard error, which holds for few large and for many small strata."""
+    a, n1, c, n0 = (F.col(x).cast("double") for x in ("a", "n1", "c", "n0"))
+    n = n1 + n0
+    by_size = (n1 * n1 * c - n0 * n0 * a + n1 * n0 * (n0 - n1) / 2) / (n * n)
+    mixed = (a * (n0 - c) + c * (n1 - a)) / (2 * n)
+    sums = strata.agg(F.sum((a * n0 - c * n1) / n).alias("d"), F.sum(n1 * n0 / n).alias("w"), F.sum(by_size).alias("p"), F.sum(mixed).alias("q"))
+    rd = F.col("d") / F.col("w")
+    return sums.select(rd.alias("risk_difference"), F.sqrt(F.greatest(F.lit(0.0), (rd * F.col("p") + F.col("q")) / (F.col("w") * F.col("w")))).alias("standard_error"))
 
 
 def islands(table: DataFrame, key: str, value: str, gap: float) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import statistics
 
 from sourcewise.operators import audit as A
+from sourcewise.operators import models, stats
 
 SCHEMA = "target string, entry string, parent string, document string, value double, relation string, kind string, flagged boolean, source string"
 
@@ -76,3 +77,31 @@ def test_median_without_a_unit_equals_a_loop(spark):
     for e, name, part in unit_rows:
         rest = [v for x, d, v in rows if x == e and d not in part]
         assert got[e, name] == (statistics.median(rest) if rest else None)
+
+
+def test_signed_rank_chances_equal_enumeration(spark):
+    draw = random.Random(9)
+    rows = []
+    for k in range(6):
+        rows += [(k, (i + 1 + draw.random() / 2) * draw.choice((-1, 1))) for i in range(4 + k)]
+    odd = [(10, 0.0), (10, 0.0), (11, None), (12, 1.0), (12, 1.0), (12, -2.0), (12, float("nan")), (13, float("inf"))]
+    frame = spark.createDataFrame(rows + odd, "k long, d double")
+    for alternative in ("greater", "less"):
+        got = {r.k: r for r in models.signed_rank_test(frame, "k", alternative=alternative).collect()}
+        for k in range(6):
+            d = sorted((v for x, v in rows if x == k), key=abs)
+            n, w = len(d), sum(i + 1 for i, v in enumerate(d) if v > 0)
+            sums = [sum(i + 1 for i in range(n) if mask >> i & 1) for mask in range(1 << n)]
+            hit = sum(s >= w if alternative == "greater" else s <= w for s in sums)
+            assert (got[k].n, got[k].w) == (n, w) and abs(got[k].p - hit / len(sums)) < 1e-12
+        assert got[10].p == got[11].p == got[13].p == 1.0 and got[10].w is None and (got[10].n_values, got[11].n_values) == (2, 0)
+        assert got[12].w == 3.0 and abs(got[12].p - 0.5) < 1e-12
+
+
+def test_one_effect_has_no_spread_and_small_classes_fall_back(spark):
+    (one,) = stats.dersimonian_laird(spark.createDataFrame([(2.0, 0.25)], "y double, v double")).collect()
+    assert (one.tau2, one.i2, one.pooled) == (0.0, 0.0, 2.0) and abs(one.ci_high - 2.98) < 1e-12 and one.prediction_high == one.ci_high
+    doc = spark.createDataFrame([(e, 5.0 + x) for e in range(5) for x in (0.0, 0.2)] + [(9, 7.5), (9, 7.9), (8, 6.5)], "entry long, document_value double")
+    overall = spark.createDataFrame([(0.4,)], "tau double")
+    got = {r["class"]: (round(r.sigma, 9), r.n_entries, r.method) for r in models.pooled_sd_by_class(doc, overall).collect()}
+    assert got == {"inactive": (round(0.02**0.5, 9), 5, "class_pooled"), "medium": (0.4, 0, "overall_fallback"), "active": (0.4, 1, "overall_fallback")}
