@@ -1,10 +1,11 @@
 """Causes of pairs by hand, medians without a unit against a loop, odd rows."""
 
+import math
 import random
 import statistics
 
 from sourcewise.operators import audit as A
-from sourcewise.operators import models, stats
+from sourcewise.operators import evaluation, models, stats
 
 SCHEMA = "target string, entry string, parent string, document string, value double, relation string, kind string, flagged boolean, source string"
 
@@ -105,3 +106,16 @@ def test_one_effect_has_no_spread_and_small_classes_fall_back(spark):
     overall = spark.createDataFrame([(0.4,)], "tau double")
     got = {r["class"]: (round(r.sigma, 9), r.n_entries, r.method) for r in models.pooled_sd_by_class(doc, overall).collect()}
     assert got == {"inactive": (round(0.02**0.5, 9), 5, "class_pooled"), "medium": (0.4, 0, "overall_fallback"), "active": (0.4, 1, "overall_fallback")}
+
+
+def test_null_flags_come_as_often_as_the_law_says(spark):
+    rows = [(3 * k + i, f"{k}{s}") for k in range(400) for i in range(3) for s in "ab"]
+    doc = spark.createDataFrame(rows, "entry long, document string")
+    run = lambda d: sorted(tuple(r) for r in evaluation.null_flags(d, 0.5, 3, 0.4, 1.0, replicates=10, seed=3).collect())
+    got = run(doc)
+    assert [r[0] for r in got] == list(range(1, 11)) and all(r[2] == 400 for r in got) and got == run(doc.repartition(7))
+    tail = lambda x: 0.5 * math.erfc(x / (0.5 * 2**0.5) / 2**0.5)
+    p, q = tail(0.4), 0.5 - tail(0.4)
+    chance = 2 * (p**3 + 3 * p * p * q)
+    assert abs(sum(r[1] for r in got) - 4000 * chance) < 4 * (4000 * chance * (1 - chance)) ** 0.5
+    assert len({r[1] for r in got}) > 1 and evaluation.null_flags(doc, 0.5, 4, 0.4, 1.0, replicates=2).agg({"flagged": "sum"}).first()[0] == 0
