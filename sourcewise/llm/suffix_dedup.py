@@ -232,11 +232,40 @@ def intervals(lcp: list[int], first: int, last: int):
             stack.append((depth, left))
 
 
+def _joined(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` bytes the spans cover."""
+    return np.cumsum(np.bincount(begin, minlength=n) - np.bincount(end, minlength=n)) > 0
+
+
+def runs(row, start, end, low, size, least, most):
+    """Fewer spans (row, start, end, low) that cut the same bytes from every occurrence of the rows.
+
+    A row is among the places of its repeats, so ``low`` is its own least id or a
+    smaller one.  What stands at a smaller id goes from all its occurrences, be the
+    id what it may (``-LAST - 1``); the rest goes from all but those of its least id.
+    """
+    first = np.concatenate(([0], np.cumsum(size + 1)))  # a byte between rows keeps their runs apart
+    n, begin, end = int(first[-1]) + 1, first[row] + start, first[row] + end
+    smaller, own = low < least[row], low < most[row]
+    sure, cut = _joined(begin[smaller], end[smaller], n), _joined(begin[own], end[own], n)
+    out = []
+    for cover, more in ((sure, False), (cut, True)):
+        edges = np.flatnonzero(np.diff(cover.view(np.int8), prepend=np.int8(0)))
+        a, b = edges[::2], edges[1::2]
+        if more:
+            known = np.concatenate(([0], np.cumsum(sure)))
+            new = known[b] - known[a] < b - a
+            a, b = a[new], b[new]
+        r = np.searchsorted(first, a, "right") - 1
+        out.append((r, a - first[r], b - first[r], least[r] if more else np.full(len(r), -LAST - 1)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def tree(keys, data, offsets, n, least, most, every: bool):
     """Repeats in the suffixes of many rows: (row, start, end, least id, repeat) of each row that holds one.
 
     Rows stand sorted by key.  Without ``every``, only rows from which something is
-    to be removed are given.
+    to be removed are given, as ``runs``.
     """
     size = np.diff(offsets) - LEAST + 1
     row = np.repeat(np.arange(len(size)), size)
@@ -297,13 +326,9 @@ def tree(keys, data, offsets, n, least, most, every: bool):
     out = row[suffix], start, start + np.repeat(length, span) + LEAST, np.repeat(low, span), np.repeat(name, span)
     if every:
         return out
-    # beside a piece that is the whole row, only those that begin in a row with a smaller id tell more
     r, start, end, low, _ = out
-    whole = (start == 0) & (end == np.diff(offsets)[r])
-    best = np.full(len(offsets) - 1, LAST)
-    np.minimum.at(best, r[whole], low[whole])
-    wanted = (most[r] > low) & ((low < best[r]) | whole & (low == best[r]))
-    return tuple(x[wanted] for x in out)
+    r, start, end, low = runs(r, start, end, low, np.diff(offsets), least, most)
+    return r, start, end, low, np.zeros(len(r), np.int64)
 
 
 def _tree(every: bool):

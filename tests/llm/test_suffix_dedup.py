@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from sourcewise.llm import suffix_dedup as sd
@@ -95,3 +96,23 @@ def test_stack_scan_gives_the_interval_tree():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert sd.removed(docs).count() == 0 and sd.repeats(docs).count() == 0
+
+
+def test_runs_cut_the_same_bytes_as_the_pieces():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        size = rng.integers(sd.LEAST, sd.LEAST + 60, 8)
+        least = rng.integers(10, 20, 8)
+        most = least + rng.integers(0, 3, 8)
+        row = np.sort(rng.integers(0, 8, 25))
+        start = rng.integers(0, size[row] - 20)
+        end = np.minimum(start + rng.integers(20, 60, 25), size[row])
+        low = least[row] - rng.integers(0, 2, 25)
+
+        def cut(pieces, at, rank):
+            return {x for r, a, b, lo in zip(*(p.tolist() for p in pieces), strict=True) if r == at and lo < rank for x in range(a, b)}
+
+        few = sd.runs(row, start, end, low, size, least, most)
+        for at in range(8):
+            for rank in range(least[at], most[at] + 1):
+                assert cut((row, start, end, low), at, rank) == cut(few, at, rank)
