@@ -46,8 +46,9 @@ SHARDS = "shard bigint, lang string, words array<string>, counts array<int>, cod
 STATE = "shard bigint, lang string, words array<string>, codes binary, names array<struct<phrase:string,f:bigint>>"
 #: ``h2j`` has 32 more bits of the hash above the string's number in its shard, so rows compress well.
 COUNTS = "h1 bigint, h2j bigint, shard bigint, c int"
-#: A round's strings meet in so many slices of their hashes, one after the other, so a part of them is on disk at a time.
-SLICES = 3
+#: A round's strings meet in so many slices (words by their hash, others by that of their last two words), one after
+#: the other, so a part of them is sorted and on disk at a time.  A string's number has its slice above ``NUMBER`` bits.
+SLICES, NUMBER = 4, 29
 _TABLE = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\n\x0b\x0c\r\t", string.ascii_lowercase.encode() + b"\n" * 10 + b" ")
 _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -127,11 +128,10 @@ def phrase_hashes(words: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _counts(shard: int, hashes: np.ndarray, counts: np.ndarray, part: int) -> pa.RecordBatch:
-    own = np.flatnonzero(hashes[:, 0] % np.uint64(SLICES) == part)
-    h2j = (hashes[own, 1] & np.uint64(0xFFFFFFFF00000000)) | own.astype(np.uint64)
+def _counts(shard: int, hashes: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    h2j = (hashes[:, 1] & np.uint64(0xFFFFFFFF00000000)) | numbers.astype(np.uint64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(hashes[own, 0].view(np.int64)), pa.array(h2j.view(np.int64)), pa.array(np.full(len(own), shard)), pa.array(counts[own].astype(np.int32))],
+        [pa.array(hashes[:, 0].view(np.int64)), pa.array(h2j.view(np.int64)), pa.array(np.full(len(numbers), shard)), pa.array(counts.astype(np.int32))],
         names=[x.split()[0] for x in COUNTS.split(", ")],
     )
 
@@ -139,18 +139,32 @@ def _counts(shard: int, hashes: np.ndarray, counts: np.ndarray, part: int) -> pa
 def _word_counts(part: int):
     def run(batches):
         for shard, lang, words, counts in _rows(batches):
-            yield _counts(shard.as_py(), word_hashes(lang.as_py(), words.as_py()), _ints(counts), part)
+            h = word_hashes(lang.as_py(), words.as_py())
+            own = np.flatnonzero(h[:, 0] % np.uint64(SLICES) == part)
+            yield _counts(shard.as_py(), np.ascontiguousarray(h[own, :]), _ints(counts)[own], own)
 
     return run
 
 
-def states(codes: np.ndarray, shortest: int, longest: int):
+def slices(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The slice of the strings of two words or more that end at each place; -1 where none does."""
+    out = np.full(len(codes), -1, np.int8)
+    at = np.flatnonzero((codes[1:] >= 0) & (codes[:-1] >= 0)) + 1
+    h = words[codes[at], 0] * _ODD[0] + words[codes[at - 1], 0]
+    out[at] = ((h * _ODD[1]) >> np.uint64(40)) % np.uint64(SLICES)
+    return out
+
+
+def states(codes: np.ndarray, shortest: int, longest: int, mine: np.ndarray | None = None):
     """(words, count, shorter, which) of the strings of the automaton with ``shortest`` to ``longest`` words.
 
     ``words`` are the strings of one length, a row each, and ``count`` their end
     places; ``shorter`` is the number of end places of the string that the suffix
     link leads to, or of the string's own state where that holds the shorter string
     too; ``which`` is the row of the string that ends at each place, or -1.
+
+    ``mine`` takes only strings that end at the places it marks, which must be all
+    places of a string or none; ``shorter`` then counts within these places.
     """
     back = np.full((longest, len(codes)), -1, np.int32)
     live = codes >= 0
@@ -158,8 +172,10 @@ def states(codes: np.ndarray, shortest: int, longest: int):
         back[d, d:] = np.where(live[d:], codes[: len(codes) - d], -1)
         if d + 1 < longest:
             live = live & (np.concatenate((np.full(d + 1, -1, np.int32), codes[: -d - 1])) >= 0) if len(codes) > d + 1 else np.zeros(len(codes), bool)
+    place = np.arange(len(codes)) if mine is None else np.flatnonzero(mine & (back[shortest - 1] >= 0))
+    back = back[:, place]
     order = np.lexsort(back[::-1])
-    back = back[:, order]
+    back, place = back[:, order], place[order]
     new, wider = np.zeros(back.shape[1], bool), None
     new[:1] = True
     for d in range(longest):
@@ -169,8 +185,8 @@ def states(codes: np.ndarray, shortest: int, longest: int):
         spread = np.repeat(count, count)
         if d + 1 >= shortest:
             full = back[d, first] >= 0
-            which = np.empty(len(order), np.int64)
-            which[order] = np.repeat(np.where(full, np.cumsum(full) - 1, -1), count)
+            which = np.full(len(codes), -1, np.int64)
+            which[place] = np.repeat(np.where(full, np.cumsum(full) - 1, -1), count)
             yield back[d::-1, first[full]].T, count[full], (wider if wider is not None else spread)[first[full]], which
         wider = spread
 
@@ -182,8 +198,10 @@ def _string_counts(shortest: int, longest: int):
         def run(batches):
             for shard, lang, words, codes in _rows(batches):
                 h = word_hashes(lang.as_py(), words.as_py())
-                found = [(phrase_hashes(h, list(rows.T)), count) for rows, count, _, _ in states(_codes(codes), shortest, longest)]
-                yield _counts(shard.as_py(), np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]), part)
+                codes = _codes(codes)
+                found = [(phrase_hashes(h, list(rows.T)), count) for rows, count, _, _ in states(codes, shortest, longest, slices(codes, h) == part)]
+                hashes, counts = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+                yield _counts(shard.as_py(), hashes, counts, np.arange(len(counts)) + (part << NUMBER))
 
         return run
 
@@ -236,17 +254,21 @@ def _with_strings(shortest: int, longest: int):
     def run(batches):
         for shard, lang, words, codes, js, fs, own in _rows(batches):
             words, codes, js, fs, own = words.as_py(), _codes(codes), _ints(js), _ints(fs), _ints(own).astype(bool)
-            named, at = [], 0
-            for rows, _, _, which in states(codes, shortest, longest):
-                here = own & (js >= at) & (js < at + len(rows))
-                named += [(" ".join(words[c] for c in rows[j - at]), int(f)) for j, f in zip(js[here].tolist(), fs[here].tolist(), strict=True)]
-                at += len(rows)
+            slice_of, named, rare = slices(codes, word_hashes(lang.as_py(), words)), [], np.zeros(len(codes), bool)
+            for part in range(SLICES):
+                at = part << NUMBER
+                for rows, _, _, which in states(codes, shortest, longest, slice_of == part):
+                    held = (js >= at) & (js < at + len(rows))
+                    here = held & own
+                    named += [(" ".join(words[c] for c in rows[j - at]), int(f)) for j, f in zip(js[here].tolist(), fs[here].tolist(), strict=True)]
+                    good = np.zeros(len(rows) + 1, bool)
+                    good[js[held] - at] = good[-1] = True
+                    rare |= ~good[which]
+                    at += len(rows)
             if longest == LONGEST:
                 yield _state(shard, lang, [], np.zeros(0, np.int32), named)
-                continue
-            good = np.zeros(at, bool)
-            good[js] = True
-            yield _state(shard, lang, words, broken(codes, np.flatnonzero((which >= 0) & ~np.append(good, True)[which]), longest), named)
+            else:
+                yield _state(shard, lang, words, broken(codes, np.flatnonzero(rare), longest), named)
 
     return run
 
