@@ -45,3 +45,12 @@ def test_bootstrap_interval_holds_the_median(spark):
     rows = [("a", float(i)) for i in range(101)] + [("b", 5.0)]
     got = {r.k: r for r in models.bootstrap_median(spark.createDataFrame(rows, "k string, x double"), "k").collect()}
     assert got["a"].low < got["a"].median == 50.0 < got["a"].high and got["b"].low == got["b"].high == 5.0
+
+
+def test_signed_rank_of_millions_of_rows_does_not_overflow(spark):
+    n = 3_000_000
+    d = spark.range(n).select(F.lit(1).alias("k"), F.when(F.col("id") % 3 == 0, -1.0).otherwise(1.0).alias("d"))
+    r = models.signed_rank(d, "k").first()
+    sd = (n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48) ** 0.5
+    w = (n + 1) / 2 * (n - n // 3)
+    assert (r.n, r.w) == (n, w) and abs(r.z / ((w - n * (n + 1) / 4) / sd) - 1) < 1e-9
