@@ -36,14 +36,25 @@ def out_of_fold(doc: DataFrame, fold: Column | None = None) -> DataFrame:
     return each.join(F.broadcast(fits), "fold").select("entry", "document", "fold", F.col("document_value").alias("observed"), "center", "tau", scale.alias("scale"))
 
 
+#: Folds whose presence one whole number holds.
+FOLD_BITS = 62
+
+
 def training_units(doc: DataFrame, folds: int = 10, fold: Column | None = None) -> DataFrame:
-    """(fold, entry, document): units that a fold may be trained on: of entries outside it and without a document that occurs in it."""
+    """(fold, entry, document): units that a fold may be trained on: of entries outside it and without a document that occurs in it.
+
+    The folds in which a document occurs are bits of whole numbers, so a unit has no row for each fold until the last step.
+    """
     fold = fold_of(F.col("entry"), folds) if fold is None else fold
+    words = [f"_w{k}" for k in range(-(-folds // FOLD_BITS))]
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod({c}, {FOLD_BITS}) AS int))")
     each = doc.select("entry", "document", F.explode("documents").alias("d")).withColumn("own", fold)
-    held = each.select("d", F.col("own").alias("fold")).distinct()
-    every = doc.select("entry", "document").withColumn("own", fold).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own")
-    shared = each.select("entry", "document", "d").join(held, "d").select("fold", "entry", "document").distinct()
-    return every.select("fold", "entry", "document").join(shared, ["fold", "entry", "document"], "left_anti")
+    held = each.groupBy("d").agg(*(F.bit_or(F.when(F.floor(F.col("own") / FOLD_BITS) == k, bit("own")).otherwise(F.lit(0).cast("bigint"))).alias(w) for k, w in enumerate(words)))
+    taken = each.select("entry", "document", "d").join(held, "d").groupBy("entry", "document").agg(*(F.bit_or(w).alias(w) for w in words))
+    every = doc.select("entry", "document").withColumn("own", fold).join(taken, ["entry", "document"], "left")
+    every = every.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own")
+    in_fold = F.get(F.array(*(F.coalesce(w, F.lit(0).cast("bigint")) for w in words)), F.floor(F.col("fold") / FOLD_BITS).cast("int")).bitwiseAND(bit("fold"))
+    return every.where(in_fold == 0).select("fold", "entry", "document")
 
 
 def consensus_errors(doc: DataFrame, least_units: int = 5) -> DataFrame:
