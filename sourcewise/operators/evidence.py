@@ -107,7 +107,7 @@ def pooled_sd(doc: DataFrame, min_entries: int = 5, fallback_sd: float | None =
 
 def dominant_entry(doc: DataFrame) -> DataFrame:
     """The entry with the greatest share of degrees of freedom or of squares; the first in key order on ties."""
-    multi = _spread(doc).select("entry", (F.col("n_units") - 1).alias("df"), (F.col("variance") * (F.col("n_units") - 1)).alias("ss"))
+    multi = cut(_spread(doc).select("entry", (F.col("n_units") - 1).alias("df"), (F.col("variance") * (F.col("n_units") - 1)).alias("ss")))
     total = multi.agg(F.sum("df").alias("all_df"), F.sum("ss").alias("all_ss"))
     shares = multi.join(F.broadcast(total)).select(
         "entry", (F.col("df") / F.col("all_df")).alias("df_share"), F.coalesce(F.try_divide("ss", "all_ss"), F.lit(0.0)).alias("ss_share")
