@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sourcewise.functions.expressions import class_of, class_tails, clean_double, rounded_key
 from sourcewise.operators.order import cut
-from sourcewise.operators.pairs import Pairs, agreement
+from sourcewise.operators.pairs import BROADCAST_DOCUMENTS, Pairs, agreement
 
 # The SD where too few entries have several units, and the least variance of one entry.
 FALLBACK_SD, VARIANCE_FLOOR = 0.64, 1e-4
@@ -51,8 +51,8 @@ def units(records: DataFrame, merge_identical: bool = True, decimals: int = 2) -
     return merged(plain, decimals) if merge_identical else plain.withColumn("documents", F.array("document"))
 
 
-def merged(plain: DataFrame, decimals: int = 2) -> DataFrame:
-    """Units of an entry that agree after rounding as one; from units that are not merged."""
+def merged(plain: DataFrame, decimals: int = 2, marks: tuple[str, ...] = ()) -> DataFrame:
+    """Units of an entry that agree after rounding as one; from units that are not merged.  A boolean column of ``marks`` is true if any of its units has it."""
     keyed = plain.withColumn("rounded", rounded_key(F.col("document_value"), decimals))
     return (
         ranked(keyed, "document_value", "entry", "rounded")
@@ -62,8 +62,9 @@ def merged(plain: DataFrame, decimals: int = 2) -> DataFrame:
             F.avg("middle").alias("document_value"),
             F.sum("n_records").alias("n_records"),
             F.array_sort(F.collect_list("document")).alias("documents"),
+            *(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in marks),
         )
-        .select("entry", "document", "document_value", "n_records", "documents")
+        .select("entry", "document", "document_value", "n_records", "documents", *marks)
     )
 
 
@@ -147,6 +148,12 @@ def systematic_pairs(stored: DataFrame, min_shared: int = 3, offset_threshold: f
     return _pairs(stored, stored=True).statistics(min_shared, offset_threshold, sign_agreement).select("document_a", "document_b")
 
 
+def marked(stored: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``stored_units`` with ``hit``, true for the documents of the ``flagged`` pairs."""
+    bad = cut(flagged.select(F.explode(F.array("document_a", "document_b")).alias("document")).distinct().withColumn("hit", F.lit(True)))
+    return stored.join(F.broadcast(bad) if bad.count() <= BROADCAST_DOCUMENTS else bad, "document", "left")
+
+
 def _offsets(found: DataFrame, offset_threshold: float, sign_agreement: float) -> DataFrame:
     out = found.withColumn("sign_agreement", agreement())
     return out.select(
@@ -258,9 +265,11 @@ def support(
     if assumed_sigma is not None and (fit is not None or not 0 < assumed_sigma < float("inf")):
         raise ValueError("assumed_sigma is finite, positive and stands without fit")
     plain = stored_units(records)
-    doc = merged(plain) if merge_identical else plain.withColumn("documents", F.array("document"))
     flagged = systematic_pairs(plain, min_shared, offset_threshold, sign_agreement)
     flagged = cut(flagged)  # read by several joins below
+    hits = marked(plain, flagged) if model == "exclude-flagged" else plain.withColumn("hit", F.lit(False))
+    # read for the fit, the moments, the largest units and the discordant documents
+    doc = cut(merged(hits, marks=("hit",)) if merge_identical else hits.withColumns({"documents": F.array("document"), "hit": F.coalesce("hit", F.lit(False))}))
     one = lambda tau: records.sparkSession.range(1).select(F.lit(float(tau)).alias("tau"))
     prior_df = None
     if assumed_sigma is not None:
@@ -274,9 +283,7 @@ def support(
     else:
         first = pooled_sd(doc)
     if model == "exclude-flagged":
-        bad = flagged.select(F.explode(F.array("document_a", "document_b")).alias("d")).distinct()
-        hit = doc.select("entry", "document", F.explode("documents").alias("d")).join(bad, "d", "left_semi").select("entry", "document").distinct()
-        clean = doc.join(hit, ["entry", "document"], "left_anti")
+        clean = doc.where(~F.col("hit"))
         lost = doc.join(clean.select("entry").distinct(), "entry", "left_anti")
         second = first if assumed_sigma is not None else pooled_sd(clean)
         post = posteriors(clean, second).join(largest_units(clean), "entry").unionByName(posteriors(lost, first, prior_df).join(largest_units(lost), "entry"))
