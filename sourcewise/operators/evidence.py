@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sourcewise.functions.expressions import class_of, class_tails, clean_double, rounded_key
 from sourcewise.operators.order import cut
-from sourcewise.operators.pairs import BROADCAST_DOCUMENTS, Pairs, agreement
+from sourcewise.operators.pairs import BROADCAST_DOCUMENTS, Pairs, agreement, row_statistics
 
 # The SD where too few entries have several units, and the least variance of one entry.
 FALLBACK_SD, VARIANCE_FLOOR = 0.64, 1e-4
@@ -154,6 +154,19 @@ def marked(stored: DataFrame, flagged: DataFrame) -> DataFrame:
     return stored.join(F.broadcast(bad) if bad.count() <= BROADCAST_DOCUMENTS else bad, "document", "left")
 
 
+def top_pairs(records: DataFrame, k: int = 10, min_shared: int = 3) -> DataFrame:
+    """(document_a, document_b, shared_entries, median_offset) of the k pairs that share most entries; only theirs are differences that are made."""
+    if k < 1 or min_shared < 1:
+        raise ValueError("k and min_shared from 1")
+    plain = stored_units(records)
+    best = cut(Pairs(plain.select("entry", "document"), stored=True).most_shared(k, min_shared))
+    unit = lambda n: plain.select("entry", F.col("document").alias(f"document_{n}"), F.col("document_value").alias(n))
+    pair = F.broadcast(best.select("document_a", "document_b"))
+    ends = unit("b").join(F.broadcast(best.select("document_b").distinct()), "document_b", "left_semi")
+    diffs = unit("a").join(pair, "document_a").join(ends, ["entry", "document_b"]).select("document_a", "document_b", (F.col("b") - F.col("a")).alias("d"))
+    return row_statistics(diffs, ["document_a", "document_b"], min_shared).select("document_a", "document_b", "shared_entries", "median_offset")
+
+
 def _offsets(found: DataFrame, offset_threshold: float, sign_agreement: float) -> DataFrame:
     out = found.withColumn("sign_agreement", agreement())
     return out.select(
