@@ -2,8 +2,8 @@
 
 A task splits its texts by the tokenizer's pattern and keeps every distinct
 word once.  It hands on rows of bounded size: the words that are new to the
-task, as arrays of byte ids, and for each document the numbers of its words.
-Spark higher-order functions fold the ranked merges over the bytes of each
+task, as arrays of bytes with the ranks of their pairs, and for each document the
+numbers of its words.  Spark higher-order functions fold the ranked merges over the bytes of each
 distinct word.  The state is one long for each piece: the rank of the pair that
 starts at the piece, the piece's first byte and the piece's id, so the least
 element is the leftmost pair of the lowest rank, and joining it gives the id
@@ -101,8 +101,28 @@ def _literal(spark: SparkSession, values: list[int]) -> Column:
     return Column(jvm.org.apache.spark.sql.functions.lit(longs))
 
 
+@cache
+def byte_pair_ranks(path: str) -> np.ndarray:
+    """Rank of each pair of bytes, by left byte and right byte; ``NONE`` where it has none."""
+    ranks, pairs = ranks_of(path), pair_ranks(path)
+    ids = [ranks[bytes([b])] for b in range(256)]
+    return np.array([[pairs.get(65_536 * a + b, NONE) for b in ids] for a in ids], np.int64)
+
+
+def first_states(raw: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray:
+    """State of every byte before the first merge, for words that lie one after the other: the rank of the pair that it begins, its place in its word, its id."""
+    ranks = ranks_of(path)
+    ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    pair = np.full(len(raw), NONE, np.int64)
+    pair[:-1] = byte_pair_ranks(path)[raw[:-1], raw[1:]]
+    sizes = np.diff(offsets)
+    pair[offsets[1:][sizes > 0] - 1] = NONE  # the last byte of a word begins no pair
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1], sizes)
+    return pair << 40 | place << 16 | ids[raw]
+
+
 def fold_merges(words: Column, spark: SparkSession, path: str) -> Column:
-    """Token ids of each word; a word is the array of its bytes' ids.
+    """Token ids of each word; a word is the state of its bytes before the first merge (``first_states``).
 
     The literal stands in the plan once, as plans are also written as text.
     """
@@ -113,13 +133,15 @@ def _fold(words: Column, tables: Column) -> Column:
     first, second = tables[0], tables[1]
 
     def rank(left: Column, right: Column) -> Column:
-        pair = left * 65_536 + right
-        one, two = (F.get(x, (pair % n).cast("int")) for x, n in ((first, SLOTS[0]), (second, SLOTS[1])))
-        return (
-            F.when(F.shiftright(one, 16) == pair, one.bitwiseAND(65_535))
-            .when(F.shiftright(two, 16) == pair, two.bitwiseAND(65_535))
-            .otherwise(F.lit(NONE).cast("bigint"))
-        )
+        def found(pair: Column) -> Column:
+            one, two = (F.get(x, (pair % n).cast("int")) for x, n in ((first, SLOTS[0]), (second, SLOTS[1])))
+            return (
+                F.when(F.shiftright(one, 16) == pair, one.bitwiseAND(65_535))
+                .when(F.shiftright(two, 16) == pair, two.bitwiseAND(65_535))
+                .otherwise(F.lit(NONE).cast("bigint"))
+            )
+
+        return let(left * 65_536 + right, found)
 
     def packed(pair_rank: Column, rest: Column) -> Column:
         return F.shiftleft(pair_rank, 40).bitwiseOR(rest)
@@ -147,8 +169,7 @@ def _fold(words: Column, tables: Column) -> Column:
         return let(F.array_min(state), lambda least: F.when(least >= NONE << 40, state).otherwise(merged(state, least)))
 
     def of(word: Column) -> Column:
-        begin = F.transform(word, lambda a, i: packed(rank(a, F.get(word, i + 1)), F.shiftleft(i.cast("bigint"), 16).bitwiseOR(a)))
-        end = F.aggregate(F.slice(word, F.lit(2), F.size(word)), begin, step)
+        end = F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, step)
         return F.transform(end, lambda x: piece(x).cast("int"))
 
     return F.transform(words, of)
@@ -193,8 +214,8 @@ def _rows(pattern: str, path: str):
             merged = [heap_merges(byte_ids[np.frombuffer(raw[i], np.uint8)].tolist(), pairs) for i in long]
             for i in long:
                 raw[i] = b""
-            flat = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int32)
+            flat = first_states(np.frombuffer(b"".join(raw), np.uint8), offsets, path)
             words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             whole = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), words)
             cols = [

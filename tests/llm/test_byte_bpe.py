@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
@@ -67,3 +68,12 @@ def test_heap_equals_fold_and_library_on_a_megabyte():
     ranks, pairs = byte_bpe.ranks_of(PATH), byte_bpe.pair_ranks(PATH)
     word = "".join(random.Random(4).choices("aeinotrs", k=1_000_000))
     assert byte_bpe.heap_merges([ranks[bytes([b])] for b in word.encode()], pairs) == library().encode_ordinary(word)
+
+
+def test_first_states_hold_the_ranks_of_the_pairs_of_bytes():
+    ranks = byte_bpe.ranks_of(PATH)
+    words = [b"", b"the", b"", b"a", "né".encode(), b""]
+    offsets = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    got = byte_bpe.first_states(np.frombuffer(b"".join(words), np.uint8), offsets, PATH).tolist()
+    want = [(ranks.get(w[i : i + 2], byte_bpe.NONE) if i + 1 < len(w) else byte_bpe.NONE) << 40 | i << 16 | ranks[w[i : i + 1]] for w in words for i in range(len(w))]
+    assert got == want
