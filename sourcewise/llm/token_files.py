@@ -52,7 +52,8 @@ HEADER = struct.Struct("<4sIQQ")
 MAGIC = b"TIDS"
 
 #: A stop or comma after a letter at the end of a word: the tokenizer splits before it, so the word may be looked up without it.
-_STOP = re.compile(r"(?<=[A-Za-z])([.,])(?= |$)")
+#: The stop comes first in the pattern, so the search goes from stop to stop.
+_STOP = re.compile(r"[.,](?<=[A-Za-z][.,])(?= |$)")
 
 _tokenizers: dict[str, tuple[object, dict[str, bytes], list[str]]] = {}
 
@@ -76,7 +77,7 @@ def _encoder(path: str):
     def encode(texts: list[str]) -> list[bytes]:
         texts = [t or "" for t in texts]
         odd = {i for i, t in enumerate(texts) if any(x in t for x in special)}
-        split = [[] if i in odd else _STOP.sub(r" \1", t.replace("\n", " ")).split(" ") for i, t in enumerate(texts)]
+        split = [[] if i in odd else _STOP.sub(r" \g<0>", t.replace("\n", " ")).split(" ") for i, t in enumerate(texts)]
         if len(known) > CACHE_WORDS:
             known.clear()
         new = set().union(*split).difference(known)
@@ -216,6 +217,10 @@ def _slots(keys: np.ndarray, shift: np.ndarray, m: int) -> np.ndarray:
     return np.where(shift < 0, -shift - 1, (hashed % np.uint64(m)).astype(np.int64))
 
 
+#: Slots that the groups of one size try at once.
+TRIES = 50_000
+
+
 def perfect_hash(keys: np.ndarray) -> np.ndarray:
     """Displacements that place the distinct ``keys`` in slots 0..m-1, one to one."""
     m = len(keys)
@@ -225,29 +230,28 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
     ends = np.cumsum(np.bincount(group, minlength=n_groups))
     sizes = np.diff(np.concatenate(([0], ends)))
     shifts, taken = np.zeros(n_groups, np.int64), np.zeros(m, bool)
-    by_size = np.argsort(-sizes, kind="stable")
-    singles = []
-    for g in by_size.tolist():
-        if sizes[g] == 0:
-            break
-        own = keys[order[ends[g] - sizes[g] : ends[g]]]
-        if sizes[g] == 1:
-            singles.append(g)
-            continue
-        first = 0
-        while True:
-            n = 8 if first == 0 else 64
-            tries = np.arange(first, first + n)
-            at = _slots(np.tile(own, (n, 1)), np.tile(tries[:, None], (1, len(own))), m)
-            fit = ~taken[at].any(axis=1)
-            spread = np.sort(at, axis=1)
-            fit &= (np.diff(spread, axis=1) != 0).all(axis=1)
-            if fit.any():
-                k = int(np.argmax(fit))
-                shifts[g] = tries[k]
-                taken[at[k]] = True
-                break
-            first += n
+    for size in range(int(sizes.max()), 1, -1):
+        left = np.flatnonzero(sizes == size)
+        own = keys[order[(ends[left] - size)[:, None] + np.arange(size)]]
+        base, stride = _mix(own, 2), _mix(own, 3) | np.uint64(1)
+        first = np.zeros(len(left), np.int64)
+        while len(left):
+            # all groups of this size try some displacements at once; of those that want one slot the first takes it
+            each = np.arange(len(left))
+            tries = first[:, None] + np.arange(min(1024, max(8, TRIES // (len(left) * size))))
+            with np.errstate(over="ignore"):
+                at = (((base[:, None, :] + tries[:, :, None].astype(np.uint64) * stride[:, None, :]) >> np.uint64(11)) % np.uint64(m)).astype(np.int64)
+            fit = ~taken[at].any(axis=2) & (np.diff(np.sort(at, axis=2), axis=2) != 0).all(axis=2)
+            k = fit.argmax(axis=1)
+            some, wanted = fit[each, k], at[each, k]
+            owner = np.full(m, len(left))
+            np.minimum.at(owner, wanted[some].ravel(), np.repeat(each[some], size))
+            won = some & (owner[wanted] == each[:, None]).all(axis=1)
+            shifts[left[won]] = tries[each, k][won]
+            taken[wanted[won]] = True
+            first = np.where(some, first + k + 1, first + tries.shape[1])[~won]
+            left, own, base, stride = left[~won], own[~won], base[~won], stride[~won]
+    singles = np.flatnonzero(sizes == 1)
     shifts[singles] = -np.flatnonzero(~taken)[: len(singles)] - 1
     return shifts
 

@@ -78,3 +78,15 @@ def test_rows_come_through_the_index(spark, tmp_path, monkeypatch):
     places = t.lookup(spark.createDataFrame(wrong, t.INDEX_SCHEMA), wanted.where("doc_id = 40"), n)
     assert [r for r in t.fetch(spark, folder, places).collect() if r.doc_id == 40] == []
     assert t.lookup(spark.createDataFrame(index, t.INDEX_SCHEMA).where("false"), wanted, n).count() == 0
+
+
+def test_groups_of_one_size_are_placed_together(monkeypatch):
+    calls, sort = [], np.sort
+    monkeypatch.setattr(t.np, "sort", lambda *a, **k: calls.append(1) or sort(*a, **k))
+    for n in (0, 1, 2, 3, 50, 20_000):
+        keys = np.unique(np.random.default_rng(n).integers(-(2**40), 2**40, n))
+        calls.clear()
+        shifts = t.perfect_hash(keys)
+        group = (t._mix(keys, 1) % np.uint64(len(shifts))).astype(np.int64)
+        assert sorted(t._slots(keys, shifts[group], max(1, len(keys))).tolist()) == list(range(len(keys)))
+        assert len(calls) < 2_000  # not one or more for each of 5,000 groups
