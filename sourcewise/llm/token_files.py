@@ -27,14 +27,15 @@ empty table gives no rows.  Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,58 +44,109 @@ from sourcewise.llm.common import Workspace, documents, freed, parts_of
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Bytes of input for each file, tokens after which a block ends, words that a worker remembers, keys in an index bucket.
-FILE_BYTES, BLOCK_TOKENS, CACHE_WORDS, BUCKET_KEYS = 16 << 20, 1_000_000, 400_000, 20_000
-#: New words are encoded this many at a time, joined by spaces and told apart by offsets; not so those with characters from
-#: the first combining mark on, which normalisation may move.
+FILE_BYTES, BLOCK_TOKENS, CACHE_WORDS, BUCKET_KEYS = 16 << 20, 1_000_000, 200_000, 20_000
+#: Texts that are encoded together; their words are numbered.
+TEXTS = 500
+#: New words are encoded this many at a time, joined by spaces and told apart by offsets (those of letters by the ids that end a word); not so
+#: those with characters from the first combining mark on, which normalisation may move.
 JOINED, FIRST_MARK = 256, "\u0300"
 #: Block header: magic, bytes of an id, documents, ids.
 HEADER = struct.Struct("<4sIQQ")
 MAGIC = b"TIDS"
 
-#: A stop or comma after a letter at the end of a word: the tokenizer splits before it, so the word may be looked up without it.
-#: The stop comes first in the pattern, so the search goes from stop to stop.
-_STOP = re.compile(r"[.,](?<=[A-Za-z][.,])(?= |$)")
+_tokenizers: dict[str, tuple[object, dict[str, bytes], list[str], np.ndarray]] = {}
 
-_tokenizers: dict[str, tuple[object, dict[str, bytes], list[str]]] = {}
+
+#: A word that ends in an ASCII letter and one of these is split between them by the tokenizer, so it is looked up as two.
+STOPS = (".", ",")
+
+
+def _of_letters(tokenizer):
+    """The tokenizer without the steps that leave small letters before ``FIRST_MARK`` as they are, and which ids end a word; (None, None) if it has others."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    steps, suffix = json.loads(tokenizer.to_str()), getattr(tokenizer.model, "end_of_word_suffix", None)
+    kinds = [[x["type"] for x in (steps[k] or {}).get(f"{k.replace('_', '')}s", [])] for k in ("normalizer", "pre_tokenizer")]
+    if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or not suffix:
+        return None, None
+    light, ends = Tokenizer(tokenizer.model), np.zeros(tokenizer.get_vocab_size(), bool)
+    light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends[[i for w, i in tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+    return light, ends
 
 
 def _encoder(path: str):
-    """Function from texts to id bytes (unsigned 32 bits), remembering words between the batches of a worker.
+    """Function from texts to their ids (arrays of unsigned 32 bits), remembering words between the batches of a worker.
 
     The tokenizer drops white space and never joins across a space, so the ids
-    of a text are those of its space-separated words, one after the other.
-    Texts that hold the string of a special token are encoded whole.
+    of a text are those of its space-separated words, one after the other: Arrow
+    numbers the words of a batch, each distinct one is looked up once, and its ids
+    are put wherever it stands.  Texts that hold the string of a special token are
+    encoded whole.
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _tokenizers[path] = (tokenizer, {}, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
-    tokenizer, known, special = _tokenizers[path]
-    whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        odd = {i for i, t in enumerate(texts) if any(x in t for x in special)}
-        split = [[] if i in odd else _STOP.sub(r" \g<0>", t.replace("\n", " ")).split(" ") for i, t in enumerate(texts)]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = set().union(*split).difference(known)
-        plain = [w for w in new if w.isascii() or max(w) < FIRST_MARK]
-        marked = list(new.difference(plain)) if len(plain) < len(new) else []
-        if "" in new:
-            plain.remove("")
-            known[""] = b""
-        parts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for part, e in zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            begins = np.cumsum([0] + [len(w) + 1 for w in part])
-            raw, offsets = np.array(e.ids, "<u4").tobytes(), np.array([a for a, _ in e.offsets], np.int64)
-            at = (4 * np.searchsorted(offsets, begins)).tolist()
-            known.update(zip(part, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        _tokenizers[path] = (tokenizer, {}, [t.content for t in tokenizer.get_added_tokens_decoder().values()], *_of_letters(tokenizer))
+    tokenizer, known, special, light, ends_word = _tokenizers[path]
+    whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+    parts = lambda words: [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+
+    def keep(part: list[str], ids: np.ndarray, at: np.ndarray) -> None:
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        known.update(zip(part, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+
+    def by_offsets(words: list[str]) -> None:
+        for part, e in zip(parts(words), tokenizer.encode_batch([" ".join(p) for p in parts(words)], add_special_tokens=False), strict=True):
+            begins, offsets = np.cumsum([0] + [len(w) + 1 for w in part]), np.array([a for a, _ in e.offsets], np.int64)
+            keep(part, np.array(e.ids, "<u4"), np.searchsorted(offsets, begins))
+
+    def by_ends(words: list[str]) -> None:
+        joined = [" ".join(p).lower() for p in parts(words)]
+        for part, e in zip(parts(words), light.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            keep(part, ids, np.append(0, np.flatnonzero(ends_word[ids]) + 1))
+
+    def learn(new: set[str]) -> None:
+        low = {w for w in new if w.isascii() or max(w) < FIRST_MARK}
+        letters = [w for w in low if w.isalpha() and (w.isascii() or w.lower().isalpha())] if light else []
+        marked = list(new.difference(low))
+        if letters:
+            by_ends(letters)
+        by_offsets(list(low.difference(letters)))
         for w, e in zip(marked, tokenizer.encode_batch(marked, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
-        return [whole(texts[i]) if i in odd else b"".join(map(known.__getitem__, words)) for i, words in enumerate(split)]
+
+    def ids_of(words: list[str]) -> list[bytes]:
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        known[""] = b""
+        stopped, plain = [], []
+        for w in words:
+            if w not in known:
+                (stopped if w.endswith(STOPS) and w[-2:-1].isalpha() and w[-2:-1].isascii() else plain).append(w)
+        learn({w[:-1] for w in stopped}.union(plain, STOPS if stopped else ()).difference(known))
+        parted = {w: known[w[:-1]] + known[w[-1]] for w in stopped}
+        return [parted[w] if w in parted else known[w] for w in words]
+
+    def encode(texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = np.zeros(len(texts), bool)
+        for x in special:
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(~odd), texts, ""), "\n", " "), " ")
+        coded = pc.list_flatten(split).dictionary_encode()
+        found = ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        first, code = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        ends = np.append(0, np.cumsum(sizes[code]))
+        at = np.arange(ends[-1], dtype=np.int64)
+        at += np.repeat(first[code] - ends[:-1], sizes[code])
+        ids = np.frombuffer(b"".join(found), "<u4")[at]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [whole(texts[i].as_py()) if odd[i] else ids[a:b] for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
 
     return encode
 
@@ -129,13 +181,13 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None
         from tokenizers import Tokenizer
 
         width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 65_536 else 4
-        encode, end = _encoder(path), np.array([end_id], "<u4").tobytes()
+        encode = _encoder(path)
         keys, ids, total = [], [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
                 keys += part.column(0).to_pylist()
-                new = [np.frombuffer(x + end, "<u4").astype(f"<u{width}") for x in encode(part.column(1).to_pylist())]
+                new = [np.append(x, end_id).astype(f"<u{width}") for x in encode(part.column(1))]
                 ids += new
                 total += sum(map(len, new))
                 if total >= BLOCK_TOKENS:

@@ -90,3 +90,16 @@ def test_groups_of_one_size_are_placed_together(monkeypatch):
         group = (t._mix(keys, 1) % np.uint64(len(shifts))).astype(np.int64)
         assert sorted(t._slots(keys, shifts[group], max(1, len(keys))).tolist()) == list(range(len(keys)))
         assert len(calls) < 2_000  # not one or more for each of 5,000 groups
+
+
+def test_words_are_looked_up_once_and_letters_encode_as_in_the_file(monkeypatch):
+    tokenizer, encode = Tokenizer.from_file(PATH), t._encoder(PATH)
+    letters = [chr(c) for c in range(0x300) if chr(c).isalpha()]
+    words = letters + [f"a{x}B" for x in letters] + [f"{x}{x.upper()}z." for x in letters] + ["it's.", "3.", "x.,", ".", ",", "İİ", "ß,"]
+    texts = [" ".join(words), None, "", "Word. word, WORD.\nword", *words]
+    got = encode(t.pa.array(texts, t.pa.string()))
+    assert [x.tolist() for x in got] == [tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+    known = t._tokenizers[PATH][1]
+    monkeypatch.setattr(t, "CACHE_WORDS", 0)
+    assert [x.tolist() for x in encode(texts)] == [x.tolist() for x in got] and len(known) < 2_000
+    assert "it's." not in known and "it's" in known
