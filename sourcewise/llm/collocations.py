@@ -28,6 +28,7 @@ ignored whatever their names.
 from __future__ import annotations
 
 import string
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ COUNTS = "h1 bigint, h2j bigint, shard bigint, c int"
 #: A round's strings meet in so many slices (words by their hash, others by that of their last two words), one after
 #: the other, so a part of them is sorted and on disk at a time.  A string's number has its slice above ``NUMBER`` bits.
 SLICES, NUMBER = 4, 29
+HEAD = struct.Struct("<QB")
 _TABLE = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\n\x0b\x0c\r\t", string.ascii_lowercase.encode() + b"\n" * 10 + b" ")
 _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,7 +83,7 @@ def _packed(batches, most: int):
             words = list(codes)[2:]
             counts = np.bincount(every[every >= 0], minlength=len(words)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << 24) + k]), pa.array([lang]), pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int32())), pa.array([every.tobytes()], pa.binary())],
+                [pa.array([(part << 24) + k]), pa.array([lang]), pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int32())), pa.array([stored(every)], pa.binary())],
                 names=[x.split()[0] for x in SHARDS.split(", ")],
             )
             k += 1
@@ -107,8 +109,17 @@ def _ints(value) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int64)
 
 
+def stored(codes: np.ndarray) -> bytes:
+    """Codes as bytes for tables and shuffles: how many, bytes of each (2 where they fit), and these, compressed."""
+    width = 2 if codes.max(initial=0) < 1 << 15 else 4
+    return HEAD.pack(len(codes), width) + pa.Codec("zstd", compression_level=1).compress(codes.astype(f"<i{width}").tobytes(), asbytes=True)
+
+
 def _codes(value) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.int32)
+    raw = value.as_buffer()
+    n, width = HEAD.unpack_from(raw)
+    plain = pa.Codec("zstd").decompress(raw[HEAD.size :], decompressed_size=n * width) if n else b""
+    return np.frombuffer(plain, f"<i{width}").astype(np.int32, copy=False)
 
 
 def word_hashes(lang: str, words: list[str]) -> np.ndarray:
@@ -210,7 +221,7 @@ def _string_counts(shortest: int, longest: int):
 
 def _state(shard, lang, words, codes, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([shard.as_py()]), pa.array([lang.as_py()]), pa.array([words], pa.list_(pa.string())), pa.array([codes.astype(np.int32).tobytes()], pa.binary()),
+        [pa.array([shard.as_py()]), pa.array([lang.as_py()]), pa.array([words], pa.list_(pa.string())), pa.array([stored(codes)], pa.binary()),
          pa.array([[{"phrase": p, "f": f} for p, f in names]], pa.list_(pa.struct([("phrase", pa.string()), ("f", pa.int64())])))],
         names=["shard", "lang", "words", "codes", "names"],
     )
@@ -231,12 +242,12 @@ def runs(codes: np.ndarray, least: int) -> np.ndarray:
 
 def _with_words(batches):
     """Shards with rare words broken out; frequent words are coded anew."""
-    for shard, lang, words, codes, js, fs, own in _rows(batches):
-        words, js, fs, own = words.as_py(), _ints(js), _ints(fs), _ints(own).astype(bool)
+    for shard, lang, words, codes, js, own, fs in _rows(batches):
+        words, js = words.as_py(), _ints(js)
         new = np.full(len(words) + 1, -1, np.int32)
         new[js] = np.arange(len(js), dtype=np.int32)
         kept = [words[j] for j in js.tolist()]
-        yield _state(shard, lang, kept, runs(new[_codes(codes)], 2), [(kept[k], int(fs[k])) for k in np.flatnonzero(own).tolist()])
+        yield _state(shard, lang, kept, runs(new[_codes(codes)], 2), [(words[j], f) for j, f in zip(_ints(own).tolist(), _ints(fs).tolist(), strict=True)])
 
 
 def broken(codes: np.ndarray, rare: np.ndarray, size: int) -> np.ndarray:
@@ -252,15 +263,14 @@ def _with_strings(shortest: int, longest: int):
     """Shards with rare strings broken apart, and the frequent strings that a shard names."""
 
     def run(batches):
-        for shard, lang, words, codes, js, fs, own in _rows(batches):
-            words, codes, js, fs, own = words.as_py(), _codes(codes), _ints(js), _ints(fs), _ints(own).astype(bool)
+        for shard, lang, words, codes, js, own, fs in _rows(batches):
+            words, codes, js, own, fs = words.as_py(), _codes(codes), _ints(js), _ints(own), _ints(fs)
             slice_of, named, rare = slices(codes, word_hashes(lang.as_py(), words)), [], np.zeros(len(codes), bool)
             for part in range(SLICES):
                 at = part << NUMBER
                 for rows, _, _, which in states(codes, shortest, longest, slice_of == part):
-                    held = (js >= at) & (js < at + len(rows))
-                    here = held & own
-                    named += [(" ".join(words[c] for c in rows[j - at]), int(f)) for j, f in zip(js[here].tolist(), fs[here].tolist(), strict=True)]
+                    held, here = ((x >= at) & (x < at + len(rows)) for x in (js, own))
+                    named += [(" ".join(words[c] for c in rows[j - at]), f) for j, f in zip(own[here].tolist(), fs[here].tolist(), strict=True)]
                     good = np.zeros(len(rows) + 1, bool)
                     good[js[held] - at] = good[-1] = True
                     rare |= ~good[which]
@@ -274,7 +284,10 @@ def _with_strings(shortest: int, longest: int):
 
 
 def _step(work: Workspace, shards: DataFrame, count, keep, least: int, name: str, *used: str) -> DataFrame:
-    """One round: counts of all shards meet, and those of at least ``least`` go back to the shards that hold them."""
+    """One round: counts of all shards meet, and strings with at least ``least`` go back to the shards that hold them.
+
+    Each shard gets their numbers alone; the count goes to the one shard that names the string.
+    """
     columns = [c for c in ("shard", "lang", "words", "counts" if "counts" in shards.columns else "codes") if c in shards.columns]
     every = Window.partitionBy("h1", "h2")
     slices = []
@@ -282,14 +295,14 @@ def _step(work: Workspace, shards: DataFrame, count, keep, least: int, name: str
         rows = shards.select(*columns).mapInArrow(count(part), COUNTS).repartition("h1")
         rows = rows.select("h1", F.shiftright("h2j", 32).alias("h2"), "shard", F.col("h2j").bitwiseAND(0xFFFFFFFF).cast("int").alias("j"), "c")
         met = rows.withColumn("f", F.sum("c").over(every)).withColumn("own", F.min("shard").over(every) == F.col("shard")).where(F.col("f") >= least)
-        slices.append(work.put(met.groupBy("shard").agg(F.collect_list(F.struct("j", "f", "own")).alias("x")), f"{name}-{part}"))
+        lists = F.collect_list("j").alias("held"), F.collect_list(F.when(F.col("own"), F.struct("j", "f"))).alias("own")
+        slices.append(work.put(met.groupBy("shard").agg(*lists), f"{name}-{part}"))
     met = slices[0]
     for other in slices[1:]:
         met = met.unionByName(other)
-    back = met.groupBy("shard").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
-    back = work.put(back.select("shard", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("j", "f", "own"))), f"{name}-back", *(f"{name}-{part}" for part in range(SLICES)))
-    both = shards.join(back, "shard").select("shard", "lang", "words", "codes", "x_j", "x_f", "x_own")
-    return work.put(both.mapInArrow(keep, STATE), name, f"{name}-back", *used)
+    back = met.groupBy("shard").agg(F.sort_array(F.flatten(F.collect_list("held"))).alias("held"), F.flatten(F.collect_list("own")).alias("own"))
+    both = shards.join(back, "shard").select("shard", "lang", "words", "codes", "held", F.col("own.j").alias("own_j"), F.col("own.f").alias("own_f"))
+    return work.put(both.mapInArrow(keep, STATE), name, *(f"{name}-{part}" for part in range(SLICES)), *used)
 
 
 def phrase_counts(work: Workspace, docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

@@ -108,3 +108,24 @@ def test_exact_beyond_64_bits(spark):
     finally:
         co.phrase_counts = before
     assert [r.score for r in got] == [1000 * 2 * big * 70_000_000_010 // (4 * big * 5 * big)]
+
+
+def test_only_the_naming_shard_gets_a_count(spark, monkeypatch):
+    """Numbers of frequent strings go to all their shards, counts to one; codes travel compressed."""
+    monkeypatch.setattr(co, "SHARD_WORDS", 700)
+    seen, put = {}, co.Workspace.put
+
+    def spy(self, df, name, *used):
+        out = put(self, df, name, *used)
+        if name[-1].isdigit() and name[-2] == "-" and name.count("-") == (1 if name.startswith("words") else 2):
+            seen[name] = out.selectExpr("explode(held) AS j").count(), out.selectExpr("explode(own) AS x").count()
+        return out
+
+    monkeypatch.setattr(co.Workspace, "put", spy)
+    docs = spark.createDataFrame([(k, t, lang, 0, 0, 0) for k, (t, lang) in enumerate(corpus())], SCHEMA)
+    counts, _ = co.phrase_counts(co.Workspace(spark, "collocations-test"), docs.repartition(3), 4)
+    held, own = (sum(x[k] for x in seen.values()) for k in (0, 1))
+    assert own == counts.count() < held
+    for codes in (np.zeros(0, np.int32), np.array([5, -1, 32_766, -1], np.int32), np.array([1 << 15, 70_000, -1], np.int32), np.full(100_000, 7, np.int32)):
+        raw = co.stored(codes)
+        assert co._codes(co.pa.array([raw])[0]).tolist() == codes.tolist() and len(raw) < 1_000
